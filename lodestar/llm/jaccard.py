@@ -113,8 +113,14 @@ def _in_order(s: np.ndarray, often: tuple[np.ndarray, np.ndarray]) -> np.ndarray
     return np.concatenate((s[~hit], f[np.lexsort((f, k[i[hit]]))]))
 
 
+def meets(n):
+    """Prefix shingles that a set of n elements asks a partner to share."""
+    return 1 + n // 30
+
+
 def prefix_length(n: int, percent: int) -> int:
-    return n - (percent * n + 99) // 100 + 1
+    """Two linked sets share, in their prefixes of this length, as many shingles as the smaller one asks for."""
+    return n - (percent * n + 99) // 100 + meets(n)
 
 
 _POST = np.dtype([("g", "<u8"), ("h", "<i8"), ("n", "<i4"), ("i", "<i4")])
@@ -168,20 +174,39 @@ def _lists(table: pa.Table) -> np.ndarray:
     return p[np.repeat(size > 1, size)]
 
 
+_ENTRY = "g long, h long, n int, i int"
+
+
 def index_lists(posts: DataFrame) -> DataFrame:
-    """(g, h, n, i, pivot): entries of lists with two texts or more, and the list's least edited text."""
+    """(g, h, n, i): entries of lists with two texts or more."""
 
     def one(table):
         p = _lists(table)
-        if not len(p):
-            return pa.table({k: pa.array([], t) for k, t in (("g", pa.int64()), ("h", pa.int64()), ("n", pa.int32()), ("i", pa.int32()), ("pivot", pa.int64()))})
+        return pa.table({"g": p["g"].copy().view(np.int64), "h": p["h"].copy(), "n": p["n"].copy(), "i": p["i"].copy()})
+
+    return posts.groupBy("bucket").applyInArrow(one, _ENTRY)
+
+
+def trimmed_lists(lists: DataFrame, percent: int, buckets: int) -> DataFrame:
+    """(g, h, n, i, pivot): lists without texts that meet too few others, and each list's least edited text.
+
+    A linked set of n elements has at least meets(percent % of n) entries in lists of two or more.
+    """
+    least = F.lit(1) + F.floor(F.ceil(F.col("n") * percent / 100) / 30)
+    enough = lists.groupBy("h").agg(F.count("*").alias("c"), F.first("n").alias("n")).where(F.col("c") >= least).select("h")
+
+    def one(table):
+        p = {k: table.column(k).to_numpy() for k in ("g", "h", "n", "i")}
+        order = np.lexsort((p["h"], p["i"], p["n"], p["g"]))
+        p = {k: v[order] for k, v in p.items()}
         starts = np.flatnonzero(np.concatenate(([True], p["g"][1:] != p["g"][:-1])))
-        size = np.diff(starts, append=len(p))
+        size = np.diff(starts, append=len(order))
         best = np.lexsort((p["h"], p["n"], p["i"], p["g"]))[starts]
-        pivot = np.repeat(p["h"][best], size)
-        return pa.table({"g": p["g"].view(np.int64) if p["g"].flags.c_contiguous else p["g"].copy().view(np.int64), "h": p["h"], "n": p["n"], "i": p["i"], "pivot": pivot})
+        p["pivot"] = np.repeat(p["h"][best], size)
+        return pa.table(p).filter(pa.array(np.repeat(size > 1, size)))
 
-    return posts.groupBy("bucket").applyInArrow(one, "g long, h long, n int, i int, pivot long")
+    kept = lists.join(enough, "h", "left_semi").select("g", "h", "n", "i")
+    return kept.withColumn("bucket", F.pmod("g", F.lit(buckets))).groupBy("bucket").applyInArrow(lambda t: one(t.drop_columns("bucket")), _ENTRY + ", pivot long")
 
 
 def wanted_filter(nodes: DataFrame, count: int) -> np.ndarray:
@@ -346,7 +371,7 @@ def _members(groups: DataFrame, percent: int) -> DataFrame:
 
 
 def _cross_pairs(lists: DataFrame, percent: int, buckets: int) -> DataFrame:
-    """Candidate pairs (a, b) of a list whose texts chose different pivots and aren't yet in one component."""
+    """Candidate pairs (a, b): texts that share enough prefix shingles, chose different pivots and aren't yet in one component."""
 
     def one(table):
         p = {k: table.column(k).to_numpy() for k in ("g", "h", "n", "i", "pivot", "comp")}
@@ -355,7 +380,7 @@ def _cross_pairs(lists: DataFrame, percent: int, buckets: int) -> DataFrame:
         key = p["g"]
         starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         ends = np.append(starts[1:], len(key))
-        out = [np.zeros((0, 2), np.int64)]
+        out = [np.zeros((0, 3), np.int64)]
         for lo, hi in zip(starts.tolist(), ends.tolist()):
             c = p["comp"][lo:hi]
             if hi - lo < 2 or (c == c[0]).all():
@@ -365,14 +390,16 @@ def _cross_pairs(lists: DataFrame, percent: int, buckets: int) -> DataFrame:
             for k in range(hi - lo - 1):
                 j = slice(k + 1, int(reach[k]))  # later blocks are too large
                 need = -(-percent * (n[k] + n[j]) // (100 + percent))
-                ok = (c[j] != c[k]) & (v[j] != v[k]) & (1 + np.minimum(n[k] - i[k] - 1, n[j] - i[j] - 1) >= need)
+                # at most the shingles before both places, this one and those after both
+                ok = (c[j] != c[k]) & (v[j] != v[k]) & (np.minimum(i[k], i[j]) + np.minimum(n[k] - i[k], n[j] - i[j]) >= need)
                 if ok.any():
                     o = h[j][ok]
-                    out.append(np.stack((np.minimum(o, h[k]), np.maximum(o, h[k])), 1))
-        pairs = np.unique(np.concatenate(out), axis=0)
-        return pa.table({"a": pairs[:, 0].copy(), "b": pairs[:, 1].copy()})
+                    out.append(np.stack((np.minimum(o, h[k]), np.maximum(o, h[k]), np.minimum(n[j][ok], n[k])), 1))
+        pairs, times = np.unique(np.concatenate(out), axis=0, return_counts=True)
+        return pa.table({"a": pairs[:, 0].copy(), "b": pairs[:, 1].copy(), "n": pairs[:, 2].copy(), "c": times.astype(np.int64)})
 
-    return lists.withColumn("bucket", F.pmod("g", F.lit(buckets))).groupBy("bucket").applyInArrow(one, "a long, b long").distinct()
+    found = lists.withColumn("bucket", F.pmod("g", F.lit(buckets))).groupBy("bucket").applyInArrow(one, "a long, b long, n long, c long")
+    return found.groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("n").alias("n")).where(F.col("c") >= 1 + F.floor(F.col("n") / 30)).select("a", "b")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -398,7 +425,7 @@ def links(docs: DataFrame, keys: DataFrame, width: int, percent: int) -> DataFra
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * (100 - percent) / 100 * _POST.itemsize / 48e6) + 1)
     often = spark.sparkContext.broadcast(frequent(docs, width))
     posts = postings(docs, width, percent, often, buckets)
-    lists = written(index_lists(posts), "lists")
+    lists = written(trimmed_lists(written(index_lists(posts), "entries"), percent, buckets), "lists")
     votes = lists.where("h <> pivot").groupBy("h", "pivot").count()
     chosen = votes.groupBy("h").agg(F.max(F.struct("count", F.negative("pivot").alias("neg"))).alias("x")).select("h", F.negative("x.neg").alias("pivot"))
     chosen = written(chosen, "chosen")
