@@ -46,33 +46,48 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, bytes, np.ndarray]:
-    """(offsets, UTF-8 bytes, null mask) of a string column; a null text has length 0."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
-    if not pa.types.is_large_string(column.type):
-        column = column.cast(pa.large_string())
-    nulls = column.is_null().to_numpy(zero_copy_only=False) if column.null_count else np.zeros(len(column), bool)
+#: Rows and bytes of an Arrow batch at most, so that a worker's memory doesn't grow with the length of texts.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to the bounds; smaller settings stay."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key)
+        now = int(now[:-1] if now.endswith("b") else now) if now.rstrip("b").lstrip("-").isdigit() else 0
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
+
+
+def text_chunks(column: pa.Array, size: int):
+    """(first row, UTF-8 bytes, offsets) of runs of rows of about size bytes; a null text has length 0."""
     if column.null_count:
         column = column.fill_null("")
-    if not len(column):
-        return np.zeros(1, np.int64), b"", nulls
+    n = len(column)
+    if not n:
+        return
     _, offs, data = column.buffers()
-    o = np.frombuffer(offs, np.int64)[column.offset : column.offset + len(column) + 1]
-    raw = data.to_pybytes()[o[0] : o[-1]] if data is not None else b""
-    return o - o[0], raw, nulls
+    wide = pa.types.is_large_string(column.type)
+    o = np.frombuffer(offs, np.int64 if wide else np.int32)[column.offset : column.offset + n + 1].astype(np.int64)
+    lo = 0
+    while lo < n:
+        hi = min(n, max(lo + 1, int(np.searchsorted(o, o[lo] + size, side="right")) - 1))
+        raw = data.slice(int(o[lo]), int(o[hi] - o[lo])).to_pybytes() if data is not None else b""
+        yield lo, raw, o[lo : hi + 1] - o[lo]
+        lo = hi
+
+
+def stream_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow over bounded batches."""
+    bounded_batches(df.sparkSession)
+    return df.mapInArrow(run, schema)
 
 
 def map_arrow(df: DataFrame, f, schema) -> DataFrame:
-    """mapInArrow with a per-batch function from a RecordBatch to a RecordBatch, Table or a list of them."""
+    """stream_arrow with a function from one RecordBatch to one."""
 
     def run(batches):
         for b in batches:
-            out = f(b)
-            for x in out if isinstance(out, (list, tuple)) else [out]:
-                if isinstance(x, pa.Table):
-                    yield from x.to_batches()
-                else:
-                    yield x
+            yield f(b)
 
-    return df.mapInArrow(run, schema)
+    return stream_arrow(df, run, schema)

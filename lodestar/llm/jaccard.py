@@ -16,9 +16,8 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from lodestar.llm.common import map_arrow, text_buffers, written
+from lodestar.llm.common import map_arrow, stream_arrow, written
 from lodestar.llm.components import connected_components
 from lodestar.llm.shingles import batch_sets, mix
 
@@ -45,8 +44,7 @@ def _class_hash(s: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _sets(batch: pa.RecordBatch, width: int):
     """Yields (first row, set hashes, offsets, class hashes) over a batch's column of texts."""
-    offs, raw, _ = text_buffers(batch.column("text"))
-    for lo, s, at in batch_sets(raw, offs, width):
+    for lo, s, at in batch_sets(batch.column("text"), width):
         yield lo, s, at, _class_hash(s, at)
 
 
@@ -87,13 +85,13 @@ def frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
                 for k in fresh:
                     held.append(s[at[k] : at[k + 1]])
                     n += len(held[-1])
-            if n > 6_000_000:
-                yield many(held)
-                held, n, seen = [], 0, set()
+                if n > 3_000_000:
+                    yield many(held)
+                    held, n = [], 0
         if held:
             yield many(held)
 
-    rows = docs.select("text").mapInArrow(run, "g long, c long").groupBy("g").agg(F.sum("c").alias("c")).where("c >= 16").orderBy(F.desc("c"), "g").limit(FREQUENT).toArrow()
+    rows = stream_arrow(docs.select("text"), run, "g long, c long").groupBy("g").agg(F.sum("c").alias("c")).where("c >= 16").orderBy(F.desc("c"), "g").limit(FREQUENT).toArrow()
     g = rows.column("g").to_numpy().astype(np.int64).view(np.uint64)
     k = np.log2(np.maximum(rows.column("c").to_numpy().astype(np.float64), 1)).astype(np.uint64)
     order = np.argsort(g)
@@ -153,13 +151,13 @@ def postings(docs: DataFrame, width: int, percent: int, often: Broadcast, bucket
                     p["g"], p["h"], p["n"], p["i"] = t, h, size, np.arange(len(t))
                     held.append(p)
                     n += len(t)
-            if n > 1_500_000:
-                yield dealt()
-                held, n = [], 0
+                if n > 1_000_000:
+                    yield dealt()
+                    held, n = [], 0
         if held:
             yield dealt()
 
-    return docs.select("text").mapInArrow(run, "bucket long, blob binary")
+    return stream_arrow(docs.select("text"), run, "bucket long, blob binary")
 
 
 def _lists(table: pa.Table) -> np.ndarray:
@@ -256,7 +254,7 @@ def set_rows(docs: DataFrame, width: int, bits: Broadcast) -> DataFrame:
                         s.append(g[at[k] : at[k + 1]].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(n, pa.int32()), pa.array(s, pa.binary())], ["h", "n", "s"])
 
-    return docs.select("text").mapInArrow(run, "h long, n int, s binary")
+    return stream_arrow(docs.select("text"), run, "h long, n int, s binary")
 
 
 def _enough(shared, n, m, percent):

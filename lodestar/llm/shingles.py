@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from lodestar.llm.common import text_chunks
+
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 #: A random odd multiplier for each byte; white space counts as nothing.
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -87,19 +89,8 @@ def shingle_sets(raw: bytes, offsets: np.ndarray, width: int) -> tuple[np.ndarra
     return np.concatenate(sets), np.concatenate(([0], np.cumsum(size))), words
 
 
-def in_chunks(offsets: np.ndarray):
-    """Ranges of documents whose bytes come to about CHUNK."""
-    lo, docs = 0, len(offsets) - 1
-    while lo < docs:
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + CHUNK, side="right")) - 1)
-        hi = min(hi, docs)
-        yield lo, hi
-        lo = hi
-
-
-def batch_sets(raw: bytes, offsets: np.ndarray, width: int):
-    """shingle_sets over a whole batch, chunk by chunk: yields (first document, hashes, offsets)."""
-    for lo, hi in in_chunks(offsets):
-        o = offsets[lo : hi + 1]
-        hashes, at, _ = shingle_sets(raw[o[0] : o[-1]], o - o[0], width)
+def batch_sets(column, width: int):
+    """shingle_sets over a column of texts, chunk by chunk: yields (first row, hashes, offsets)."""
+    for lo, raw, offsets in text_chunks(column, CHUNK):
+        hashes, at, _ = shingle_sets(raw, offsets, width)
         yield lo, hashes, at
