@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lodestar.llm.common import map_arrow, text_buffers
+from lodestar.llm.common import map_arrow, text_chunks
 
 RATE = 8000
 #: Samples of a frame, of the step between frames, frames transformed at once.
@@ -97,14 +97,14 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     schema += ", media binary, times array<int>, codes array<int>" if keep else ""
 
     def one(batch):
-        offs, raw, _ = text_buffers(batch.column("text"))
         rows = []
-        for a, b in zip(offs.tolist(), offs[1:].tolist()):
-            media = wav_bytes(padded(raw[a:b]))
+        texts = ((raw[a:b], b - a) for _, raw, o in text_chunks(batch.column("text"), 1 << 20) for a, b in zip(o.tolist(), o[1:].tolist()))
+        for text, size in texts:
+            media = wav_bytes(padded(text))
             back = wav_samples(media)
             t, c = fingerprints(back)
             feature = hashlib.sha256(t.astype("<i4").tobytes() + c.astype("<i4").tobytes()).hexdigest()
-            row = (b - a, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature)
+            row = (size, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature)
             rows.append(row + ((media, t, c) if keep else ()))
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()] + ([pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32())] if keep else [])
         names = [x.split()[0] for x in schema.split(", ")]
