@@ -5,8 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lodestar.llm.bpe import bpe_encode
+from lodestar.llm.html_text import extract_text
 from lodestar.llm.jaccard import jaccard_components
+from lodestar.llm.langid import dictionaries, identify
+from lodestar.llm.licenses import scan_licenses
+from lodestar.llm.mih import nearest
+from lodestar.llm.mixing import mix_documents
+from lodestar.llm.surrogates import replace_pii
+from lodestar.llm.warc import archived
+from lodestar.llm.wavprint import text_media
 from lodestar.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,8 +29,76 @@ def _add(f, sql: str | None = None):
         ORACLES[f.__name__] = sql
 
 
+def op1_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op3_wav_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_media(table(spark, sf_dir, "documents"), keep=False)
+
+
+def op4_bpe_prefix_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_encode(table(spark, sf_dir, "documents"), digests=True)
+
+
+def held_out(id_col: str = "doc_id"):
+    """Rows that language ID may not learn from."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    raw = dictionaries(docs.where(~held_out()))
+    return identify(docs, raw).withColumn("held_out", held_out()).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+def op6_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op7_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_documents(table(spark, sf_dir, "documents"))
+
+
+def op8_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
-_add(op10_ngram_jaccard)
+_add(op1_multi_index_hashing)
+_add(op2_pii_surrogates)
+_add(op3_wav_fingerprints)
+_add(op4_bpe_prefix_dp)
+_add(op5_language_id)
+_add(op6_license_templates)
+_add(op7_entropy_balancing)
+_add(
+    op8_warc_normaliser,
+    """
+    WITH p AS (
+        SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes,
+               sha256(coalesce(html, '')) AS payload_digest
+        FROM pages),
+    q AS (
+        SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+    FROM q
+    """,
+)
+_add(op9_html_text)
+_add(
+    op10_ngram_jaccard,
+)
