@@ -3,12 +3,13 @@
 Every document starts with rate 1. Of all rates up to the limit that meet each source's token target, those
 nearest to 1 in relative entropy are exponentially tilted: rate = min(limit, exp(lambda_source * size / scale)).
 lambda minimises the convex dual; Newton steps for all sources run together, each one aggregation over the
-(source, size) histogram. Rates become copies by systematic rounding along sizes, so a source's words miss
-their target by little more than its largest document.
+(source, size) histogram. Rates become copies from large sizes to small, each size making up for the rounding
+of those before, so a source's words miss their target by about a small document.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -103,6 +104,21 @@ def _small(df: DataFrame, rows: int = 100_000) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def _quotas(table: pa.Table, limit: int) -> pa.Table:
+    """Copies of a source's sizes, a row for each different size: from large to small, each size takes what
+    brings the words taken so far nearest to the words its rates stand for, so only the smallest sizes'
+    rounding remains."""
+    table = table.sort_by([("size", "descending")])
+    quota, owed = [], 0.0
+    for size, n, rate in zip(*(table.column(c).to_pylist() for c in ("size", "n", "rate"))):
+        owed += size * n * rate
+        q = min(n * limit, max(0, round(owed / size))) if size else 0
+        owed -= q * size
+        quota.append(q)
+    cols = [table.column("source"), table.column("size"), table.column("n"), table.column("rate"), pa.array(quota, pa.int64()), table.column("source_size"), table.column("target")]
+    return pa.table(cols, names=["hs", "hz", "n", "rate", "quota", "source_size", "target"])
+
+
 def mix_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, limit: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(doc_id, size, source_size, target, rate, copies, taken) for every row.
 
@@ -116,15 +132,9 @@ def mix_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share
     hist = d.groupBy("source", "size").agg(F.count("*").alias("n"))
     targets = written(token_targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, float(limit)), "targets")
     rates = tilted_rates(hist, targets, float(limit))
-    # copies of each size: systematic rounding of the cumulated rates, by source
-    w = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    units = F.when(F.col("size") > 0, F.col("n") * F.col("rate")).otherwise(0.0)
-    upto = F.sum(F.round(units * 1_000_000).cast("long")).over(w)
-    before = F.lag(F.col("upto"), 1, 0).over(Window.partitionBy("source").orderBy("size"))
-    whole = lambda c: F.floor((c + 500_000) / 1_000_000)
-    rows = rates.withColumn("upto", upto).withColumn("quota", F.least(whole(F.col("upto")) - whole(before), F.when(F.col("size") > 0, F.col("n") * limit).otherwise(0)))
     t = targets.withColumnRenamed("source", "ts")
-    rows = written(rows.join(t, F.col("source").eqNullSafe(F.col("ts"))).select(F.col("source").alias("hs"), F.col("size").alias("hz"), "n", "rate", "quota", "source_size", "target"), "quotas")
+    joined = rates.join(t, F.col("source").eqNullSafe(F.col("ts"))).select("source", "size", "n", "rate", "source_size", "target")
+    rows = written(joined.groupBy("source").applyInArrow(lambda x: _quotas(x, limit), "hs string, hz long, n long, rate double, quota long, source_size long, target double"), "quotas")
     side = F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
     j = d.join(side, F.col("source").eqNullSafe(F.col("hs")) & (F.col("size") == F.col("hz")))
     j = j.withColumn("sub", F.pmod("tie", F.ceil(F.col("n") / RANKED)).cast("long"))
