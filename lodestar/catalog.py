@@ -20,3 +20,10 @@ def query(name: str, sql: str | None = None):
         return f
 
     return add
+
+
+def _load() -> None:
+    from lodestar.plans import graphs, ops, policies, retrieval, texts  # noqa: F401
+
+
+_load()

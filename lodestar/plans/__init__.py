@@ -1 +1 @@
-
+"""Registered queries by theme."""
