@@ -164,7 +164,8 @@ class _Lines:
                 if k:
                     self.broken()
                 if p:
-                    self._put(p)
+                    self._put((" " if self.space and self.line and not self.gap else "") + p)
+                    self.space = False
             return
         parts = _WS.split(x)
         for k, p in enumerate(parts):
