@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,8 +24,6 @@ def html_files(spark: SparkSession, path: str) -> DataFrame:
 
 def binary_files(spark: SparkSession, path: str, extract: Callable[[bytes], str], glob: str = "*") -> DataFrame:
     """(source_id, text) of files through an injected extractor (PDF libraries are a port)."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(x: pd.Series) -> pd.Series:
         return x.map(extract)
