@@ -21,8 +21,8 @@ from lodestar.llm.common import map_arrow
 
 #: White space as the vocabulary's normaliser sees it (fixed values).
 _SPACES = "[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
-#: Words kept with their encodings in each worker.
-CACHE = 300_000
+#: Words of a generation kept with their encodings in each worker; the last two generations stay.
+CACHE = 200_000
 
 
 def byte_letters() -> list[str]:
@@ -139,6 +139,7 @@ class WordBpe:
         self.space = regex.compile(_SPACES)
         self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\p{L}\p{N}]+")
         self.cache: dict[str, tuple[str, int, str]] = {}
+        self.older: dict[str, tuple[str, int, str]] = {}
 
     # pair compatibility
 
@@ -184,7 +185,7 @@ class WordBpe:
         raw[-1] += self.end
         s = [self.alone[x] for x in raw]
         n = len(s)
-        step, ending, reach = self.sam.step, self.ending, self.sam.size
+        step, ending, reach, pairs = self.sam.step, self.ending, self.sam.size, self._pairs
         last = [-1] * (n + 1)
         size = [0] * (n + 1)
         state, held, link = 0, 0, self.sam.link
@@ -196,12 +197,17 @@ class WordBpe:
             state = step[state].get(c, 0)
             held = held + 1 if state else 0
             for length, t in ending[state]:
-                start = i - length
                 if length > held:
                     continue  # of the state, but not all of it is here
-                if start == 0 or (last[start] >= 0 and not self._pair(last[start], t)):
-                    last[i], size[i] = t, length
-                    break
+                if length < i:
+                    key = last[i - length] << 20 | t
+                    crosses = pairs.get(key)
+                    if crosses is None:
+                        crosses = self._pair(key)
+                    if crosses:
+                        continue
+                last[i], size[i] = t, length
+                break
             else:
                 last[i], size[i] = c, 1  # a symbol no merge knows
         out, i = [], n
@@ -210,26 +216,24 @@ class WordBpe:
             i -= size[i]
         return out[::-1]
 
-    def _pair(self, a: int, b: int) -> bool:
-        key = a << 20 | b
-        found = self._pairs.get(key)
-        if found is None:
-            if len(self._pairs) > 1_000_000:
-                self._pairs.clear()
-            found = self._pairs[key] = self._crosses(a, b)
+    def _pair(self, key: int) -> bool:
+        if len(self._pairs) > 1_000_000:
+            self._pairs.clear()
+        found = self._pairs[key] = self._crosses(key >> 20, key & 0xFFFFF)
         return found
 
     _pairs: dict[int, bool] = {}
 
     def _known(self, piece: str) -> tuple[str, int, str]:
-        found = self.cache.get(piece)
+        """A piece's (ids joined, their number, tokens joined) that the newest generation doesn't have."""
+        found = self.older.get(piece)
         if found is None:
             ids = self.word(piece)
             found = " ".join(map(str, ids)), len(ids), " ".join([self.text[i] for i in ids])
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            if len(piece) <= 64:
-                self.cache[piece] = found
+        if len(self.cache) >= CACHE:
+            self.older, self.cache = self.cache, {}
+        if len(piece) <= 64:
+            self.cache[piece] = found
         return found
 
     def _sections(self, text: str):
@@ -250,18 +254,19 @@ class WordBpe:
     def encoded(self, text: str) -> tuple[str, int, str]:
         """(ids joined by a space, their number, decoded text) of a whole text."""
         ids, words, n = [], [], 0
-        known, cache = self._known, self.cache
+        known = self._known
         for special, plain in self._sections(text) if "<|" in text else ((None, text),):
             if special:
                 ids.append(str(self.special[special]))
                 words.append(special)
                 n += 1
                 continue
-            for p in self.pieces.findall(self.normal(plain)):
-                x = cache.get(p) or known(p)
-                ids.append(x[0])
-                words.append(x[2])
-                n += x[1]
+            found = [self.cache.get(p) or known(p) for p in self.pieces.findall(self.normal(plain))]
+            if found:
+                a, counts, b = zip(*found)
+                ids += a
+                words += b
+                n += sum(counts)
         return " ".join(ids), n, " ".join(words)
 
     def encode(self, text: str) -> list[int]:

@@ -101,4 +101,18 @@ _add(
 _add(op9_html_text)
 _add(
     op10_ngram_jaccard,
+    r"""
+    WITH RECURSIVE w AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+        FROM documents),
+    s AS (
+        SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS s FROM w, unnest(range(1, len(w) - 2)) t(i) WHERE len(w) >= 4
+        UNION ALL
+        SELECT doc_id, array_to_string(w, ' ') FROM w WHERE len(w) BETWEEN 1 AND 3),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+    l AS (SELECT x, y FROM c JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * i >= 85 * (a.n + b.n - i)),
+    r AS (SELECT doc_id, doc_id AS d FROM documents UNION SELECT r.doc_id, l.y FROM r JOIN l ON l.x = r.d)
+    SELECT doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.d) AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY doc_id
+    """,
 )
