@@ -29,9 +29,11 @@ PATTERNS = {
     "name": rf"(?<![\p{{L}}])(?:{MALE_TITLES}|{FEMALE_TITLES}|{NEUTRAL_TITLES})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?",
     "secret": r"(?<=(?:[pP]assword|passwd|pwd|[tT]oken|[sS]ecret|api_key|apikey|API_KEY)[\"']?\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9_\-+/.]{8,}",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values()).replace(r"([ \-]?)\d{4}\1\d{4}\1", r"(?:(?:\d{4}){2}|(?: \d{4}){2} |(?:-\d{4}){2}-)")
-#: What any value holds, to pass over other texts cheaply.
-HINT = rf"[0-9@]|[=:]|(?:{MALE_TITLES}|{FEMALE_TITLES}|{NEUTRAL_TITLES})\.? \p{{Lu}}"
+#: Cheap tests that come before a pattern in ANY: what stands before and at a value's first character.
+_GUARDS = {"secret": r"(?<=[=:\s\"'])(?<=[=:][\"']?|[=:]\s[\"']?|[=:]\s\s[\"']?)", "name": r"(?=[\p{Lu}гкд])", "aws_key": "(?=A)", "iban": r"(?=[A-Z]{2}\d)", "ipv4": r"(?=\d{1,3}\.\d)", "card": r"(?=[2-6]\d{3})", "ssn": r"(?=\d{3}-)", "phone": r"(?=[+(\d])", "email": r"(?=[A-Za-z0-9._%+\-])"}
+ANY = "|".join(f"(?:{_GUARDS[k]}{p})" for k, p in PATTERNS.items()).replace(r"([ \-]?)\d{4}\1\d{4}\1", r"(?:(?:\d{4}){2}|(?: \d{4}){2} |(?:-\d{4}){2}-)")
+#: What any value holds, to pass over other texts: a digit or mark, or a title before a capital letter.
+HINTS = ("[0-9@=:]", rf" (?=\p{{Lu}})(?<=(?:{MALE_TITLES}|{FEMALE_TITLES}|{NEUTRAL_TITLES})\.? )")
 #: Given names by gender and script (public common names).
 GIVEN = {
     ("m", "latin"): "Adam Albert Bruno Carl David Edgar Felix Georg Hugo Ivan Jonas Karl Leon Martin Nils Oskar Paul Robert Simon Thomas Victor Walter Anton Emil",
@@ -170,8 +172,8 @@ def replace_pii(docs: DataFrame, text_col: str = "text", key: str = "lodestar",
     text = F.col(f"`{text_col}`")
     lone = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row")
     d = docs.select(lone, text.alias("__text"))
-    hits = F.when(F.col("__text").rlike(HINT), F.regexp_extract_all("__text", F.lit(ANY), F.lit(0)))
-    found = d.select("__text", hits.alias("hits")).where(F.size("hits") > 0)
+    hint = F.coalesce(F.col("__text").rlike(HINTS[0]) | F.col("__text").rlike(HINTS[1]), F.lit(False))
+    found = d.where(hint).select("__text", F.regexp_extract_all("__text", F.lit(ANY), F.lit(0)).alias("hits")).where(F.size("hits") > 0)
     # one line for each different text with values: copies share it
     found = found.groupBy(F.md5("__text").alias("id"), F.xxhash64("__text").alias("id2")).agg(F.first("hits").alias("hits"))
     found = written(found, "hits")
@@ -180,12 +182,12 @@ def replace_pii(docs: DataFrame, text_col: str = "text", key: str = "lodestar",
     table = surrogate_table(units.select("kind", "value"), key)
     joined = units.join(table, ["kind", "value"]).groupBy("id", "id2", "pos").agg(F.concat(F.first("lead"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "surrogate"))), lambda x: x["surrogate"]), " ")).alias("new"))
     lists = written(joined.groupBy("id", "id2").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "new"))), lambda x: x["new"]).alias("new")), "replacements")
-    held = F.when(F.col("__text").rlike(HINT), F.regexp_count("__text", F.lit(ANY)))
-    marked = d.withColumn("__n", F.coalesce(held, F.lit(0)))
     parts = F.split("__text", ANY, -1)
     new = F.array_join(F.zip_with(parts, F.col("new"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    some = marked.where("__n > 0").withColumns({"id": F.md5("__text"), "id2": F.xxhash64("__text")}).join(lists, ["id", "id2"]).select("__row", "__n", new.alias("__new"))
-    none = marked.where("__n = 0").select("__row", "__n", F.col("__text").alias("__new"))
+    # texts that may hold values meet their replacements; all others stay where they are
+    some = d.where(hint).withColumns({"id": F.md5("__text"), "id2": F.xxhash64("__text")}).join(lists, ["id", "id2"], "left")
+    some = some.select("__row", F.coalesce(F.size("new"), F.lit(0)).alias("__n"), F.when(F.col("new").isNull(), F.col("__text")).otherwise(new).alias("__new"))
+    none = d.where(~hint).select("__row", F.lit(0).alias("__n"), F.col("__text").alias("__new"))
     out = none.unionByName(some)
     cols = [F.col("__new").alias(c) if c == text_col else F.col(f"__row.`{c}`").alias(c) for c in docs.columns if c != count_col]
     return out.select(*cols, *([F.col("__n").cast("int").alias(count_col)] if count_col else []))
