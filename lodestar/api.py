@@ -111,6 +111,29 @@ def search_many(chunks: DataFrame, requests: Sequence[Request], k: int = 10, rrf
     return policy.rrf_merge(lists, rrf_k, k)
 
 
+def execute_plan(chunks: DataFrame, requests: Sequence[Request], sequential: bool = False, k: int = 10, branches: int = 2, stop_at: float = 0.8) -> DataFrame:
+    """(id, score): at most so many sub-queries, then the query itself (the last request). One after the other,
+    a branch whose scoped rows are penalised to stop_at or more ends the branches; the query always runs."""
+    *subs, query = requests
+    subs = subs[: max(1, branches)]
+    if not sequential:
+        return search_many(chunks, [*subs, query], k).select("id", "score")
+    ran = []
+    for r in subs:
+        ran.append(r)
+        if r.scopes:
+            ratio = policy.penalty_ratio(search_grounded(chunks, r).withColumn("scope", F.col("scope")), list(r.scopes)).head()[0]
+            if ratio >= stop_at:
+                break
+    return search_many(chunks, [*ran, query], k).select("id", "score")
+
+
+def query_mode(text: str, anchors: int) -> str:
+    """SPECIFIC, GENERAL or HYBRID by named anchors and broad wording."""
+    broad = bool(re.search(r"\b(resumen|general|overview|summary|compare|compara|todos|all)\b", text, re.I))
+    return "HYBRID" if broad and anchors else "GENERAL" if broad or not anchors else "SPECIFIC"
+
+
 def search_comprehensive(chunks: DataFrame, edges: DataFrame, summaries: DataFrame, request: Request, hops: int = 2) -> DataFrame:
     """Chunks, graph neighbours and summaries by quotas 3, 2, 1. summaries: (id, embedding, children)."""
     from pyspark.sql.window import Window

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestar.catalog import query
+from lodestar.functions import identity as D
 from lodestar.functions import text as X
 from lodestar.functions import vector as V
 from lodestar.operators import ingest as I
@@ -119,3 +120,30 @@ def visual_routing(spark, sf):
 @query("document_chunks")
 def document_chunks(spark, sf):
     return I.chunked(B.table(spark, sf, "documents")).select("doc_id", "chunk_index", "heading", "role", F.length("content").alias("n_chars"))
+
+
+@query("section_refs", "SELECT l_orderkey, 'L' || l_linenumber || ':' || l_quantity::INT || ':' || l_returnflag AS ref FROM lineitem WHERE l_orderkey < 500")
+def section_refs(spark, sf):
+    l = B.table(spark, sf, "lineitem").where("l_orderkey < 500")
+    return l.select("l_orderkey", D.section_ref(F.col("l_linenumber"), F.col("l_quantity").cast("int"), F.col("l_returnflag")).alias("ref"))
+
+
+@query("parent_context", "SELECT doc_id, length('[PARENT_CONTEXT]' || chr(10) || 'DOC_TITLE: ' || source || chr(10) || 'TOTAL_SECTIONS: 3' || chr(10) || 'SECTION_PATH: [none]' || chr(10) || '[/PARENT_CONTEXT]' || chr(10) || chr(10) || text) AS n FROM documents WHERE text IS NOT NULL")
+def parent_context(spark, sf):
+    d = B.table(spark, sf, "documents").where("text is not null")
+    return d.select("doc_id", F.length(D.parent_context(F.col("text"), F.lit(""), F.col("source"), F.lit(3))).cast("long").alias("n"))
+
+
+@query("hash_slots", "SELECT c_custkey, ('0x' || substr(sha1(lower(c_mktsegment)), 1, 8))::BIGINT % 128 AS slot FROM customer")
+def hash_slots(spark, sf):
+    c = B.table(spark, sf, "customer")
+    e = D.hash_embedding(F.col("c_mktsegment"))
+    return c.select("c_custkey", (F.array_position(e, F.lit(1.0)) - 1).alias("slot"))
+
+
+@query("section_tree", "WITH t AS (SELECT l_orderkey AS doc, l_linenumber AS ord, min(1 + l_partkey % 3) AS level, min(l_suppkey) AS page FROM lineitem WHERE l_orderkey < 3000 GROUP BY 1, 2) SELECT doc, ord, lead(page) OVER (PARTITION BY doc ORDER BY ord) AS end_page, (SELECT max(p.ord) FROM t p WHERE p.doc = t.doc AND p.ord < t.ord AND p.level < t.level) AS parent_ord FROM t")
+def section_tree(spark, sf):
+    from lodestar.operators.graph import document_sections
+
+    t = B.table(spark, sf, "lineitem").where("l_orderkey < 3000").groupBy(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("ord")).agg(F.min(1 + F.col("l_partkey") % 3).alias("level"), F.min("l_suppkey").alias("page"))
+    return document_sections(t).select("doc", "ord", "end_page", "parent_ord")
