@@ -43,7 +43,7 @@ def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many copies of each document as the mix takes."""
+    """As many copies of each document as the mix takes; rows with a null id aren't taken."""
     copies = mix_documents(docs).where("copies > 0").select("doc_id", "copies").where("doc_id is not null")
     return docs.select(*COLUMNS).join(copies, "doc_id").select(*COLUMNS, F.explode(F.sequence(F.lit(1), "copies")).alias("__copy")).drop("__copy")
 

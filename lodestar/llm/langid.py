@@ -38,15 +38,15 @@ def plain(text: str) -> str:
     return _OTHER.sub(" ", text.lower()).strip()
 
 
-def dictionaries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
+def dictionaries(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
     """A raw-content dictionary for each language of the labelled rows.
 
-    Of each language the SAMPLE_ROWS rows of smallest hash with a letter are taken; rows without text or
+    Of each language the SAMPLE_ROWS texts of smallest hash with a letter are taken; nothing but text and label is read; rows without text or
     label teach nothing. No labelled rows: no languages.
     """
-    rows = docs.select(F.col(lang_col).alias("lang"), F.col(id_col).cast("string").alias("id"), F.substring(F.col(text_col), 1, SAMPLE_CHARS).alias("text"))
+    rows = docs.select(F.col(lang_col).alias("lang"), F.substring(F.col(text_col), 1, SAMPLE_CHARS).alias("text"))
     rows = rows.where("lang is not null and text is not null and text rlike '\\\\p{L}'")
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "text")
+    w = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
     took = rows.withColumn("k", F.row_number().over(w)).where(F.col("k") <= SAMPLE_ROWS).orderBy("lang", "k").toArrow().to_pylist()
     held: dict[str, Counter] = {}
     for r in took:
