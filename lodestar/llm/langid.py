@@ -22,6 +22,8 @@ from lodestar.llm.common import map_arrow
 #: Training rows of a language, and characters read of each: the documented bound of the fit.
 SAMPLE_ROWS = 2000
 SAMPLE_CHARS = 1200
+#: Candidates by hash for each row of the sample.
+OVERSAMPLE = 4
 #: Bytes of a language's dictionary.
 DICT_BYTES = 96 << 10
 LEVEL, MIN_MATCH = 6, 3
@@ -41,13 +43,21 @@ def plain(text: str) -> str:
 def dictionaries(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
     """A raw-content dictionary for each language of the labelled rows.
 
-    Of each language the SAMPLE_ROWS texts of smallest hash with a letter are taken; nothing but text and label is read; rows without text or
-    label teach nothing. No labelled rows: no languages.
+    Of each language the SAMPLE_ROWS texts of smallest hash with a letter are taken, copies once (fewer where
+    copies fill the hash range). Nothing but text and label is read; rows without either teach nothing. No
+    labelled rows: no languages.
     """
-    rows = docs.select(F.col(lang_col).alias("lang"), F.substring(F.col(text_col), 1, SAMPLE_CHARS).alias("text"))
-    rows = rows.where("lang is not null and text is not null and text rlike '\\\\p{L}'")
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    took = rows.withColumn("k", F.row_number().over(w)).where(F.col("k") <= SAMPLE_ROWS).orderBy("lang", "k").toArrow().to_pylist()
+    rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    if not counts:
+        return {}
+    # a hash range that holds a few times the sample, so that no task gathers candidates by the input's size
+    spread = 1 << 32
+    h = F.pmod(F.xxhash64("text"), F.lit(spread))
+    edge = F.create_map(*(x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(spread, spread * OVERSAMPLE * SAMPLE_ROWS // n)).cast("long"))))[F.col("lang")]
+    near = rows.where(h < edge).where("text rlike '\\\\p{L}'").select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"), h.alias("h")).distinct()
+    w = Window.partitionBy("lang").orderBy("h", "text")
+    took = near.withColumn("k", F.row_number().over(w)).where(F.col("k") <= SAMPLE_ROWS).orderBy("lang", "k").toArrow().to_pylist()
     held: dict[str, Counter] = {}
     for r in took:
         held.setdefault(r["lang"], Counter()).update(set(plain(r["text"]).split()))
