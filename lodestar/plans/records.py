@@ -38,7 +38,7 @@ def _traces(spark, sf):
     return l.groupBy(F.col("l_orderkey").alias("trace_id")).agg(c.alias("citations"))
 
 
-@query("traces_citing", "SELECT l_orderkey AS trace_id, string_agg('part ' || l_partkey, ' | ' ORDER BY l_linenumber) AS excerpts FROM lineitem WHERE l_orderkey < 500 AND l_suppkey = 5 GROUP BY 1")
+@query("traces_citing", "SELECT l_orderkey AS trace_id, string_agg('part ' || l_partkey, ' | ' ORDER BY l_linenumber, 'part ' || l_partkey) AS excerpts FROM lineitem WHERE l_orderkey < 500 AND l_suppkey = 5 GROUP BY 1")
 def traces_citing(spark, sf):
     return R.traces_citing(_traces(spark, sf), 5)
 
