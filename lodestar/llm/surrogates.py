@@ -29,11 +29,13 @@ PATTERNS = {
     "name": rf"(?<![\p{{L}}])(?:{MALE_TITLES}|{FEMALE_TITLES}|{NEUTRAL_TITLES})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?",
     "secret": r"(?<=(?:[pP]assword|passwd|pwd|[tT]oken|[sS]ecret|api_key|apikey|API_KEY)[\"']?\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9_\-+/.]{8,}",
 }
+_TITLE_STARTS = "".join(sorted({t[0] for t in f"{MALE_TITLES}|{FEMALE_TITLES}|{NEUTRAL_TITLES}".split("|")}))
 #: Cheap tests that come before a pattern in ANY: what stands before and at a value's first character.
-_GUARDS = {"secret": r"(?<=[=:\s\"'])(?<=[=:][\"']?|[=:]\s[\"']?|[=:]\s\s[\"']?)", "name": r"(?=[\p{Lu}гкд])", "aws_key": "(?=A)", "iban": r"(?=[A-Z]{2}\d)", "ipv4": r"(?=\d{1,3}\.\d)", "card": r"(?=[2-6]\d{3})", "ssn": r"(?=\d{3}-)", "phone": r"(?=[+(\d])", "email": r"(?=[A-Za-z0-9._%+\-])"}
+_GUARDS = {"secret": r"(?<=[=:\s\"'])(?<=[=:][\"']?|[=:]\s[\"']?|[=:]\s\s[\"']?)", "name": rf"(?=[{_TITLE_STARTS}])", "aws_key": "(?=A)", "iban": r"(?=[A-Z]{2}\d)", "ipv4": r"(?=\d{1,3}\.\d)", "card": r"(?=[2-6]\d{3})", "ssn": r"(?=\d{3}-)", "phone": r"(?=[+(\d])", "email": r"(?=[A-Za-z0-9._%+\-])"}
 ANY = "|".join(f"(?:{_GUARDS[k]}{p})" for k, p in PATTERNS.items()).replace(r"([ \-]?)\d{4}\1\d{4}\1", r"(?:(?:\d{4}){2}|(?: \d{4}){2} |(?:-\d{4}){2}-)")
-#: What any value holds, to pass over other texts: a digit or mark, or a title before a capital letter.
-HINTS = ("[0-9@=:]", rf" (?=\p{{Lu}})(?<=(?:{MALE_TITLES}|{FEMALE_TITLES}|{NEUTRAL_TITLES})\.? )")
+#: What any value holds, to pass over other texts: a digit, a mark or a key's first letters, or a title before a
+#: capital letter.
+HINTS = ("[0-9@=:]|AKIA|ASIA", rf" (?=\p{{Lu}})(?<=(?:{MALE_TITLES}|{FEMALE_TITLES}|{NEUTRAL_TITLES})\.? )")
 #: Given names by gender and script (public common names).
 GIVEN = {
     ("m", "latin"): "Adam Albert Bruno Carl David Edgar Felix Georg Hugo Ivan Jonas Karl Leon Martin Nils Oskar Paul Robert Simon Thomas Victor Walter Anton Emil",
