@@ -23,18 +23,22 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return found.where(~F.col("rejected")).withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The rows with a key of their own, written once: doc_id may be null or repeated."""
+    return written(docs.select(*COLUMNS).withColumn("__row", F.monotonically_increasing_id()), "rows")
+
+
 def keep_one_of_alike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of documents whose five-word shingles are similar to 0.8 or more, the smallest doc_id.
+    """Of each component of rows whose five-word shingles are similar to 0.8 or more, the row of smallest doc_id.
 
-    Of rows that repeat that id one stays; rows with a null id stay only if nothing is like them.
+    A row with a null id stays only if its component names no id; among equal ids a hash of the row decides.
+    Rows without shingles are like nothing and stay.
     """
-    found = jaccard_components(docs, width=5, percent=80)
-    stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").where("doc_id is not null").distinct()
-    numbered = docs.select(*COLUMNS).where("doc_id is not null").join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    nameless = found.where("component_id is null").count()
-    if nameless:
-        return numbered.unionByName(docs.select(*COLUMNS).where("doc_id is null").dropDuplicates(["text"]))
-    return numbered
+    rows = _keyed(docs)
+    found = jaccard_components(rows, width=5, percent=80, id_col="__row").select(F.col("doc_id").alias("__row"), "component_id")
+    place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", F.xxhash64(*COLUMNS).alias("tie"), "__row")
+    best = rows.select("__row", place.alias("place")).join(found, "__row").groupBy("component_id").agg(F.min("place").alias("place"))
+    return rows.join(best.select(F.col("place.__row").alias("__row")), "__row", "left_semi").select(*COLUMNS)
 
 
 def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,9 +47,10 @@ def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many copies of each document as the mix takes; rows with a null id aren't taken."""
-    copies = mix_documents(docs).where("copies > 0").select("doc_id", "copies").where("doc_id is not null")
-    return docs.select(*COLUMNS).join(copies, "doc_id").select(*COLUMNS, F.explode(F.sequence(F.lit(1), "copies")).alias("__copy")).drop("__copy")
+    """As many copies of each row as the mix takes."""
+    rows = _keyed(docs)
+    copies = mix_documents(rows, row_col="__row").where("copies > 0").select("__row", "copies")
+    return rows.join(copies, "__row").select(*COLUMNS, F.explode(F.sequence(F.lit(1), "copies")).alias("__copy")).drop("__copy")
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

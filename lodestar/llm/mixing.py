@@ -119,15 +119,16 @@ def _quotas(table: pa.Table, limit: int) -> pa.Table:
     return pa.table(cols, names=["hs", "hz", "n", "rate", "quota", "source_size", "target"])
 
 
-def mix_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, limit: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, size, source_size, target, rate, copies, taken) for every row.
+def mix_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, limit: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
+    """(doc_id, size, source_size, target, rate, copies, taken) for every row, after row_col where it is given.
 
     size: words [^\\x20\\x09-\\x0D]+ of the text (null: 0). Null sources are a source of their own, last.
     A document comes 0 to limit times; one of size 0 is not taken. The same input gives the same copies:
     rounding follows (size, hash of id and text), not the rows' order; fully equal rows share their
     copies in any order. Other columns are ignored.
     """
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("tie"))
+    key = [F.col(row_col)] if row_col else []
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("tie"), *key)
     d = written(d, "sizes")
     hist = d.groupBy("source", "size").agg(F.count("*").alias("n"))
     targets = written(token_targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, float(limit)), "targets")
@@ -142,9 +143,9 @@ def mix_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share
     c = j.groupBy("source", "size", "sub").agg(F.count("*").alias("held"))
     c = c.withColumn("ahead", F.sum("held").over(Window.partitionBy("source", "size").orderBy("sub").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("held"))
     c = c.where("ahead > 0").select(F.col("source").alias("cs"), F.col("size").alias("cz"), F.col("sub").alias("cb"), "ahead")
-    j = j.withColumn("k", F.row_number().over(Window.partitionBy("source", "size", "sub").orderBy("tie", "doc_id")))
+    j = j.withColumn("k", F.row_number().over(Window.partitionBy("source", "size", "sub").orderBy("tie", "doc_id", *key)))
     j = j.join(c, F.col("source").eqNullSafe(F.col("cs")) & (F.col("size") == F.col("cz")) & (F.col("sub") == F.col("cb")), "left")
     place = F.col("k") + F.coalesce("ahead", F.lit(0))
     each = F.floor(F.col("quota") / F.col("n"))
     copies = (each + F.when(place <= F.col("quota") - each * F.col("n"), 1).otherwise(0)).cast("int")
-    return j.select("doc_id", "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    return j.select(*key, "doc_id", "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))

@@ -303,3 +303,22 @@ def test_pipeline_edges(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "e" / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_pipeline_decides_by_row(spark, sf):
+    one = "the quick brown fox jumps over the lazy dog near a quiet river in the early morning light"
+    two = "seven grey ships sailed slowly past our harbour while rain fell on old wooden roofs all day"
+    three = "nobody knows which of these small clocks keeps time better than that one by the garden door"
+    four = "fresh bread and salted butter were sold at market stalls before any other shop had opened"
+    rows = [(7, one, "en", "a", 1), (7, two, "en", "a", 1), (3, two, "en", "a", 1), (None, one, "en", "a", 1), (None, three, "en", "a", 1), (None, three, "en", "a", 1), (None, four, "en", "b", 1), (9, four + " today", "en", "b", 1)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.keep_one_of_alike(spark, d, sf)
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(7, one), (3, two), (None, three), (9, four + " today")], key=str)
+    same = spark.createDataFrame([(1, one, "en", "a", 1), (1, two, "en", "a", 1), (None, three, "en", "b", 1), (None, four, "en", "b", 1)], d.schema)
+    mixed = corpus_pipeline.mix_sources(spark, same, sf)
+    copies = {(r.doc_id, r.text): 0 for r in same.collect()}
+    for r in mixed.collect():
+        copies[r.doc_id, r.text] += 1
+    taken = mixing.mix_documents(same).agg(F.sum("copies")).head()[0]
+    assert sum(copies.values()) == taken and max(copies.values()) <= 2
+    assert copies[None, three] + copies[None, four] > 0
