@@ -16,7 +16,7 @@ VOID = _set("area base br col embed hr img input link meta param source track wb
 RAW = _set("script style xmp iframe noembed noframes")
 ESCAPABLE = _set("textarea title")
 #: Elements never rendered.
-UNSEEN = _set("head script style template noscript iframe object embed audio video canvas svg math select datalist title meta link base param area source track noembed noframes dialog")
+UNSEEN = _set("head script style template noscript iframe object embed audio video canvas svg math select datalist title meta link base param area source track noembed noframes")
 BLOCK = _set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table ul caption tr thead tbody tfoot td th optgroup option search")
 #: Blocks with an empty line before and after.
 SPACED = _set("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure")
@@ -44,6 +44,8 @@ _ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=
 _HIDES = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\s*(?:!important\s*)?(?:;|$)", re.I)
 _SHOWS = re.compile(r"(?:^|;)\s*visibility\s*:\s*visible", re.I)
 _WS = re.compile(r"[ \t\n\r\f]+")
+#: Start tags that leave an open head open.
+IN_HEAD = _set("base basefont bgsound link meta title noscript noframes style script template head")
 #: Nesting beyond this is flattened into the deepest element.
 DEPTH = 512
 
@@ -77,14 +79,19 @@ def parse(doc: str) -> Node:
                 return False
         return False
 
+    def add_text(x):
+        if stack[-1].tag == "head" and x.strip(" \t\n\r\f"):
+            stack.pop()
+        stack[-1].kids.append(x)
+
     at, n = 0, len(doc)
     while at < n:
         m = _TOKEN.search(doc, at)
         if m is None:
-            stack[-1].kids.append(html.unescape(doc[at:]))
+            add_text(html.unescape(doc[at:]))
             break
         if m.start() > at:
-            stack[-1].kids.append(html.unescape(doc[at : m.start()]))
+            add_text(html.unescape(doc[at : m.start()]))
         at = m.end()
         if not m[2]:
             continue
@@ -108,11 +115,13 @@ def parse(doc: str) -> Node:
         if tag == "html":
             root.attrs = root.attrs or m[3]
             continue
+        if tag == "head" and stack[-1].tag == "head":
+            continue
         if tag in CLOSES_P:
             close_to({"p"}, SCOPE | _BUTTON)
         if tag in HEADINGS and stack[-1].tag in HEADINGS:
             stack.pop()
-        if tag == "body" or (tag in BLOCK and stack[-1].tag == "head"):
+        if tag == "body" or (tag not in IN_HEAD and stack[-1].tag == "head"):
             close_to({"head"}, frozenset())
         if tag in IMPLIED:
             tags, stops = IMPLIED[tag]
@@ -261,6 +270,8 @@ def _visible(node: Node, seen: bool) -> bool | None:
     if node.tag in UNSEEN:
         return None
     raw = node.attrs
+    if node.tag == "dialog" and "open" not in attributes(raw):
+        return None
     if raw:
         low = raw.lower()
         if "hidden" in low or "style" in low or "type" in low:

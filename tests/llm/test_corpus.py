@@ -255,6 +255,21 @@ def test_rendering(html, text):
     assert html_text.html_to_text(html) == text
 
 
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        ("<head><title>x</title>plain text", "plain text"),
+        ("<html><head><title>x</title><a href=y>link</a> <span>more</span><p>p", "link more\n\np"),
+        ("<head><meta charset=utf-8><my-app><div>whole page</div></my-app>", "whole page"),
+        ("<head>\n<title>x</title>\n<style>p{}</style><script>1</script></head>\n<body>b", "b"),
+        ("<head><head><title>x</title>text", "text"),
+        ("a<dialog>shut</dialog><dialog open>shown</dialog>", "a\nshown"),
+    ],
+)
+def test_text_after_an_open_head_and_in_open_dialogs(html, text):
+    assert html_text.html_to_text(html) == text
+
+
 def test_no_markup_fails():
     rng = np.random.default_rng(0)
     parts = ["<p>", "</p>", "<table>", "<tr>", "<td colspan=3>", "</table>", "<ul>", "<li>", "</ul>", "<b", "'", '"', "<!--", "-->", "text ", "&amp;", "&#x0;", "<script>", "</script>", "<pre>", "</pre>", "<svg>", "</svg>", "\x00", "<br/>", "<div style='display:none'>", "</div>"]
