@@ -17,11 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestar.llm.common import map_arrow
+from lodestar.llm.common import map_arrow, stream_arrow, written
 
-#: Training rows of a language, and characters read of each: the documented bound of the fit.
+#: Training rows of a language, each read whole: the documented bound of the fit.
 SAMPLE_ROWS = 2000
-SAMPLE_CHARS = 1200
 #: Candidates by hash for each row of the sample.
 OVERSAMPLE = 4
 #: Bytes of a language's dictionary.
@@ -55,14 +54,40 @@ def dictionaries(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     spread = 1 << 32
     h = F.pmod(F.xxhash64("text"), F.lit(spread))
     edge = F.create_map(*(x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(spread, spread * OVERSAMPLE * SAMPLE_ROWS // n)).cast("long"))))[F.col("lang")]
-    near = rows.where(h < edge).where("text rlike '\\\\p{L}'").select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"), h.alias("h")).distinct()
-    w = Window.partitionBy("lang").orderBy("h", "text")
-    took = near.withColumn("k", F.row_number().over(w)).where(F.col("k") <= SAMPLE_ROWS).orderBy("lang", "k").toArrow().to_pylist()
-    held: dict[str, Counter] = {}
-    for r in took:
-        held.setdefault(r["lang"], Counter()).update(set(plain(r["text"]).split()))
+    near = rows.where(h < edge).where("text rlike '\\\\p{L}'").select("lang", h.alias("h"), F.xxhash64("text").alias("x")).distinct()
+    w = Window.partitionBy("lang").orderBy("h", "x")
+    last = near.withColumn("k", F.row_number().over(w)).where(F.col("k") <= SAMPLE_ROWS).groupBy("lang").agg(F.max(F.struct("h", "x")).alias("last")).collect()
+    if not last:
+        return {}
+    # the sampled texts are counted where they are, whole; only counts leave the executors
+    cut = F.create_map(*(y for r in last for y in (F.lit(r["lang"]), F.struct(F.lit(r["last"]["h"]).cast("long").alias("h"), F.lit(r["last"]["x"]).cast("long").alias("x")))))[F.col("lang")]
+    took = rows.where((h < edge) & (F.struct(h.alias("h"), F.xxhash64("text").alias("x")) <= cut)).where("text rlike '\\\\p{L}'").distinct()
+    words = stream_arrow(took, _counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    words = written(words.withColumn("place", F.substring(F.md5(F.encode("word", "UTF-8")), 1, 2)), "words")
+    size: dict[str, int] = {}
+    least: dict[str, tuple[int, str]] = {}
+    levels = words.groupBy("lang", "n", "place").agg(F.sum(F.octet_length("word") + 1).alias("bytes")).collect()
+    for r in sorted(levels, key=lambda r: (r["n"], r["place"]), reverse=True):
+        if size.get(r["lang"], 0) <= DICT_BYTES:
+            size[r["lang"]] = size.get(r["lang"], 0) + r["bytes"]
+            least[r["lang"]] = (r["n"], r["place"])
+    if not least:
+        return {}
+    low = F.create_map(*(y for k, (n, p) in least.items() for y in (F.lit(k), F.struct(F.lit(n).cast("long").alias("n"), F.lit(p).alias("place")))))[F.col("lang")]
+    held: dict[str, list] = {}
+    for r in words.where(F.struct("n", "place") >= low).select("lang", "word", "n").toArrow().to_pylist():
+        held.setdefault(r["lang"], []).append((r["word"], r["n"]))
     order = lambda x: (x[1], hashlib.md5(x[0].encode()).digest())
-    return {k: " ".join(w for w, _ in sorted(c.items(), key=order)).encode()[-DICT_BYTES:] for k, c in held.items()}
+    return {k: " ".join(w for w, _ in sorted(c, key=order)).encode()[-DICT_BYTES:] for k, c in held.items()}
+
+
+def _counted(batches):
+    """(lang, word, texts of the batch that hold it) of whole texts."""
+    for b in batches:
+        held = Counter()
+        for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
+            held.update((lang, w) for w in set(plain(text).split()))
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in held], pa.string()), pa.array([w for _, w in held], pa.string()), pa.array(list(held.values()), pa.int64())], ["lang", "word", "n"])
 
 
 class Classifier:

@@ -105,6 +105,23 @@ def test_language_edges(spark):
     assert langid.Classifier(raw).predict("the dog and the cat")[0] == "en"
 
 
+def test_dictionaries_read_whole_texts(spark, monkeypatch):
+    rows = [(1, "the cat " * 300 + "zebra", "en"), (2, "the dog " * 300 + "zebra", "en"), (3, "der hund " * 300 + "nashorn", "de"), (4, "der hund", "de")]
+    train = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    raw = langid.dictionaries(train)
+    assert set(raw["en"].split()) == {b"the", b"cat", b"dog", b"zebra"} and set(raw["de"].split()) == {b"der", b"hund", b"nashorn"}
+    texts = [" ".join(f"w{a}{b}" for a in "abcdefgh" for b in "ijklmnop"[: k + 1]).replace("w", "wort") for k in range(8)]
+    many = spark.createDataFrame([(k, t, "de") for k, t in enumerate(texts)], train.schema)
+    counts = {}
+    for t in texts:
+        for x in set(langid.plain(t).split()):
+            counts[x] = counts.get(x, 0) + 1
+    want = " ".join(sorted(counts, key=lambda x: (counts[x], hashlib.md5(x.encode()).digest()))).encode()
+    assert langid.dictionaries(many)["de"] == want
+    monkeypatch.setattr(langid, "DICT_BYTES", 100)
+    assert langid.dictionaries(many)["de"] == want[-100:]
+
+
 def brute_scan(text):
     import re
 
