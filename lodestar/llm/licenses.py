@@ -1,6 +1,6 @@
 """License scans by template markup: templates compile to token automata that accept exact mandatory wording.
 
-Markup: <<optional>>...<<end>> may be absent; <<any:N>> stands for up to N words of the text's own.
+Markup: <<optional>>...<<end>> may be absent; <<either>>...<<or>>...<<end>> is one of its parts; <<any:N>> stands for up to N words of the text's own.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ from lodestar.llm.common import map_arrow
 #: Phrases and labels found wherever their words stand consecutively.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Templates by label, in the markup above. Public licence wording.
+#: Templates by label, in the markup above. Public licence wording; a *-text or *-notice runs to the licence's last
+#: mandatory word, its disclaimer included.
 TEMPLATES = {
     "mit-reference": "<<optional>>This <<any:4>> is<<end>> <<optional>>released<<end>> <<optional>>licensed<<end>> <<optional>>distributed<<end>> under the <<optional>>terms of the<<end>> MIT License",
     "apache-2.0-reference": "Licensed under the <<optional>>terms of the<<end>> Apache License <<optional>>,<<end>> Version 2.0",
@@ -26,36 +27,53 @@ TEMPLATES = {
     "cc-by-nc-reference": "Licensed under <<optional>>the terms of the<<end>> <<optional>>a<<end>> <<optional>>Creative Commons<<end>> CC BY NC <<optional>>4.0<<end>>",
     "cc-by-sa-reference": "Licensed under <<optional>>the terms of the<<end>> <<optional>>a<<end>> <<optional>>Creative Commons<<end>> CC BY SA <<optional>>4.0<<end>>",
     "all-rights-reserved": "Copyright <<optional>>c<<end>> <<any:8>> All rights reserved",
-    "mit-text": "Permission is hereby granted free of charge to any person obtaining a copy of <<any:6>> and associated documentation files <<optional>>the Software<<end>> to deal in <<any:3>> without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of <<any:3>> and to permit persons to whom <<any:3>> is furnished to do so subject to the following conditions The above copyright notice and this permission notice <<optional>>including the next paragraph<<end>> shall be included in all copies or substantial portions of <<any:3>>",
-    "isc-text": "Permission to use copy modify and <<optional>>or<<end>> distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
-    "bsd-2-clause-text": "Redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<optional>>1<<end>> Redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer <<optional>>2<<end>> Redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
-    "apache-2.0-notice": "Licensed under the Apache License Version 2.0 the License you may not use <<any:4>> except in compliance with the License You may obtain a copy of the License at <<optional>>http<<end>> <<optional>>https<<end>> www apache org licenses LICENSE 2.0",
-    "unlicense-text": "This is free and unencumbered software released into the public domain Anyone is free to copy modify publish use compile sell or distribute this software",
+    "mit-text": "Permission is hereby granted free of charge to any person obtaining a copy of <<any:6>> and associated documentation files <<optional>>the Software<<end>> to deal in <<any:3>> without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of <<any:3>> and to permit persons to whom <<any:3>> is furnished to do so subject to the following conditions The above copyright notice and this permission notice <<optional>>including the next paragraph<<end>> shall be included in all copies or substantial portions of <<any:3>> the Software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and <<either>>noninfringement<<or>>non infringement<<end>> in no event shall <<any:20>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the Software or the use or other dealings in the Software",
+    "isc-text": "Permission to use copy modify and <<optional>>or<<end>> distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and <<any:20>> <<either>>disclaims<<or>>disclaim<<end>> all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall <<any:20>> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    "bsd-2-clause-text": "Redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<optional>>1<<end>> Redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer <<optional>>2<<end>> Redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution This software is provided by <<any:20>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall <<any:20>> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
+    "bsd-3-clause-text": "Redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<optional>>1<<end>> Redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer <<optional>>2<<end>> Redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution <<optional>>3<<end>> Neither the name of <<any:20>> nor the names of <<any:10>> contributors may be used to endorse or promote products derived from this software without specific prior written permission This software is provided by <<any:20>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall <<any:20>> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
+    "apache-2.0-notice": "Licensed under the Apache License Version 2.0 the License you may not use <<any:4>> except in compliance with the License You may obtain a copy of the License at <<optional>>http<<end>> <<optional>>https<<end>> www apache org licenses LICENSE 2.0 <<optional>>txt<<end>> <<optional>>html<<end>> Unless required by applicable law or agreed to in writing software distributed under the License is distributed on an as is basis without warranties or conditions of any kind either express or implied See the License for the specific language governing permissions and limitations under the License",
+    "unlicense-text": "This is free and unencumbered software released into the public domain Anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or <<either>>non commercial<<or>>noncommercial<<end>> and by any means In jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law the Software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and <<either>>noninfringement<<or>>non infringement<<end>> in no event shall <<any:20>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the Software or the use or other dealings in the Software",
 }
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = {k: k + 32 for k in range(65, 91)}
-_MARK = re.compile(r"<<(optional|end|any:\d+)>>")
+_MARK = re.compile(r"<<(optional|either|or|end|any:\d+)>>")
 
 
 def words(text: str) -> list[str]:
     return _WORD.findall(text.translate(_LOWER))
 
 
+class Either:
+    """Parts of a template of which one must stand."""
+
+    def __init__(self, parts: list[list]):
+        self.parts = parts
+
+
 class Automaton:
     """A template's states: (word, or None for any word; states that follow). State -1 accepts."""
 
     def __init__(self, template: str):
         self.steps: list[tuple[str | None, tuple[int, ...]]] = []
         items: list = []
-        depth, at = [items], 0
+        depth, parts, at = [items], [], 0  # parts: of open eithers, None for optionals
         for m in _MARK.finditer(template):
             depth[-1] += words(template[at : m.start()])
             at = m.end()
             if m[1] == "optional":
                 depth[-1].append(part := [])
                 depth.append(part)
+                parts.append(None)
+            elif m[1] == "either":
+                parts.append([[]])
+                depth[-1].append(Either(parts[-1]))
+                depth.append(parts[-1][0])
+            elif m[1] == "or":
+                parts[-1].append([])
+                depth[-1] = parts[-1][-1]
             elif m[1] == "end":
                 depth.pop()
+                parts.pop()
             else:
                 depth[-1].append(int(m[1][4:]))
         depth[-1] += words(template[at:])
@@ -70,6 +88,8 @@ class Automaton:
             if isinstance(x, str):
                 self.steps.append((x, after))
                 after = (len(self.steps) - 1,)
+            elif isinstance(x, Either):
+                after = tuple(dict.fromkeys(s for p in x.parts for s in self._build(p, after)))
             elif isinstance(x, int):
                 for _ in range(x):
                     self.steps.append((None, after if not _ else tuple(dict.fromkeys((*after, *entry)))))
