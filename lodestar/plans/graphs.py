@@ -109,7 +109,7 @@ def relation_validation(spark, sf):
 
 @query("communities")
 def communities(spark, sf):
-    return G.label_communities(B.edges(spark, sf).where("src < 100 and dst < 100"), 4)
+    return G.label_communities(B.edges(spark, sf), 4)
 
 
 @query("gmm_clusters")

@@ -165,7 +165,7 @@ def structural_filter(spark, sf):
 def community_summaries(spark, sf):
     from lodestar.operators.graph import label_communities
 
-    labels = label_communities(B.edges(spark, sf).where("src < 100 and dst < 100"), 4)
+    labels = label_communities(B.edges(spark, sf), 4)
     names = B.table(spark, sf, "customer").select(F.col("c_custkey").alias("node"), F.col("c_name").alias("name"))
     return K.community_summaries(labels, names).drop("members")
 
