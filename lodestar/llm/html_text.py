@@ -27,27 +27,30 @@ IMPLIED = {
     "li": (_set("li"), _set("ul ol menu dir table")),
     "dt": (_set("dt dd"), _set("dl table")),
     "dd": (_set("dt dd"), _set("dl table")),
-    "tr": (_set("tr td th caption colgroup"), _set("table")),
-    "td": (_set("td th"), _set("tr table")),
-    "th": (_set("td th"), _set("tr table")),
-    "tbody": (_set("tbody thead tfoot tr td th caption colgroup"), _set("table")),
-    "thead": (_set("tbody thead tfoot tr td th caption colgroup"), _set("table")),
-    "tfoot": (_set("tbody thead tfoot tr td th caption colgroup"), _set("table")),
     "option": (_set("option"), _set("select datalist optgroup")),
     "optgroup": (_set("option optgroup"), _set("select")),
-    "caption": (frozenset(), _set("table")),
 }
 #: Elements an end tag doesn't reach over.
 SCOPE = _set("table td th caption html template")
-_TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"'=]|=\s*(?:\"[^\"]*\"|'[^']*')?|[\"'])*)>|<[!?/][^>]*>?", re.S)
-_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
-_HIDES = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\s*(?:!important\s*)?(?:;|$)", re.I)
-_SHOWS = re.compile(r"(?:^|;)\s*visibility\s*:\s*visible", re.I)
+#: What only a table's own structure may hold; anything else in it comes out before the table.
+IN_TABLE = _set("caption colgroup col tbody thead tfoot tr td th script style template")
+TABLE_PARTS = _set("table tbody thead tfoot tr")
+#: Start tag of a table's part -> the open elements it is put into.
+TABLE_HOLDERS = {"caption": _set("table"), "colgroup": _set("table"), "col": _set("table colgroup"), "tbody": _set("table"), "thead": _set("table"), "tfoot": _set("table"), "tr": _set("tbody thead tfoot table"), "td": _set("tr tbody thead tfoot table"), "th": _set("tr tbody thead tfoot table")}
+_NAME = re.compile(r"[A-Za-z][^\s/>]*+")
+#: The rest of a tag; a quote that never ends is a character like others. No part can match in two ways.
+_REST = re.compile(r"(?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+|[\"'])*+>")
+_COMMENT_END = re.compile(r"--!?>")
+_ATTR = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'=<>`]++)))?")
+_HIDES = re.compile(r"(?:^|;)\s*+(?:display\s*+:\s*+none|visibility\s*+:\s*+(?:hidden|collapse))\s*+(?:!important\s*+)?(?:;|$)", re.I)
+_SHOWS = re.compile(r"(?:^|;)\s*+visibility\s*+:\s*+visible", re.I)
 _WS = re.compile(r"[ \t\n\r\f]+")
+_LONG_REF = re.compile(r"&#(\d{8,});?")
 #: Start tags that leave an open head open.
 IN_HEAD = _set("base basefont bgsound link meta title noscript noframes style script template head")
-#: Nesting beyond this is flattened into the deepest element.
-DEPTH = 512
+#: Columns that text is moved in at most, tables within tables whose cells are aligned, and steps spent on the
+#: places of cells that span rows. Beyond them layout gets simpler; no text is lost.
+INDENT, ALIGNED, SPAN_STEPS = 40, 12, 200_000
 
 
 class Node:
@@ -57,103 +60,197 @@ class Node:
         self.tag, self.attrs, self.kids = tag, attrs, []
 
 
+def unescaped(x: str) -> str:
+    """Character references as characters; a number beyond all characters is a replacement character."""
+    if "&" not in x:
+        return x
+    if "&#" in x:
+        x = _LONG_REF.sub(lambda m: f"&#{n or 0};" if len(n := m[1].lstrip("0")) < 8 else "�", x)
+    return html.unescape(x)
+
+
 def attributes(raw: str) -> dict[str, str]:
     out: dict[str, str] = {}
     for m in _ATTR.finditer(raw):
-        out.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
+        out.setdefault(m[1].lower(), unescaped(m[2] or m[3] or m[4] or ""))
     return out
 
 
-def parse(doc: str) -> Node:
-    """The tree of a document, with tags that HTML lets authors leave out implied."""
-    root = Node("html")
-    stack = [root]
-
-    def close_to(tags, stops, first=1):
-        """Pop through the nearest open element of tags, unless one of stops is nearer."""
-        for k in range(len(stack) - 1, first - 1, -1):
-            if stack[k].tag in tags:
-                del stack[k:]
-                return True
-            if stack[k].tag in stops:
-                return False
-        return False
-
-    def add_text(x):
-        if stack[-1].tag == "head" and x.strip(" \t\n\r\f"):
-            stack.pop()
-        stack[-1].kids.append(x)
-
+def _tokens(doc: str):
+    """(kind, text or name, attributes) of texts (""), start tags ("<") and end tags ("/"); sent a tag's name
+    whose content is raw, gives that content as the next text. Linear: no part is read twice. A tag that the
+    document's end cuts short is dropped."""
     at, n = 0, len(doc)
+    text = 0  # where the text under way begins
     while at < n:
-        m = _TOKEN.search(doc, at)
-        if m is None:
-            add_text(html.unescape(doc[at:]))
+        lt = doc.find("<", at)
+        if lt < 0 or lt + 1 >= n:
             break
-        if m.start() > at:
-            add_text(html.unescape(doc[at : m.start()]))
-        at = m.end()
-        if not m[2]:
+        c = doc[lt + 1]
+        m = _NAME.match(doc, lt + 1 + (c == "/"))
+        if m is None and c not in "!?/":
+            at = lt + 1
+            continue
+        if lt > text:
+            yield "", doc[text:lt], ""
+        if m is not None:
+            rest = _REST.match(doc, m.end())
+            if rest is None:
+                return
+            at = text = rest.end()
+            raw = yield "/" if c == "/" else "<", m.group().lower(), doc[m.end() : at - 1]
+            if raw == "plaintext":
+                yield "", doc[at:], ""
+                return
+            if raw:
+                end = re.compile(rf"</{re.escape(raw)}(?=[\s/>])", re.I).search(doc, at)
+                yield "", doc[at : end.start() if end else n], ""
+                close = doc.find(">", end.end()) if end else -1
+                at = text = close + 1 if close >= 0 else n
+        elif doc.startswith("<!--", lt):
+            if doc.startswith((">", "->"), lt + 4):
+                at = doc.index(">", lt) + 1
+            else:
+                end = _COMMENT_END.search(doc, lt + 4)
+                at = end.end() if end else n
+            text = at
+        else:
+            end = doc.find(">", lt)
+            at = text = end + 1 if end >= 0 else n
+    if text < n:
+        yield "", doc[text:], ""
+
+
+class _Stack:
+    """Open elements, with the places of each tag, so that the nearest one is found at once."""
+
+    def __init__(self, root: Node):
+        self.nodes: list[Node] = []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.push(root)
+
+    def push(self, node: Node) -> None:
+        k = len(self.nodes)
+        self.nodes.append(node)
+        self.places.setdefault(node.tag, []).append(k)
+        if node.tag in BLOCK:
+            self.blocks.append(k)
+
+    def cut(self, k: int) -> None:
+        """Close the elements from place k on."""
+        while len(self.nodes) > k:
+            x = self.nodes.pop()
+            self.places[x.tag].pop()
+            if x.tag in BLOCK:
+                self.blocks.pop()
+
+    def nearest(self, tags) -> int:
+        """The place of the innermost open element of tags, -1 without one."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=-1)
+
+    def close(self, tags, stops, blocks: bool = False) -> bool:
+        """Close through the innermost open element of tags, unless one of stops (or any block) is nearer."""
+        k = self.nearest(tags)
+        if k < 1 or self.nearest(stops) > k or blocks and self.blocks[-1] > k:
+            return False
+        self.cut(k)
+        return True
+
+
+def parse(doc: str) -> Node:
+    """The tree of a document, with tags that HTML lets authors leave out implied."""
+    root = Node("html")
+    stack = _Stack(root)
+    nodes = stack.nodes
+
+    def add(x, foster: bool):
+        """Add to the open element; foster: before the table whose structure is open."""
+        here = nodes[-1]
+        if foster and here.tag in TABLE_PARTS and (k := stack.nearest(("table",))) > 0:
+            kids, table = nodes[k - 1].kids, nodes[k]
+            at = len(kids) - 1
+            while kids[at] is not table:
+                at -= 1
+            kids.insert(at, x)
+        else:
+            here.kids.append(x)
+
+    tokens = _tokens(doc)
+    sent = None
+    while True:
+        try:
+            kind, tag, attrs = tokens.send(sent)
+        except StopIteration:
+            return root
+        sent = None
+        if not kind:
+            blank = not tag.strip(" \t\n\r\f")
+            if nodes[-1].tag == "head" and not blank:
+                stack.cut(len(nodes) - 1)
+            add(unescaped(tag), not blank)
             continue
-        tag = m[2].lower()
-        if m[1]:
+        if kind == "/":
             if tag == "br":
-                stack[-1].kids.append(Node("br"))
-            elif tag == "p" and not any(x.tag == "p" for x in stack):
-                stack[-1].kids.append(Node("p"))
+                add(Node("br"), True)
+            elif tag == "p" and not stack.places.get("p"):
+                add(Node("p"), True)
             elif tag in HEADINGS:
-                close_to(HEADINGS, SCOPE)
+                stack.close(HEADINGS, SCOPE)
             elif tag == "table":
-                close_to({"table"}, {"template"})
-            elif tag in ("td", "th", "tr", "tbody", "thead", "tfoot", "caption"):
-                close_to({tag}, {"table", "template"})
-            elif tag in ("ul", "ol", "menu", "dir", "dl") or tag in BLOCK:
-                close_to({tag}, SCOPE - {tag}) if tag not in ("html", "body") else None
+                stack.close({"table"}, {"template"})
+            elif tag in TABLE_HOLDERS:
+                stack.close({tag}, {"table", "template"})
+            elif tag in BLOCK:
+                stack.close({tag}, SCOPE - {tag}) if tag not in ("html", "body") else None
             else:
-                close_to({tag}, SCOPE | (BLOCK if tag not in ("a", "span") else frozenset()))
+                stack.close({tag}, SCOPE, blocks=tag not in ("a", "span"))
             continue
         if tag == "html":
-            root.attrs = root.attrs or m[3]
+            root.attrs = root.attrs or attrs
             continue
-        if tag == "head" and stack[-1].tag == "head":
+        if tag == "head" and nodes[-1].tag == "head":
             continue
         if tag in CLOSES_P:
-            close_to({"p"}, SCOPE | _BUTTON)
-        if tag in HEADINGS and stack[-1].tag in HEADINGS:
-            stack.pop()
-        if tag == "body" or (tag not in IN_HEAD and stack[-1].tag == "head"):
-            close_to({"head"}, frozenset())
+            stack.close({"p"}, SCOPE | _BUTTON)
+        if tag in HEADINGS and nodes[-1].tag in HEADINGS:
+            stack.cut(len(nodes) - 1)
+        if tag == "body" or (tag not in IN_HEAD and nodes[-1].tag == "head"):
+            stack.close({"head"}, frozenset())
         if tag in IMPLIED:
-            tags, stops = IMPLIED[tag]
-            while close_to(tags, stops):
-                if tag not in ("tbody", "thead", "tfoot", "tr"):
-                    break
-        if tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
-            row = Node("tr")
-            stack[-1].kids.append(row)
-            stack.append(row)
-        node = Node(tag, m[3])
-        stack[-1].kids.append(node)
-        if tag in VOID:
+            stack.close(*IMPLIED[tag])
+        table = stack.nearest(("table",))
+        in_table = table > stack.nearest(("template",)) and table > 0
+        if tag in TABLE_HOLDERS and in_table:
+            stack.cut(stack.nearest(TABLE_HOLDERS[tag]) + 1)
+            if tag in ("td", "th") and nodes[-1].tag != "tr":
+                row = Node("tr")
+                nodes[-1].kids.append(row)
+                stack.push(row)
+        elif tag == "table" and in_table and nodes[-1].tag in TABLE_PARTS:
+            stack.cut(table)
+        node = Node(tag, attrs)
+        if tag in RAW or tag in ESCAPABLE or tag == "plaintext":
+            add(node, tag not in IN_TABLE)
+            try:
+                _, text, _ = tokens.send(tag)
+            except StopIteration:
+                return root
+            node.kids.append(unescaped(text) if tag in ESCAPABLE else text)
             continue
-        if tag in RAW or tag in ESCAPABLE:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(doc, at)
-            text = doc[at : end.start() if end else n]
-            node.kids.append(html.unescape(text) if tag in ESCAPABLE else text)
-            at = end.end() if end else n
-        elif tag == "plaintext":
-            node.kids.append(doc[at:])
-            break
-        elif len(stack) < DEPTH:
-            stack.append(node)
-    return root
+        add(node, tag not in IN_TABLE)
+        if tag not in VOID:
+            stack.push(node)
 
 
 _BUTTON = frozenset(("button",))
 
 
 class _Lines:
-    """Text under construction: lines, and how many line ends the next text needs before it."""
+    """Text under construction: lines, and how many line ends the next text needs before it.
+
+    A frame is an indented part. Blank lines at its ends don't count; its mark stands before its first text.
+    """
 
     def __init__(self):
         self.done: list[str] = []
@@ -161,10 +258,35 @@ class _Lines:
         self.gap = 0  # pending line ends
         self.space = False
         self.begun = False
+        self.columns = 0
+        self.marks: list[str] = []  # of open frames without text yet
+        self.fresh = 0  # open frames without text yet
+        self.frames: list[tuple[int, int]] = []
+
+    def enter(self, mark: str) -> None:
+        self.frames.append((self.columns, len(self.done)))
+        self.marks.append(mark)
+        self.columns += len(mark)
+        self.fresh += 1
+        self.space = False
+
+    def leave(self) -> None:
+        self.columns, before = self.frames.pop()
+        if self.fresh:
+            self.fresh -= 1
+            self.marks.pop()
+            return
+        self.gap = 0
+        if not self.line:
+            while len(self.done) > before and not self.done[-1]:
+                self.done.pop()
+            if len(self.done) > before:
+                self.line = [self.done.pop()]
 
     def block(self, ends: int) -> None:
-        self.gap = max(self.gap, ends)
         self.space = False
+        if not self.fresh:
+            self.gap = max(self.gap, ends)
 
     def text(self, x: str, pre: bool) -> None:
         if pre:
@@ -173,22 +295,29 @@ class _Lines:
                 if k:
                     self.broken()
                 if p:
-                    self._put((" " if self.space and self.line and not self.gap else "") + p)
+                    self.put((" " if self.space and self.line and not self.gap and not self.fresh else "") + p)
                     self.space = False
             return
         parts = _WS.split(x)
         for k, p in enumerate(parts):
-            if k and (self.line or self.gap) and not self.gap:
+            if k and self.line and not self.gap and not self.fresh:
                 self.space = True
             if p:
-                self._put((" " if self.space and self.line and not self.gap else "") + p)
+                self.put((" " if self.space and self.line and not self.gap else "") + p)
                 self.space = False
 
-    def _put(self, x: str) -> None:
+    def put(self, x: str) -> None:
         if self.gap:
             self._end_block()
+        if not self.line:
+            first = self.columns - sum(map(len, self.marks))
+            self.line.append(" " * min(first, INDENT) + "".join(self.marks))
+        elif self.marks:
+            self.line.append("".join(self.marks))
+        self.marks.clear()
         self.line.append(x)
         self.begun = True
+        self.fresh = 0
 
     def _end_block(self) -> None:
         """Pending line ends; a line that a forced end left empty isn't a line."""
@@ -200,6 +329,8 @@ class _Lines:
 
     def broken(self) -> None:
         """A forced line end."""
+        if self.fresh:
+            return
         if self.gap:
             self._end_block()
         if self.begun:
@@ -208,60 +339,80 @@ class _Lines:
 
     def lines(self) -> list[str]:
         out = [*self.done, "".join(self.line).rstrip()]
-        while out and not out[-1]:
-            out.pop()
-        while out and not out[0]:
-            out.pop(0)
-        return out
-
-
-def _rows(node: Node):
-    for x in node.kids:
-        if isinstance(x, Node):
+        hi = len(out)
+        while hi and not out[hi - 1]:
+            hi -= 1
+        lo = next((k for k in range(hi) if out[k]), hi)
+        return out[lo:hi]
+
+
+def _span(cell: Node, name: str, most: int) -> int:
+    """A cell's colspan or rowspan within what HTML allows; 0 only for a rowspan to the table's end."""
+    raw = attributes(cell.attrs).get(name, "1") if name in cell.attrs.lower() else "1"
+    m = re.match(r"\s*\+?(\d{1,6})", raw)
+    return min(most, int(m[1])) if m else 1
+
+
+def _rows(table: Node, seen: bool):
+    """(row, whether its text shows) in order; hidden rows and parts go."""
+    for x in table.kids:
+        if isinstance(x, Node) and x.tag in ("tr", "tbody", "thead", "tfoot"):
+            look = _visible(x, seen)
+            if look is None:
+                continue
             if x.tag == "tr":
-                yield x
-            elif x.tag in ("tbody", "thead", "tfoot"):
-                yield from _rows(x)
+                yield x, look
+            else:
+                for y in x.kids:
+                    if isinstance(y, Node) and y.tag == "tr" and (own := _visible(y, look)) is not None:
+                        yield y, own
+
+
+def _placed(rows: list[list[Node]]) -> list[list[tuple[int, int, Node]]]:
+    """(column, colspan, cell) of each row's cells; cells that span rows keep their columns in the next ones."""
+    out, held, steps = [], [], 0  # held: (first column, end, last row), by column
+    for r, cells in enumerate(rows):
+        held = [h for h in held if h[2] >= r]
+        row, at, k, new = [], 0, 0, []
+        for c in cells:
+            while k < len(held) and held[k][0] <= at:
+                at, k, steps = max(at, held[k][1]), k + 1, steps + 1
+            wide, high = max(1, _span(c, "colspan", 1000)), _span(c, "rowspan", 65534)
+            row.append((at, wide, c))
+            if high != 1 and steps < SPAN_STEPS:
+                new.append((at, at + wide, r + high - 1 if high else len(rows)))
+            at += wide
+        steps += len(held)
+        if new:
+            held = sorted(held + new)
+        out.append(row)
+    return out
 
 
-def _table(node: Node, seen: bool) -> list[str]:
-    """Captions first, then a table's rows with cells aligned in columns; colspans keep their columns."""
-    out: list[str] = []
-    for x in node.kids:
-        if isinstance(x, Node) and x.tag not in ("tr", "tbody", "thead", "tfoot", "colgroup", "col") or isinstance(x, str) and x.strip():
-            holder = Node("div")
-            holder.kids = [x]
-            out += rendered(holder, seen)
-    grid: list[list[tuple[int, list[str]]]] = []
-    for r in _rows(node):
-        look = _visible(r, seen)
-        if look is None:
-            continue
-        row, at = [], 0
-        for c in r.kids:
-            if isinstance(c, Node) and c.tag in ("td", "th"):
-                span = attributes(c.attrs).get("colspan", "1") if "colspan" in c.attrs else "1"
-                row.append((at, rendered(c, look)))
-                at += max(1, min(1000, int(span))) if span.isdecimal() else 1
-        if any(x for _, x in row):
-            grid.append(row)
+def _grid(rows: list[list[tuple[int, int, list[str]]]]) -> list[str]:
+    """Rows of (column, colspan, lines) with their columns aligned."""
     width: dict[int, int] = {}
-    for row in grid:
-        for (at, cell), (after, _) in zip(row, [*row[1:], (-1, None)]):
-            if after in (-1, at + 1):
-                width[at] = max(width.get(at, 0), max(map(len, cell), default=0))
+    for row in rows:
+        for k, (at, wide, cell) in enumerate(row):
+            width.setdefault(at, 0)
+            if wide == 1 or k == len(row) - 1:
+                width[at] = max(width[at], max(map(len, cell), default=0))
     start, edge = {}, 0
-    for at in range(max((at for row in grid for at, _ in row), default=-1) + 2):
+    for at in sorted(width):
         start[at] = edge
-        edge += width[at] + 2 if width.get(at) else 0
-    for row in grid:
-        for k in range(max(len(c) for _, c in row)):
-            line = ""
-            for at, cell in row:
+        edge += width[at] + 2 if width[at] else 0
+    out = []
+    for row in rows:
+        full = [(start[at], cell) for at, _, cell in row if cell]
+        for k in range(max((len(c) for _, c in full), default=0)):
+            parts, n = [], 0
+            for at, cell in full:
                 if k < len(cell) and cell[k]:
-                    line = line.ljust(start[at]) if len(line) < start[at] or not line else line + "  "
-                    line += cell[k]
-            out.append(line.rstrip())
+                    pad = " " * (at - n) if n < at or not n else "  "
+                    parts += (pad, cell[k])
+                    n += len(pad) + len(cell[k])
+            out.append("".join(parts).rstrip())
+            full = [x for x in full if len(x[1]) > k + 1]
     return out
 
 
@@ -280,18 +431,79 @@ def _visible(node: Node, seen: bool) -> bool | None:
                 return None
             style = a.get("style", "")
             if style and (h := _HIDES.search(style)):
-                if "display" in h.group().lower() or re.search(r"display\s*:\s*none", style, re.I):
+                if "display" in h.group().lower() or re.search(r"display\s*+:\s*+none", style, re.I):
                     return None
                 return False
             if style and _SHOWS.search(style):
                 return True
-    if node.tag == "details" and not re.search(r"(?i)\bopen\b", raw):
-        return seen
     return seen
 
 
-def _render(node: Node, out: _Lines, seen: bool, pre: bool, order: list, depth: int) -> None:
+# Rendering goes by generators: each yields the rendering of a part and is resumed when that has ended, so
+# that nesting costs no Python frames.
+
+
+def _run(work):
+    """The result of a generator that yields others and goes on with their results."""
+    stack, value = [work], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(value))
+            value = None
+        except StopIteration as e:
+            stack.pop()
+            value = e.value
+    return value
+
+
+def _table(node: Node, out: _Lines, seen: bool, depth: int, nest: int):
+    """Captions first, then a table's rows with cells aligned in columns."""
     for x in node.kids:
+        if isinstance(x, Node) and x.tag not in ("tr", "tbody", "thead", "tfoot", "colgroup", "col") or isinstance(x, str) and x.strip():
+            holder = Node("div")
+            holder.kids = [x]
+            out.block(1)
+            yield _render(holder, out, seen, False, [], depth, nest)
+            out.block(1)
+    looks, rows = [], []
+    for r, look in _rows(node, seen):
+        looks.append(look)
+        rows.append([c for c in r.kids if isinstance(c, Node) and c.tag in ("td", "th")])
+    placed = _placed(rows)
+    alone = nest >= ALIGNED or all(len(r) < 2 and all(at == 0 for at, *_ in r) for r in placed)
+    if alone:  # one column, or very deep: cells follow each other
+        for row, look in zip(placed, looks):
+            out.block(1)
+            for k, (_, _, c) in enumerate(row):
+                if (own := _visible(c, look)) is not None:
+                    if k and out.line and not out.gap and not out.fresh:
+                        out.line.append("  ")
+                    yield _render(c, out, own, False, [], 0, nest + 1)
+            out.block(1)
+        return
+    grid = []
+    for row, look in zip(placed, looks):
+        cells = []
+        for at, wide, c in row:
+            own, lines = _visible(c, look), []
+            if own is not None:
+                part = _Lines()
+                yield _render(c, part, own, False, [], 0, nest + 1)
+                lines = part.lines()
+            cells.append((at, wide, lines))
+        grid.append(cells)
+    for k, y in enumerate(_grid(grid)):
+        if k:
+            out.broken()
+        if y:
+            out.put(y)
+
+
+def _render(node: Node, out: _Lines, seen: bool, pre: bool, order: list, depth: int, nest: int):
+    kids = node.kids
+    if node.tag == "details" and "open" not in attributes(node.attrs):
+        kids = [x for x in kids if isinstance(x, Node) and x.tag == "summary"][:1]
+    for x in kids:
         if isinstance(x, str):
             if seen:
                 out.text(x, pre)
@@ -313,18 +525,15 @@ def _render(node: Node, out: _Lines, seen: bool, pre: bool, order: list, depth:
                 out.text(alt, False)
             continue
         if tag == "table":
-            lines = _table(x, look)
             out.block(2)
-            _emit(out, lines)
+            yield _table(x, out, look, depth, nest)
             out.block(2)
         elif tag in ("ul", "ol", "menu", "dir"):
-            a = attributes(x.attrs) if x.attrs else {}
-            first = a.get("start", "1")
+            first = attributes(x.attrs).get("start", "1") if x.attrs else "1"
             out.block(2 if depth == 0 else 1)
-            _render(x, out, look, pre, ["ol" if tag == "ol" else "ul", int(first) if re.fullmatch(r"-?\d{1,9}", first) else 1], depth + 1)
+            yield _render(x, out, look, pre, ["ol" if tag == "ol" else "ul", int(first) if re.fullmatch(r"-?\d{1,9}", first) else 1], depth + 1, nest)
             out.block(2 if depth == 0 else 1)
         elif tag == "li":
-            lines = rendered(x, look, depth)
             mark = "- "
             if order and order[0] == "ol":
                 own = attributes(x.attrs).get("value", "") if x.attrs else ""
@@ -333,50 +542,45 @@ def _render(node: Node, out: _Lines, seen: bool, pre: bool, order: list, depth:
                 mark = f"{order[1]}. "
                 order[1] += 1
             out.block(1)
-            if lines:
-                _emit(out, [mark + lines[0], *(" " * len(mark) + y if y else y for y in lines[1:])])
+            out.enter(mark)
+            yield _render(x, out, look, False, [], depth, nest)
+            out.leave()
             out.block(1)
         elif tag == "blockquote" or tag == "dd":
             out.block(2 if tag == "blockquote" else 1)
-            _emit(out, ["  " + y if y else y for y in rendered(x, look, depth)])
+            out.enter("  ")
+            yield _render(x, out, look, False, [], depth, nest)
+            out.leave()
             out.block(2 if tag == "blockquote" else 1)
         elif tag in BLOCK:
             ends = 2 if tag in SPACED else 1
             out.block(ends)
-            _render(x, out, look, pre or tag == "pre" or tag == "textarea", [], depth)
+            yield _render(x, out, look, pre or tag == "pre" or tag == "textarea", [], depth, nest)
             out.block(ends)
         else:
-            _render(x, out, look, pre or tag in ("textarea", "listing", "plaintext", "xmp"), order, depth)
-
-
-def _emit(out: _Lines, lines: list[str]) -> None:
-    for k, y in enumerate(lines):
-        if k:
-            out.broken()
-        if y:
-            out._put(y)
-
-
-def rendered(node: Node, seen: bool = True, depth: int = 0) -> list[str]:
-    """The lines of a node's visible text."""
-    out = _Lines()
-    _render(node, out, seen, node.tag == "pre", [], depth)
-    return out.lines()
+            yield _render(x, out, look, pre or tag in ("textarea", "listing", "plaintext", "xmp"), order, depth, nest)
 
 
 def html_to_text(doc: str | None) -> str:
-    """All visible text of a document: blocks on lines of their own, lists marked, table cells aligned."""
+    """All visible text of a document: blocks on lines of their own, lists marked, table cells aligned.
+
+    Time and memory are linear in the document, whatever its nesting.
+    """
     if not doc:
         return ""
     root = parse(doc.replace("\x00", "�"))
     look = _visible(root, True)
-    return "" if look is None else "\n".join(rendered(root, look))
+    if look is None:
+        return ""
+    out = _Lines()
+    _run(_render(root, out, look, False, [], 0, 0))
+    return "\n".join(out.lines())
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """(page_id, text, n_chars, n_lines) for every row.
 
-    A null or empty html gives an empty text, 0 and 0; broken markup never fails. Repeated rows stay
+    A null or empty html gives an empty text, 0 and 0; broken or hostile markup neither fails nor takes long. Repeated rows stay
     repeated; other columns are ignored.
     """
 

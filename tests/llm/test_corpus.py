@@ -279,6 +279,100 @@ def test_no_markup_fails():
     assert html_text.html_to_text("<p>" + "word " * 100_000).count("word") == 100_000
 
 
+ATTACKS = {
+    "attributes": "<p>x<a" + '" =  "' * 10_000,
+    "open quotes": "<p>x<a =" + '="' * 10_000,
+    "quotes": '<p>x</p><a b="' * 10_001,
+    "blockquotes": "<p>x" + "<blockquote>x" * 10_000,
+    "lists": "x<ul><li>x" * 10_000,
+    "tables": "x<table><tr><td>x" * 10_000,
+    "two columns": "x<table><tr><td>x<tr><td>a<td>" * 4000,
+    "end tags": "<div>x" * 10_000 + "</foo>" * 10_000,
+    "scope": "x<p><button>" + "<div>" * 20_000,
+    "rowspans": "x<table>" + "<tr><td rowspan=65534>x" * 3000,
+    "colspans": "x<table><tr>" + "<td colspan=1000>y" * 20_000,
+    "digits": "x<table><tr><td colspan=" + "9" * 5000 + ">x<td rowspan=" + "8" * 5000 + ">y</table>",
+    "references": "x&#" + "9" * 5000 + ";z&#" + "0" * 5000 + "65;",
+    "scripts": "x<script>" + "</script " * 10_000,
+    "comments": "x" + "<!--" * 10_000,
+    "starts": "x" + "<" * 50_000,
+    "foster": "x<table>" + "x<div>y" * 5000,
+    "style": '<p style=";display:none x' + " " * 50_000 + '">x',
+}
+
+
+@pytest.mark.parametrize("name", ATTACKS)
+def test_no_page_takes_long(name):
+    import time
+
+    began = time.perf_counter()
+    assert "x" in html_text.html_to_text(ATTACKS[name])
+    assert time.perf_counter() - began < 8  # about a second on an idle machine
+
+
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        ("<table><tr>hello<td>x</table>", "hello\n\nx"),
+        ("<table><tbody>a<tr><td>b<td>c</table>", "a\n\nb  c"),
+        ("<table><tr><td rowspan=2>A<td>b<tr><td>c<tr><td>d<td>e</table>", "A  b\n   c\nd  e"),
+        ("<table><tr><td rowspan=2 colspan=2>AAAA<td>b<tr><td>c<tr><td>d<td>e<td>f</table>", "AAAA  b\n      c\nd  e  f"),
+        ("<table><tbody hidden><tr><td>no<tbody><tr><td>yes</table>", "yes"),
+        ("<details><summary>S</summary>body</details>z", "S\nz"),
+        ("<details open><summary>S</summary>body</details>z", "S\nbody\nz"),
+        ("<details>body</details>z", "z"),
+        ("<blockquote><p>a</p><p>b</p></blockquote>c", "  a\n\n  b\n\nc"),
+        ("<ul><li><p>a</p></li><li></li><li><ul><li>b</ul></ul>", "- a\n- - b"),
+        ("<li>a<br><br></li>b", "- a\nb"),
+        ("<p>x<b", "x"),
+        ("a<table><tr><td><div>b<tr><td>c</table>d", "a\n\nb\nc\n\nd"),
+    ],
+)
+def test_tables_details_and_parts(html, text):
+    assert html_text.html_to_text(html) == text
+
+
+@pytest.mark.parametrize("n", [170, 175, 3000])
+def test_nested_tables_keep_their_text(n):
+    assert html_text.html_to_text("<table><tr><td>" * n + "deep") == "deep"
+    assert html_text.html_to_text("<table><tr><td>a<td>" * n + "deep").split() == ["a"] * n + ["deep"]
+
+
+def test_visible_words_are_those_of_another_parser(spark):
+    """The standard library's parser, with the visibility rules stated anew: the same words in the same order."""
+    from html.parser import HTMLParser
+
+    class Words(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.hidden, self.words = [], []
+
+        def handle_starttag(self, tag, attrs):
+            a = dict(attrs)
+            if tag in html_text.VOID:
+                self.words += (a.get("alt") or "").split() if tag == "img" and not self.hidden else []
+            elif self.hidden or tag in html_text.UNSEEN or "hidden" in a or "display:none" in (a.get("style") or "").replace(" ", ""):
+                self.hidden.append(tag)
+
+        def handle_endtag(self, tag):
+            if tag in self.hidden:
+                del self.hidden[len(self.hidden) - 1 - self.hidden[::-1].index(tag) :]
+
+        def handle_data(self, x):
+            self.words += [] if self.hidden else x.split()
+
+    same = 0
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    for x in pages:
+        p = Words()
+        p.feed(x or "")
+        p.close()
+        marks = re.compile(r"(?:-|\d+\.)$")
+        tidy = lambda w: "".join(y for y in w if not marks.match(y))  # noqa: E731  # list marks are ours, and tags inside words part them there
+        same += tidy(html_text.html_to_text(x).split()) == tidy(p.words)
+    assert same == len(pages)
+
+
 def test_html_operator(spark):
     d = spark.createDataFrame([(1, "<p>a"), (2, None), (1, "<p>a"), (None, "b")], "page_id long, html string").withColumn("text", F.lit("clash"))
     assert sorted(str(tuple(r)) for r in html_text.extract_text(d).collect()) == sorted(map(str, [(1, "a", 1, 1), (1, "a", 1, 1), (2, "", 0, 0), (None, "b", 1, 1)]))
