@@ -1,10 +1,11 @@
 """Approximate nearest neighbours by multi-index hashing over learned rotated binary codes.
 
 Vectors are centred, rotated by iterative quantisation and cut to signs; several rotations give a code of
-BITS bits. Codes are split into substrings, each with an index of its own. Every code within a Hamming
-radius r of a query's agrees with it to within floor(r / m), or a bit less in later substrings, in some
-substring (pigeonhole); probing those index entries retrieves all of them, and their vectors are reranked in
-double precision. The radius is learned on the fit's sample so that it holds the wished recall.
+BITS bits. Codes are split into substrings of SUBSTRING bits, each with an index of its own. Every code within
+a Hamming radius r of a query's agrees with it to within floor(r / m), or a bit less in later substrings, in
+some substring (pigeonhole); probing those index entries retrieves all of them, and many beyond. What is
+retrieved and within a second, wider radius of the whole code is reranked in double precision. Both radii are
+learned on the fit's sample: the narrowest probes that reach the wished recall.
 """
 
 from __future__ import annotations
@@ -17,19 +18,18 @@ from pyspark.sql.window import Window
 
 from lodestar.llm.common import map_arrow, stream_arrow, written
 
-#: Rows of smallest hash that rotations and radius are learned from: the documented bound of the fit.
+#: Rows of smallest hash that rotations and radii are learned from: the documented bound of the fit.
 SAMPLE = 8192
-BITS, SUBSTRING = 128, 8
+BITS, SUBSTRING = 1024, 16
 ITERATIONS = 25
-#: Recall on the sample that the radius is learned for.
-RECALL = 0.985
-#: Vectors of an index block, queries of a probe block; a block is one row of at most about 4 MB.
-BLOCK, PROBES = 4096, 1024
-_FLIPS = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :])
+#: Recall on the sample that probing and the whole code's radius are learned for.
+RECALL, WITHIN = 0.94, 0.995
+#: Vectors of an index block, queries of a probe block; a block is one row.
+BLOCK, PROBES = 32768, 1024
 
 
 class Codes:
-    """Learned rotations, and the radius that finds RECALL of the nearest."""
+    """Learned rotations, the radius that probing guarantees, and the whole code's radius."""
 
     def __init__(self, x: np.ndarray, k: int, bits: int = BITS, recall: float = RECALL, seed: int = 7):
         self.dim = x.shape[1]
@@ -45,25 +45,38 @@ class Codes:
             parts.append(r)
         self.rotation = np.concatenate(parts, 1)[:, :bits]
         self.bits = bits
-        self.radius = self._learned(x, k, recall)
+        self.m = bits // SUBSTRING
+        self.radius, self.within = self._learned(x, k, recall)
 
     def _unit(self, x):
         return x - self.center
 
     def code(self, x: np.ndarray) -> np.ndarray:
         """Rows of bits / 8 bytes."""
-        return np.packbits(self._unit(x) @ self.rotation >= 0, axis=1)
+        out = [np.packbits(self._unit(x[lo : lo + 4096]) @ self.rotation >= 0, axis=1) for lo in range(0, len(x), 4096)]
+        return np.concatenate(out) if out else np.zeros((0, self.bits // 8), np.uint8)
 
-    def _learned(self, x, k, recall) -> int:
+    def _learned(self, x, k, recall) -> tuple[int, int]:
+        """(radius of the probes, radius of the whole code) on the sample's own neighbours."""
         if len(x) < 2:
-            return self.bits
+            return self.bits, self.bits
         q = x[: min(512, len(x))]
         c = self.code(x)
         score = q @ x.T
         score[np.arange(len(q)), np.arange(len(q))] = -np.inf
-        near = np.argpartition(-score, min(k, len(x) - 1) - 1, axis=1)[:, : min(k, len(x) - 1)]
-        far = np.bitwise_count(c[: len(q), None, :] ^ c[near]).sum(axis=2, dtype=np.int64)
-        return int(np.quantile(far, recall, method="higher"))
+        n = min(k, len(x) - 1)
+        near = np.argpartition(-score, n - 1, axis=1)[:, :n]
+        apart = substrings(c)[: len(q), None, :] ^ substrings(c)[near]
+        apart = np.bitwise_count(apart).astype(np.int64)  # by substring
+        # the least radius whose probes reach a neighbour: m * distance + place of the best substring
+        reach = (apart * self.m + np.arange(self.m)).min(axis=2)
+        probes = int(np.quantile(reach, recall, method="higher"))
+        return probes, int(np.quantile(apart.sum(axis=2), WITHIN, method="higher"))
+
+
+def substrings(codes: np.ndarray) -> np.ndarray:
+    """Codes as rows of 16-bit numbers."""
+    return np.ascontiguousarray(codes).view(np.uint16)
 
 
 def substring_radii(radius: int, m: int) -> list[int]:
@@ -76,39 +89,54 @@ def substring_radii(radius: int, m: int) -> list[int]:
     return [s if k <= a else s - 1 for k in range(m)]
 
 
+def _masks(r: int) -> np.ndarray:
+    """All differences of at most r bits of a substring."""
+    every = np.arange(1 << SUBSTRING, dtype=np.uint32)
+    return every[np.bitwise_count(every) <= r]
+
+
 class Index:
     """The codes of a block, with an inverted index for each substring."""
 
     def __init__(self, codes: np.ndarray):
         self.codes = codes
-        self.order = np.argsort(codes, axis=0, kind="stable")
-        self.start = np.stack([np.searchsorted(codes[self.order[:, j], j], np.arange(257)) for j in range(codes.shape[1])])
-        self.wide = np.ascontiguousarray(codes).view(np.uint64) if codes.shape[1] % 8 == 0 else codes
-
-    def within(self, code: np.ndarray, wide: np.ndarray, radii: list[int], radius: int) -> np.ndarray:
-        """Rows of all codes within the radius."""
-        n = len(self.codes)
+        sub = substrings(codes)
+        n, m = sub.shape
+        self.order = np.empty((m, n), np.int32)
+        self.start = np.zeros((m, (1 << SUBSTRING) + 1), np.int32)
+        for j in range(m):
+            self.order[j] = np.argsort(sub[:, j], kind="stable")
+            self.start[j, 1:] = np.cumsum(np.bincount(sub[:, j], minlength=1 << SUBSTRING))
+        self.wide = np.ascontiguousarray(codes).view(np.uint64)
+        self.probes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def _plan(self, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """(substring, difference) of each probe."""
+        if radius not in self.probes:
+            m = len(self.order)
+            radii = substring_radii(radius, m)
+            masks = {r: _masks(r) for r in set(radii) if r >= 0}
+            parts = [(np.full(len(masks[r]), j), masks[r]) for j, r in enumerate(radii) if r >= 0]
+            self.probes[radius] = np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts])
+        return self.probes[radius]
+
+    def probed(self, code: np.ndarray, radius: int) -> np.ndarray:
+        """Rows that share a probed entry with the code: all within the radius, and others."""
+        at, mask = self._plan(radius)
+        keys = substrings(code[None])[0][at] ^ mask
+        lo, hi = self.start[at, keys], self.start[at, keys + 1]
+        some = np.flatnonzero(hi > lo)
+        lo, size = lo[some].astype(np.int64), (hi - lo)[some].astype(np.int64)
+        n = self.order.shape[1]
+        flat = np.arange(int(size.sum())) + np.repeat(lo + at[some] * n - np.concatenate(([0], np.cumsum(size)[:-1])), size)
         hit = np.zeros(n, bool)
-        for j, r in enumerate(radii):
-            if r < 0:
-                continue
-            values = np.flatnonzero(_FLIPS[code[j]] <= r)
-            lo, hi = self.start[j][values], self.start[j][values + 1]
-            size = hi - lo
-            total = int(size.sum())
-            if not total:
-                continue
-            at = np.arange(total) + np.repeat(lo - np.concatenate(([0], np.cumsum(size)[:-1])), size)
-            hit[self.order[at, j]] = True
-            if j >= 1 and np.count_nonzero(hit) * 10 > n * 9:
-                hit[:] = True  # the other substrings can add few; the radius decides
-                break
-        rows = np.flatnonzero(hit)
-        return rows[np.bitwise_count(self.wide[rows] ^ wide).sum(axis=1, dtype=np.int64) <= radius]
-
-
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(x.as_py() for x in column), np.float64).reshape(-1, dim)
+        hit[self.order.ravel()[flat]] = True
+        return np.flatnonzero(hit)
+
+    def within(self, code: np.ndarray, radius: int, most: int) -> np.ndarray:
+        """Probed rows within most bits of the whole code."""
+        rows = self.probed(code, radius)
+        return rows[np.bitwise_count(self.wide[rows] ^ np.ascontiguousarray(code).view(np.uint64)).sum(axis=1, dtype=np.int64) <= most]
 
 
 def sound_vectors(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -122,81 +150,88 @@ def nearest(rows: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id
     """(query_id, rank, vec_id, score): the k vectors of largest inner product found for each query.
 
     Queries are the rows whose id is divisible by every; a row isn't its own candidate. Equal vectors are
-    searched once; of each only the k + 1 smallest ids can be answers. Ties go to the smaller id; where a
-    block has k codes or fewer within the radius, its k + 1 nearest codes are reranked, so no query comes short. Rows with a null id or an unsound
-    vector take no part; vectors of another length than the first sampled one neither; rows that repeat an
-    id come as separate candidates only if their vectors differ. Other columns are ignored.
+    searched once; of each only the k + 1 smallest ids can be answers. Ties go to the smaller id. A query that
+    finds fewer than k + 1 different vectors is asked again over all codes, so none comes short. Rows with a
+    null id or an unsound vector take no part, nor do vectors of another length than the commonest (of equally
+    common ones the shortest); rows that repeat an id come as separate candidates only if their vectors differ.
+    Other columns are ignored.
     """
     spark = rows.sparkSession
-    v = sound_vectors(rows, id_col, vec_col)
-    took = v.select("v").where(F.col("v").isNotNull()).orderBy(F.xxhash64("v"), "v").limit(sample).toArrow().column("v").to_pylist()
     schema = "query_id long, rank int, vec_id long, score double"
-    if not took:
+    v = sound_vectors(rows, id_col, vec_col)
+    length = v.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").head()
+    if length is None:
         return spark.createDataFrame([], schema)
-    dim = len(took[0])
-    fit = Codes(np.array([x for x in dict.fromkeys(map(tuple, took)) if len(x) == dim]), k, bits, recall)
+    dim = length["dim"]
+    v = v.where(F.size("v") == dim)
+    took = v.select("v").orderBy(F.xxhash64("v"), "v").limit(sample).toArrow().column("v").to_pylist()
+    fit = Codes(np.array(list(dict.fromkeys(map(tuple, took)))), k, bits, recall)
     held = spark.sparkContext.broadcast(fit)
 
     def packed(batch):
         x = np.array(batch.column("v").to_pylist(), np.float64).reshape(-1, dim)
         return pa.RecordBatch.from_arrays([batch.column("id"), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "x"])
 
-    ids = map_arrow(v.where(F.size("v") == dim), packed, "id long, x binary").distinct()
+    ids = map_arrow(v, packed, "id long, x binary").distinct()
     w = Window.partitionBy("x").orderBy("id")
     ids = written(ids.withColumn("c", F.xxhash64("x")), "vectors")
     # the ids of a class that can be answers, and one row for each class
-    answers = ids.withColumn("j", F.row_number().over(w)).where(F.col("j") <= k + 1)
+    answers = written(ids.withColumn("j", F.row_number().over(w)).where(F.col("j") <= k + 1), "answers")
     base = answers.where("j = 1")
     count = base.count()
     blocks = max(1, -(-count // BLOCK))
     base = base.withColumn("block", F.pmod("c", F.lit(blocks)).cast("int"))
-    ask = ids.where(F.col("id") % every == 0).groupBy("x").agg(F.min("id").alias("q"))
-    probes = max(1, -(-ask.count() // PROBES))
-    ask = ask.withColumn("probe", F.pmod(F.xxhash64("q"), F.lit(probes)).cast("int"))
+    ask = written(ids.where(F.col("id") % every == 0).groupBy("x").agg(F.min("id").alias("q")), "ask")
 
     def block_rows(table, names):
         return pa.table({names[0]: table.column(0).slice(0, 1), names[1]: pa.array([table.column(1).to_numpy().astype("<i8").tobytes()], pa.binary()), names[2]: pa.array([b"".join(table.column(2).to_pylist())], pa.binary())})
 
     vb = base.select("block", "id", "x").groupBy("block").applyInArrow(lambda t: block_rows(t, ("block", "ids", "xs")), "block int, ids binary, xs binary")
-    qb = ask.select("probe", "q", "x").groupBy("probe").applyInArrow(lambda t: block_rows(t, ("probe", "qs", "qx")), "probe int, qs binary, qx binary")
-    qb = qb.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def searched(batches):
-        fit = held.value
-        m = fit.bits // SUBSTRING
-        radii = substring_radii(fit.radius, m)
-        last = None
-        for b in batches:
-            for qs, qx, block, vi, vx in zip(*(b.column(n) for n in ("qs", "qx", "block", "ids", "xs"))):
-                if last is None or last[0] != block.as_py():
-                    x = np.frombuffer(vx.as_py(), np.float64).reshape(-1, dim)
-                    last = block.as_py(), np.frombuffer(vi.as_py(), np.int64), x, Index(fit.code(x))
-                _, own, x, index = last
-                q, qv = np.frombuffer(qs.as_py(), np.int64), np.frombuffer(qx.as_py(), np.float64).reshape(-1, dim)
-                codes = fit.code(qv)
-                wide = np.ascontiguousarray(codes).view(np.uint64) if codes.shape[1] % 8 == 0 else codes
-                out = []
-                for i in range(len(q)):
-                    near = index.within(codes[i], wide[i], radii, fit.radius)
-                    if len(near) <= k:  # too few within the radius: the block's k + 1 nearest codes
-                        far = np.bitwise_count(index.wide ^ wide[i]).sum(axis=1, dtype=np.int64)
-                        near = np.argsort(far, kind="stable")[: k + 1]
-                    score = x[near] @ qv[i]
-                    if len(near) > 2 * k + 2:  # the block's own k + 1 best classes, with all ties of the last
-                        low = np.partition(score, len(score) - k - 1)[len(score) - k - 1]
-                        keep = score >= low
-                        near, score = near[keep], score[keep]
-                        if len(near) > 2 * k + 2:
-                            o = np.lexsort((own[near], -score))[: k + 1]
-                            near, score = near[o], score[o]
-                    out.append((np.full(len(near), q[i]), own[near], score))
-                a, c, s = (np.concatenate(z) for z in zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c), pa.array(s)], ["q", "id", "score"])
-
-    pairs = qb.join(vb, "block").select("qs", "qx", "block", "ids", "xs")
-    pairs = stream_arrow(pairs, searched, "q long, id long, score double")
-    by = [F.desc("score"), F.col("id")]
-    best = pairs.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(*by))).where(F.col("r") <= k + 1)
+
+    def found(asking: DataFrame, probing: bool) -> DataFrame:
+        """(q, id, score): each asking vector's k + 1 best of what its probes retrieve, or of all codes, by block."""
+        probes = max(1, -(-asking.count() // PROBES))
+        qb = asking.withColumn("probe", F.pmod(F.xxhash64("q"), F.lit(probes)).cast("int"))
+        qb = qb.select("probe", "q", "x").groupBy("probe").applyInArrow(lambda t: block_rows(t, ("probe", "qs", "qx")), "probe int, qs binary, qx binary")
+        qb = qb.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+        def searched(batches):
+            fit = held.value
+            last = None
+            for b in batches:
+                for qs, qx, block, vi, vx in zip(*(b.column(n) for n in ("qs", "qx", "block", "ids", "xs"))):
+                    if last is None or last[0] != block.as_py():
+                        last = None  # before the next is built
+                        x = np.frombuffer(vx.as_py(), np.float64).reshape(-1, dim)
+                        last = block.as_py(), np.frombuffer(vi.as_py(), np.int64), x, Index(fit.code(x)) if probing else None
+                    _, own, x, index = last
+                    q, qv = np.frombuffer(qs.as_py(), np.int64), np.frombuffer(qx.as_py(), np.float64).reshape(-1, dim)
+                    codes = fit.code(qv)
+                    out = []
+                    for i in range(len(q)):
+                        near = index.within(codes[i], fit.radius, fit.within) if probing else np.arange(len(own))
+                        score = x[near] @ qv[i]
+                        if len(near) > 2 * k + 2:  # the block's own k + 1 best classes, with all ties of the last
+                            low = np.partition(score, len(score) - k - 1)[len(score) - k - 1]
+                            keep = score >= low
+                            near, score = near[keep], score[keep]
+                            if len(near) > 2 * k + 2:
+                                o = np.lexsort((own[near], -score))[: k + 1]
+                                near, score = near[o], score[o]
+                        out.append((np.full(len(near), q[i]), own[near], score))
+                    a, c, s = (np.concatenate(z) for z in zip(*out))
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c), pa.array(s)], ["q", "id", "score"])
+
+        pairs = qb.join(vb, "block").select("qs", "qx", "block", "ids", "xs").sortWithinPartitions("block")
+        pairs = stream_arrow(pairs, searched, "q long, id long, score double")
+        r = pairs.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), F.col("id"))))
+        return written(r.where(F.col("r") <= k + 1), "best")
+
+    best = found(ask, True)
+    full = best.groupBy("q").count().where(F.col("count") >= min(k + 1, count)).select("q")
+    short = written(ask.join(full, "q", "left_anti"), "short")
+    if not short.isEmpty():
+        best = best.join(full, "q", "left_semi").unionByName(found(short, False))
     # classes to ids, at most (k + 1) * (k + 1) for a class of queries
     near = best.select("q", F.col("id").alias("rep"), "score")
     first = base.select(F.col("id").alias("rep"), "x")

@@ -63,8 +63,40 @@ def test_probing_finds_every_code_within_the_radius(radius):
     i = mih.Index(codes)
     for q in range(0, 60, 3):
         want = np.flatnonzero(np.bitwise_count(codes ^ codes[q]).sum(axis=1) <= radius)
-        got = i.within(codes[q], codes[q].view(np.uint64), mih.substring_radii(radius, 16), radius)
-        assert sorted(got) == want.tolist()
+        assert sorted(i.within(codes[q], radius, radius)) == want.tolist()
+        assert set(want) <= set(i.probed(codes[q], radius))
+
+
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_probes_select_and_recall_holds(spark, sf):
+    """The share of codes that probing retrieves and the recall after reranking, on whole tables with copies added."""
+    rows = [r.embedding for r in spark.read.parquet(f"{sf}/embeddings.parquet").where("embedding is not null").select("embedding").collect()]
+    x = np.array([v for v in rows if len(v) == len(rows[0])], float)
+    c = mih.Codes(x, 20)
+    i = mih.Index(c.code(x))
+    share, found, asked = 0, 0, range(0, len(x), 20)
+    for q in asked:
+        score = x @ x[q]
+        score[q] = -np.inf
+        want = set(np.argsort(-score)[:20].tolist())
+        near = i.within(i.codes[q], c.radius, c.within)
+        near = near[near != q]
+        found += len(want & set(near[np.argsort(-score[near])[:20]].tolist()))
+        share += len(i.probed(i.codes[q], c.radius)) / len(x)
+    assert found / (20 * len(asked)) >= 0.9
+    assert share / len(asked) < 0.45  # isotropic vectors: the fewer there are, the farther the twentieth
+
+
+def test_commonest_length_and_short_finds(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(k, rng.standard_normal(8).tolist()) for k in range(120)] + [(500 + k, [1.0, 2.0, 3.0]) for k in range(3)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(mih, "BLOCK", 50)  # several blocks
+    monkeypatch.setattr(mih.Codes, "_learned", lambda self, x, k, recall: (0, 0))  # probes that find equal codes only
+    got = {}
+    for r in mih.nearest(d, bits=64).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == exact(rows[:120], 20, 20)
 
 
 # surrogates
