@@ -10,17 +10,19 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lodestar.llm.common import map_arrow, text_chunks
 
 RATE = 8000
 #: Samples of a frame, of the step between frames, frames transformed at once.
-FRAME, HOP, SLAB = 256, 256, 4096
+FRAME, HOP, SLAB = 256, 128, 4096
 #: Frequency bins where bands begin; each band offers a frame's strongest bin as peak.
 BANDS = (2, 8, 20, 44, 84, 129)
 #: A peak pairs with peaks at so many following frames.
 REACH = 3
-_HANN = (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(FRAME) / FRAME)).astype(np.float32)
+#: A Hann window between its zeros: every sample has weight.
+_HANN = (0.5 - 0.5 * np.cos(2 * np.pi * (np.arange(FRAME) + 0.5) / FRAME)).astype(np.float32)
 
 
 def padded(raw: bytes, unit: int = 64) -> bytes:
@@ -72,16 +74,16 @@ def fingerprints(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
     bin1 << 16 | bin2 << 8 | frames between; ordered by time and code."""
     bins, keep = spectral_peaks(samples)
     times, codes = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
-    for gap in range(1, REACH + 1):
-        if len(bins) <= gap:
-            break
-        for p in range(bins.shape[1]):
-            for q in range(bins.shape[1]):
-                t = np.flatnonzero(keep[:-gap, p] & keep[gap:, q])
-                times.append(t.astype(np.int32))
-                codes.append((bins[t, p] << 16 | bins[t + gap, q] << 8 | gap).astype(np.int32))
+    for lo in range(0, len(bins), SLAB):
+        for gap in range(1, REACH + 1):
+            first, then = slice(lo, min(lo + SLAB, len(bins) - gap)), slice(lo + gap, lo + SLAB + gap)
+            if first.stop <= lo:
+                break
+            t, p, q = np.nonzero(keep[first, :, None] & keep[then, None, :])
+            times.append((t + lo).astype(np.int32))
+            codes.append((bins[first][t, p] << 16 | bins[then][t, q] << 8 | gap).astype(np.int32))
     t, c = np.concatenate(times), np.concatenate(codes)
-    order = np.lexsort((c, t))
+    order = np.argsort(t.astype(np.int64) << 32 | c)
     return t[order], c[order]
 
 
@@ -89,28 +91,28 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Each row's whole text stored as WAV, read back, and fingerprinted.
 
     Returns doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature
-    (SHA-256 of the time-coded fingerprint arrays) and, with keep, media (binary), times and codes (arrays
-    of int). A null text counts as empty: 64 bytes 0. Rows come out as often as they went in; other columns
+    (SHA-256 of the time-coded fingerprint arrays), times and codes (these arrays, of int) and, with keep, media
+    (binary). A null text counts as empty: 64 bytes 0. Rows come out as often as they went in; other columns
     are ignored.
     """
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    schema += ", media binary, times array<int>, codes array<int>" if keep else ""
+    schema += ", times array<int>, codes array<int>" + (", media binary" if keep else "")
 
     def one(batch):
-        rows = []
+        rows, times, codes = [], [], []
         texts = ((raw[a:b], b - a) for _, raw, o in text_chunks(batch.column("text"), 1 << 20) for a, b in zip(o.tolist(), o[1:].tolist()))
         for text, size in texts:
             media = wav_bytes(padded(text))
             back = wav_samples(media)
             t, c = fingerprints(back)
             feature = hashlib.sha256(t.astype("<i4").tobytes() + c.astype("<i4").tobytes()).hexdigest()
-            row = (size, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature)
-            rows.append(row + ((media, t, c) if keep else ()))
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()] + ([pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32())] if keep else [])
-        names = [x.split()[0] for x in schema.split(", ")]
-        cols = list(zip(*rows)) if rows else [[] for _ in kinds]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(list(x), k) for x, k in zip(cols, kinds))], names)
-
-    from pyspark.sql import functions as F
+            rows.append((size, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature, media if keep else None))
+            times.append(t)
+            codes.append(c)
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
+        cols = [pa.array(list(x), k) for x, k in zip(list(zip(*rows)) if rows else [[] for _ in kinds], kinds)]
+        ends = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in times]))).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x) if x else np.zeros(0, np.int32))) for x in (times, codes)]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols[:7], *lists, *(cols[7:] if keep else [])], [x.split()[0] for x in schema.split(", ")])
 
     return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), one, schema)

@@ -44,6 +44,29 @@ def test_bpe_on_random_words(library):
     assert b.decode(b.encode("hello world")) == library.decode(library.encode("hello world", add_special_tokens=False).ids, skip_special_tokens=False)
 
 
+def test_vocabularies_do_not_mix(tmp_path):
+    """Two vocabularies in one worker: the second's ids don't hang on the first's pairs."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    path = bpe.public_path("word_bpe_49k.json")
+    spec = json.load(open(path, encoding="utf-8"))
+    merges = spec["model"]["merges"]
+    spec["model"]["merges"] = merges[:2000]
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(spec), encoding="utf-8")
+    text = "some ordinary words with several different endings and beginnings for the merges"
+    bpe.vocabulary(path).encode(text)
+    assert bpe.vocabulary(str(other)).encode(text) == bpe.WordBpe(str(other)).encode(text)
+    assert bpe.WordBpe(str(other))._pairs is not bpe.vocabulary(path)._pairs
+    assert bpe.vocabulary(str(other)).encode(text) == Tokenizer.from_file(str(other)).encode(text, add_special_tokens=False).ids
+    spec["model"]["merges"] = merges[300:2000][::-1] + merges[:300]
+    other.write_text(json.dumps(spec), encoding="utf-8")
+    with pytest.raises(ValueError, match="order"):
+        bpe.WordBpe(str(other))
+
+
 def test_bpe_query(spark, library, sf):
     for r in registry.QUERIES["op4_bpe_prefix_dp"](spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), "doc_id").limit(50).collect():
         ids = library.encode(r.text or "", add_special_tokens=False).ids
@@ -68,10 +91,11 @@ def test_peaks_and_pairs_by_definition():
     rng = np.random.default_rng(2)
     x = rng.integers(0, 256, 256 * 40 + 13, dtype=np.uint8).tobytes()
     bins, keep = wavprint.spectral_peaks(x)
-    s = np.frombuffer(x + bytes(-len(x) % 256), np.uint8).astype(np.float32) - 128
-    s[len(x) :] = 0
+    s = np.frombuffer(x, np.uint8).astype(np.float32) - 128
+    assert len(bins) == -(-len(x) // 128) and (wavprint._HANN > 0).all()
     for f in range(len(bins)):
-        p = np.abs(np.fft.rfft(s[f * 256 : f * 256 + 256] * wavprint._HANN)) ** 2
+        frame = s[f * 128 : f * 128 + 256]
+        p = np.abs(np.fft.rfft(np.pad(frame, (0, 256 - len(frame))) * wavprint._HANN)) ** 2
         for b, (lo, hi) in enumerate(zip(wavprint.BANDS, wavprint.BANDS[1:])):
             assert np.isclose(p[bins[f, b]], p[lo:hi].max(), rtol=1e-3)
     t, c = wavprint.fingerprints(x)
@@ -82,9 +106,23 @@ def test_peaks_and_pairs_by_definition():
 
 def test_slabs_change_nothing(monkeypatch):
     x = np.random.default_rng(3).integers(0, 256, 256 * 50, dtype=np.uint8).tobytes()
-    whole = wavprint.spectral_peaks(x)
+    whole, prints = wavprint.spectral_peaks(x), wavprint.fingerprints(x)
     monkeypatch.setattr(wavprint, "SLAB", 7)
     assert all((a == b).all() for a, b in zip(whole, wavprint.spectral_peaks(x)))
+    assert all((a == b).all() for a, b in zip(prints, wavprint.fingerprints(x)))
+
+
+def test_bytes_at_frame_edges_reach_the_feature():
+    x = bytearray(np.random.default_rng(4).integers(90, 120, 256 * 40, dtype=np.uint8).tobytes())
+    before = wavprint.fingerprints(bytes(x))[1].tobytes()
+    x[::256] = bytes([255]) * 40  # only where frames of 256 begin
+    assert wavprint.fingerprints(bytes(x))[1].tobytes() != before
+
+
+def test_media_query_returns_its_arrays(spark, sf):
+    r = registry.QUERIES["op3_wav_fingerprints"](spark, sf).orderBy(F.desc("n_bytes")).head()
+    assert len(r.times) == len(r.codes) > 0
+    assert hashlib.sha256(np.array(r.times, "<i4").tobytes() + np.array(r.codes, "<i4").tobytes()).hexdigest() == r.feature
 
 
 def test_language_accuracy(spark):
@@ -119,7 +157,33 @@ def test_dictionaries_read_whole_texts(spark, monkeypatch):
     want = " ".join(sorted(counts, key=lambda x: (counts[x], hashlib.md5(x.encode()).digest()))).encode()
     assert langid.dictionaries(many)["de"] == want
     monkeypatch.setattr(langid, "DICT_BYTES", 100)
-    assert langid.dictionaries(many)["de"] == want[-100:]
+    assert langid.dictionaries(many)["de"] == want[-100:].split(b" ", 1)[1]  # a word is never cut
+
+
+def test_copies_do_not_hide_a_language(spark):
+    """Rows far beyond the sample, nearly all of them copies: every language is learned from its different texts."""
+    german = [f"der hund und die katze nummer {w} gehen nach hause" for w in "eins zwei drei vier acht neun zehn elf".split()]
+    train = spark.range(400_000).select(F.element_at(F.array(*map(F.lit, german)), (F.col("id") % 8 + 1).cast("int")).alias("text"), F.lit("de").alias("lang"))
+    train = train.unionByName(spark.range(500).select(F.concat(F.lit("the dog and the cat walk home "), F.col("id")).alias("text"), F.lit("en").alias("lang")))
+    raw = langid.dictionaries(train)
+    assert set(raw) == {"de", "en"} and b"katze" in raw["de"].split()
+    assert langid.Classifier(raw).predict("der hund und die katze")[0] == "de"
+
+
+def test_marks_are_no_letters_and_lone_languages_can_reject(spark):
+    c = langid.Classifier({"de": b"der hund und die katze"})
+    assert c.predict("\u0301\u0302 12")[0] == "und"
+    assert c.predict("der hund und die katze")[1] > langid.MARGIN > c.predict("zxqv jkwp")[1]
+
+
+def test_identify_is_the_classifier(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    c = langid.Classifier(raw := langid.dictionaries(docs))
+    want = {r.doc_id: c.predict(r.text) for r in docs.collect()}
+    got = langid.identify(docs, raw).collect()
+    assert len(got) == docs.count()
+    for r in got:
+        assert (r.lang_pred, r.score) == want[r.doc_id] and r.rejected == (r.lang_pred == "und" or r.score < langid.MARGIN)
 
 
 def brute_scan(text):
