@@ -17,12 +17,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import map_arrow
+from lodestar.llm.common import map_arrow, resident
 
 #: White space as the vocabulary's normaliser sees it (fixed values).
 _SPACES = "[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
 #: Words of a generation kept with their encodings in each worker; the last two generations stay.
-CACHE = 200_000
+CACHE = 60_000
+#: Pairs of tokens whose compatibility a worker remembers.
+PAIRS = 400_000
 
 
 def byte_letters() -> list[str]:
@@ -87,7 +89,10 @@ class SuffixAutomaton:
 
 
 class WordBpe:
-    """A word-end BPE vocabulary of the tokenizers JSON format (byte letters, lower case, `</w>` at word ends)."""
+    """A word-end BPE vocabulary of the tokenizers JSON format (byte letters, lower case, `</w>` at word ends).
+
+    Its merges must be in the order in which they were learned, a token's parts before it.
+    """
 
     def __init__(self, path: str):
         spec = json.load(open(path, encoding="utf-8"))
@@ -103,6 +108,8 @@ class WordBpe:
         for a, b in merges:
             self.parts.setdefault(vocab[a + b], (vocab[a], vocab[b]))
         self.born = {t: self.rank[p] for t, p in self.parts.items()}
+        if any(self.born.get(x, -1) > r for (a, b), r in self.rank.items() for x in (a, b)):
+            raise ValueError("merges aren't in the order in which they were learned")
         self.alone = {}  # symbol -> token of one symbol
         for x in self.letters:
             for s in (x, x + self.end):
@@ -111,6 +118,7 @@ class WordBpe:
         self._left: dict[int, list] = {}
         self._right: dict[int, list] = {}
         self._fits: dict[int, bool] = {}
+        self._pairs: dict[int, bool] = {}
         symbols = {}
         for t in sorted(self.parts, key=self.born.get):
             a, b = self.parts[t]
@@ -200,7 +208,7 @@ class WordBpe:
                 if length > held:
                     continue  # of the state, but not all of it is here
                 if length < i:
-                    key = last[i - length] << 20 | t
+                    key = last[i - length] << 32 | t
                     crosses = pairs.get(key)
                     if crosses is None:
                         crosses = self._pair(key)
@@ -217,13 +225,11 @@ class WordBpe:
         return out[::-1]
 
     def _pair(self, key: int) -> bool:
-        if len(self._pairs) > 1_000_000:
+        if len(self._pairs) > PAIRS:
             self._pairs.clear()
-        found = self._pairs[key] = self._crosses(key >> 20, key & 0xFFFFF)
+        found = self._pairs[key] = self._crosses(key >> 32, key & 0xFFFFFFFF)
         return found
 
-    _pairs: dict[int, bool] = {}
-
     def _known(self, piece: str) -> tuple[str, int, str]:
         """A piece's (ids joined, their number, tokens joined) that the newest generation doesn't have."""
         found = self.older.get(piece)
@@ -284,6 +290,7 @@ def vocabulary(path: str) -> WordBpe:
     """One per worker and path."""
     if path not in _held:
         _held[path] = WordBpe(path)
+        resident("bpe", _held.clear)
     return _held[path]
 
 
@@ -316,4 +323,4 @@ def bpe_encode(docs: DataFrame, vocab: str = "word_bpe_49k.json", id_col: str =
                 b.append(words)
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string() if digests else pa.list_(pa.int32())), pa.array(b, pa.string())], [x.split()[0] for x in schema.split(", ")])
 
-    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), one, schema)
+    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), one, schema, keeps="bpe")

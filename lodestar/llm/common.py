@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
+import weakref
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -13,13 +18,30 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
+#: Folders of applications whose setting is unset, by application.
+_own: dict[str, str] = {}
+#: Where written tables lie, while the DataFrame lives.
+_paths: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the cluster's setting, or a temporary one where it is unset."""
-    found = spark.conf.get(CHECKPOINT_DIR, None)
+    """The folder that driver and executors share, with its file system's scheme: the cluster's setting.
+
+    Where it is unset, a temporary folder on a local master, and the session's default file system elsewhere.
+    """
+    found = spark.conf.get(CHECKPOINT_DIR, None) or _own.get(spark.sparkContext.applicationId)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="lodestar-")
-        spark.conf.set(CHECKPOINT_DIR, found)
-    return found.rstrip("/")
+        local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
+        found = "file://" + tempfile.mkdtemp(prefix="lodestar-") if local else "lodestar-shared"
+        _own[spark.sparkContext.applicationId] = found
+    return qualified(spark, found)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with the scheme and authority of the file system that Spark takes it for."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.makeQualified(p).toString().rstrip("/")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -43,20 +65,30 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def dropped(*tables: DataFrame | None) -> None:
+    """Delete written tables that nothing reads any more."""
+    for t in tables:
+        if t is not None and (path := _paths.pop(t, None)):
+            remove_path(t.sparkSession, path)
 
 
-#: Rows and bytes of an Arrow batch at most, so that a worker's memory doesn't grow with the length of texts.
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+#: Bytes of an Arrow batch at most, so that a worker's memory doesn't grow with the length of texts.
+BATCH_BYTES = 8 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batches to the bounds; smaller settings stay."""
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        now = spark.conf.get(key)
-        now = int(now[:-1] if now.endswith("b") else now) if now.rstrip("b").lstrip("-").isdigit() else 0
-        if now <= 0 or now > most:
-            spark.conf.set(key, str(most))
+    """Lower the bytes of the session's Arrow batches to the bound; a smaller setting stays. The setting is read when
+    a plan runs, so it holds for the session from then on."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key)
+    now = int(now[:-1] if now.endswith("b") else now) if now.rstrip("b").lstrip("-").isdigit() else 0
+    if now <= 0 or now > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def text_chunks(column: pa.Array, size: int):
@@ -77,17 +109,85 @@ def text_chunks(column: pa.Array, size: int):
         lo = hi
 
 
-def stream_arrow(df: DataFrame, run, schema) -> DataFrame:
-    """mapInArrow over bounded batches."""
+#: What an operator keeps in a worker between tasks, with the function that frees it.
+_resident: dict[str, Callable[[], None]] = {}
+
+
+def resident(name: str, free: Callable[[], None]) -> None:
+    """Tell that this worker keeps something large for later tasks of one operator."""
+    _resident[name] = free
+
+
+def release_others(name: str | None) -> None:
+    """Free what other operators keep in this worker: workers serve one stage after the other."""
+    gone = [k for k in _resident if k != name]
+    for k in gone:
+        _resident.pop(k)()
+    if gone:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError, OSError):  # where the C library can't
+            ctypes.CDLL(None).malloc_trim(0)
+
+
+def stream_arrow(df: DataFrame, run, schema, keeps: str | None = None) -> DataFrame:
+    """mapInArrow over bounded batches. keeps: the name under which its tasks keep something in the worker."""
     bounded_batches(df.sparkSession)
-    return df.mapInArrow(run, schema)
 
+    def alone(batches):
+        release_others(keeps)
+        yield from run(batches)
 
-def map_arrow(df: DataFrame, f, schema) -> DataFrame:
+    return df.mapInArrow(alone, schema)
+
+
+def map_arrow(df: DataFrame, f, schema, keeps: str | None = None) -> DataFrame:
     """stream_arrow with a function from one RecordBatch to one."""
 
     def run(batches):
         for b in batches:
             yield f(b)
 
-    return stream_arrow(df, run, schema)
+    return stream_arrow(df, run, schema, keeps)
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijective scrambling of 64-bit values."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+#: Bits of a filter of hashes, 64 MB at most.
+FILTER_BITS = (1 << 20, 1 << 29)
+
+
+def wanted_filter(nodes: DataFrame, count: int) -> np.ndarray:
+    """A Bloom filter (3 probes) of nodes(h long), 16 bits each up to FILTER_BITS; it only lets some others pass."""
+    bits = min(max(1 << int(np.ceil(np.log2(max(count, 1) * 16))), FILTER_BITS[0]), FILTER_BITS[1])
+    part = 1 << 16  # bits a row holds
+
+    def one(batch):
+        h = batch.column("h").to_numpy().astype(np.int64).view(np.uint64)
+        at = np.unique(np.concatenate([mix(h + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)) & np.uint64(bits - 1) for k in range(3)]).astype(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(at // part), pa.array(at % part)], ["k", "at"])
+
+    def packed(table):
+        m = np.zeros(part, np.uint8)
+        m[table.column("at").to_numpy()] = 1
+        return pa.table({"k": table.column("k").slice(0, 1), "bits": pa.array([np.packbits(m).tobytes()], pa.binary())})
+
+    rows = map_arrow(nodes.select("h"), one, "k long, at long").distinct().groupBy("k").applyInArrow(packed, "k long, bits binary").toArrow()
+    out = np.zeros(bits // 8, np.uint8)
+    for k, b in zip(rows.column("k").to_pylist(), rows.column("bits").to_pylist()):
+        out[k * part // 8 : (k + 1) * part // 8] = np.frombuffer(b, np.uint8)
+    return out
+
+
+def passes(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Whether each hash may be in a filter."""
+    ok = np.ones(len(h), bool)
+    for k in range(3):
+        at = mix(h.view(np.uint64) + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)) & np.uint64(len(bits) * 8 - 1)
+        ok &= (bits[(at >> np.uint64(3)).astype(np.int64)] >> (7 - (at & np.uint64(7)).astype(np.uint8))) & 1 == 1
+    return ok

@@ -16,19 +16,22 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from lodestar.llm.common import map_arrow, stream_arrow, written
+from lodestar.llm.common import dropped, map_arrow, mix, passes, stream_arrow, wanted_filter, written
 from lodestar.llm.components import connected_components
-from lodestar.llm.shingles import batch_sets, mix
+from lodestar.llm.shingles import batch_sets
 
 #: Entries of the frequent-shingle table; more only means a less even order of shingles.
 FREQUENT = 1 << 18
 #: Occurrences within one partition from which a shingle is reported.
 LOCAL_COUNT = 6
-#: Bits of the filter of texts that have candidates, 64 MB at most.
-FILTER_BITS = (1 << 20, 1 << 29)
-#: Members compared in one task.
-BLOCK = 4096
+#: A pivot's members handled at once, by number and by bytes of their sets.
+MEMBERS, PART_BYTES = 512, 8 << 20
+#: Entries of a part of a list whose texts are compared.
+LIST = 8192
+#: Rows of a batch that Python hands to Spark.
+ROWS = 200_000
 
 
 def _class_hash(s: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,7 +88,7 @@ def frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
                 for k in fresh:
                     held.append(s[at[k] : at[k + 1]])
                     n += len(held[-1])
-                if n > 3_000_000:
+                if n > 1_000_000:
                     yield many(held)
                     held, n = [], 0
         if held:
@@ -124,20 +127,25 @@ def prefix_length(n: int, percent: int) -> int:
 _POST = np.dtype([("g", "<u8"), ("h", "<i8"), ("n", "<i4"), ("i", "<i4")])
 
 
-def postings(docs: DataFrame, width: int, percent: int, often: Broadcast, buckets: int) -> DataFrame:
-    """(bucket, blob): packed postings of all texts' prefixes, dealt by shingle."""
+_ENTRY = "g long, h long, n int, i int"
+_TYPES = {"g": pa.int64(), "h": pa.int64(), "n": pa.int32(), "i": pa.int32(), "pivot": pa.int64()}
+
+
+def _batch(columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v, _TYPES[k]) for k, v in columns.items()], list(columns))
+
+
+def postings(docs: DataFrame, width: int, percent: int, often: Broadcast) -> DataFrame:
+    """(g, h, n, i): each text's prefix, an entry for each shingle with its place; copies within a partition come once."""
 
     def run(batches):
         held, n, seen = [], 0, set()
 
         def dealt():
-            p = np.concatenate(held)
-            b = (p["g"] % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(b, kind="stable")
-            p, b = p[order], b[order]
-            cut = np.flatnonzero(np.diff(b, prepend=-1))
-            ends = np.append(cut[1:], len(b))
-            return pa.RecordBatch.from_arrays([pa.array(b[cut], pa.int64()), pa.array([p[x:y].tobytes() for x, y in zip(cut, ends)], pa.binary())], ["bucket", "blob"])
+            g, size, h, count = zip(*held)
+            count = np.array(count)
+            place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            return _batch({"g": np.concatenate(g).view(np.int64), "h": np.repeat(np.array(h, np.int64), count), "n": np.repeat(np.array(size, np.int32), count), "i": place.astype(np.int32)})
 
         for batch in batches:
             for _, s, at, (h1, _) in _sets(batch, width):
@@ -146,46 +154,59 @@ def postings(docs: DataFrame, width: int, percent: int, often: Broadcast, bucket
                     if not size or h in seen:
                         continue
                     seen.add(h)
-                    t = _in_order(s[at[k] : at[k + 1]], often.value)[: prefix_length(size, percent)]
-                    p = np.empty(len(t), _POST)
-                    p["g"], p["h"], p["n"], p["i"] = t, h, size, np.arange(len(t))
-                    held.append(p)
+                    t = _in_order(s[at[k] : at[k + 1]], often.value)[: prefix_length(size, percent)].copy()
+                    held.append((t, size, h, len(t)))
                     n += len(t)
-                if n > 1_000_000:
-                    yield dealt()
-                    held, n = [], 0
+                    if n > ROWS:
+                        yield dealt()
+                        held, n = [], 0
         if held:
             yield dealt()
 
-    return stream_arrow(docs.select("text"), run, "bucket long, blob binary")
-
-
-def _lists(table: pa.Table) -> np.ndarray:
-    """A bucket's postings ordered by shingle, size, position and text, each once, lists of one left out."""
-    p = np.concatenate([np.frombuffer(x.as_buffer(), _POST) for x in table.column("blob")])
-    p = p[np.lexsort((p["h"], p["i"], p["n"], p["g"]))]
-    keep = np.ones(len(p), bool)
-    keep[1:] = (p["g"][1:] != p["g"][:-1]) | (p["h"][1:] != p["h"][:-1])
-    p = p[keep]
-    starts = np.flatnonzero(np.concatenate(([True], p["g"][1:] != p["g"][:-1])))
-    size = np.diff(starts, append=len(p))
-    return p[np.repeat(size > 1, size)]
+    return stream_arrow(docs.select("text"), run, _ENTRY)
 
 
-_ENTRY = "g long, h long, n int, i int"
-
+def _shared(batches, once: bool):
+    """Of rows (g, h, n, i) ordered by g, those whose g another row has, as columns; streams, however long a list is.
 
-def index_lists(posts: DataFrame) -> DataFrame:
+    once: rows are ordered by (g, h) and repeated ones come once.
+    """
+    last = None  # the last row, whose list may go on
+    company = False  # whether a row before it has its g
+    for b in batches:
+        if not b.num_rows:
+            continue
+        p = {k: b.column(k).to_numpy(zero_copy_only=False) for k in ("g", "h", "n", "i")}
+        if last is not None:
+            p = {k: np.concatenate((last[k], v)) for k, v in p.items()}
+        if once:
+            new = np.concatenate(([True], (p["g"][1:] != p["g"][:-1]) | (p["h"][1:] != p["h"][:-1])))
+            p = {k: v[new] for k, v in p.items()}
+        same = p["g"][1:] == p["g"][:-1]
+        keep = np.concatenate(([company], same[:-1])) | same if len(same) else np.zeros(0, bool)
+        yield {k: v[:-1][keep] for k, v in p.items()}
+        company = bool(same[-1]) if len(same) else company
+        last = {k: v[-1:].copy() for k, v in p.items()}
+    if last is not None and company:
+        yield last
+
+
+def _dealt(rows: DataFrame, parts: int, *order: str) -> DataFrame:
+    """Rows dealt by g into parts, each part in order."""
+    return rows.repartition(parts, "g").sortWithinPartitions(*order)
+
+
+def index_lists(posts: DataFrame, parts: int) -> DataFrame:
     """(g, h, n, i): entries of lists with two texts or more."""
 
-    def one(table):
-        p = _lists(table)
-        return pa.table({"g": p["g"].copy().view(np.int64), "h": p["h"].copy(), "n": p["n"].copy(), "i": p["i"].copy()})
+    def run(batches):
+        for p in _shared(batches, True):
+            yield _batch(p)
 
-    return posts.groupBy("bucket").applyInArrow(one, _ENTRY)
+    return stream_arrow(_dealt(posts, parts, "g", "h"), run, _ENTRY)
 
 
-def trimmed_lists(lists: DataFrame, percent: int, buckets: int) -> DataFrame:
+def trimmed_lists(lists: DataFrame, percent: int, parts: int) -> DataFrame:
     """(g, h, n, i, pivot): lists without texts that meet too few others, and each list's least edited text.
 
     A linked set of n elements has at least meets(percent % of n) entries in lists of two or more.
@@ -193,48 +214,21 @@ def trimmed_lists(lists: DataFrame, percent: int, buckets: int) -> DataFrame:
     least = F.lit(1) + F.floor(F.ceil(F.col("n") * percent / 100) / 30)
     enough = lists.groupBy("h").agg(F.count("*").alias("c"), F.first("n").alias("n")).where(F.col("c") >= least).select("h")
 
-    def one(table):
-        p = {k: table.column(k).to_numpy() for k in ("g", "h", "n", "i")}
-        order = np.lexsort((p["h"], p["i"], p["n"], p["g"]))
-        p = {k: v[order] for k, v in p.items()}
-        starts = np.flatnonzero(np.concatenate(([True], p["g"][1:] != p["g"][:-1])))
-        size = np.diff(starts, append=len(order))
-        best = np.lexsort((p["h"], p["n"], p["i"], p["g"]))[starts]
-        p["pivot"] = np.repeat(p["h"][best], size)
-        return pa.table(p).filter(pa.array(np.repeat(size > 1, size)))
+    def run(batches):
+        last = (None, None)
+        for p in _shared(batches, False):
+            if not len(p["g"]):
+                continue
+            starts = np.flatnonzero(np.concatenate(([True], p["g"][1:] != p["g"][:-1])))
+            best = p["h"][starts].copy()
+            if p["g"][0] == last[0]:
+                best[0] = last[1]
+            p["pivot"] = np.repeat(best, np.diff(starts, append=len(p["g"])))
+            last = (p["g"][-1], best[-1])
+            yield _batch(p)
 
     kept = lists.join(enough, "h", "left_semi").select("g", "h", "n", "i")
-    return kept.withColumn("bucket", F.pmod("g", F.lit(buckets))).groupBy("bucket").applyInArrow(lambda t: one(t.drop_columns("bucket")), _ENTRY + ", pivot long")
-
-
-def wanted_filter(nodes: DataFrame, count: int) -> np.ndarray:
-    """A Bloom filter (3 probes) of the nodes, 16 bits each up to FILTER_BITS; it only lets some others pass."""
-    bits = min(max(1 << int(np.ceil(np.log2(max(count, 1) * 16))), FILTER_BITS[0]), FILTER_BITS[1])
-    part = 1 << 16  # bits a row holds
-
-    def one(batch):
-        h = batch.column("h").to_numpy().astype(np.int64).view(np.uint64)
-        at = np.unique(np.concatenate([mix(h + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)) & np.uint64(bits - 1) for k in range(3)]).astype(np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(at // part), pa.array(at % part)], ["k", "at"])
-
-    def packed(table):
-        m = np.zeros(part, np.uint8)
-        m[table.column("at").to_numpy()] = 1
-        return pa.table({"k": table.column("k").slice(0, 1), "bits": pa.array([np.packbits(m).tobytes()], pa.binary())})
-
-    rows = map_arrow(nodes.select("h"), one, "k long, at long").distinct().groupBy("k").applyInArrow(packed, "k long, bits binary").toArrow()
-    out = np.zeros(bits // 8, np.uint8)
-    for k, b in zip(rows.column("k").to_pylist(), rows.column("bits").to_pylist()):
-        out[k * part // 8 : (k + 1) * part // 8] = np.frombuffer(b, np.uint8)
-    return out
-
-
-def _passes(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    ok = np.ones(len(h), bool)
-    for k in range(3):
-        at = mix(h.view(np.uint64) + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)) & np.uint64(len(bits) * 8 - 1)
-        ok &= (bits[(at >> np.uint64(3)).astype(np.int64)] >> (7 - (at & np.uint64(7)).astype(np.uint8))) & 1 == 1
-    return ok
+    return stream_arrow(_dealt(kept, parts, "g", "i", "n", "h"), run, _ENTRY + ", pivot long")
 
 
 def set_rows(docs: DataFrame, width: int, bits: Broadcast) -> DataFrame:
@@ -245,7 +239,7 @@ def set_rows(docs: DataFrame, width: int, bits: Broadcast) -> DataFrame:
         for batch in batches:
             h, n, s = [], [], []
             for _, g, at, (h1, _) in _sets(batch, width):
-                for k in np.flatnonzero(_passes(h1, bits.value) & (np.diff(at) > 0)):
+                for k in np.flatnonzero(passes(h1, bits.value) & (np.diff(at) > 0)):
                     x = int(h1[k])
                     if x not in seen:
                         seen.add(x)
@@ -279,44 +273,44 @@ class _Union:
 def group_links(pivot: np.ndarray, sets: list[np.ndarray], block: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Links that span the components among a pivot's members, from their differences to the pivot.
 
-    Members that link with the pivot are joined through it; the others are compared with all. block: two
-    members of the same block and, if there are two blocks, of different ones only are compared.
+    Members that link with the pivot are joined through it; the others are compared with all. block: where
+    it holds both 0 and 1, only members of 1 ask, and only those of 0 answer.
     """
     m = len(sets)
-    size = np.array([len(x) for x in sets])
+    size = np.array([len(x) for x in sets], np.int64)
     words = (len(pivot) + 63) // 64
-    lost = np.zeros((m, words), np.uint64)
-    plus: list[np.ndarray] = []
-    for k, x in enumerate(sets):
+    hits, plus = [], []
+    for x in sets:
         at = np.minimum(np.searchsorted(pivot, x), len(pivot) - 1)
         hit = pivot[at] == x
-        has = np.zeros(words * 64, np.uint8)
-        has[: len(pivot)] = 1
-        has[at[hit]] = 0
-        lost[k] = np.packbits(has, bitorder="little").view(np.uint64)
+        hits.append(at[hit])
         plus.append(x[~hit])
-    shared = size - np.array([len(x) for x in plus])
+    shared = size - np.array([len(x) for x in plus], np.int64)
     linked = _enough(shared, size, len(pivot), percent)
     find = _Union(m + 1)
     links = []
     for k in np.flatnonzero(linked):
         find.join(int(k), m)
         links.append((int(k), m))
+    two = bool((block == 1).any() and (block == 0).any())
+    loose = np.flatnonzero(~linked & (block == 1) if two else ~linked).tolist()
+    if not loose:
+        return links
+    lost = np.zeros((m, words), np.uint64)
+    for k, at in enumerate(hits):
+        has = np.zeros(words * 64, np.uint8)
+        has[: len(pivot)] = 1
+        has[at] = 0
+        lost[k] = np.packbits(has, bitorder="little").view(np.uint64)
     # which members share what the pivot lacks
-    if m:
-        who = np.repeat(np.arange(m), [len(x) for x in plus])
-        what = np.concatenate(plus)
-        order = np.lexsort((who, what))
-        who, what = who[order], what[order]
-        starts = np.flatnonzero(np.concatenate(([True], what[1:] != what[:-1]))) if len(what) else np.zeros(0, np.int64)
-        ends = np.append(starts[1:], len(what)) if len(what) else starts
-        where = {}
+    who = np.repeat(np.arange(m), [len(x) for x in plus])
+    what = np.concatenate(plus)
+    order = np.lexsort((who, what))
+    who, what = who[order], what[order]
+    starts = np.flatnonzero(np.concatenate(([True], what[1:] != what[:-1]))) if len(what) else np.zeros(0, np.int64)
+    ends = np.append(starts[1:], len(what)) if len(what) else starts
     by_size = np.argsort(size, kind="stable")
     ordered = size[by_size]
-    two = len(set(block.tolist())) > 1
-    loose = [int(k) for k in np.flatnonzero(~linked)]
-    if not loose:
-        return links
     index: dict[int, list[int]] = {}
     for a, b in zip(starts, ends):
         if b - a > 1:
@@ -328,21 +322,21 @@ def group_links(pivot: np.ndarray, sets: list[np.ndarray], block: np.ndarray, pe
         lo, hi = np.searchsorted(ordered, -(-percent * n // 100)), np.searchsorted(ordered, n * 100 // percent, side="right")
         near = by_size[lo:hi]  # blocks of sizes out of reach are skipped
         if two:
-            near = near[block[near] != block[k]]
+            near = near[block[near] == 0]
         near = near[near != k]
         if not len(near):
             continue
         gone = np.bitwise_count(lost[near] | lost[k]).sum(axis=1).astype(np.int64)
         kept = len(pivot) - gone
         most = kept + np.minimum(size[near] - shared[near], len(plus[k]))
-        maybe = near[_enough(most, n, size[near], percent)]
+        ok = _enough(most, n, size[near], percent)
+        maybe, kept = near[ok], kept[ok]
         if not len(maybe):
             continue
         extra = np.zeros(m, np.int64)
         for a in index.get(k, ()):
             extra[who[a : end_of[a]]] += 1
-        gone = np.bitwise_count(lost[maybe] | lost[k]).sum(axis=1).astype(np.int64)
-        for j in maybe[_enough(len(pivot) - gone + extra[maybe], n, size[maybe], percent)].tolist():
+        for j in maybe[_enough(kept + extra[maybe], n, size[maybe], percent)].tolist():
             if find.root(j) != find.root(k):
                 find.join(j, k)
                 links.append((k, j))
@@ -350,53 +344,122 @@ def group_links(pivot: np.ndarray, sets: list[np.ndarray], block: np.ndarray, pe
 
 
 def _members(groups: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) within each pivot's group of (pivot, part_i, part_j, h, s, blk)."""
+    """Links (a, b, loose=false) within each group of (pivot, ask, blk, h, s, asks), and (member, pivot, true) of
+    each asking member that doesn't link with its pivot."""
 
     def one(table):
         h = table.column("h").to_numpy()
         piv = table.column("pivot")[0].as_py()
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("s")]
-        blk = table.column("blk").to_numpy()
+        asks = table.column("asks").to_numpy()
         at = int(np.flatnonzero(h == piv)[0])
         rest = np.flatnonzero(h != piv)
-        rest = rest[np.unique(h[rest], return_index=True)[1]]
+        rest = rest[np.lexsort((asks[rest], h[rest]))]
+        rest = rest[np.concatenate(([True], (h[rest][1:] != h[rest][:-1]) | (asks[rest][1:] != asks[rest][:-1])))[: len(rest)]]
         names = np.append(h[rest], piv)
-        found = group_links(sets[at], [sets[k] for k in rest], blk[rest], percent)
+        found = group_links(sets[at], [sets[k] for k in rest], asks[rest], percent)
         a, b = (np.array(x, np.int64) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
-        return pa.table({"a": names[a] if len(a) else a, "b": names[b] if len(b) else b})
+        a, b = names[a], names[b]
+        tied = np.isin(names[:-1], a[b == piv])
+        out = names[:-1][~tied & ((asks[rest] == 1) | (asks[rest] == 0).all())]
+        return pa.table({"a": np.concatenate((a, out)), "b": np.concatenate((b, np.full(len(out), piv, np.int64))), "loose": np.repeat([False, True], [len(a), len(out)])})
 
-    return groups.groupBy("pivot", "part_i", "part_j").applyInArrow(one, "a long, b long")
+    return groups.groupBy("pivot", "ask", "blk").applyInArrow(one, "a long, b long, loose boolean")
 
 
-def _cross_pairs(lists: DataFrame, percent: int, buckets: int) -> DataFrame:
-    """Candidate pairs (a, b): texts that share enough prefix shingles, chose different pivots and aren't yet in one component."""
+def within_groups(chosen: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) among the members of each pivot.
 
-    def one(table):
-        p = {k: table.column(k).to_numpy() for k in ("g", "h", "n", "i", "pivot", "comp")}
-        order = np.lexsort((p["h"], p["i"], p["n"], p["g"]))
-        p = {k: v[order].astype(np.int64) for k, v in p.items()}
-        key = p["g"]
-        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        ends = np.append(starts[1:], len(key))
-        out = [np.zeros((0, 3), np.int64)]
-        for lo, hi in zip(starts.tolist(), ends.tolist()):
-            c = p["comp"][lo:hi]
-            if hi - lo < 2 or (c == c[0]).all():
+    A group goes to its pivot in parts of MEMBERS texts or PART_BYTES, so its cost is linear; only members
+    that don't link with their pivot are asked about the other parts.
+    """
+    groups = chosen.groupBy("pivot").agg(F.count("*").alias("m"), F.sum("n").alias("bytes"))
+    groups = groups.select("pivot", F.greatest(F.ceil(F.col("m") / MEMBERS), F.ceil(F.col("bytes") * 8 / PART_BYTES)).cast("int").alias("parts"))
+    groups = written(groups, "groups")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    part = lambda n: F.pmod(F.xxhash64("h", F.lit(n)), F.col(n)).cast("int")
+    shape = ["pivot", "ask", "blk", "h", "asks"]
+    own = groups.select("pivot", F.lit(0).alias("ask"), every("parts").alias("blk"), F.col("pivot").alias("h"), F.lit(0).alias("asks"))
+    placed = chosen.join(groups, "pivot").select("pivot", F.lit(0).alias("ask"), part("parts").alias("blk"), "h", F.lit(0).alias("asks"))
+    with_sets = lambda x: x.join(sets.select("h", "s"), "h").select(*shape, "s")
+    found = written(_members(with_sets(placed.unionByName(own.select(*shape))), percent), "within")
+    links = found.where("not loose").select("a", "b")
+    split = groups.where("parts > 1")
+    loose = written(found.where("loose").select(F.col("a").alias("h"), F.col("b").alias("pivot")).join(split, "pivot"), "loose")
+    if loose.isEmpty():
+        dropped(groups, loose)
+        return links
+    asked = loose.groupBy("pivot", "parts").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("asks"))
+    owns = asked.select("pivot", every("asks").alias("ask"), "parts").select("pivot", "ask", every("parts").alias("blk"), F.col("pivot").alias("h"), F.lit(0).alias("asks"))
+    asking = loose.join(asked.select("pivot", "asks"), "pivot").select("pivot", part("asks").alias("ask"), every("parts").alias("blk"), "h", F.lit(1).alias("asks"))
+    answer = chosen.join(asked, "pivot").select("pivot", every("asks").alias("ask"), part("parts").alias("blk"), "h", F.lit(0).alias("asks"))
+    more = _members(with_sets(answer.unionByName(asking).unionByName(owns)), percent).where("not loose and a <> b").select("a", "b")
+    more = written(more, "more")
+    dropped(groups, loose)
+    return links.unionByName(more)
+
+
+def _cross_pairs(known: DataFrame, percent: int, parts: int) -> DataFrame:
+    """Candidate pairs (a, b): texts that share enough prefix shingles, chose different pivots and aren't yet in one component.
+
+    Lists of one component end here. Others are cut into parts of LIST entries by text, and each pair of parts
+    is a group of its own.
+    """
+    w = Window.partitionBy("g")
+    mixed = known.withColumns({"lo": F.min("comp").over(w), "hi": F.max("comp").over(w), "c": F.count("*").over(w)}).where("lo < hi")
+    mixed = mixed.withColumn("parts", F.ceil(F.col("c") / LIST).cast("int")).withColumn("p", F.pmod(F.xxhash64("h"), "parts").cast("int"))
+    q = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    mixed = mixed.select("g", "h", "n", "i", "pivot", "comp", "p", q.alias("q")).withColumn("x", F.least("p", "q")).withColumn("y", F.greatest("p", "q"))
+    names = ("g", "x", "y", "h", "n", "i", "pivot", "comp", "p")
+
+    def pairs_of(p):
+        out = []
+        cut = np.flatnonzero(np.concatenate(([True], (p["g"][1:] != p["g"][:-1]) | (p["x"][1:] != p["x"][:-1]) | (p["y"][1:] != p["y"][:-1]))))
+        for lo, hi in zip(cut.tolist(), np.append(cut[1:], len(p["g"])).tolist()):
+            c, n, i, h, v, own = (p[k][lo:hi] for k in ("comp", "n", "i", "h", "pivot", "p"))
+            if (c == c[0]).all():
                 continue
-            n, i, h, v = (p[k][lo:hi] for k in ("n", "i", "h", "pivot"))
+            apart = p["x"][lo] != p["y"][lo]
             reach = np.searchsorted(n, n * 100 // percent, side="right")
             for k in range(hi - lo - 1):
                 j = slice(k + 1, int(reach[k]))  # later blocks are too large
                 need = -(-percent * (n[k] + n[j]) // (100 + percent))
                 # at most the shingles before both places, this one and those after both
                 ok = (c[j] != c[k]) & (v[j] != v[k]) & (np.minimum(i[k], i[j]) + np.minimum(n[k] - i[k], n[j] - i[j]) >= need)
+                if apart:
+                    ok &= own[j] != own[k]
                 if ok.any():
                     o = h[j][ok]
                     out.append(np.stack((np.minimum(o, h[k]), np.maximum(o, h[k]), np.minimum(n[j][ok], n[k])), 1))
-        pairs, times = np.unique(np.concatenate(out), axis=0, return_counts=True)
-        return pa.table({"a": pairs[:, 0].copy(), "b": pairs[:, 1].copy(), "n": pairs[:, 2].copy(), "c": times.astype(np.int64)})
+                    if sum(map(len, out[-64:])) > ROWS:
+                        yield out
+                        out = []
+        yield out
 
-    found = lists.withColumn("bucket", F.pmod("g", F.lit(buckets))).groupBy("bucket").applyInArrow(one, "a long, b long, n long, c long")
+    def run(batches):
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            p = {k: b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in names}
+            if held is not None:
+                p = {k: np.concatenate((held[k], v)) for k, v in p.items()}
+            key = (p["g"] != p["g"][-1]) | (p["x"] != p["x"][-1]) | (p["y"] != p["y"][-1])
+            lo = int(np.flatnonzero(key)[-1]) + 1 if key.any() else 0
+            held = {k: v[lo:].copy() for k, v in p.items()}
+            if lo:
+                yield from counted({k: v[:lo] for k, v in p.items()})
+        if held is not None:
+            yield from counted(held)
+
+    def counted(p):
+        for out in pairs_of(p):
+            if out:
+                pairs, times = np.unique(np.concatenate(out), axis=0, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(pairs[:, 2]), pa.array(times.astype(np.int64))], ["a", "b", "n", "c"])
+
+    dealt = mixed.select(*names).repartition(parts, "g", "x", "y").sortWithinPartitions("g", "x", "y", "n", "i", "h")
+    found = stream_arrow(dealt, run, "a long, b long, n long, c long")
     return found.groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("n").alias("n")).where(F.col("c") >= 1 + F.floor(F.col("n") / 30)).select("a", "b")
 
 
@@ -419,31 +482,28 @@ def links(docs: DataFrame, keys: DataFrame, width: int, percent: int) -> DataFra
     """Links (a, b) between text classes that span every component of the join's graph."""
     spark = docs.sparkSession
     total = keys.agg(F.sum("n")).head()[0] or 0
-    # a bucket's postings take about 48 MB
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * (100 - percent) / 100 * _POST.itemsize / 48e6) + 1)
+    # a part's entries take about 32 MB
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * (100 - percent) / 100 * 32 / 32e6) + 1)
     often = spark.sparkContext.broadcast(frequent(docs, width))
-    posts = postings(docs, width, percent, often, buckets)
-    lists = written(trimmed_lists(written(index_lists(posts), "entries"), percent, buckets), "lists")
-    votes = lists.where("h <> pivot").groupBy("h", "pivot").count()
-    chosen = votes.groupBy("h").agg(F.max(F.struct("count", F.negative("pivot").alias("neg"))).alias("x")).select("h", F.negative("x.neg").alias("pivot"))
+    entries = written(index_lists(postings(docs, width, percent, often), parts), "entries")
+    lists = written(trimmed_lists(entries, percent, parts), "lists")
+    dropped(entries)
+    votes = lists.where("h <> pivot").groupBy("h", "pivot").agg(F.count("*").alias("count"), F.first("n").alias("n"))
+    chosen = votes.groupBy("h").agg(F.max(F.struct("count", F.negative("pivot").alias("neg"))).alias("x"), F.first("n").alias("n")).select("h", F.negative("x.neg").alias("pivot"), "n")
     chosen = written(chosen, "chosen")
-    nodes = lists.select("h").distinct()
+    nodes = written(lists.select("h").distinct(), "nodes")
     count = nodes.count()
     if not count:
         return spark.createDataFrame([], "a long, b long")
     bits = spark.sparkContext.broadcast(wanted_filter(nodes, count))
     sets = written(set_rows(docs, width, bits).dropDuplicates(["h"]), "sets")
-    groups = chosen.groupBy("pivot").agg(F.count("*").alias("m")).withColumn("parts", F.ceil(F.col("m") / BLOCK).cast("int"))
-    placed = chosen.join(groups, "pivot").withColumn("blk", F.pmod(F.xxhash64("h"), "parts").cast("int"))
-    pair = lambda x, y: F.struct(F.least(x, y).alias("part_i"), F.greatest(x, y).alias("part_j"))
-    placed = placed.select("pivot", "h", "blk", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: pair(q, F.col("blk")))).alias("x")).select("pivot", "h", "blk", "x.*")
-    own = groups.select("pivot", F.col("pivot").alias("h"), F.lit(-1).alias("blk"), F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.transform(F.sequence(i, F.col("parts") - 1), lambda j: pair(i, j))))).alias("x")).select("pivot", "h", "blk", "x.*")
-    within = written(_members(placed.unionByName(own).join(sets.select("h", "s"), "h"), percent), "within")
+    within = within_groups(chosen, sets, percent)
     comp = connected_components(within).select(F.col("node").alias("h"), F.col("root").alias("comp"))
     label = chosen.join(comp, "h", "full").select("h", F.coalesce("pivot", "h").alias("pivot"), F.coalesce("comp", "h").alias("comp"))
     label = written(label, "label")
     known = lists.select("g", "h", "n", "i").join(label, "h", "left").select("g", "h", "n", "i", F.coalesce("pivot", "h").alias("pivot"), F.coalesce("comp", "h").alias("comp"))
-    across = written(_cross_pairs(known, percent, buckets), "across")
+    across = written(_cross_pairs(known, percent, parts), "across")
+    dropped(lists, chosen, nodes, label)
     return within.unionByName(_verified(across, sets, percent))
 
 

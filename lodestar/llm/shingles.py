@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from lodestar.llm.common import text_chunks
+from lodestar.llm.common import mix, text_chunks
 
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 #: A random odd multiplier for each byte; white space counts as nothing.
@@ -20,13 +20,6 @@ _powers = np.ones(1, np.uint64)
 CHUNK = 1 << 20
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijective scrambling of 64-bit values."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def _place_values(n: int) -> np.ndarray:
     global _powers
     if len(_powers) < n:

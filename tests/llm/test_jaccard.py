@@ -68,6 +68,24 @@ def test_components_match_all_pairs(spark, width, percent):
     assert got == sorted(brute(rows, width, percent), key=str)
 
 
+def test_groups_and_lists_in_parts(spark, monkeypatch):
+    """A hot group of near copies, loose members among them, and lists cut into parts."""
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(300)]
+    base = [rng.choice(words) for _ in range(60)]
+    rows = []
+    for k in range(90):
+        t = list(base)
+        for _ in range(rng.choice([0, 0, 1, 2, 4])):
+            t[rng.randrange(60)] = rng.choice(words)
+        rows.append((k, " ".join(t)))
+    monkeypatch.setattr(jaccard, "MEMBERS", 7)
+    monkeypatch.setattr(jaccard, "LIST", 5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs).collect())
+    assert got == sorted(brute(rows, 4, 85)) and len({c for *_, c in got}) > 3
+
+
 def test_empty_table(spark):
     assert jaccard.jaccard_components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
