@@ -34,6 +34,21 @@ TEMPLATES = {
     "apache-2.0-notice": "Licensed under the Apache License Version 2.0 the License you may not use <<any:4>> except in compliance with the License You may obtain a copy of the License at <<optional>>http<<end>> <<optional>>https<<end>> www apache org licenses LICENSE 2.0 <<optional>>txt<<end>> <<optional>>html<<end>> Unless required by applicable law or agreed to in writing software distributed under the License is distributed on an as is basis without warranties or conditions of any kind either express or implied See the License for the specific language governing permissions and limitations under the License",
     "unlicense-text": "This is free and unencumbered software released into the public domain Anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or <<either>>non commercial<<or>>noncommercial<<end>> and by any means In jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law the Software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and <<either>>noninfringement<<or>>non infringement<<end>> in no event shall <<any:20>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the Software or the use or other dealings in the Software",
 }
+
+
+def _gnu_notice(licence: str, version: str) -> str:
+    """The notice of a GNU licence, which names the licence three times."""
+    return f"is free software you can redistribute it and or modify it under the terms of the GNU {licence} as published by the Free Software Foundation <<either>>either version {version} of the License or at your option any later version<<or>>version {version} <<optional>>of the License<<end>><<end>> <<any:8>> is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose See the GNU {licence} for more details"
+
+
+TEMPLATES |= {
+    "gpl-2.0-notice": _gnu_notice("General Public License", "2"),
+    "gpl-3.0-notice": _gnu_notice("General Public License", "3"),
+    "lgpl-2.1-notice": _gnu_notice("Lesser General Public License", "2.1"),
+    "lgpl-3.0-notice": _gnu_notice("Lesser General Public License", "3"),
+    "agpl-3.0-notice": _gnu_notice("Affero General Public License", "3"),
+    "mpl-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License v 2.0 If a copy of the MPL was not distributed with this file You can obtain one at <<optional>>http<<end>> <<optional>>https<<end>> <<optional>>www<<end>> mozilla org MPL 2.0",
+}
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = {k: k + 32 for k in range(65, 91)}
 _MARK = re.compile(r"<<(optional|either|or|end|any:\d+)>>")
@@ -120,7 +135,9 @@ class Scanner:
         self.phrases = [(tuple(words(p)), label) for p, label in (PHRASES if phrases is None else phrases).items()]
         self.automata = {k: Automaton(t) for k, t in (TEMPLATES if templates is None else templates).items()}
         firsts = {p[0] for p, _ in self.phrases} | {a for x in self.automata.values() for a in x.anchors}
-        self.by_first = {f: ([(p, l) for p, l in self.phrases if p[0] == f], [(l, x) for l, x in self.automata.items() if f in x.anchors or None in x.anchors]) for f in firsts if f}
+        self.by_first = {f: ([(p, l) for p, l in self.phrases if p[0] == f], [(l, x) for l, x in self.automata.items() if f in x.anchors and None not in x.anchors]) for f in firsts if f}
+        #: Templates that may begin with any word.
+        self.anywhere = [(l, x) for l, x in self.automata.items() if None in x.anchors]
 
     def scan(self, text: str) -> dict:
         """n_words, base places (start, label), template spans (start, end, label)."""
@@ -138,6 +155,10 @@ class Scanner:
                 for l, x in automata:
                     if l in live and (end := x.match(w, k)) > 0:
                         spans.append((k, end, l))
+            for l, x in self.anywhere:
+                if l in live:
+                    spans += ((k, end, l) for k in range(len(w)) if (end := x.match(w, k)) > 0)
+            spans.sort()
         return {"n_words": len(w), "base": base, "spans": spans}
 
 

@@ -233,3 +233,55 @@ def test_template_markup():
     assert a.match(w("alpha beta x y gamma delta"), 0) == 6
     assert a.match(w("alpha beta x y z gamma delta"), 0) == -1
     assert a.match(w("alpha beta delta"), 0) == -1
+
+
+def as_regex(template):
+    """A template as a pattern over words that each end in a space: an independent reading of the markup."""
+    import re
+
+    out, at = "", 0
+    for m in re.finditer(r"<<(optional|either|or|end|any:\d+)>>", template):
+        out += "".join(re.escape(w) + " " for w in licenses.words(template[at : m.start()]))
+        at = m.end()
+        kind = m[1]
+        out += {"optional": "(?:(?:", "either": "(?:(?!)|(?:", "or": ")|(?:"}.get(kind, "")
+        if kind.startswith("any"):
+            out += rf"(?:\S+ ){{0,{kind[4:]}}}"
+        if kind == "end":
+            out += "END"
+    out += "".join(re.escape(w) + " " for w in licenses.words(template[at:]))
+    # an optional's end may be empty, an either's not
+    parts, opened = re.split(r"(\(\?:\(\?:|\(\?:\(\?!\)\|\(\?:|END)", out), []
+    for k, x in enumerate(parts):
+        if x == "(?:(?:":
+            opened.append("))?")
+        elif x == "(?:(?!)|(?:":
+            opened.append("))")
+        elif x == "END":
+            parts[k] = opened.pop()
+    return re.compile(r"(?<!\S)" + "".join(parts))
+
+
+def test_template_labels_against_patterns(spark, sf):
+    texts = [r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    rng = random.Random(8)
+    import re
+
+    for label, template in licenses.TEMPLATES.items():
+        plain = re.sub(r"<<any:\d+>>", "the software", re.sub(r"<<or>>.*?<<end>>", "<<end>>", template))
+        plain = re.sub(r"<<\w+>>", "", plain)
+        texts += [plain, "Copyright 2020. " + plain + " And more.", " ".join(w for w in plain.split() if rng.random() > 0.02)]
+    every = {k: as_regex(t) for k, t in licenses.TEMPLATES.items()}
+    scanner = licenses.Scanner()
+    hit = 0
+    for t in texts:
+        line = "".join(w + " " for w in licenses.words(t))
+        want = {k for k, p in every.items() if p.search(line)}
+        assert {l for *_, l in scanner.scan(t)["spans"]} == want, t[:200]
+        hit += len(want)
+    assert hit >= 2 * len(every)
+
+
+def test_templates_may_begin_with_any_words():
+    s = licenses.Scanner({}, {"x": "<<any:2>> grants rights"})
+    assert [(a, b) for a, b, _ in s.scan("the owner grants rights")["spans"]] == [(0, 4), (1, 4), (2, 4)]
