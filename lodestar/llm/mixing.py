@@ -18,10 +18,10 @@ from lodestar.llm.common import written
 
 #: Relative miss of a source's target at which Newton's iteration ends, and steps at most.
 TOLERANCE, STEPS = 1e-9, 80
-#: Histogram rows up to which it is broadcast; 24 bytes each. Beyond, the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Bytes up to which a table is broadcast. Beyond, the join shuffles, each key in SALTS parts. The plan changes, not the result.
+BROADCAST_BYTES, SALTS = 16 << 20, 32
 #: Documents of one source and size that one task ranks.
-RANKED = 4096
+RANKED = 512
 
 
 def ranked_sources(sizes: DataFrame) -> DataFrame:
@@ -68,7 +68,8 @@ def tilted_rates(hist: DataFrame, targets: DataFrame, limit: float = 2.0) -> Dat
     kept within a shrinking bracket. Sources without words, or whose target is the limit, need no steps.
     """
     h = written(hist, "histogram")
-    scale = h.groupBy("source").agg((F.sum(F.col("n") * F.col("size") * F.col("size")) / F.greatest(F.sum(F.col("n") * F.col("size")), F.lit(1))).alias("scale"))
+    wide = lambda c: c.cast("decimal(38,0)")
+    scale = h.groupBy("source").agg((F.sum(wide(wide(F.col("n")) * F.col("size") * F.col("size"))).cast("double") / F.greatest(F.sum(F.col("n") * F.col("size")), F.lit(1))).alias("scale"))
     scale = scale.withColumnRenamed("source", "s")
     state = targets.select("source", "target", "source_size").join(scale, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     state = state.withColumn("x", F.log(F.least(F.lit(limit), F.greatest(F.col("target") / F.greatest("source_size", F.lit(1)), F.lit(1e-12))))).withColumn("lo", F.lit(-1e9)).withColumn("hi", F.lit(1e9))
@@ -77,7 +78,7 @@ def tilted_rates(hist: DataFrame, targets: DataFrame, limit: float = 2.0) -> Dat
     state = written(state, "dual")
     z = F.col("size") / F.greatest("scale", F.lit(1e-9))
     tilt = F.when(F.col("x") * z >= F.log(F.lit(limit)), F.lit(limit)).otherwise(F.exp(F.col("x") * z))
-    few = _small(state)
+    few = _small(state, "source")
     for _ in range(STEPS):
         live = state.where("not ended")
         if live.isEmpty():
@@ -85,7 +86,9 @@ def tilted_rates(hist: DataFrame, targets: DataFrame, limit: float = 2.0) -> Dat
         j = h.withColumnRenamed("source", "s").join(F.broadcast(live) if few else live, F.col("s").eqNullSafe(F.col("source")))
         rate = tilt
         mass = F.col("n") * F.col("size")
-        g = j.groupBy("source").agg(F.sum(mass * rate).alias("got"), F.sum(F.when(rate < limit, mass * z * rate).otherwise(0.0)).alias("slope"))
+        # sums of decimals are the same in any order, so every run takes the same steps
+        exact = lambda c: F.sum(c.cast("decimal(38,12)")).cast("double")
+        g = j.groupBy("source").agg(exact(mass * rate).alias("got"), exact(F.when(rate < limit, mass * z * rate).otherwise(0.0)).alias("slope"))
         j2 = state.join(g.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
         miss = F.col("got") - F.col("target")
         lo = F.when(miss < 0, F.col("x")).otherwise(F.col("lo"))
@@ -99,9 +102,10 @@ def tilted_rates(hist: DataFrame, targets: DataFrame, limit: float = 2.0) -> Dat
     return h.join(s, F.col("source").eqNullSafe(F.col("s"))).select("source", "size", "n", F.round(tilt, 9).alias("rate"))
 
 
-def _small(df: DataFrame, rows: int = 100_000) -> bool:
-    """Whether a table has so few rows that it may be broadcast."""
-    return df.limit(rows + 1).count() <= rows
+def _small(df: DataFrame, *texts: str) -> bool:
+    """Whether a table may be broadcast: at most BROADCAST_BYTES, by the lengths of its texts and 80 bytes a row."""
+    each = sum((F.coalesce(F.octet_length(t), F.lit(0)) for t in texts), F.lit(80)).cast("long")
+    return (df.agg(F.sum(each)).head()[0] or 0) <= BROADCAST_BYTES
 
 
 def _quotas(table: pa.Table, limit: int) -> pa.Table:
@@ -136,8 +140,12 @@ def mix_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share
     t = targets.withColumnRenamed("source", "ts")
     joined = rates.join(t, F.col("source").eqNullSafe(F.col("ts"))).select("source", "size", "n", "rate", "source_size", "target")
     rows = written(joined.groupBy("source").applyInArrow(lambda x: _quotas(x, limit), "hs string, hz long, n long, rate double, quota long, source_size long, target double"), "quotas")
-    side = F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
-    j = d.join(side, F.col("source").eqNullSafe(F.col("hs")) & (F.col("size") == F.col("hz")))
+    same = F.col("source").eqNullSafe(F.col("hs")) & (F.col("size") == F.col("hz"))
+    if _small(rows, "hs"):
+        j = d.join(F.broadcast(rows), same)
+    else:
+        salted = rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+        j = d.join(salted, same & (F.pmod(F.xxhash64("tie", "doc_id"), F.lit(SALTS)) == F.col("salt"))).drop("salt")
     j = j.withColumn("sub", F.pmod("tie", F.ceil(F.col("n") / RANKED)).cast("long"))
     # a document's place among those of its source and size, in two levels
     c = j.groupBy("source", "size", "sub").agg(F.count("*").alias("held"))
