@@ -13,33 +13,33 @@ import os
 import uuid
 import zlib
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import map_arrow, shared_path, stream_arrow, written
+from lodestar.llm.common import map_arrow, passes, qualified, shared_path, stream_arrow, wanted_filter, written
 
 #: Uncompressed bytes from which a new archive begins; a record is never split.
 ARCHIVE_BYTES = 32 << 20
 #: Payloads shorter than this are stored whole even if repeated.
 REVISIT_BYTES = 100
+#: Repeated payloads up to which their first holders are sent to all tasks, about 9 MB. The plan changes, not the result.
+FEW = 100_000
 _CHUNK = 1 << 18
 
 
 class Store:
-    """Files of a shared folder: local paths directly, other file systems through pyarrow."""
+    """Files of a shared folder by a URI with its scheme: file: directly, other file systems through pyarrow."""
 
     def __init__(self, uri: str):
         if uri.startswith("file:"):
             self.fs, self.root = None, "/" + uri[5:].lstrip("/")
             os.makedirs(self.root, exist_ok=True)
-        elif "://" in uri:
+        else:
             from pyarrow import fs
 
             self.fs, self.root = fs.FileSystem.from_uri(uri)
-        else:
-            self.fs, self.root = None, uri
-            os.makedirs(self.root, exist_ok=True)
 
     def create(self, name: str):
         return open(f"{self.root}/{name}", "wb") if self.fs is None else self.fs.open_output_stream(f"{self.root}/{name}", compression=None)
@@ -209,24 +209,45 @@ def archived(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
     """Write every page as a WARC record, then read all archives back.
 
     Of pages with equal payloads of REVISIT_BYTES or more, that of smallest page_id is a response and the
-    others are revisits that refer to it; of rows that repeat such an id too, one is the response. Null ids
-    sort last; a group of null ids only has no one to refer to and is all responses. A null html is empty,
-    a null url too. Other columns are ignored. A response's stored body must have the digest its header says.
+    others are revisits that refer to it; of rows that repeat such an id the smallest url decides, then any one
+    of them, as they are equal. Null ids sort last; a group of null ids only has no one to refer to and is all
+    responses. A null html is empty, a null url too. Other columns are ignored. A response's stored body must
+    have the digest its header says.
     """
     spark = pages.sparkSession
-    folder = folder or shared_path(spark, "warc")
-    p = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8").alias("payload"))
+    folder = qualified(spark, folder) if folder else shared_path(spark, "warc")
+    p = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8").alias("payload"))
     p = p.withColumn("n", F.octet_length("payload").cast("long")).withColumn("digest", F.sha2("payload", 256))
-    p = p.withColumn("row", F.monotonically_increasing_id())
-    # first holders of repeated payloads; only digests are shuffled
-    first = p.where(F.col("n") >= REVISIT_BYTES).groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull(), "page_id", "row")).alias("x"), F.count("*").alias("c"))
-    first = written(first.where("c > 1 and x.page_id is not null").select(F.col("digest").alias("fd"), F.col("x.page_id").alias("first"), F.col("x.row").alias("first_row")), "first")
-    # 100,000 rows are about 9 MB
-    side = F.broadcast(first) if first.limit(100_001).count() <= 100_000 else first
-    j = p.join(side, p["digest"] == F.col("fd"), "left")
-    revisit = F.col("first").isNotNull() & (F.col("row") != F.col("first_row"))
-    j = j.withColumn("kind", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("first")))
-    index = written(write_archives(j, folder), "index")
+    # first holders of repeated payloads; only digests, ids and urls are shuffled
+    same = p.where(F.col("n") >= REVISIT_BYTES).groupBy("digest", "page_id", "url").agg(F.count("*").alias("c"))
+    first = same.groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull(), "page_id", "url", "c")).alias("x"), F.sum("c").alias("all"))
+    first = first.where("all > 1 and x.page_id is not null").select(F.col("digest").alias("fd"), F.col("x.page_id").alias("first"), F.col("x.url").alias("first_url"), F.col("x.c").alias("times"))
+    first = written(first, "first")
+    count = first.count()
+    if count <= FEW:
+        j = p.join(F.broadcast(first), p["digest"] == F.col("fd"), "left")
+    else:
+        # payloads that surely come once stay where they are; the filter is of bounded size
+        bits = spark.sparkContext.broadcast(wanted_filter(first.select(F.xxhash64("fd").alias("h")), count))
+
+        @F.pandas_udf("boolean")
+        def maybe(h: pd.Series) -> pd.Series:
+            return pd.Series(passes(h.to_numpy(), bits.value))
+
+        again = maybe(F.xxhash64("digest"))
+        once = p.where(~again).select("*", F.lit(None).cast("string").alias("fd"), F.lit(None).cast("long").alias("first"), F.lit(None).cast("string").alias("first_url"), F.lit(None).cast("long").alias("times"))
+        j = once.unionByName(p.where(again).join(first, F.col("digest") == F.col("fd"), "left"))
+    leads = F.col("page_id").eqNullSafe(F.col("first")) & (F.col("url") == F.col("first_url"))
+    known = F.col("first").isNotNull()
+    j = j.withColumn("kind", F.when(known & ~leads, "revisit").otherwise("response")).withColumn("refers_to", F.when(known & ~leads, F.col("first")))
+    # rows that are equal in id, url and payload: of each group one is the response
+    alike = known & leads & (F.col("times") > 1)
+    cols = ["page_id", "url", "payload", "digest", "n", "kind", "refers_to"]
+    one = j.where(alike).groupBy("page_id", "url", "digest").agg(F.first("payload").alias("payload"), F.first("n").alias("n"), F.first("times").alias("times"))
+    one = one.select("*", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("k")).withColumn("kind", F.when(F.col("k") == 1, "response").otherwise("revisit")).withColumn("refers_to", F.when(F.col("k") > 1, F.col("page_id")))
+    rows = j.where(~F.coalesce(alike, F.lit(False))).select(cols)
+    rows = rows.unionByName(one.select(cols)) if not first.where("times > 1").isEmpty() else rows
+    index = written(write_archives(rows, folder), "index")
     back = read_archives(index, folder)
     sound = F.when((F.col("record_type") == "response") & ((F.col("body_digest") != F.col("payload_digest")) | (F.col("body_bytes") != F.col("payload_bytes"))), F.raise_error(F.concat(F.lit("a stored payload differs: page "), F.col("page_id")))).otherwise(F.col("payload_digest"))
     return back.select("page_id", "url", "payload_bytes", sound.alias("payload_digest"), "record_type", "refers_to")
