@@ -30,18 +30,22 @@ def _add(f, sql: str | None = None):
 
 
 def op1_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of each row of embeddings whose id is divisible by 20."""
     return nearest(table(spark, sf_dir, "embeddings"), k=20, every=20)
 
 
 def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced: (doc_id, text, n_entities)."""
     return replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op3_wav_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as WAV, read back, with its spectral-peak pairs as arrays (the media themselves are the operator's keep=True)."""
     return text_media(table(spark, sf_dir, "documents"), keep=False)
 
 
 def op4_bpe_prefix_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded and decoded: counts and digests."""
     return bpe_encode(table(spark, sf_dir, "documents"), digests=True)
 
 
@@ -51,28 +55,34 @@ def held_out(id_col: str = "doc_id"):
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learned from the rows that aren't held out."""
     docs = table(spark, sf_dir, "documents")
     raw = dictionaries(docs.where(~held_out()))
     return identify(docs, raw).withColumn("held_out", held_out()).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
 def op6_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base phrases and template labels of every document."""
     return scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
 
 
 def op7_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's copies in the mix of its source's target."""
     return mix_documents(table(spark, sf_dir, "documents"))
 
 
 def op8_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a WARC record, written, normalised and read back."""
     return archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visible text of every page."""
     return extract_text(table(spark, sf_dir, "pages"))
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component of four-word shingle sets at 85 %."""
     return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 

@@ -1,8 +1,10 @@
 """Surrogate generation for personal data, with DataFrame functions only.
 
-Detected entities get keyed replacements of the same kind, format, script and, for names after a title,
-gender. The same value gets the same surrogate everywhere (coreference); a collision check over all values
-keeps different values different and away from any value that really occurs.
+Detected entities get keyed replacements of the same kind, format, script and, for names, gender. A value is
+known by its normal form (names and addresses without case, numbers without punctuation), so one entity has one
+surrogate however it is written, and each mention is written in the format of the original. A person's words
+also change where they stand without a title in the same text. A collision check over all values keeps
+different values different and away from any value that really occurs.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import written
+from lodestar.llm.common import dropped, written
 
 MALE_TITLES = "Mr|Herr|Hr|Señor|Sr|Don|Monsieur|Господин|господин|Κύριος|κύριος"
 FEMALE_TITLES = "Mrs|Ms|Miss|Frau|Fr|Señora|Sra|Señorita|Srta|Doña|Madame|Mme|Mademoiselle|Mlle|Госпожа|госпожа|Κυρία|κυρία"
@@ -21,7 +23,7 @@ NEUTRAL_TITLES = "Mx|Dr|Prof|Professor|Доктор|доктор"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
     "aws_key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
-    "ipv4": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\w]|\.\d)",
+    "ipv4": r"(?<![\w.])(?<!(?i:version|release|ver\.|v\.)\s{0,2})(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\w]|\.\d)",
     "card": r"\b(?:4\d{3}|5[1-5]\d{2}|2[2-7]\d{2}|6011|65\d{2})([ \-]?)\d{4}\1\d{4}\1\d{4}\b|\b3[47]\d{2}[ \-]?\d{6}[ \-]?\d{5}\b|\b4\d{12}\b",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ssn": r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])",
@@ -54,8 +56,13 @@ SYLLABLES = {
     "greek": "βα γα δα κα λα μα να πα ρα σα τα βε κε λε με νε ρε σε τε βι λι μι νι",
 }
 ENDINGS = {"latin": "son man ner berg ton ley sen well", "cyrillic": "енко ин ов ук", "greek": "ίδης άκης όπουλος έλης"}
-#: Rounds of collision checks; each leaves a vanishing part to the next.
-ROUNDS = 40
+#: Rounds of collision checks, each leaving a vanishing part to the next; what is left gets a longer form by hash.
+ROUNDS = 24
+#: Longest lengths that values of a kind keep; from this round on a drawn value grows by one character a round.
+GROWS = 8
+#: Calling codes after a plus sign (fixed values of the numbering plan): one digit, two digits, else three.
+CALLING_CODE = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+NAMES = ("surname", "given")
 
 
 def _lit_words(x: str) -> Column:
@@ -103,8 +110,27 @@ def _luhn(value: Column) -> Column:
     return F.concat(body, F.pmod(-total, F.lit(10)).cast("string"))
 
 
-def _surrogate(kind: Column, value: Column, key: str, attempt: int) -> Column:
-    """The attempt's keyed surrogate of a value."""
+def _normal(kind: Column, value: Column) -> Column:
+    """What a value is known by, whatever its case and punctuation."""
+    digits = F.regexp_replace(value, "[^0-9+]", "")
+    return F.when(kind.isin("email", *NAMES), F.lower(value)).when(kind.isin("phone", "card", "ssn"), digits).when(kind == "iban", F.replace(value, F.lit(" "), F.lit(""))).otherwise(value)
+
+
+def _written(kind: Column, value: Column, new: Column) -> Column:
+    """The surrogate of a normal form in the format of a value: separators at their places, names and addresses in its case."""
+    upper = (value == F.upper(value)) & (F.length(value) > 1)
+    plus = F.when(new.startswith("+"), 1).otherwise(0)  # the value's own plus sign is kept
+    filled = F.aggregate(
+        F.split(value, ""),
+        F.struct(F.lit("").alias("out"), F.lit(1).alias("at")),
+        lambda acc, c: F.when(c.rlike("[0-9A-Za-z]"), F.struct(F.concat(acc["out"], F.substring(new, acc["at"] + plus, F.lit(1))).alias("out"), (acc["at"] + 1).alias("at"))).otherwise(F.struct(F.concat(acc["out"], c).alias("out"), acc["at"].alias("at"))),
+        lambda acc: F.concat(acc["out"], F.substring(new, acc["at"] + plus, F.length(new))),
+    )
+    return F.when(kind.isin(*NAMES), F.when(upper, F.upper(new)).when(value == F.lower(value), F.lower(new)).otherwise(new)).when((kind == "email") & upper, F.upper(new)).when(kind.isin("phone", "card", "ssn", "iban"), filled).otherwise(new)
+
+
+def _surrogate(kind: Column, value: Column, gender: Column, key: str, attempt: int) -> Column:
+    """The attempt's keyed surrogate of a normal form."""
     seed = F.concat_ws("|", F.lit(key), kind, value, F.lit(str(attempt)))
     noise = _bytes(seed, F.lit(24))
     at = lambda i: F.element_at(noise, i)
@@ -115,41 +141,53 @@ def _surrogate(kind: Column, value: Column, key: str, attempt: int) -> Column:
     local = F.substring_index(value, "@", 1)
     longer = F.lit("") if attempt < 3 else letters(F.slice(noise, 1, attempt))  # short values run out of room
     email = F.concat(_alike(local, seed, F.lit(0)), longer, F.lit("@"), letters(d), F.lit(".example"))
+    grown = F.lit("") if attempt < GROWS else F.array_join(F.transform(F.slice(noise, 1, attempt - GROWS + 1), lambda b: F.pmod(b, F.lit(10)).cast("string")), "")
     reserved = (F.lit(240) + F.pmod(at(1), F.lit(15))) if attempt < 8 else F.lit(1) + F.pmod(at(1), F.lit(254))
-    ip = F.concat_ws(".", reserved.cast("string"), *(at(i).cast("string") for i in (2, 3, 4)))
+    ip = F.concat_ws(".", reserved.cast("string"), *(at(i).cast("string") for i in range(2, 5 if attempt < 2 * GROWS else 6)))
     script = F.when(value.rlike(r"\p{IsCyrillic}"), "cyrillic").when(value.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
     by_script = lambda f: reduce(lambda out, s: F.when(script == s, f(s)).otherwise(out), ("cyrillic", "greek"), f("latin"))
     more = lambda s, n, first: F.concat(*(_pick(_lit_words(SYLLABLES[s]), number(first + 2 * i)) for i in range(n)))
     surname = by_script(lambda s: F.concat(F.initcap(more(s, 2 + attempt // 4, 3)), _pick(_lit_words(ENDINGS[s]), number(1))))
     extra = 0 if attempt < 2 else 1 + min(attempt // 4, 4)
     given = lambda g: by_script(lambda s: F.concat(_pick(_lit_words(GIVEN[g, s]), number(1)), more(s, extra, 3) if extra else F.lit("")))
-    cased = lambda x: F.when((value == F.upper(value)) & (F.length(value) > 1), F.upper(x)).otherwise(x)
-    prefix = F.length(F.regexp_extract(value, r"^\+\d{1,3}(?=[ .\-(])", 0))
-    out = _alike(value, seed, F.when(kind == "aws_key", 4).when(kind == "iban", 2).when(kind == "phone", prefix).otherwise(0))
-    out = F.when(kind == "card", _luhn(_alike(value, seed, F.lit(1)))).when(kind == "ssn", F.concat(F.lit("9"), F.substring(_alike(value, seed, F.lit(0)), 2, 20))).otherwise(out)
+    prefix = F.length(F.regexp_extract(value, CALLING_CODE, 0))
+    out = F.concat(_alike(value, seed, F.when(kind == "aws_key", 4).when(kind == "iban", 2).when(kind == "phone", prefix).otherwise(0)), grown)
+    out = F.when(kind == "card", _luhn(F.concat(_alike(value, seed, F.lit(1)), grown))).when(kind == "ssn", F.concat(F.lit("9"), F.substring(_alike(value, seed, F.lit(0)), 2, 20), grown)).otherwise(out)
     out = F.when(kind == "email", email).when(kind == "ipv4", ip).otherwise(out)
-    out = F.when(kind == "surname", cased(surname)).when(kind == "given_m", cased(given("m"))).when(kind == "given_f", cased(given("f"))).when(kind == "given_n", cased(given("n"))).otherwise(out)
-    return out
+    return F.when(kind == "surname", surname).when(kind == "given", F.when(gender == "m", given("m")).when(gender == "f", given("f")).otherwise(given("n"))).otherwise(out)
 
 
 def surrogate_table(values: DataFrame, key: str) -> DataFrame:
-    """(kind, value, surrogate) for distinct (kind, value): one surrogate each, no two alike within a kind and
-    none equal to an occurring value. A value keeps its first draw unless a smaller value drew the same."""
-    values = written(values.select("kind", "value").distinct(), "values")
-    done: DataFrame | None = None
+    """(kind, value, surrogate) for distinct normal forms (kind, value, gender): one surrogate each, no two alike
+    and none equal to an occurring value, within a kind; all words of names count as one kind. A value keeps its
+    first draw unless a smaller value drew the same or the draw occurs; formats that run out of room get longer."""
+    spark = values.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kin = F.when(F.col("kind").isin(*NAMES), "name").otherwise(F.col("kind")).alias("kin")
+    plain = lambda c: F.when(F.col("kin") == "name", F.lower(c)).otherwise(F.col(c))
+    gender = F.col("gender") if "gender" in values.columns else F.lit("n").alias("gender")
+    # many small parts: drawing costs far more than reading
+    values = written(values.select("kind", "value", gender, kin).dropDuplicates(["kind", "value"]).repartition(parts, "kind", "value"), "values")
+    taken = values.select("kin", F.col("value").alias("plain"))
+    won_so_far: DataFrame | None = None
     open_ = values
-    for attempt in range(ROUNDS):
-        drawn = open_.withColumn("surrogate", _surrogate(F.col("kind"), F.col("value"), key, attempt))
-        first = drawn.groupBy("kind", "surrogate").agg(F.min("value").alias("first"))
-        free = first.join(values.select("kind", F.col("value").alias("surrogate")), ["kind", "surrogate"], "left_anti")
-        if done is not None:
-            free = free.join(done.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
-        won = written(free.select("kind", F.col("first").alias("value"), "surrogate"), "surrogates")
-        done = won if done is None else done.unionByName(won)
-        open_ = written(open_.join(won, ["kind", "value"], "left_anti"), "open")
+    for attempt in range(ROUNDS + 1):
+        new = _surrogate(F.col("kind"), F.col("value"), F.col("gender"), key, attempt)
+        if attempt == ROUNDS:  # a hash of the value tells it from all others
+            new = F.concat(new, F.sha2(F.concat_ws("|", F.lit(key), "kind", "value"), 256))
+        drawn = open_.repartition(parts, "kind", "value").withColumn("surrogate", new)
+        first = drawn.withColumn("plain", plain("surrogate")).groupBy("kin", "plain").agg(F.min(F.struct("value", "kind", "surrogate")).alias("x"))
+        free = first.join(taken, ["kin", "plain"], "left_anti")
+        if won_so_far is not None:
+            free = free.join(won_so_far.select("kin", "plain"), ["kin", "plain"], "left_anti")
+        won = written(free.select("kin", "plain", "x.kind", "x.value", "x.surrogate"), "surrogates")
+        won_so_far = won if won_so_far is None else won_so_far.unionByName(won)
+        after = written(open_.join(won, ["kind", "value"], "left_anti"), "open")
+        dropped(open_ if attempt else None)
+        open_ = after
         if open_.isEmpty():
-            return done
-    raise ValueError("a kind of value has more members than its format can tell apart")
+            break
+    return won_so_far.select("kind", "value", "surrogate")
 
 
 def _units(hit: Column) -> Column:
@@ -158,18 +196,26 @@ def _units(hit: Column) -> Column:
     title = F.regexp_extract(hit, r"^(\p{L}+)\.? ", 1)
     gender = F.when(title.rlike(f"^(?:{MALE_TITLES})$"), "m").when(title.rlike(f"^(?:{FEMALE_TITLES})$"), "f").otherwise("n")
     words = F.split(F.regexp_replace(hit, r"^\p{L}+\.? ", ""), " ")
-    named = F.transform(words, lambda w, i: F.struct(F.when(i == F.size(words) - 1, F.lit("surname")).otherwise(F.concat(F.lit("given_"), gender)).alias("kind"), w.alias("value")))
+    named = F.transform(words, lambda w, i: F.struct(F.when(i == F.size(words) - 1, F.lit("surname")).otherwise("given").alias("kind"), w.alias("value"), gender.alias("gender")))
     lead = F.when(kind == "name", F.regexp_extract(hit, r"^\p{L}+\.? ", 0)).otherwise("")
-    return F.struct(lead.alias("lead"), F.when(kind == "name", named).otherwise(F.array(F.struct(kind.alias("kind"), hit.alias("value")))).alias("units"))
+    return F.struct(lead.alias("lead"), F.when(kind == "name", named).otherwise(F.array(F.struct(kind.alias("kind"), hit.alias("value"), F.lit("n").alias("gender")))).alias("units"))
+
+
+def _bare(text: Column, names: Column, gap: Column) -> Column:
+    """text with each of the names' words replaced where it stands alone."""
+    edge = "(?<![\\p{L}\\p{N}])"
+    end = "(?![\\p{L}\\p{N}])"
+    return F.aggregate(names, text, lambda acc, x: F.regexp_replace(acc, F.concat(F.lit(edge), x["value"], F.lit(end)), F.concat(gap, x["new"], gap)))
 
 
 def replace_pii(docs: DataFrame, text_col: str = "text", key: str = "lodestar", count_col: str | None = "n_entities") -> DataFrame:
     """docs with every detected value in text_col replaced by its surrogate, whole texts, all columns and rows
     kept, and the number of values in count_col (None: not told).
 
-    A null text stays null and counts 0; a text without values stays as it is. A column of docs named
-    count_col is replaced; other names of the input can't clash. The same key gives the same surrogates on
-    the same table.
+    A null text stays null and counts 0; a text without values stays as it is. A name is found by its title; its
+    words change in the rest of the same text too. A given name's gender is that of most of its titles. A column
+    of docs named count_col is replaced; other names of the input can't clash. The same key gives the same
+    surrogates on the same table.
     """
     text = F.col(f"`{text_col}`")
     lone = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row")
@@ -180,11 +226,22 @@ def replace_pii(docs: DataFrame, text_col: str = "text", key: str = "lodestar",
     found = found.groupBy(F.md5("__text").alias("id"), F.xxhash64("__text").alias("id2")).agg(F.first("hits").alias("hits"))
     found = written(found, "hits")
     units = found.select("id", "id2", F.posexplode("hits").alias("pos", "hit")).withColumn("u", _units(F.col("hit")))
-    units = units.select("id", "id2", "pos", "u.lead", F.posexplode("u.units").alias("part", "unit")).select("id", "id2", "pos", "lead", "part", "unit.kind", "unit.value")
-    table = surrogate_table(units.select("kind", "value"), key)
-    joined = units.join(table, ["kind", "value"]).groupBy("id", "id2", "pos").agg(F.concat(F.first("lead"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "surrogate"))), lambda x: x["surrogate"]), " ")).alias("new"))
-    lists = written(joined.groupBy("id", "id2").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "new"))), lambda x: x["new"]).alias("new")), "replacements")
+    units = units.select("id", "id2", "pos", "u.lead", F.posexplode("u.units").alias("part", "unit")).select("id", "id2", "pos", "lead", "part", "unit.kind", F.col("unit.value").alias("raw"), "unit.gender")
+    units = written(units.withColumn("value", _normal(F.col("kind"), F.col("raw"))), "units")
+    male, female = F.count_if(F.col("gender") == "m"), F.count_if(F.col("gender") == "f")
+    table = surrogate_table(units.groupBy("kind", "value").agg(F.when(female > male, "f").when(male > 0, "m").otherwise("n").alias("gender")), key)
+    named = units.join(table, ["kind", "value"]).withColumn("new", _written(F.col("kind"), F.col("raw"), F.col("surrogate")))
+    joined = named.groupBy("id", "id2", "pos").agg(F.concat(F.first("lead"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "new"))), lambda x: x["new"]), " ")).alias("new"), F.collect_list(F.when(F.col("kind").isin(*NAMES), F.struct((F.col("kind") == "given").alias("given"), F.col("raw").alias("value"), "new"))).alias("names"))
+    lists = joined.groupBy("id", "id2").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "new"))), lambda x: x["new"]).alias("new"), F.flatten(F.collect_list("names")).alias("names"))
+    # as written, and in capitals; where one word is a given name and a surname, the surname goes first
+    lists = lists.withColumn("names", F.sort_array(F.array_distinct(F.flatten(F.transform("names", lambda x: F.array(x, F.struct(x["given"].alias("given"), F.upper(x["value"]).alias("value"), F.upper(x["new"]).alias("new"))))))))
+    lists = written(lists, "replacements")
     parts = F.split("__text", ANY, -1)
+    # words of names elsewhere in the text; what is put in is fenced, so that no later word matches it
+    fence, seam = F.concat(F.lit("5"), "id", F.lit("5")), F.concat(F.lit("\uE002"), "id", F.lit("\uE002"))
+    whole = F.aggregate(parts, F.lit(None).cast("string"), lambda a, x: F.when(a.isNull(), x).otherwise(F.concat(a, seam, x)))
+    rest = F.replace(_bare(whole, F.col("names"), fence), fence, F.lit(""))
+    parts = F.when(F.size("names") > 0, F.split(rest, seam, -1)).otherwise(parts)
     new = F.array_join(F.zip_with(parts, F.col("new"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     # texts that may hold values meet their replacements; all others stay where they are
     some = d.where(hint).withColumns({"id": F.md5("__text"), "id2": F.xxhash64("__text")}).join(lists, ["id", "id2"], "left")
