@@ -34,15 +34,27 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
-def term_rank(words: Column, terms: list[str]) -> Column:
-    """Saturated frequencies of all terms, null unless every term occurs."""
-    held = lambda t: lambda w: w == F.lit(t)
-    tf = [F.size(F.filter(words, held(t))) for t in terms]
-    total = sum((F.round(c / (c + F.lit(1.2)), 6) for c in tf), F.lit(0.0))
-    every = F.lit(True)
-    for c in tf:
-        every = every & (c > 0)
-    return F.when(every & F.lit(bool(terms)), F.round(total, 6))
+def term_rank(text: Column, terms: list[str]) -> Column:
+    """Saturated frequencies of all terms in a text, null unless every term occurs.
+
+    Each term is counted by one pattern between word edges, so that no array of words is built; texts that
+    lack a term are told by a substring search.
+    """
+    if not terms:
+        return F.lit(None).cast("double")
+    low = F.lower(F.coalesce(text, F.lit("")))
+    letter = WORD[:-1]
+    count = lambda t: F.regexp_count(low, F.lit(f"(?<!{letter}){t}(?!{letter})"))
+    may = low.contains(terms[0])
+    for t in terms[1:]:
+        may = may & low.contains(t)
+
+    def score(tf):
+        part = [F.round(tf[k] / (tf[k] + F.lit(1.2)), 6) for k in range(len(terms))]
+        return F.when(F.forall(tf, lambda n: n > 0), F.round(sum(part, F.lit(0.0)), 6))
+
+    # a one-element array binds the counts
+    return F.when(may, F.element_at(F.transform(F.array(F.array(*map(count, terms))), score), 1))
 
 
 def clause_refs(text: Column) -> Column:

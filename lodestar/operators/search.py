@@ -11,11 +11,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestar.functions.text import term_rank, tokens
+from lodestar.functions.fulltext import cover_rank, text_query
+from lodestar.functions.text import term_rank
 from lodestar.functions.vector import similarity
 
-#: A query that names an identifier: a standard number or a dotted clause.
-IDENTIFIER = re.compile(r"\b(?:ISO|IEC|EN)\b|\d+(?:\.\d+)+", re.I)
+# What names an identifier, and what makes a query clause-heavy with the weights it then gets.
+IDENTIFIER = re.compile(r"[A-Za-z]+[-./]?[0-9]+|[0-9]+[A-Za-z]+|iso\s*[0-9]{3,5}|cl[aá]usula\s*[0-9]+(?:\.[0-9]+)*", re.I)
+CLAUSE_HEAVY = re.compile(r"\b(?:cl[aá]usula|clause|numeral|apartado|secci[oó]n|standard|scope)\b", re.I)
+CLAUSE_WEIGHTS = (0.55, 0.75)
+#: Queries of a batch that are sent to all tasks.
+BATCH = 1000
 
 
 def require_tenant(tenant) -> None:
@@ -49,16 +54,29 @@ def vector_hits(chunks: DataFrame, query: Sequence[float], n: int = 40, threshol
     return top(hit.where(s >= threshold if inclusive else s > threshold), n, F.desc("similarity"), F.col("id"))
 
 
-def text_hits(chunks: DataFrame, text: str, n: int = 40) -> DataFrame:
-    """Chunks that hold every word of the text, the n of highest rank."""
+def text_hits(chunks: DataFrame, text: str, n: int = 40, stemmed: bool = False) -> DataFrame:
+    """Chunks that match a search-box text, the n of highest cover density."""
+    hit = chunks.withColumn("text_rank", cover_rank(F.col("content"), text_query(text, stemmed), stemmed)).where("text_rank is not null")
+    return top(hit, n, F.desc("text_rank"), F.col("id"))
+
+
+def words_hits(chunks: DataFrame, text: str, n: int = 40) -> DataFrame:
+    """Chunks that hold every word of the text, the n of highest saturated term frequency."""
     terms = list(dict.fromkeys(re.findall("[0-9a-zà-öø-ÿ]+", text.lower())))
-    hit = chunks.withColumn("text_rank", term_rank(tokens(F.col("content")), terms)).where("text_rank is not null")
+    hit = chunks.withColumn("text_rank", term_rank(F.col("content"), terms)).where("text_rank is not null")
     return top(hit, n, F.desc("text_rank"), F.col("id"))
 
 
+def literal_match(text: str, *columns: Column) -> Column:
+    """Whether any of the columns holds the text itself in any case; a blank text matches nothing."""
+    t = text.strip().lower()
+    return reduce(lambda a, b: a | b, (F.lower(F.coalesce(c, F.lit(""))).contains(t) for c in columns)) if t else F.lit(False)
+
+
 def literal_hits(chunks: DataFrame, text: str, n: int = 40) -> DataFrame:
-    """Chunks that hold the text itself in any case, ordered by id."""
-    return top(chunks.where(F.lower("content").contains(text.strip().lower())), n, F.col("id"))
+    """Chunks that hold the text itself in content, context or scope, at rank 1.0, ordered by id."""
+    columns = [F.col(c) for c in ("content", "semantic_context", "scope") if c in chunks.columns]
+    return top(chunks.where(literal_match(text, *columns)).withColumn("text_rank", F.lit(1.0)), n, F.col("id"))
 
 
 def ranked(hits: DataFrame, channel: str, weight: float, *order: Column) -> DataFrame:
@@ -75,24 +93,123 @@ def rrf(lists: Sequence[DataFrame], k: int = 60) -> DataFrame:
 
 def channel_weights(text: str, vector: float = 0.7, words: float = 0.3) -> dict[str, float]:
     """Weights of the channels: exact and literal matches count more if the query names an identifier."""
+    vector, words = max(0.0, vector), max(0.0, words)
     if IDENTIFIER.search(text):
         return {"vector": vector, "text": min(words, 0.2), "exact": max(0.45, words * 1.6), "literal": 0.35}
     return {"vector": vector, "text": words, "exact": min(words, 0.2), "literal": 0.05}
 
 
+def clause_weights(text: str, vector: float = 0.7, words: float = 0.3) -> tuple[float, float]:
+    """(vector, words) weights: a clause-heavy query leans on words."""
+    return CLAUSE_WEIGHTS if CLAUSE_HEAVY.search(text) else (vector, words)
+
+
+def fused_channels(rows: DataFrame, channels: Sequence[tuple[str, float, Column]], n: int, k: int = 60, keys: Sequence[str] = ("id",)) -> DataFrame:
+    """(keys..., score, similarity, <channel>...) of channels (name, weight, value): each channel's n best by value
+    and id are ranked, the ranks fused, and the values kept; similarity is the greatest. keys: id last.
+
+    The rows are read once, whatever the number of channels: each row offers an entry for each channel it has a
+    value in, and every task cuts a channel to n rows before anything is shuffled.
+    """
+    entries = F.filter(F.array(*(F.struct(F.lit(c).alias("channel"), F.lit(float(w)).alias("weight"), v.cast("double").alias("value")) for c, w, v in channels)), lambda x: x["value"].isNotNull())
+    e = rows.select(*keys, F.explode(entries).alias("e")).select(*keys, "e.*")
+    w = Window.partitionBy(*keys[:-1], "channel").orderBy(F.desc("value"), keys[-1])
+    e = e.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max(1, int(n)))
+    value = lambda c: F.max(F.when(F.col("channel") == c, F.col("value")))
+    return e.groupBy(*keys).agg(F.round(F.sum(F.col("weight") / (F.lit(float(k)) + F.col("rank"))), 6).alias("score"), F.greatest(F.max("value"), F.lit(0.0)).alias("similarity"), *(value(c).alias(c) for c, _, _ in channels))
+
+
 def hybrid(chunks: DataFrame, query: Sequence[float], text: str, n: int = 40, threshold: float = 0.25, k: int = 60, vector: float = 0.7, words: float = 0.3, tenant=None, scopes: Sequence[str] = ()) -> DataFrame:
-    """(id, score, similarity) of vector, text, exact and literal channels over the scoped chunks, fused."""
+    """(id, score, similarity): vector, stemmed text, exact text and, for identifiers, literal channels fused over
+    the scoped chunks. similarity is the greatest value of a row's channels; a literal match counts 1."""
+    text = text.strip()
     c = scoped(chunks, tenant, scopes)
     w = channel_weights(text, vector, words)
-    v = vector_hits(c.select("id", "embedding"), query, n, threshold).select("id", "similarity")
-    t = text_hits(c.select("id", "content"), text, n).select("id", "text_rank")
-    lists = [ranked(v, "vector", w["vector"], F.desc("similarity"), F.col("id")), ranked(t, "text", w["text"], F.desc("text_rank"), F.col("id"))]
-    e = literal_hits(c.select("id", "content"), " ".join(text.split()), n).select("id")
-    lists.append(ranked(e, "exact", w["exact"], F.col("id")))
-    if IDENTIFIER.search(text):
-        lists.append(ranked(e, "literal", w["literal"], F.col("id")))
-    fused = rrf(lists, k).join(v, "id", "left")
-    return top(fused.select("id", "score", F.coalesce("similarity", F.lit(0.0)).alias("similarity")), n, F.desc("score"), F.desc("similarity"), F.col("id"))
+    s = similarity(F.col("embedding"), query)
+    channels = [("vector", w["vector"], F.when(s > threshold, s))]
+    if text:
+        channels += [("text", w["text"], cover_rank(F.col("content"), text_query(text, True), True)), ("exact", w["exact"], cover_rank(F.col("content"), text_query(text)))]
+        if IDENTIFIER.search(text):
+            columns = [F.col(x) for x in ("content", "semantic_context", "scope") if x in c.columns]
+            channels.append(("literal", w["literal"], F.when(literal_match(text, *columns), 1.0)))
+    return top(fused_channels(c, channels, n, k).select("id", "score", "similarity"), n, F.desc("score"), F.desc("similarity"), F.col("id"))
+
+
+def batch_hybrid(chunks: DataFrame, queries: Sequence[tuple[str, Sequence[float]]], n: int, threshold: float, k: int = 60) -> DataFrame:
+    """(query_id, id, similarity, text_rank, score): for each of a request's few queries (text, vector), numbered
+    from 1, the n best of vector and text channels of 2n rows each. One pass over the chunks for all queries."""
+    if not queries or n <= 0:
+        return chunks.sparkSession.createDataFrame([], "query_id int, id long, similarity double, text_rank double, score double")
+    asked = []
+    for i, (t, v) in enumerate(queries, 1):
+        s = similarity(F.col("embedding"), v)
+        rank = cover_rank(F.col("content"), text_query(t, True), True) if t.strip() else F.lit(None).cast("double")
+        asked.append(F.struct(F.lit(i).alias("query_id"), F.when(s > threshold, s).alias("sim"), rank.alias("rank")))
+    rows = chunks.select("id", F.explode(F.filter(F.array(*asked), lambda x: x["sim"].isNotNull() | x["rank"].isNotNull())).alias("x")).select("x.query_id", "id", "x.sim", "x.rank")
+    fused = fused_channels(rows, [("sim", 1.0, F.col("sim")), ("rank", 1.0, F.col("rank"))], 2 * n, k, ("query_id", "id"))
+    r = fused.withColumn("rn", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rn") <= n)
+    return r.select("query_id", "id", F.coalesce("sim", F.lit(0.0)).alias("similarity"), F.coalesce("rank", F.lit(0.0)).alias("text_rank"), "score")
+
+
+def under_path(path: Column, prefix: str | None) -> Column:
+    """Whether a dotted path is the prefix or below it; no prefix takes all."""
+    return F.lit(True) if not prefix else (path == prefix) | path.startswith(prefix + ".")
+
+
+def hierarchical(chunks: DataFrame, query: Sequence[float], text: str, n: int, threshold: float, prefix: str | None = None) -> DataFrame:
+    """batch_hybrid of one query over the chunks of a subtree of paths."""
+    return batch_hybrid(chunks.where(under_path(F.col("path"), prefix)), [(text, query)], n, threshold).drop("query_id")
+
+
+def scoped_vectors(chunks: DataFrame, query: Sequence[float], n: int, threshold: float, prefix: str | None) -> DataFrame:
+    """The n vectors nearest to a query below a path."""
+    return vector_hits(chunks.where(under_path(F.col("path"), prefix)), query, n, threshold)
+
+
+def filtered_vectors(chunks: DataFrame, query: Sequence[float], n: int, threshold: float, tenant, source_ids: Sequence = (), **equal) -> DataFrame:
+    """Vector search over a tenant's and global rows with optional filters: sources and columns that equal a value."""
+    c = scoped(chunks, tenant)
+    c = c.where(F.col("source_id").isin(list(source_ids))) if source_ids else c
+    for name, value in equal.items():
+        c = c.where(F.col(name) == F.lit(value))
+    return vector_hits(c, query, n, threshold)
+
+
+def summary_hits(summaries: DataFrame, query: Sequence[float], tenant, n: int = 5, threshold: float = 0.4) -> DataFrame:
+    """A tenant's summaries above the leaves."""
+    require_tenant(tenant)
+    return vector_hits(scoped(summaries, tenant, include_global=False).where("level > 0"), query, n, threshold)
+
+
+def entity_hits(entities: DataFrame, query: Sequence[float], tenant, n: int = 8, threshold: float = 0.72) -> DataFrame:
+    """A tenant's entities at or above the threshold."""
+    require_tenant(tenant)
+    return vector_hits(scoped(entities, tenant, include_global=False), query, n, threshold, inclusive=True)
+
+
+def community_hits(communities: DataFrame, query: Sequence[float], tenant, level: int = 0, n: int = 5, threshold: float = 0.25) -> DataFrame:
+    """A tenant's communities of one level at or above the threshold."""
+    require_tenant(tenant)
+    return vector_hits(scoped(communities, tenant, include_global=False).where(F.col("level") == level), query, n, threshold, inclusive=True)
+
+
+def inspect_document(chunks: DataFrame, query: Sequence[float], text: str, n: int, threshold: float, source_id) -> DataFrame:
+    """(id, score, vector, text) over one document's chunks that either channel has; ranks of both are fused."""
+    s = similarity(F.col("embedding"), query)
+    one = chunks.where(F.col("source_id") == F.lit(source_id))
+    f = fused_channels(one, [("vector", 1.0, F.when(s > threshold, s)), ("text", 1.0, cover_rank(F.col("content"), text_query(text, True), True))], 2 * n)
+    return top(f.select("id", "score", "vector", "text"), n, F.desc("score"), F.col("id"))
+
+
+def select_anchors(entities: DataFrame, names: Sequence[str], vector_found: DataFrame, n: int = 8) -> DataFrame:
+    """(id, name, similarity): entities of exactly these names in any case; only where there is none, those that
+    vectors found. At most n."""
+    wanted = [x.strip().lower() for x in names if x.strip()]
+    exact = entities.where(F.lower(F.trim("name")).isin(wanted)).select("id", "name", F.lit(1.0).alias("similarity"), F.lit(0).alias("step"))
+    near = vector_found.select("id", "name", "similarity", F.lit(1).alias("step"))
+    few = top(exact, n, F.col("id")).unionByName(top(near, n, F.desc("similarity"), F.col("id")))
+    least = F.min("step").over(Window.partitionBy())
+    return top(few.withColumn("least", least).where("step = least"), n, F.desc("similarity"), F.col("id")).select("id", "name", "similarity")
 
 
 def layered_rrf(chunks: DataFrame, query: Sequence[float], layer: Column, n: int, threshold: float, k: int = 60) -> DataFrame:
@@ -105,17 +222,23 @@ def layered_rrf(chunks: DataFrame, query: Sequence[float], layer: Column, n: int
 def weighted_sum(chunks: DataFrame, query: Sequence[float], text: str, n: int, vector: float = 0.7, words: float = 0.3) -> DataFrame:
     """(id, score): vector * similarity + words * min(text rank, 1) over chunks with either."""
     terms = list(dict.fromkeys(re.findall("[0-9a-zà-öø-ÿ]+", text.lower())))
-    s = chunks.select("id", similarity(F.col("embedding"), query).alias("sim"), term_rank(tokens(F.col("content")), terms).alias("rank"))
+    s = chunks.select("id", similarity(F.col("embedding"), query).alias("sim"), term_rank(F.col("content"), terms).alias("rank"))
     score = F.round(vector * F.coalesce("sim", F.lit(0.0)) + words * F.least(F.coalesce("rank", F.lit(0.0)), F.lit(1.0)), 6)
     return top(s.where("sim is not null or rank is not null").select("id", score.alias("score")), n, F.desc("score"), F.col("id"))
 
 
 def batch_vector_topk(chunks: DataFrame, queries: DataFrame, n: int, threshold: float) -> DataFrame:
-    """(query_id, rank, id, similarity): each query's n best. queries: (query_id, query), a request's few rows."""
-    from lodestar.functions.vector import cosine
-
-    pairs = chunks.select("id", "embedding").join(F.broadcast(queries), F.lit(True))
-    s = pairs.select("query_id", "id", F.round(cosine(F.col("embedding"), F.col("query")), 6).alias("similarity")).where(F.col("similarity") > threshold)
+    """(query_id, rank, id, similarity): each query's n best. queries: (query_id, query), at most BATCH of them,
+    which every row meets; norms are taken once for a row and a query, and each task cuts a query to n rows."""
+    from lodestar.functions.vector import dot, norm
+
+    if queries.limit(BATCH + 1).count() > BATCH:
+        raise ValueError(f"at most {BATCH} queries a batch")
+    unit = lambda c: F.when(c.isNotNull() & (norm(c) > 0), norm(c))
+    c = chunks.select("id", "embedding", unit(F.col("embedding")).alias("length")).where("length is not null")
+    q = queries.select("query_id", "query", unit(F.col("query")).alias("q_length")).where("q_length is not null")
+    pairs = c.join(F.broadcast(q), F.size("embedding") == F.size("query"))
+    s = pairs.select("query_id", "id", F.round(dot(F.col("embedding"), F.col("query")) / (F.col("length") * F.col("q_length")), 6).alias("similarity")).where(F.col("similarity") > threshold)
     r = s.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.col("id"))))
     return r.where(F.col("rank") <= n).select("query_id", "rank", "id", "similarity")
 
@@ -154,6 +277,15 @@ def union_boost(text_rows: DataFrame, visual_rows: DataFrame, query: Sequence[fl
     return top(t.unionByName(v), n, F.desc_nulls_last("score"), F.col("kind"), F.col("id"))
 
 
+def union_plain(text_rows: DataFrame, visual_rows: DataFrame, query: Sequence[float], n: int, threshold: float, hydrate: float = 0.35) -> DataFrame:
+    """(id, kind, score, payload): text and visual rows by similarity alone."""
+    s = similarity(F.col("embedding"), query)
+    none = F.lit(None).cast("string")
+    t = text_rows.select("id", F.lit("text").alias("kind"), s.alias("score"), none.alias("payload"))
+    v = visual_rows.select("id", F.lit("visual").alias("kind"), s.alias("score"), F.when(s >= hydrate, F.left("content", F.lit(40))).alias("payload"))
+    return top(t.unionByName(v).where(F.col("score") >= threshold), n, F.desc("score"), F.col("kind"), F.col("id"))
+
+
 def scope_mode(mode: str, tenant, owner: Column, tenant_col: Column, is_global: Column) -> Column:
     """Which rows a scope mode lets through; an unknown mode lets none."""
     own = tenant_col == F.lit(tenant)
