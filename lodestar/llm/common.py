@@ -65,11 +65,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
+    _log.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[out] = path
     return out
 
 
+#: Paths of written tables, in order.
+_log: list[str] = []
+
+
+def tables_written() -> int:
+    """How many tables were written so far: a mark for drop_tables."""
+    return len(_log)
+
+
+def drop_tables(spark: SparkSession, first: int, last: int) -> None:
+    """Delete the tables written between two marks, once nothing reads them any more."""
+    for k in range(first, last):
+        remove_path(spark, _log[k])
+
+
 def dropped(*tables: DataFrame | None) -> None:
     """Delete written tables that nothing reads any more."""
     for t in tables:
