@@ -1,14 +1,19 @@
-"""A training corpus from documents: language ID, near-duplicate removal, PII surrogates, mixing, tokens."""
+"""A training corpus from documents: language ID, near-duplicate removal, PII surrogates, mixing, tokens.
+
+A stage's result must be written before the next stage is called, as run() and any caller of STAGES does: the next
+one deletes the helper tables that the result is read from.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm.bpe import bpe_encode
-from lodestar.llm.common import written
+from lodestar.llm.common import drop_tables, dropped, tables_written, written
 from lodestar.llm.jaccard import jaccard_components
 from lodestar.llm.langid import dictionaries, identify
 from lodestar.llm.mixing import mix_documents
@@ -17,6 +22,25 @@ from lodestar.llm.surrogates import replace_pii
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+#: Marks of the tables that the stage before wrote for itself.
+_before = [0, 0]
+
+
+def _stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]):
+    """A stage that first deletes the helper tables of the one before: its result is written by then."""
+
+    @wraps(f)
+    def run(spark, docs, sf_dir):
+        drop_tables(spark, *_before)
+        first = tables_written()
+        out = f(spark, docs, sf_dir)
+        _before[:] = first, tables_written()
+        return out
+
+    return run
+
+
+@_stage
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with a margin; und and narrow ones go. lang becomes the one told."""
     found = identify(docs.select(*COLUMNS), dictionaries(docs), keep=True)
@@ -28,6 +52,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return written(docs.select(*COLUMNS).withColumn("__row", F.monotonically_increasing_id()), "rows")
 
 
+@_stage
 def keep_one_of_alike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of rows whose five-word shingles are similar to 0.8 or more, the row of smallest doc_id.
 
@@ -41,11 +66,13 @@ def keep_one_of_alike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return rows.join(best.select(F.col("place.__row").alias("__row")), "__row", "left_semi").select(*COLUMNS)
 
 
+@_stage
 def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data as surrogates; n_chars follows the new text."""
     return replace_pii(docs.select(*COLUMNS), count_col=None).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+@_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many copies of each row as the mix takes."""
     rows = _keyed(docs)
@@ -53,6 +80,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.join(copies, "__row").select(*COLUMNS, F.explode(F.sequence(F.lit(1), "copies")).alias("__copy")).drop("__copy")
 
 
+@_stage
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids) of each row."""
     return bpe_encode(docs).select("doc_id", "n_tokens", "ids")
@@ -70,9 +98,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. Each stage's result is written and read again; the one before is then deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    held = None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = written(docs, name)
+            dropped(held)
+            held = docs
     return docs
