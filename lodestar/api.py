@@ -6,17 +6,18 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from lodestar.functions.text import tokens
+from lodestar.functions.text import CLAUSE, tokens
 from lodestar.operators import graph, ingest, policy, search
 
 # Limits of a request and the filter keys that callers may not set.
 LIMITS = {"k": (1, 100), "fetch_k": (1, 400), "hops": (0, 4), "queries": (1, 8), "rrf_k": (1, 500), "top_n": (1, 50)}
 RESERVED = ("tenant_id", "institution_id", "is_global")
 _STANDARD = re.compile(r"\bISO\s*[-:]?\s*(\d{4,5})\b", re.I)
-_CLAUSE = re.compile(r"\b\d+(?:\.\d+)+\b")
+_CLAUSE = re.compile(CLAUSE)
 _CLAUSE_WORD = re.compile(r"\b(?:cl[aá]usula|clause|numeral|apartado|secci[oó]n)\b", re.I)
 
 
@@ -56,6 +57,34 @@ def validate_scope(text: str) -> Scope:
     return Scope(s, c, bool(c or _CLAUSE_WORD.search(text or "")) and not s)
 
 
+def clause_near_standard(text: str, standard: str, before: int = 80, after: int = 120) -> str | None:
+    """The one clause that stands near a standard's first mention, None if there are several or none."""
+    m = re.search(re.escape(standard.strip()), text, re.I) if standard.strip() else None
+    if m is None:
+        return None
+    near = list(dict.fromkeys(_CLAUSE.findall(text[max(0, m.start() - before) : m.end() + after])))
+    return near[0] if len(near) == 1 else None
+
+
+def resolved_filters(text: str, tenant=None) -> dict:
+    """Filters that a query's own words give: its only standard, and the clause near it; a tenant, or global rows without one."""
+    scope = validate_scope(text)
+    out: dict = {"tenant_id": tenant} if tenant is not None else {"is_global": True}
+    if len(scope.standards) == 1:
+        out["source_standard"] = scope.standards[0]
+        if clause := clause_near_standard(text, scope.standards[0]):
+            out["clause_id"] = clause
+    elif scope.standards:
+        out["source_standards"] = scope.standards
+    return out
+
+
+def suggested_scopes(text: str, keywords: dict[str, Sequence[str]]) -> list[str]:
+    """Scopes one of whose keywords the text holds, in the map's order."""
+    low = text.strip().lower()
+    return [s for s, words in keywords.items() if any(w.lower() in low for w in words)]
+
+
 def expanded(text: str, hints: Sequence[dict] = ()) -> str:
     """The query with the expansions of hints whose term it holds."""
     low, more = text.lower(), []
@@ -97,35 +126,56 @@ def search_grounded(chunks: DataFrame, request: Request) -> DataFrame:
     return policy.stratify(rows, list(request.scopes), request.k) if request.scopes else search.top(rows, request.k, F.desc("score"), F.col("id"))
 
 
-def search_many(chunks: DataFrame, requests: Sequence[Request], k: int = 10, rrf_k: int = 60) -> DataFrame:
-    """Several queries at once, equal ones run once, merged by reciprocal ranks."""
-    limited(queries=len(requests), rrf_k=rrf_k)
-    once = list({(r.text.strip().lower(), tuple(r.vector)): r for r in requests}.values())
-    lists = None
-    for n, r in enumerate(once):
-        from pyspark.sql.window import Window
+def fingerprint(request: Request) -> str:
+    """What makes a sub-query a duplicate: its standard and clause, or else its words."""
+    standard = str(request.filters.get("source_standard") or (request.scopes[0] if len(request.scopes) == 1 else "")).strip().upper()
+    clause = str(request.filters.get("clause_id") or "").strip()
+    return f"scope_clause::{standard}::{clause}" if standard and clause else "query::" + " ".join(request.text.lower().split())
+
 
+def _branches(chunks: DataFrame, requests: Sequence[Request]) -> DataFrame:
+    """(list_no, pos, id, ratio) of each request's results; ratio: the share of them penalised by scope."""
+    lists = None
+    for n, r in enumerate(requests):
         one = search_grounded(chunks, r)
-        one = one.select(F.lit(n).alias("list_no"), F.row_number().over(Window.orderBy(F.desc("score"), "id")).alias("pos"), "id")
+        away = F.col("scope_penalized").cast("double") if r.scopes else F.lit(0.0)
+        one = one.select(F.lit(n).alias("list_no"), F.row_number().over(Window.orderBy(F.desc("score"), "id")).alias("pos"), "id", away.alias("away"))
         lists = one if lists is None else lists.unionByName(one)
-    return policy.rrf_merge(lists, rrf_k, k)
+    return lists.withColumn("ratio", F.avg("away").over(Window.partitionBy("list_no"))).drop("away")
+
+
+def search_many(chunks: DataFrame, requests: Sequence[Request], k: int = 10, rrf_k: int = 60, drop_at: float = 0.95) -> DataFrame:
+    """Several queries in one plan, duplicates run once, branches whose rows are penalised to drop_at or more left
+    out, the others merged by reciprocal ranks. A row of another tenant fails the whole."""
+    limited(queries=len(requests), rrf_k=rrf_k)
+    once = list({fingerprint(r): r for r in reversed(requests)}.values())[::-1]
+    return policy.rrf_merge(_branches(chunks, once).where(F.col("ratio") < drop_at), rrf_k, k)
+
+
+def branch_report(chunks: DataFrame, requests: Sequence[Request], drop_at: float = 0.95) -> DataFrame:
+    """(branch, status, items) of each request: ok, SUBQUERY_OUT_OF_SCOPE or SUBQUERY_SKIPPED_DUPLICATE."""
+    seen: dict[str, int] = {}
+    first = [seen.setdefault(fingerprint(r), k) == k for k, r in enumerate(requests)]
+    ran = [k for k, f in enumerate(first) if f]
+    rows = _branches(chunks, [requests[k] for k in ran]).groupBy("list_no").agg(F.count("*").alias("n"), F.max("ratio").alias("ratio"))
+    names = chunks.sparkSession.createDataFrame([(k, ran.index(k) if first[k] else None) for k in range(len(requests))], "branch int, list_no int")
+    out = F.coalesce(F.col("ratio") >= drop_at, F.lit(False))
+    status = F.when(F.col("list_no").isNull(), "SUBQUERY_SKIPPED_DUPLICATE").when(out, "SUBQUERY_OUT_OF_SCOPE").otherwise("ok")
+    return names.join(rows, "list_no", "left").select("branch", status.alias("status"), F.when(status == "ok", F.coalesce("n", F.lit(0))).otherwise(0).alias("items"))
 
 
 def execute_plan(chunks: DataFrame, requests: Sequence[Request], sequential: bool = False, k: int = 10, branches: int = 2, stop_at: float = 0.8) -> DataFrame:
     """(id, score): at most so many sub-queries, then the query itself (the last request). One after the other,
-    a branch whose scoped rows are penalised to stop_at or more ends the branches; the query always runs."""
+    a branch whose rows are penalised to stop_at or more is the last one; the query always counts. One plan: which
+    branches count is decided within it."""
     *subs, query = requests
     subs = subs[: max(1, branches)]
     if not sequential:
         return search_many(chunks, [*subs, query], k).select("id", "score")
-    ran = []
-    for r in subs:
-        ran.append(r)
-        if r.scopes:
-            ratio = policy.penalty_ratio(search_grounded(chunks, r).withColumn("scope", F.col("scope")), list(r.scopes)).head()[0]
-            if ratio >= stop_at:
-                break
-    return search_many(chunks, [*ran, query], k).select("id", "score")
+    rows = _branches(chunks, [*subs, query])
+    ended = rows.where((F.col("list_no") < len(subs)) & (F.col("ratio") >= stop_at)).agg(F.min("list_no").alias("ended"))
+    counts = (F.col("list_no") == len(subs)) | (F.col("list_no") <= F.coalesce("ended", F.lit(len(subs))))
+    return policy.rrf_merge(rows.join(F.broadcast(ended), F.lit(True)).where(counts), 60, k).select("id", "score")
 
 
 def query_mode(text: str, anchors: int) -> str:
@@ -136,8 +186,6 @@ def query_mode(text: str, anchors: int) -> str:
 
 def search_comprehensive(chunks: DataFrame, edges: DataFrame, summaries: DataFrame, request: Request, hops: int = 2) -> DataFrame:
     """Chunks, graph neighbours and summaries by quotas 3, 2, 1. summaries: (id, embedding, children)."""
-    from pyspark.sql.window import Window
-
     limited(hops=hops)
     base = search_grounded(chunks, request).select("id", "score")
     place = lambda d, s: d.select(F.lit(s).alias("source"), F.col("id").cast("long").alias("id"), F.row_number().over(Window.orderBy(F.desc("score"), "id")).alias("pos"), "score")
@@ -149,10 +197,12 @@ def search_comprehensive(chunks: DataFrame, edges: DataFrame, summaries: DataFra
 
 
 def explain(chunks: DataFrame, request: Request) -> DataFrame:
-    """Each result with the parts of its score and the query's words that it holds."""
+    """Each result with the parts of its score, the way it came, the filters it met and the query's words it holds."""
     words = F.array(*(F.lit(w) for w in dict.fromkeys(re.findall("[0-9a-zà-öø-ÿ]+", request.text.lower()))))
     r = search_grounded(chunks, request)
-    return r.select("id", "scope", F.struct("score", "similarity").alias("parts"), F.array_intersect(tokens(F.col("content")), words).alias("matched"))
+    way = F.concat_ws(">", F.lit("hybrid"), F.when(F.col("scope_penalized"), "scope_penalty") if request.scopes else F.lit(None).cast("string"), F.lit("stratified" if request.scopes else "ranked"))
+    met = F.array(*(F.lit(x) for x in sorted(request.filters))).cast("array<string>")
+    return r.select("id", "scope", F.struct("score", "similarity").alias("parts"), way.alias("path"), met.alias("filters"), F.array_intersect(tokens(F.col("content")), words).alias("matched"))
 
 
 def ingest_documents(docs: DataFrame, path: str, most: int = 1500) -> DataFrame:
@@ -162,7 +212,20 @@ def ingest_documents(docs: DataFrame, path: str, most: int = 1500) -> DataFrame:
     return docs.sparkSession.read.parquet(path)
 
 
-def context(hits: DataFrame, most: int = 12000) -> DataFrame:
-    """One text of the hits with their numbers, cut at a limit."""
-    line = F.concat(F.lit("["), F.col("id").cast("string"), F.lit("] "), "content")
-    return hits.agg(F.left(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.negative("score").alias("s"), "id", line.alias("line")))), lambda x: x["line"]), "\n\n"), F.lit(most)).alias("context"))
+def truncated(text: Column, most: int) -> Column:
+    """A text of at most so many characters: cut at its last paragraph, line, sentence or word, and marked."""
+    head = F.left(text, F.lit(most))
+    last = lambda sep: F.when(head.contains(sep), F.length(head) - F.length(F.substring_index(head, sep, -1)) - len(sep))
+    cut = F.coalesce(last("\n\n"), last("\n"), last(". ") + 1, last(".\n") + 1)
+    cut = F.when(cut > 0, cut).when(last(" ") > 0, last(" ")).otherwise(F.lit(most))
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.rtrim(F.left(head, cut)), F.lit("\n[...]")))
+
+
+def context(hits: DataFrame, most: int = 12000, each: int = 2000, rows: int = 50) -> DataFrame:
+    """(context, citations): the best hits' contents behind their ids, each cut at a boundary and the whole too, and
+    the ids in order, each once."""
+    h = search.top(hits.where(F.trim(F.coalesce("content", F.lit(""))) != ""), rows, F.desc("score"), F.col("id"))
+    line = F.concat(F.lit("["), F.col("id").cast("string"), F.lit("]: "), truncated(F.col("content"), each))
+    g = h.agg(F.sort_array(F.collect_list(F.struct(F.negative("score").alias("s"), F.col("id").alias("id"), line.alias("line")))).alias("x"))
+    whole = F.array_join(F.transform("x", lambda x: x["line"]), "\n\n---\n\n")
+    return g.select(truncated(whole, most).alias("context"), F.array_distinct(F.transform("x", lambda x: x["id"])).alias("citations"))

@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from lodestar.plans import graphs, ops, policies, records, retrieval, texts  # noqa: F401
+    from lodestar.plans import graphs, ops, policies, records, retrieval, structure, texts  # noqa: F401
 
 
 _load()

@@ -171,3 +171,80 @@ def document_sections(toc: DataFrame) -> DataFrame:
     t = t.withColumns({f"__l{k}": c for k, c in enumerate(seen, 1)})
     parent = F.greatest(*(F.when(F.col("level") > k, F.col(f"__l{k}")) for k in range(1, 7)))
     return t.withColumn("parent_ord", parent).drop(*(f"__l{k}" for k in range(1, 7)))
+
+
+def hop_payload(rows: DataFrame, n: int = 40) -> DataFrame:
+    """Rows of (node, hop, score) as a payload: nearer hops first, better scores within a hop."""
+    return rows.orderBy("hop", F.desc("score"), "node").limit(n)
+
+
+def navigate(anchors: DataFrame, edges: DataFrame, hops: int = 2, decay: float = 0.75, n: int = 36) -> DataFrame:
+    """(node, hop, score, path): anchors(node, score) spread along directed edges. path holds the relations and
+    nodes of a node's best way, joined by `>`; of equal scores the nearer hop, then the smaller path stays."""
+    e = edges.select("src", "dst", "relation").where("src <> dst")
+    best = anchors.groupBy("node").agg(F.max("score").alias("score")).withColumn("path", F.col("node").cast("string"))
+    reached, front = best.withColumn("hop", F.lit(0)), best
+    for h in range(1, max(0, hops) + 1):
+        step = front.join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), F.round(F.col("score") * decay, 9).alias("score"), F.concat_ws(">", "path", "relation", F.col("dst").cast("string")).alias("path"))
+        front = step.groupBy("node").agg(F.max("score").alias("score"), F.min_by("path", F.struct(F.negative("score"), "path")).alias("path"))
+        reached = reached.unionByName(front.withColumn("hop", F.lit(h)))
+    one = reached.groupBy("node").agg(F.min_by(F.struct("hop", "score", "path"), F.struct(F.negative("score"), "hop", "path")).alias("x"))
+    return one.select("node", "x.hop", F.round("x.score", 6).alias("score"), "x.path").orderBy(F.desc("score"), "hop", "node").limit(n)
+
+
+def rule_guided_search(anchors: DataFrame, edges: DataFrame, boosts: dict[str, float], n: int, most: int = 15) -> DataFrame:
+    """(id, method, depth, score) of anchors (id, score), the best `most`, and nodes within two rule edges of them.
+
+    A node on a rule path scores the greatest anchor score times the path's weights times the last relation's
+    boost; anchors aren't reached again by a second edge. Each node keeps its best row.
+    """
+    a = anchors.orderBy(F.desc("score"), "id").limit(most)
+    boost = F.create_map(*(F.lit(x) for kv in boosts.items() for x in kv))[F.col("relation")]
+    rules = edges.where(F.col("relation").isin(list(boosts))).select("src", "dst", "relation", "weight")
+    one = a.select(F.col("id").alias("src")).join(rules, "src").select("dst", "relation", "weight").withColumn("depth", F.lit(1))
+    # only a node's heaviest way to it can lead to a best row behind it
+    reach = one.groupBy(F.col("dst").alias("src")).agg(F.max("weight").alias("w"))
+    two = reach.join(rules, "src").join(a.select(F.col("id").alias("dst")), "dst", "left_anti").select("dst", "relation", (F.col("w") * F.col("weight")).alias("weight")).withColumn("depth", F.lit(2))
+    top = a.agg(F.max("score").alias("top"))
+    ways = one.unionByName(two).join(F.broadcast(top), F.lit(True)).select(F.col("dst").alias("id"), F.lower(F.concat(F.lit("graph_"), "relation")).alias("method"), "depth", F.round(F.col("top") * F.col("weight") * boost, 6).alias("score"))
+    rows = a.select("id", F.lit("vector").alias("method"), F.lit(0).alias("depth"), F.round("score", 6).alias("score")).unionByName(ways)
+    best = rows.groupBy("id").agg(F.min_by(F.struct("method", "depth", "score"), F.struct(F.negative("score"), "depth", "method")).alias("x"))
+    return best.select("id", "x.*").orderBy(F.desc("score"), "id").limit(n)
+
+
+def match_entities(incoming: DataFrame, existing: DataFrame, least: float = 0.95) -> DataFrame:
+    """(seq, entity, how): the entity that each incoming row (seq, name, embedding) is: one of the same name
+    without case, else the nearest vector of at least `least`, else none (null). existing: (id, name, embedding).
+
+    incoming is a document's few entities; more than a batch of them must be split by the caller.
+    """
+    from lodestar.operators.search import batch_vector_topk
+
+    key = lambda c: F.lower(F.trim(c))
+    names = existing.groupBy(key("name").alias("k")).agg(F.min("id").alias("named"))
+    j = incoming.withColumn("k", key("name")).join(names, "k", "left")
+    rest = j.where("named is null").select(F.col("seq").alias("query_id"), F.col("embedding").alias("query"))
+    near = batch_vector_topk(existing.select("id", "embedding"), rest, 1, least - 1e-6).where(F.col("similarity") >= least).select(F.col("query_id").alias("seq"), F.col("id").alias("near"))
+    how = F.when(F.col("named").isNotNull(), "name").when(F.col("near").isNotNull(), "vector")
+    return j.join(near, "seq", "left").select("seq", F.coalesce("named", "near").alias("entity"), how.alias("how"))
+
+
+def structure_graph(toc: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of TOC rows (doc, ord, level, title, page): nodes (id, doc, section_ref, name, end_page) with
+    name-based ids, and CONTAINS edges (id, source, target, relation) from each section to its subsections."""
+    from lodestar.functions.identity import section_ref, uuid5
+
+    url = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"  # the public namespace of URLs
+    s = document_sections(toc.where(F.trim(F.coalesce("title", F.lit(""))) != "")).withColumn("ref", section_ref(F.col("level"), F.col("page"), F.trim("title")))
+    doc = F.col("doc").cast("string")
+    node_id = lambda ref: uuid5(url, F.concat(F.lit("doc-structure:"), doc, F.lit(":"), ref))
+    nodes = s.select(node_id(F.col("ref")).alias("id"), "doc", F.col("ref").alias("section_ref"), F.concat(F.trim("title"), F.lit(" ("), "ref", F.lit(")")).alias("name"), "end_page")
+    up = s.select("doc", F.col("ord").alias("parent_ord"), F.col("ref").alias("parent_ref"))
+    e = s.join(up, ["doc", "parent_ord"]).where("ref <> parent_ref")
+    edge_id = uuid5(url, F.concat(F.lit("doc-structure-edge:"), doc, F.lit(":"), "parent_ref", F.lit(":"), "ref", F.lit(":CONTAINS")))
+    return nodes.dropDuplicates(["id"]), e.select(edge_id.alias("id"), node_id(F.col("parent_ref")).alias("source"), node_id(F.col("ref")).alias("target"), F.lit("CONTAINS").alias("relation")).dropDuplicates(["id"])
+
+
+def section_links(chunks: DataFrame) -> DataFrame:
+    """(tenant_id, entity_id, chunk_id): which section each chunk stands in, each link once."""
+    return chunks.where("section_node_id is not null and id is not null").select("tenant_id", F.col("section_node_id").alias("entity_id"), F.col("id").alias("chunk_id")).distinct()

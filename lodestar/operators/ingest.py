@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -12,6 +13,8 @@ from pyspark.sql.window import Window
 
 from lodestar.functions.text import chunk_role, clause_refs, standards, strip_boilerplate, tag_prefix, tags
 
+#: Folders of a chunk table.
+BUCKETS = 64
 PIECES = "array<struct<heading:string,content:string>>"
 _HEADING = re.compile(r"^(#{1,6})\s+(.+?)\s*$")
 _CLAUSE_LINE = re.compile(r"^\s*\d+(?:\.\d+)*\s+\S.{0,120}?(?:\.{2,}\s*\d+|\s\d+)?\s*$")
@@ -161,12 +164,44 @@ def nearest_page(tasks: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def load_chunks(chunks: DataFrame, path: str) -> None:
-    """Replace the chunks of the sources at hand and leave others: one partition for each source bucket is
-    rewritten. Rows that are eligible but have no embedding are left out; none left is an error."""
-    kept = chunks.where(~F.col("eligible") | (F.size("embedding") > 0)) if "embedding" in chunks.columns else chunks
-    if kept.isEmpty():
-        raise ValueError("NO_CHUNKS: no row is fit to be loaded")
-    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_id").parquet(path)
+    """Replace the chunks of the sources at hand and leave others. Rows that are eligible but have no embedding
+    are left out, and a source of which none is left loses its old rows too; no row at all is an error, as is a
+    row of another tenant than the first.
+
+    Sources are dealt into BUCKETS folders by hash; only folders of sources at hand are rewritten, through a
+    table beside them, so a reload costs those folders and no folder is made for each source.
+    """
+    spark = chunks.sparkSession
+    fit = (~F.col("eligible") | (F.size("embedding") > 0)) if "embedding" in chunks.columns else F.lit(True)
+    stage = f"{path.rstrip('/')}.load-{uuid.uuid4().hex}"
+    marked = chunks.withColumn("__fit", fit).withColumn("bucket", F.pmod(F.xxhash64(F.col("source_id").cast("string")), F.lit(BUCKETS)).cast("int"))
+    marked.write.parquet(f"{stage}/new")
+    new = spark.read.parquet(f"{stage}/new")
+    tenants = F.count_distinct("tenant_id") if "tenant_id" in chunks.columns else F.lit(1)
+    facts = new.agg(F.count_if("__fit").alias("rows"), tenants.alias("tenants")).head()
+    try:
+        if not facts["rows"]:
+            raise ValueError("NO_CHUNKS: no row is fit to be loaded")
+        if facts["tenants"] > 1:
+            raise ValueError("TENANT_MISMATCH: chunks of several tenants")
+        fs = spark._jvm.org.apache.hadoop.fs.Path(path)
+        held = fs.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs)
+        kept = new.where("__fit").drop("__fit")
+        if held:
+            at = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # BUCKETS at most
+            old = spark.read.parquet(path).where(F.col("bucket").isin(at)).join(new.select("source_id").distinct(), "source_id", "left_anti")
+            kept = kept.unionByName(old, allowMissingColumns=True)
+            # folders that only lose rows are written too
+            kept.write.parquet(f"{stage}/whole")
+            kept = spark.read.parquet(f"{stage}/whole")
+            gone = set(at) - {r["bucket"] for r in kept.select("bucket").distinct().collect()}
+            for b in gone:
+                p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={b}")
+                p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        kept.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    finally:
+        p = spark._jvm.org.apache.hadoop.fs.Path(stage)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def merge_rows(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -188,3 +223,27 @@ def visual_routing(pages: DataFrame, threshold: int = 3, ratio: float = 0.35, mo
     budget = F.least(F.lit(most), F.greatest(F.lit(1), F.floor(F.count("*").over(w) * ratio)))
     used = F.sum(F.when(F.col("score") >= threshold, 1).otherwise(0)).over(w.orderBy("page"))
     return p.select("doc", "page", "score", ((F.col("score") >= threshold) & (used <= budget)).alias("visual"))
+
+
+def blank_line_spans(text: Column) -> Column:
+    """Array of (start, end) of the parts between blank lines, empty ones left out."""
+    t = F.coalesce(text, F.lit(""))
+    gap = r"\n\s*\n"
+    gaps = F.transform(F.regexp_extract_all(t, F.lit(gap), F.lit(0)), lambda g: F.length(g))
+    parts = F.transform(F.split(t, gap, -1), lambda p: F.length(p))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    spans = F.aggregate(
+        F.zip_with(parts, gaps, lambda p, g: F.struct(p.alias("p"), F.coalesce(g, F.lit(0)).alias("g"))),
+        F.struct(F.lit(0).alias("at"), none.alias("out")),
+        lambda acc, x: F.struct((acc["at"] + x["p"] + x["g"]).alias("at"), F.when(x["p"] > 0, F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), (acc["at"] + x["p"]).alias("end"))))).otherwise(acc["out"]).alias("out")),
+        lambda acc: acc["out"],
+    )
+    return spans
+
+
+def section_of_page(toc: DataFrame, pages: DataFrame) -> DataFrame:
+    """pages (doc, pos) with the title of the last TOC entry (doc, ord, title, page) that starts on or before them."""
+    first = toc.groupBy("doc", "page").agg(F.max_by("title", F.struct("ord", "title")).alias("title"))
+    u = first.select("doc", F.col("page").cast("long").alias("at"), F.lit(0).alias("kind"), "title").unionByName(pages.select("doc", F.col("pos").cast("long").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("string").alias("title")))
+    w = Window.partitionBy("doc").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return u.withColumn("title", F.last("title", ignorenulls=True).over(w)).where("kind = 1").select("doc", F.col("at").alias("pos"), "title")

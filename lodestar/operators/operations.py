@@ -106,9 +106,54 @@ def conversation_window(turns: DataFrame, n: int = 6) -> DataFrame:
 
 
 def visual_accounting(docs: DataFrame, refs: int = 20) -> DataFrame:
-    """Sums of visual work by batch, and the first few documents that had any."""
-    return docs.groupBy("batch_id").agg(F.sum("images").alias("images"), F.count_if(F.col("images") > 0).alias("docs_with_images"), F.slice(F.sort_array(F.collect_set(F.when(F.col("images") > 0, F.col("doc_id")))), 1, refs).alias("refs"))
+    """Sums of visual work by batch, and the first few documents that had any; each batch is cut to them before
+    they are gathered."""
+    sums = docs.groupBy("batch_id").agg(F.sum("images").alias("images"), F.count_if(F.col("images") > 0).alias("docs_with_images"))
+    w = Window.partitionBy("batch_id").orderBy("doc_id")
+    few = docs.where("images > 0").select("batch_id", "doc_id").distinct().withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= refs)
+    few = few.groupBy("batch_id").agg(F.sort_array(F.collect_list("doc_id")).alias("refs"))
+    return sums.join(few, "batch_id", "left").withColumn("refs", F.coalesce("refs", F.array().cast(few.schema["refs"].dataType)))
 
 
 def hit_ratio(df: DataFrame, hit: Column) -> DataFrame:
     return df.agg(F.round(F.coalesce(F.try_divide(F.count_if(hit).cast("double"), F.count("*").cast("double")), F.lit(0.0)), 4).alias("ratio"))
+
+
+def dominant_stage(counts: DataFrame) -> DataFrame:
+    """The stage of most events of (stage, events); of equal ones the first by name."""
+    return counts.agg(F.min_by("stage", F.struct(F.negative("events"), "stage")).alias("stage"), F.sum("events").alias("events"))
+
+
+def event_page(events: DataFrame, size: int, after: tuple[str, int] | None = None) -> DataFrame:
+    """event_tail with has_more, which tells of events behind the page."""
+    size = max(1, min(500, size))
+    t = event_tail(events, size, after) if size == 500 else event_tail(events, size + 1, after)
+    w = Window.orderBy("ts", "event_id")
+    t = t.withColumn("__n", F.row_number().over(w))
+    return t.withColumn("has_more", F.max("__n").over(Window.partitionBy()) > size).where(F.col("__n") <= size).drop("__n")
+
+
+def claimed(jobs: DataFrame, worker: str, now: Column, per_type: int = 1) -> DataFrame:
+    """jobs with the oldest pending ones of each type taken by a worker: in processing, locked now."""
+    took = dequeue(jobs, per_type).select("job_id").withColumn("__took", F.lit(True))
+    j = jobs.join(took, "job_id", "left")
+    mine = F.coalesce("__took", F.lit(False))
+    return j.withColumn("status", F.when(mine, "processing").otherwise(F.col("status"))).withColumn("worker", F.when(mine, F.lit(worker))).withColumn("updated_at", F.when(mine, now).otherwise(F.col("updated_at"))).drop("__took")
+
+
+def startable(jobs: DataFrame, per_tenant: int) -> DataFrame:
+    """Pending jobs that a tenant's free slots admit, oldest first; a document with a job in processing waits, and of
+    several of one document the oldest goes."""
+    busy = jobs.where("status = 'processing'")
+    used = busy.groupBy("tenant_id").agg(F.count("*").alias("used"))
+    open_ = jobs.where("status = 'pending'").join(busy.select("doc_id").distinct(), "doc_id", "left_anti")
+    first = open_.withColumn("__d", F.row_number().over(Window.partitionBy("doc_id").orderBy("created_at", "job_id"))).where("__d = 1").drop("__d")
+    turn = F.row_number().over(Window.partitionBy("tenant_id").orderBy("created_at", "job_id"))
+    return first.withColumn("turn", turn).join(used, "tenant_id", "left").where(F.col("turn") + F.coalesce("used", F.lit(0)) <= per_tenant).drop("turn", "used")
+
+
+def due_tenants(tenants: DataFrame, jobs: DataFrame, job_type: str, now: Column, seconds: int) -> DataFrame:
+    """Tenants whose last job of a type is older than the interval (or was never), and that have none active."""
+    j = jobs.where(F.col("job_type") == job_type).groupBy("tenant_id").agg(F.max("created_at").alias("last"), F.count_if(F.col("status").isin("pending", "processing")).alias("active"))
+    old = F.col("last").isNull() | (F.unix_timestamp(now) - F.unix_timestamp("last") >= seconds)
+    return tenants.select("tenant_id").distinct().join(j, "tenant_id", "left").where(old & (F.coalesce("active", F.lit(0)) == 0)).select("tenant_id")

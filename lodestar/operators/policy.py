@@ -172,3 +172,81 @@ def missing(df: DataFrame, column: str, requested: Sequence[str]) -> DataFrame:
     """Which requested values no row has."""
     have = df.agg(F.collect_set(F.when(F.col(column).isin(list(requested)), F.col(column))).alias("have"))
     return have.select(F.array_except(F.array(*(F.lit(x) for x in requested)), "have").alias("missing"))
+
+
+def strict_scope(df: DataFrame, requested: Sequence[str]) -> DataFrame:
+    """After the penalty: only rows of a requested scope, or all where there is none. No request keeps all."""
+    return scope_or_all(df, F.col("scope").isin(list(requested))) if requested else df
+
+
+def normalized_rows(df: DataFrame) -> DataFrame:
+    """Rows of (id, content, metadata, similarity, score, source_layer, source_type), whatever of them is there,
+    with their kinds and defaults; source_id comes from the metadata (a map)."""
+    have = set(df.columns)
+    text = lambda c, d: F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit(d)) if c in have else F.lit(d)
+    number = lambda c: F.coalesce(F.try_to_number(F.col(c), F.lit("S9999999999D999999999")).cast("double"), F.lit(0.0)) if c in have and dict(df.dtypes)[c] == "string" else F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in have else F.lit(0.0)
+    meta = F.coalesce(F.col("metadata"), F.create_map().cast("map<string,string>")) if "metadata" in have else F.create_map().cast("map<string,string>")
+    return df.select(text("id", "").alias("id"), text("content", "").alias("content"), meta.alias("metadata"), number("similarity").alias("similarity"), number("score").alias("score"), text("source_layer", "hybrid").alias("source_layer"), text("source_type", "content_chunk").alias("source_type"), F.try_element_at(meta, F.lit("source_id")).alias("source_id"))
+
+
+def retrieval_items(rows: DataFrame) -> DataFrame:
+    """(source, content, score, metadata) of rows with content: score falls back to similarity, a blank id to the
+    row's source; the fields that tell a row's trace and owner join its metadata (a map)."""
+    have = set(rows.columns)
+    trace = [c for c in ("source_layer", "source_type", "similarity", "scope_penalized", "tenant_id", "institution_id", "id") if c in have]
+    more = F.map_filter(F.create_map(*(x for c in trace for x in (F.lit(c), F.col(c).cast("string")))), lambda k, v: v.isNotNull())
+    meta = F.coalesce(F.col("metadata"), F.create_map().cast("map<string,string>")) if "metadata" in have else F.create_map().cast("map<string,string>")
+    # a field of the row goes before the metadata's own
+    merged = F.map_concat(F.map_filter(meta, lambda k, v: ~F.array_contains(F.map_keys(more), k)), more)
+    source = F.coalesce(F.nullif(F.col("id").cast("string"), F.lit("")), *([F.col("source").cast("string")] if "source" in have else []), F.lit("R"))
+    score = F.coalesce(F.nullif(F.col("score").cast("double"), F.lit(0.0)), F.col("similarity").cast("double"), F.lit(0.0))
+    return rows.where(F.trim(F.coalesce("content", F.lit(""))) != "").select(source.alias("source"), F.trim("content").alias("content"), score.alias("score"), merged.alias("metadata"))
+
+
+# Metadata that filters ask for at the top level.
+FILTER_KEYS = ("source_standard", "clause_id", "scope", "chunk_role", "doc_section_type", "is_toc", "is_frontmatter", "is_normative_body", "retrieval_eligible", "structure_eligible")
+
+
+def persistence_rows(chunks: DataFrame) -> DataFrame:
+    """Chunks as rows of the chunk store: either spelling of a column's name is taken, owners fall back to the
+    metadata (a map), whose filter keys are lifted beside the nested original."""
+    have = set(chunks.columns)
+
+    def either(kind, default, *names):
+        found = [F.col(c).cast(kind) for c in names if c in have]
+        return F.coalesce(*found, F.lit(default).cast(kind)) if default is not None else F.coalesce(*found) if found else F.lit(None).cast(kind)
+
+    meta = F.coalesce(F.col("metadata"), F.create_map().cast("map<string,string>")) if "metadata" in have else F.create_map().cast("map<string,string>")
+    own = lambda name, *names: F.coalesce(F.nullif(either("string", None, *names), F.lit("")), F.try_element_at(meta, F.lit(name))).alias(name)
+    lifted = F.map_filter(meta, lambda k, v: k.isin(*FILTER_KEYS))
+    return chunks.select(
+        either("string", None, "id", "chunkId", "chunk_id").alias("id"), either("string", None, "sourceId", "source_id").alias("source_id"), either("string", "", "content").alias("content"),
+        either("int", 0, "chunkIndex", "chunk_index").alias("chunk_index"), either("int", 1, "filePageNumber", "file_page_number").alias("file_page_number"),
+        F.struct(F.struct(meta.alias("metadata"), F.lit("content_chunk").alias("source_layer")).alias("row"), lifted.alias("filters")).alias("metadata"),
+        own("institution_id", "institutionId", "institution_id"), own("collection_id", "collectionId", "collection_id"), either("boolean", False, "isGlobal", "is_global").alias("is_global"), either("string", None, "semanticContext", "semantic_context").alias("semantic_context"),
+    )
+
+
+def missing_clauses(df: DataFrame, column: str, requested: Sequence[str], least: int) -> DataFrame:
+    """Which requested clauses no row has in its array, told only if at least so many are missing. A least of 0 tells none."""
+    wanted = [c.strip() for c in dict.fromkeys(requested) if c.strip()]
+    if least <= 0 or not wanted:
+        return df.sparkSession.createDataFrame([([],)], "missing array<string>")
+    lack = [F.when(~F.coalesce(F.max(F.array_contains(column, c)), F.lit(False)), F.lit(c)) for c in wanted]
+    gone = df.agg(F.array_compact(F.array(*lack)).alias("gone"))
+    return gone.select(F.when(F.size("gone") >= least, F.col("gone")).otherwise(F.array().cast("array<string>")).alias("missing"))
+
+
+def reranked_first(df: DataFrame, relevance: Column, structural: Column, k: int, candidates: int = 50) -> DataFrame:
+    """The best candidates by an outside relevance, lifted by their structural boost, then all others in their
+    order. relevance is null for a row that the outside model left out; place tells the order from 1."""
+    before = Window.orderBy(F.desc("score"), "id")
+    d = top_rows(df, candidates + k).withColumn("__at", F.row_number().over(before))
+    s = F.when(structural > 1, F.greatest(relevance, F.lit(0.3)) * structural).otherwise(relevance)
+    d = d.withColumn("relevance", F.when((F.col("__at") <= candidates) & relevance.isNotNull(), F.round(s, 6)))
+    w = Window.orderBy(F.col("relevance").isNull(), F.desc("relevance"), "__at")
+    return d.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).drop("__at")
+
+
+def top_rows(df: DataFrame, n: int) -> DataFrame:
+    return df.orderBy(F.desc("score"), "id").limit(n)

@@ -37,10 +37,10 @@ def golden_traces(traces: DataFrame, now: Column, days: int, limit: int, least:
     return traces.where((F.col("feedback") >= least) & (F.col("created_at") >= now - F.make_dt_interval(F.lit(days)))).orderBy(F.desc("created_at"), "trace_id").limit(limit)
 
 
-def retrieval_trace(hits: DataFrame, query: str, chars: int = 100) -> DataFrame:
-    """One audit row: ids and scores in order, and snippets."""
+def retrieval_trace(hits: DataFrame, query: str, chars: int = 100, most: int = 100) -> DataFrame:
+    """One audit row: ids and scores of the best hits in order, and snippets."""
     rows = F.sort_array(F.collect_list(F.struct(F.negative("score").alias("s"), "id", F.left("content", F.lit(chars)).alias("snippet"))))
-    return hits.agg(rows.alias("r")).select(F.lit(query).alias("query"), F.transform("r", lambda x: x["id"]).alias("ids"), F.transform("r", lambda x: F.negative(x["s"])).alias("scores"), F.transform("r", lambda x: x["snippet"]).alias("snippets"))
+    return hits.orderBy(F.desc("score"), "id").limit(most).agg(rows.alias("r")).select(F.lit(query).alias("query"), F.transform("r", lambda x: x["id"]).alias("ids"), F.transform("r", lambda x: F.negative(x["s"])).alias("scores"), F.transform("r", lambda x: x["snippet"]).alias("snippets"))
 
 
 def cached(requests: DataFrame, cache: DataFrame, keys: list[str]) -> DataFrame:
@@ -103,3 +103,39 @@ def faithfulness(answer: Column, context: Column) -> Column:
     long_words = lambda c: F.array_distinct(F.filter(tokens(c), lambda w: F.length(w) > 3))
     a = long_words(answer)
     return F.when(F.size(a) == 0, 0.0).otherwise(F.size(F.array_intersect(a, long_words(context))) / F.size(a))
+
+
+def fresh_cache(cache: DataFrame, keys: list[str], now: Column, ttl_seconds: int, capacity: int) -> DataFrame:
+    """What a cache (keys..., used_at) keeps: entries young enough, each key's latest, the most recently used up to its capacity."""
+    young = cache.where(F.unix_timestamp(now) - F.unix_timestamp("used_at") <= ttl_seconds)
+    rest = [c for c in cache.columns if c not in (*keys, "used_at")]
+    last = young.groupBy(*keys).agg(F.max("used_at").alias("used_at"), *(F.max_by(c, "used_at").alias(c) for c in rest))
+    return last.orderBy(F.desc("used_at"), *keys).limit(capacity)
+
+
+def retried(docs: DataFrame, doc_ids) -> DataFrame:
+    """docs with the given ones back in the queue and their retry count one higher."""
+    again = F.col("doc_id").isin(list(doc_ids))
+    return docs.withColumn("retry_count", F.when(again, F.coalesce("retry_count", F.lit(0)) + 1).otherwise(F.col("retry_count"))).withColumn("status", F.when(again, "queued").otherwise(F.col("status")))
+
+
+def active_attempt(attempts: DataFrame, assignments: DataFrame, exam, learner) -> DataFrame:
+    """The learner's attempt at an exam in progress, if the exam is assigned to them."""
+    mine = attempts.where((F.col("exam_id") == F.lit(exam)) & (F.col("learner_id") == F.lit(learner)) & (F.col("status") == "IN_PROGRESS"))
+    return mine.join(assignments.select("exam_id", F.col("student_id").alias("learner_id")).distinct(), ["exam_id", "learner_id"], "left_semi").orderBy("attempt_id").limit(1)
+
+
+def with_attempts(attempts: DataFrame, requests: DataFrame, assignments: DataFrame) -> DataFrame:
+    """attempts with one more for each request (attempt_id, exam_id, learner_id): only where the exam is assigned
+    and no attempt is in progress; of several requests for one, that of smallest attempt_id."""
+    allowed = requests.join(assignments.select("exam_id", F.col("student_id").alias("learner_id")).distinct(), ["exam_id", "learner_id"], "left_semi")
+    idle = allowed.join(attempts.where("status = 'IN_PROGRESS'").select("exam_id", "learner_id"), ["exam_id", "learner_id"], "left_anti")
+    new = idle.groupBy("exam_id", "learner_id").agg(F.min("attempt_id").alias("attempt_id")).withColumn("status", F.lit("IN_PROGRESS"))
+    return attempts.unionByName(new, allowMissingColumns=True)
+
+
+def sealed_batches(batches: DataFrame, files: DataFrame) -> DataFrame:
+    """batches (batch_id, total_files, auto_seal, sealed) with those sealed that have all their files."""
+    n = files.select("batch_id", "filename").distinct().groupBy("batch_id").agg(F.count("*").alias("__n"))
+    full = F.col("auto_seal") & (F.col("total_files") > 0) & (F.coalesce("__n", F.lit(0)) >= F.col("total_files"))
+    return batches.join(n, "batch_id", "left").withColumn("sealed", F.coalesce("sealed", F.lit(False)) | full).drop("__n")

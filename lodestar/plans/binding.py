@@ -24,12 +24,13 @@ def query_vector(spark: SparkSession, sf: str, vec_id: int = 0) -> list[float]:
 
 
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """Text chunks with vectors: documents and embeddings of the same number."""
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), "lang", "source")
-    return vectors(spark, sf).drop("scope").join(d, "id").withColumn("scope", F.col("source"))
+    """Text chunks with vectors: every document with the vector of its number, counted round by their number."""
+    v = vectors(spark, sf).drop("scope").withColumnRenamed("id", "vec")
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), "lang", F.col("source").alias("scope"))
+    return d.join(v, F.col("id") % table(spark, sf, "embeddings").count() == F.col("vec")).drop("vec")
 
 
-CHUNKS = VECTORS + ", c AS (SELECT v.id, v.embedding, v.label, v.tenant_id, v.is_global, d.text AS content, d.lang, d.source AS scope FROM v JOIN documents d ON d.doc_id = v.id)"
+CHUNKS = VECTORS + ", c AS (SELECT d.doc_id AS id, v.embedding, v.label, v.tenant_id, v.is_global, d.text AS content, d.lang, d.source AS scope FROM documents d JOIN v ON d.doc_id % (SELECT count(*) FROM embeddings) = v.id)"
 SIM = "round(list_cosine_similarity(embedding, qe), 6)"
 
 
@@ -43,8 +44,8 @@ EDGES = "g AS (SELECT src, dst, min(relation) AS relation, max(weight) AS weight
 
 
 def hits(spark: SparkSession, sf: str) -> DataFrame:
-    """A hit table: lines of one order day, as rows with scope, authority and structure."""
-    o = table(spark, sf, "orders").where("o_orderkey % 5 = 0")
+    """A hit table: every order as a row with scope, authority and structure."""
+    o = table(spark, sf, "orders")
     return o.select(
         F.col("o_orderkey").alias("id"), F.round(F.col("o_totalprice") % 1000 / 1000, 6).alias("similarity"), F.round(F.col("o_totalprice") % 1000 / 1000, 6).alias("score"),
         F.concat(F.lit("s"), (F.col("o_custkey") % 5).cast("string")).alias("scope"), F.element_at(F.array(*map(F.lit, ("administrative", "constitution", "policy", "canonical", "supplementary"))), (F.col("o_orderkey") / 5 % 5 + 1).cast("int")).alias("authority"),
@@ -55,4 +56,4 @@ def hits(spark: SparkSession, sf: str) -> DataFrame:
 HITS = """h AS (SELECT o_orderkey AS id, round(o_totalprice % 1000 / 1000, 6) AS similarity, round(o_totalprice % 1000 / 1000, 6) AS score,
     's' || (o_custkey % 5) AS scope, ['administrative', 'constitution', 'policy', 'canonical', 'supplementary'][((o_orderkey // 5) % 5 + 1)::INT] AS authority,
     ['global', 'tenant', 'personal'][(o_custkey % 3 + 1)::INT] AS source_layer, o_orderkey % 35 = 0 AS is_constitutional, o_orderkey % 55 = 0 AS is_summary, o_orderstatus AS space
-    FROM orders WHERE o_orderkey % 5 = 0)"""
+    FROM orders)"""

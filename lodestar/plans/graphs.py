@@ -26,14 +26,13 @@ def graph_hops(spark, sf):
 
 @query(
     "path_weights",
-    f"""WITH RECURSIVE {B.EDGES}, e AS (SELECT * FROM g WHERE relation IN ('1', '2') AND (src + dst) % 4 = 0),
+    f"""WITH RECURSIVE {B.EDGES}, e AS (SELECT * FROM g WHERE relation IN ('1', '2')),
     p(node, depth, weight, path) AS (SELECT dst, 1, weight::DOUBLE, [src, dst] FROM e WHERE src = 8
       UNION ALL SELECT e.dst, p.depth + 1, p.weight * e.weight, list_append(p.path, e.dst) FROM p JOIN e ON e.src = p.node WHERE p.depth < 3 AND NOT list_contains(p.path, e.dst))
     SELECT node, depth, round(weight, 6) AS weight, array_to_string(path, '>') AS path FROM p""",
 )
 def path_weights(spark, sf):
-    e = B.edges(spark, sf).where("(src + dst) % 4 = 0")
-    p = G.weighted_paths(8, e, 3, ("1", "2"))
+    p = G.weighted_paths(8, B.edges(spark, sf), 3, ("1", "2"))
     return p.select("node", "depth", F.round("weight", 6).alias("weight"), F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 
@@ -43,9 +42,9 @@ def overrides(spark, sf):
     return o.select("id", F.array_join(F.transform("override_ids", lambda x: x.cast("string")), ",").alias("override_ids"), "has_overrides")
 
 
-@query("graph_guided_search", f"WITH {B.EDGES}, a AS (SELECT vec_id AS id, round((vec_id * 37 % 100) / 100.0, 6) AS score FROM embeddings WHERE vec_id < 40), n AS (SELECT id, score FROM a UNION ALL SELECT g.dst, a.score * g.weight * CASE g.relation WHEN '1' THEN 1.5 ELSE 1.2 END FROM a JOIN g ON g.src = a.id WHERE g.relation IN ('1', '2')) SELECT id, round(max(score), 6)::DOUBLE AS score FROM n GROUP BY id ORDER BY score DESC, id LIMIT 25")
+@query("graph_guided_search", f"WITH {B.EDGES}, a AS (SELECT vec_id AS id, round((vec_id * 37 % 100) / 100.0, 6) AS score FROM embeddings), n AS (SELECT id, score FROM a UNION ALL SELECT g.dst, a.score * g.weight * CASE g.relation WHEN '1' THEN 1.5 ELSE 1.2 END FROM a JOIN g ON g.src = a.id WHERE g.relation IN ('1', '2')) SELECT id, round(max(score), 6)::DOUBLE AS score FROM n GROUP BY id ORDER BY score DESC, id LIMIT 25")
 def graph_guided_search(spark, sf):
-    a = B.table(spark, sf, "embeddings").where("vec_id < 40").select(F.col("vec_id").alias("id"), F.round((F.col("vec_id") * 37 % 100) / 100.0, 6).alias("score"))
+    a = B.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.round((F.col("vec_id") * 37 % 100) / 100.0, 6).alias("score"))
     return G.guided_search(a, B.edges(spark, sf), {"1": 1.5, "2": 1.2}, 25)
 
 
@@ -92,9 +91,9 @@ def context_map(spark, sf):
     return m.unionByName(x)
 
 
-@query("one_hop_context", f"WITH {B.EDGES} SELECT src AS node, count(*) AS relations, array_to_string(list_sort(list(relation || ':' || dst))[1:40], ' ') AS context FROM g WHERE src < 20 GROUP BY src")
+@query("one_hop_context", f"WITH {B.EDGES} SELECT src AS node, count(*) AS relations, array_to_string(list_sort(list(relation || ':' || dst))[1:40], ' ') AS context FROM g GROUP BY src")
 def one_hop_context(spark, sf):
-    g = B.edges(spark, sf).where("src < 20")
+    g = B.edges(spark, sf)
     text = F.concat("relation", F.lit(":"), F.col("dst").cast("string"))
     return g.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("relations"), F.array_join(F.slice(F.sort_array(F.collect_list(text)), 1, 40), " ").alias("context"))
 

@@ -10,9 +10,9 @@ from lodestar.operators import policy as P
 from lodestar.plans import binding as B
 
 
-@query("rrf_merge", "WITH l AS (SELECT l_suppkey AS list_no, l_linenumber AS pos, l_partkey AS id FROM lineitem WHERE l_orderkey < 400), g AS (SELECT id, round(sum(1.0 / (60 + pos)), 6) AS score, min((list_no, pos)) AS f FROM l GROUP BY id) SELECT id, score FROM g ORDER BY score DESC, f, id LIMIT 50")
+@query("rrf_merge", "WITH l AS (SELECT l_suppkey AS list_no, l_linenumber AS pos, l_partkey AS id FROM lineitem), g AS (SELECT id, round(sum(1.0 / (60 + pos)), 6) AS score, min((list_no, pos)) AS f FROM l GROUP BY id) SELECT id, score FROM g ORDER BY score DESC, f, id LIMIT 50")
 def rrf_merge(spark, sf):
-    l = B.table(spark, sf, "lineitem").where("l_orderkey < 400").select(F.col("l_suppkey").alias("list_no"), F.col("l_linenumber").alias("pos"), F.col("l_partkey").alias("id"))
+    l = B.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("list_no"), F.col("l_linenumber").alias("pos"), F.col("l_partkey").alias("id"))
     return P.rrf_merge(l, 60, 50).select("id", "score")
 
 
@@ -46,10 +46,10 @@ def gravity_rerank(spark, sf):
     return P.gravity_rerank(B.hits(spark, sf), P.STRICT, True, 15).select("id", "raw", "score")
 
 
-@query("late_fusion_quota", "WITH d AS (SELECT ['chunks', 'graph', 'summary'][(l_linenumber % 3 + 1)::INT] AS source, l_partkey AS id, l_orderkey * 10 + l_linenumber AS pos FROM lineitem WHERE l_orderkey < 200), p AS (SELECT *, CASE source WHEN 'chunks' THEN 1 WHEN 'graph' THEN 2 ELSE 3 END AS place FROM d), o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY place, pos) AS r FROM p) WHERE r = 1), t AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY pos, id) AS turn FROM o) SELECT source, id, turn::INT AS turn FROM t ORDER BY (turn > CASE source WHEN 'chunks' THEN 3 WHEN 'graph' THEN 2 ELSE 1 END)::INT, place, turn LIMIT 12")
+@query("late_fusion_quota", "WITH d AS (SELECT ['chunks', 'graph', 'summary'][(l_linenumber % 3 + 1)::INT] AS source, l_partkey AS id, l_orderkey * 10 + l_linenumber AS pos FROM lineitem), p AS (SELECT *, CASE source WHEN 'chunks' THEN 1 WHEN 'graph' THEN 2 ELSE 3 END AS place FROM d), o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY place, pos) AS r FROM p) WHERE r = 1), t AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY pos, id) AS turn FROM o) SELECT source, id, turn::INT AS turn FROM t ORDER BY (turn > CASE source WHEN 'chunks' THEN 3 WHEN 'graph' THEN 2 ELSE 1 END)::INT, place, turn LIMIT 12")
 def late_fusion_quota(spark, sf):
     names = F.array(F.lit("chunks"), F.lit("graph"), F.lit("summary"))
-    d = B.table(spark, sf, "lineitem").where("l_orderkey < 200").select(F.element_at(names, (F.col("l_linenumber") % 3 + 1).cast("int")).alias("source"), F.col("l_partkey").alias("id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"))
+    d = B.table(spark, sf, "lineitem").select(F.element_at(names, (F.col("l_linenumber") % 3 + 1).cast("int")).alias("source"), F.col("l_partkey").alias("id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"))
     return P.late_fusion(d, {"chunks": 3, "graph": 2, "summary": 1}, 12).select("source", "id", "turn")
 
 

@@ -33,12 +33,12 @@ def tenant_list(spark, sf):
 
 
 def _traces(spark, sf):
-    l = B.table(spark, sf, "lineitem").where("l_orderkey < 500")
+    l = B.table(spark, sf, "lineitem")
     c = F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", F.struct(F.col("l_suppkey").alias("node_id"), F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("excerpt")).alias("c")))), lambda x: x["c"])
     return l.groupBy(F.col("l_orderkey").alias("trace_id")).agg(c.alias("citations"))
 
 
-@query("traces_citing", "SELECT l_orderkey AS trace_id, string_agg('part ' || l_partkey, ' | ' ORDER BY l_linenumber, 'part ' || l_partkey) AS excerpts FROM lineitem WHERE l_orderkey < 500 AND l_suppkey = 5 GROUP BY 1")
+@query("traces_citing", "SELECT l_orderkey AS trace_id, string_agg('part ' || l_partkey, ' | ' ORDER BY l_linenumber, 'part ' || l_partkey) AS excerpts FROM lineitem WHERE l_suppkey = 5 GROUP BY 1")
 def traces_citing(spark, sf):
     return R.traces_citing(_traces(spark, sf), 5)
 
@@ -80,10 +80,10 @@ def immutability_guard(spark, sf):
     return R.illegal_transitions(o, after, "o_orderkey", ("o_totalprice", "o_custkey"))
 
 
-@query("entity_grounding", "WITH e AS (SELECT p_partkey AS entity, round(p_size / 50.0, 4) AS score FROM part WHERE p_partkey < 300), p AS (SELECT l_partkey AS entity, l_orderkey AS chunk FROM lineitem WHERE l_orderkey < 900) SELECT chunk::VARCHAR AS id, max(score) AS similarity FROM e JOIN p USING (entity) GROUP BY 1 UNION ALL SELECT 'graph:' || entity, score FROM e WHERE entity NOT IN (SELECT entity FROM p)")
+@query("entity_grounding", "WITH e AS (SELECT p_partkey AS entity, round(p_size / 50.0, 4) AS score FROM part), p AS (SELECT l_partkey AS entity, l_orderkey AS chunk FROM lineitem) SELECT chunk::VARCHAR AS id, max(score) AS similarity FROM e JOIN p USING (entity) GROUP BY 1 UNION ALL SELECT 'graph:' || entity, score FROM e WHERE entity NOT IN (SELECT entity FROM p)")
 def entity_grounding(spark, sf):
-    e = B.table(spark, sf, "part").where("p_partkey < 300").select(F.col("p_partkey").alias("entity"), F.round(F.col("p_size") / 50.0, 4).alias("score"))
-    p = B.table(spark, sf, "lineitem").where("l_orderkey < 900").select(F.col("l_partkey").alias("entity"), F.col("l_orderkey").alias("chunk"))
+    e = B.table(spark, sf, "part").select(F.col("p_partkey").alias("entity"), F.round(F.col("p_size") / 50.0, 4).alias("score"))
+    p = B.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("entity"), F.col("l_orderkey").alias("chunk"))
     return K.ground_entities(e, p).select("id", "similarity")
 
 
@@ -149,9 +149,9 @@ def tenant_stamp(spark, sf):
     return P.stamp_tenant(v, 1).select("id", "tenant_id")
 
 
-@query("first_wins_dedup", "SELECT l_partkey::VARCHAR AS key, min(l_orderkey * 10 + l_linenumber) AS seq FROM lineitem WHERE l_orderkey < 2000 GROUP BY 1")
+@query("first_wins_dedup", "SELECT l_partkey::VARCHAR AS key, min(l_orderkey * 10 + l_linenumber) AS seq FROM lineitem GROUP BY 1")
 def first_wins_dedup(spark, sf):
-    l = B.table(spark, sf, "lineitem").where("l_orderkey < 2000").select(F.col("l_partkey").cast("string").alias("key"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+    l = B.table(spark, sf, "lineitem").select(F.col("l_partkey").cast("string").alias("key"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
     return P.first_by(l, P.identity_key(F.col("key"), F.col("key")), F.col("seq"))
 
 

@@ -62,18 +62,18 @@ def repeated_lines(spark, sf):
     return I.repeated_lines(p, 0.05)
 
 
-@query("page_of_offset", "WITH p AS (SELECT l_orderkey AS doc, l_linenumber AS page, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber)::BIGINT - l_quantity::BIGINT AS start FROM lineitem WHERE l_orderkey < 2000), o AS (SELECT o_orderkey AS doc, (o_orderkey * 13 % 200)::BIGINT AS pos FROM orders WHERE o_orderkey < 2000) SELECT o.doc, o.pos, max(p.page)::BIGINT AS page FROM o LEFT JOIN p ON p.doc = o.doc AND p.start <= o.pos GROUP BY o.doc, o.pos")
+@query("page_of_offset", "WITH p AS (SELECT l_orderkey AS doc, l_linenumber AS page, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber)::BIGINT - l_quantity::BIGINT AS start FROM lineitem), o AS (SELECT o_orderkey AS doc, (o_orderkey * 13 % 200)::BIGINT AS pos FROM orders) SELECT o.doc, o.pos, max(p.page)::BIGINT AS page FROM o LEFT JOIN p ON p.doc = o.doc AND p.start <= o.pos GROUP BY o.doc, o.pos")
 def page_of_offset(spark, sf):
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
-    p = B.table(spark, sf, "lineitem").where("l_orderkey < 2000").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").cast("long").alias("page"), (F.sum("l_quantity").over(w).cast("long") - F.col("l_quantity").cast("long")).alias("start"))
-    o = B.table(spark, sf, "orders").where("o_orderkey < 2000").select(F.col("o_orderkey").alias("doc"), (F.col("o_orderkey") * 13 % 200).cast("long").alias("pos"))
+    p = B.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").cast("long").alias("page"), (F.sum("l_quantity").over(w).cast("long") - F.col("l_quantity").cast("long")).alias("start"))
+    o = B.table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc"), (F.col("o_orderkey") * 13 % 200).cast("long").alias("pos"))
     return I.page_of_offset(p, o)
 
 
-@query("nearest_page", "WITH t AS (SELECT o_orderkey AS task, o_custkey AS doc, o_orderkey % 60 AS wanted FROM orders WHERE o_orderkey < 1000), p AS (SELECT DISTINCT l_partkey AS doc, l_quantity::BIGINT AS page FROM lineitem WHERE l_orderkey < 3000) SELECT task, arg_min(page, (CASE WHEN page = wanted THEN 0 WHEN page < wanted THEN 1 ELSE 2 END, abs(page - wanted))) AS page FROM t LEFT JOIN p USING (doc) GROUP BY task")
+@query("nearest_page", "WITH t AS (SELECT o_orderkey AS task, o_custkey AS doc, o_orderkey % 60 AS wanted FROM orders), p AS (SELECT DISTINCT l_partkey AS doc, l_quantity::BIGINT AS page FROM lineitem) SELECT task, arg_min(page, (CASE WHEN page = wanted THEN 0 WHEN page < wanted THEN 1 ELSE 2 END, abs(page - wanted))) AS page FROM t LEFT JOIN p USING (doc) GROUP BY task")
 def nearest_page(spark, sf):
-    t = B.table(spark, sf, "orders").where("o_orderkey < 1000").select(F.col("o_orderkey").alias("task"), F.col("o_custkey").alias("doc"), (F.col("o_orderkey") % 60).alias("wanted"))
-    p = B.table(spark, sf, "lineitem").where("l_orderkey < 3000").select(F.col("l_partkey").alias("doc"), F.col("l_quantity").cast("long").alias("page")).distinct()
+    t = B.table(spark, sf, "orders").select(F.col("o_orderkey").alias("task"), F.col("o_custkey").alias("doc"), (F.col("o_orderkey") % 60).alias("wanted"))
+    p = B.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("doc"), F.col("l_quantity").cast("long").alias("page")).distinct()
     return I.nearest_page(t, p)
 
 
@@ -122,9 +122,9 @@ def document_chunks(spark, sf):
     return I.chunked(B.table(spark, sf, "documents")).select("doc_id", "chunk_index", "heading", "role", F.length("content").alias("n_chars"))
 
 
-@query("section_refs", "SELECT l_orderkey, 'L' || l_linenumber || ':' || l_quantity::INT || ':' || l_returnflag AS ref FROM lineitem WHERE l_orderkey < 500")
+@query("section_refs", "SELECT l_orderkey, 'L' || l_linenumber || ':' || l_quantity::INT || ':' || l_returnflag AS ref FROM lineitem")
 def section_refs(spark, sf):
-    l = B.table(spark, sf, "lineitem").where("l_orderkey < 500")
+    l = B.table(spark, sf, "lineitem")
     return l.select("l_orderkey", D.section_ref(F.col("l_linenumber"), F.col("l_quantity").cast("int"), F.col("l_returnflag")).alias("ref"))
 
 
@@ -141,9 +141,9 @@ def hash_slots(spark, sf):
     return c.select("c_custkey", (F.array_position(e, F.lit(1.0)) - 1).alias("slot"))
 
 
-@query("section_tree", "WITH t AS (SELECT l_orderkey AS doc, l_linenumber AS ord, min(1 + l_partkey % 3) AS level, min(l_suppkey) AS page FROM lineitem WHERE l_orderkey < 3000 GROUP BY 1, 2) SELECT doc, ord, lead(page) OVER (PARTITION BY doc ORDER BY ord) AS end_page, (SELECT max(p.ord) FROM t p WHERE p.doc = t.doc AND p.ord < t.ord AND p.level < t.level) AS parent_ord FROM t")
+@query("section_tree", "WITH t AS (SELECT l_orderkey AS doc, l_linenumber AS ord, min(1 + l_partkey % 3) AS level, min(l_suppkey) AS page FROM lineitem GROUP BY 1, 2) SELECT doc, ord, lead(page) OVER (PARTITION BY doc ORDER BY ord) AS end_page, (SELECT max(p.ord) FROM t p WHERE p.doc = t.doc AND p.ord < t.ord AND p.level < t.level) AS parent_ord FROM t")
 def section_tree(spark, sf):
     from lodestar.operators.graph import document_sections
 
-    t = B.table(spark, sf, "lineitem").where("l_orderkey < 3000").groupBy(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("ord")).agg(F.min(1 + F.col("l_partkey") % 3).alias("level"), F.min("l_suppkey").alias("page"))
+    t = B.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("ord")).agg(F.min(1 + F.col("l_partkey") % 3).alias("level"), F.min("l_suppkey").alias("page"))
     return document_sections(t).select("doc", "ord", "end_page", "parent_ord")
