@@ -12,6 +12,7 @@ import hashlib
 import json
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -23,6 +24,8 @@ from lodestar.llm.common import map_arrow, resident
 _SPACES = "[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
 #: Words of a generation kept with their encodings in each worker; the last two generations stay.
 CACHE = 60_000
+#: Texts encoded at once.
+ROWS = 250
 #: Pairs of tokens whose compatibility a worker remembers.
 PAIRS = 400_000
 
@@ -319,8 +322,13 @@ def bpe_encode(docs: DataFrame, vocab: str = "word_bpe_49k.json", id_col: str =
                 a.append(hashlib.sha256(ids.encode()).hexdigest())
                 b.append(hashlib.sha256(words.encode()).hexdigest())
             else:
-                a.append([int(i) for i in ids.split()])
+                a.append(np.fromstring(ids, np.int32, sep=" "))
                 b.append(words)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string() if digests else pa.list_(pa.int32())), pa.array(b, pa.string())], [x.split()[0] for x in schema.split(", ")])
-
-    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), one, schema, keeps="bpe")
+        if digests:
+            first = pa.array(a, pa.string())
+        else:
+            ends = pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32))
+            first = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int32), *a])))
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), first, pa.array(b, pa.string())], [x.split()[0] for x in schema.split(", ")])
+
+    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), one, schema, keeps="bpe", rows=ROWS)

@@ -146,25 +146,27 @@ def release_others(name: str | None) -> None:
             ctypes.CDLL(None).malloc_trim(0)
 
 
-def stream_arrow(df: DataFrame, run, schema, keeps: str | None = None) -> DataFrame:
-    """mapInArrow over bounded batches. keeps: the name under which its tasks keep something in the worker."""
+def stream_arrow(df: DataFrame, run, schema, keeps: str | None = None, rows: int | None = None) -> DataFrame:
+    """mapInArrow over bounded batches. keeps: the name under which its tasks keep something in the worker; rows:
+    how many rows the function sees at once, where its results are far larger than its input."""
     bounded_batches(df.sparkSession)
 
     def alone(batches):
         release_others(keeps)
-        yield from run(batches)
+        parts = batches if rows is None else (b.slice(lo, rows) for b in batches for lo in range(0, max(1, b.num_rows), rows))
+        yield from run(parts)
 
     return df.mapInArrow(alone, schema)
 
 
-def map_arrow(df: DataFrame, f, schema, keeps: str | None = None) -> DataFrame:
+def map_arrow(df: DataFrame, f, schema, keeps: str | None = None, rows: int | None = None) -> DataFrame:
     """stream_arrow with a function from one RecordBatch to one."""
 
     def run(batches):
         for b in batches:
             yield f(b)
 
-    return stream_arrow(df, run, schema, keeps)
+    return stream_arrow(df, run, schema, keeps, rows)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

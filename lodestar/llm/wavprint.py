@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from lodestar.llm.common import map_arrow, text_chunks
 
 RATE = 8000
+#: Texts handled at once.
+ROWS = 500
 #: Samples of a frame, of the step between frames, frames transformed at once.
 FRAME, HOP, SLAB = 256, 128, 4096
 #: Frequency bins where bands begin; each band offers a frame's strongest bin as peak.
@@ -115,4 +117,4 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x) if x else np.zeros(0, np.int32))) for x in (times, codes)]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols[:7], *lists, *(cols[7:] if keep else [])], [x.split()[0] for x in schema.split(", ")])
 
-    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), one, schema)
+    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), one, schema, rows=ROWS)
