@@ -65,10 +65,18 @@ def text_query(text: str, stemmed: bool = False) -> TextQuery:
 
 
 def _places(words: Column, terms: list[str], stemmed: bool) -> Column:
-    """(term number from 1, place) of the words that are terms, in order."""
-    number = F.array(*(F.lit(t) for t in terms))
-    each = F.transform(words, lambda w, i: F.struct(F.array_position(number, stem(w) if stemmed else w).cast("int").alias("t"), i.alias("p")))
-    return F.filter(each, lambda x: x["t"] > 0)
+    """(term number from 1, place) of the words that are terms, in order. A stem begins its word, so that only
+    words that begin with a term are stemmed."""
+
+    def one(w, i):
+        at = lambda k: F.struct(F.lit(k).alias("t"), i.alias("p"))
+        out = None
+        for k, t in enumerate(terms, 1):
+            mine = w.startswith(t) & (stem(w) == t) if stemmed else w == t
+            out = F.when(mine, at(k)) if out is None else out.when(mine, at(k))
+        return out
+
+    return F.array_compact(F.transform(words, one))
 
 
 def _covers(hits: Column, wanted: list[int]) -> Column:
@@ -101,16 +109,15 @@ def _consecutive(hits: Column, numbers: list[int]) -> Column:
     return F.exists(starts, lambda s: reduce(lambda a, b: a & b, (follows(s, k) for k in range(1, len(numbers)))))
 
 
-def cover_rank(text: Column, query: TextQuery, stemmed: bool = False) -> Column:
-    """The rank of a text, null unless it matches: the best alternative's. Texts that lack a term are never cut into words."""
+def _match(query: TextQuery):
+    """(terms, whether a lower-case text may match, the rank of its words), or None for a query without words."""
     terms = list(dict.fromkeys([*query.terms, *(w for g in query.excluded for w in g)]))
-    if not query.alternatives:
-        return F.lit(None).cast("double")
-    low = F.lower(F.coalesce(text, F.lit("")))
-    may = reduce(lambda a, b: a | b, (reduce(lambda a, b: a & b, (low.contains(w) for g in a for w in g)) for a in query.alternatives))
+    number = {t: k for k, t in enumerate(terms, 1)}
+
+    def may(low):
+        return reduce(lambda a, b: a | b, (reduce(lambda a, b: a & b, (low.contains(w) for g in a for w in g)) for a in query.alternatives))
 
     def ranked(hits):
-        number = {t: k for k, t in enumerate(terms, 1)}
         held = lambda g: F.exists(hits, lambda x: x["t"] == number[g[0]]) if len(g) == 1 else _consecutive(hits, [number[w] for w in g])
         out = []
         for a in query.alternatives:
@@ -122,5 +129,37 @@ def cover_rank(text: Column, query: TextQuery, stemmed: bool = False) -> Column:
             best = F.when(~held(g), best)
         return best
 
-    # a one-element array binds the hits, so that the text is cut into words once
-    return F.when(may, F.element_at(F.transform(F.array(_places(tokens(text), terms, stemmed)), ranked), 1))
+    return terms, may, ranked
+
+
+def _once(value: Column, f) -> Column:
+    """f of a value that is computed once: a one-element array binds it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def cover_ranks(text: Column, /, **queries: tuple[TextQuery, bool]) -> Column:
+    """A struct of the ranks of a text by (query, stemmed) for each name, null where it doesn't match: the best
+    alternative's. A text is cut into words once for all queries, and not at all if it lacks their terms."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    matches = {n: (_match(q), stemmed) for n, (q, stemmed) in queries.items() if q.alternatives}
+    none = F.lit(None).cast("double")
+    if not matches:
+        return F.struct(*(none.alias(n) for n in queries))
+
+    def ranks(words):
+        out = []
+        for n in queries:
+            if n not in matches:
+                out.append(none.alias(n))
+                continue
+            (terms, _, ranked), stemmed = matches[n]
+            out.append(_once(_places(words, terms, stemmed), ranked).alias(n))
+        return F.struct(*out)
+
+    may = reduce(lambda a, b: a | b, (m[1](low) for m, _ in matches.values()))
+    return F.when(may, _once(tokens(text), ranks)).otherwise(F.struct(*(none.alias(n) for n in queries)))
+
+
+def cover_rank(text: Column, query: TextQuery, stemmed: bool = False) -> Column:
+    """The rank of a text by one query, null unless it matches."""
+    return cover_ranks(text, rank=(query, stemmed))["rank"]

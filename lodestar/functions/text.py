@@ -180,3 +180,16 @@ def worker_stage(message: Column) -> Column:
 def transient_error(message: Column) -> Column:
     """Whether an error message tells of something worth retrying."""
     return F.lower(F.coalesce(message, F.lit(""))).rlike("timeout|timed out|connection|temporarily|rate limit|429|502|503|504|reset by peer|unavailable")
+
+
+def json_kind(raw: Column, path: str) -> Column:
+    """What kind of value a JSON text holds at a path: object, array, string, boolean, number, null; none without one."""
+    v = F.try_variant_get(F.try_parse_json(raw), path, "variant")
+    kind = F.schema_of_variant(v)
+    return F.when(v.isNull(), "none").when(kind.startswith("OBJECT"), "object").when(kind.startswith("ARRAY"), "array").when(kind == "STRING", "string").when(kind == "BOOLEAN", "boolean").when(kind == "VOID", "null").otherwise("number")
+
+
+def json_holds(raw: Column, path: str, value) -> Column:
+    """Whether a JSON text holds a scalar value at a path."""
+    kind = "boolean" if isinstance(value, bool) else "long" if isinstance(value, int) else "double" if isinstance(value, float) else "string"
+    return F.coalesce(F.try_variant_get(F.try_parse_json(raw), path, kind) == F.lit(value), F.lit(False))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -52,3 +52,10 @@ def parse_embedding(raw: Column) -> Column:
     parts = F.split(F.regexp_replace(raw, r"[\[\]\s]", ""), ",")
     numbers = F.transform(parts, lambda x: x.try_cast("double"))
     return F.when(raw.isNotNull() & (F.length(F.trim(raw)) > 0) & ~F.exists(numbers, lambda x: x.isNull()), numbers)
+
+
+def mean_vectors(df: DataFrame, keys: Sequence[str], vec_col: str = "embedding") -> DataFrame:
+    """(keys..., mean): the component-wise mean of each group's vectors. Components are summed in every task before
+    anything is shuffled, so a group of any size costs a row for each component and task."""
+    parts = df.select(*keys, F.posexplode(vec_col).alias("__k", "__x")).groupBy(*keys, "__k").agg(F.avg(F.col("__x").cast("double")).alias("__x"))
+    return parts.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("__k", "__x"))), lambda x: x["__x"]).alias("mean"))

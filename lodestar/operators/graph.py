@@ -21,7 +21,8 @@ def multi_hop(anchors: DataFrame, edges: DataFrame, hops: int = 2, decay: float
     rows never exceed nodes, whatever the number of paths.
     """
     decay = min(1.0, max(0.0, decay))
-    e = undirected(edges).select("a", "b")
+    # repeated edges don't change a node's best score, so they needn't be shuffled away
+    e = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select("dst", "src")).where("a <> b")
     best = anchors.groupBy("node").agg(F.max("score").alias("score")).withColumn("hop", F.lit(0))
     reached, front = best, best
     for h in range(1, max(0, hops) + 1):
@@ -248,3 +249,12 @@ def structure_graph(toc: DataFrame) -> tuple[DataFrame, DataFrame]:
 def section_links(chunks: DataFrame) -> DataFrame:
     """(tenant_id, entity_id, chunk_id): which section each chunk stands in, each link once."""
     return chunks.where("section_node_id is not null and id is not null").select("tenant_id", F.col("section_node_id").alias("entity_id"), F.col("id").alias("chunk_id")).distinct()
+
+
+def one_hop_context(edges: DataFrame, names: DataFrame, most: int = 40) -> DataFrame:
+    """(node, relations, context): each node's heaviest relations to named neighbours, at most so many, as text. A
+    node's edges are cut before they are gathered. names: (node, name)."""
+    w = Window.partitionBy("src").orderBy(F.desc("weight"), "relation", "dst")
+    e = edges.join(names.select(F.col("node").alias("dst"), "name"), "dst").withColumn("n", F.row_number().over(w)).where(F.col("n") <= most)
+    line = F.struct("n", F.concat_ws(" ", "relation", "name").alias("line"))
+    return e.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("relations"), F.array_join(F.transform(F.sort_array(F.collect_list(line)), lambda x: x["line"]), "; ").alias("context"))

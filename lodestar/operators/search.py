@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestar.functions.fulltext import cover_rank, text_query
+from lodestar.functions.fulltext import cover_rank, cover_ranks, text_query
 from lodestar.functions.text import term_rank
 from lodestar.functions.vector import similarity
 
@@ -125,10 +125,12 @@ def hybrid(chunks: DataFrame, query: Sequence[float], text: str, n: int = 40, th
     text = text.strip()
     c = scoped(chunks, tenant, scopes)
     w = channel_weights(text, vector, words)
-    s = similarity(F.col("embedding"), query)
-    channels = [("vector", w["vector"], F.when(s > threshold, s))]
+    c = c.withColumn("__sim", similarity(F.col("embedding"), query))
+    channels = [("vector", w["vector"], F.when(F.col("__sim") > threshold, F.col("__sim")))]
     if text:
-        channels += [("text", w["text"], cover_rank(F.col("content"), text_query(text, True), True)), ("exact", w["exact"], cover_rank(F.col("content"), text_query(text)))]
+        # both text channels share one pass over the words
+        c = c.withColumn("__rank", cover_ranks(F.col("content"), text=(text_query(text, True), True), exact=(text_query(text), False)))
+        channels += [("text", w["text"], F.col("__rank.text")), ("exact", w["exact"], F.col("__rank.exact"))]
         if IDENTIFIER.search(text):
             columns = [F.col(x) for x in ("content", "semantic_context", "scope") if x in c.columns]
             channels.append(("literal", w["literal"], F.when(literal_match(text, *columns), 1.0)))
@@ -141,9 +143,9 @@ def batch_hybrid(chunks: DataFrame, queries: Sequence[tuple[str, Sequence[float]
     if not queries or n <= 0:
         return chunks.sparkSession.createDataFrame([], "query_id int, id long, similarity double, text_rank double, score double")
     asked = []
-    for i, (t, v) in enumerate(queries, 1):
-        s = similarity(F.col("embedding"), v)
-        rank = cover_rank(F.col("content"), text_query(t, True), True) if t.strip() else F.lit(None).cast("double")
+    chunks = chunks.withColumn("__rank", cover_ranks(F.col("content"), **{f"q{i}": (text_query(t, True), True) for i, (t, _) in enumerate(queries, 1)}))
+    for i, (_, v) in enumerate(queries, 1):
+        s, rank = similarity(F.col("embedding"), v), F.col(f"__rank.q{i}")
         asked.append(F.struct(F.lit(i).alias("query_id"), F.when(s > threshold, s).alias("sim"), rank.alias("rank")))
     rows = chunks.select("id", F.explode(F.filter(F.array(*asked), lambda x: x["sim"].isNotNull() | x["rank"].isNotNull())).alias("x")).select("x.query_id", "id", "x.sim", "x.rank")
     fused = fused_channels(rows, [("sim", 1.0, F.col("sim")), ("rank", 1.0, F.col("rank"))], 2 * n, k, ("query_id", "id"))

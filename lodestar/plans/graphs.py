@@ -71,16 +71,17 @@ def taxonomy_paths(spark, sf):
 
 @query(
     "merge_upsert",
-    """WITH o AS (SELECT lower(trim(p_type)) AS k, any_value(p_type) AS name, min(p_brand) AS description, 5.0 AS weight FROM part WHERE p_partkey % 2 = 0 GROUP BY 1),
+    """WITH o AS (SELECT lower(trim(p_type)) AS k, min(p_type) AS name, min(p_brand) AS description, 5.0 AS weight FROM part WHERE p_partkey % 2 = 0 GROUP BY 1),
     i AS (SELECT p_partkey AS seq, upper(p_type) AS name, p_brand AS description, p_size AS weight FROM part WHERE p_partkey % 3 = 0),
-    u AS (SELECT lower(trim(name)) AS k, arg_min(name, seq) AS nn, min(description) AS nd, count(*) AS arrivals, max(weight) AS nw FROM i GROUP BY 1)
-    SELECT coalesce(o.k, u.k) AS name_key, CASE WHEN o.k IS NULL THEN greatest(1.0, least(10.0, nw)) ELSE o.weight + coalesce(arrivals, 0) END::DOUBLE AS weight FROM o FULL JOIN u ON o.k = u.k""",
+    f AS (SELECT lower(trim(name)) AS k, description, min(seq) AS seq FROM i GROUP BY 1, 2), ds AS (SELECT k, string_agg(description, ' ' ORDER BY seq) AS nd FROM f GROUP BY k),
+    u AS (SELECT lower(trim(name)) AS k, arg_min(name, seq) AS nn, any_value(nd) AS nd, count(*) AS arrivals, max(weight) AS nw FROM i JOIN ds ON ds.k = lower(trim(i.name)) GROUP BY 1)
+    SELECT coalesce(o.k, u.k) AS name_key, coalesce(o.name, nn) AS name, CASE WHEN o.description IS NULL THEN nd WHEN nd IS NULL OR contains(lower(o.description), lower(nd)) THEN o.description ELSE o.description || ' ' || nd END AS description, CASE WHEN o.k IS NULL THEN greatest(1.0, least(10.0, nw)) ELSE o.weight + coalesce(arrivals, 0) END::DOUBLE AS weight FROM o FULL JOIN u ON o.k = u.k""",
 )
 def merge_upsert(spark, sf):
     p = B.table(spark, sf, "part")
     old = p.where("p_partkey % 2 = 0").groupBy(F.lower(F.trim("p_type")).alias("k")).agg(F.min("p_type").alias("name"), F.min("p_brand").alias("description")).select("name", "description", F.lit(5.0).alias("weight"))
     new = p.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("seq"), F.upper("p_type").alias("name"), F.col("p_brand").alias("description"), F.col("p_size").cast("double").alias("weight"))
-    return G.merge_entities(old, new).select("name_key", "weight")
+    return G.merge_entities(old, new)
 
 
 @query("context_map", "SELECT 'mandate' AS kind, n_regionkey AS owner, n_nationkey::BIGINT AS item FROM nation UNION ALL SELECT DISTINCT 'mounted', n_regionkey, s_suppkey FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_acctbal > 0")
@@ -91,11 +92,10 @@ def context_map(spark, sf):
     return m.unionByName(x)
 
 
-@query("one_hop_context", f"WITH {B.EDGES} SELECT src AS node, count(*) AS relations, array_to_string(list_sort(list(relation || ':' || dst))[1:40], ' ') AS context FROM g GROUP BY src")
+@query("one_hop_context", f"WITH {B.EDGES}, r AS (SELECT src AS node, relation, dst, weight, c_name AS name, row_number() OVER (PARTITION BY src ORDER BY weight DESC, relation, dst) AS n FROM g JOIN customer ON c_custkey = dst) SELECT node, count(*) AS relations, string_agg(relation || ' ' || name, '; ' ORDER BY n) AS context FROM r WHERE n <= 40 GROUP BY node")
 def one_hop_context(spark, sf):
-    g = B.edges(spark, sf)
-    text = F.concat("relation", F.lit(":"), F.col("dst").cast("string"))
-    return g.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("relations"), F.array_join(F.slice(F.sort_array(F.collect_list(text)), 1, 40), " ").alias("context"))
+    names = B.table(spark, sf, "customer").select(F.col("c_custkey").alias("node"), F.col("c_name").alias("name"))
+    return G.one_hop_context(B.edges(spark, sf), names)
 
 
 @query("relation_validation", "WITH r AS (SELECT lower(trim(o_orderpriority)) AS source, lower(trim(o_orderstatus)) AS target, upper(regexp_replace(trim(o_orderpriority), '[^A-Za-z0-9]+', '_', 'g')) AS relation, o_orderkey % 20 AS weight FROM orders) SELECT source, target, relation, max(greatest(1, least(10, weight)))::DOUBLE AS weight FROM r WHERE source <> target AND source LIKE '1%' AND target IN ('f', 'o') GROUP BY ALL")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestar.catalog import query
+from lodestar.functions import text as X
 from lodestar.operators import operations as O
 from lodestar.plans import binding as B
 
@@ -127,3 +128,9 @@ def time_to_searchable(spark, sf):
 def json_props(spark, sf):
     v = F.try_variant_get(F.parse_json("props"), "$.k", "long")
     return B.table(spark, sf, "events").groupBy("event_type").agg(F.sum(v).alias("k"))
+
+
+@query("json_kinds", "SELECT event_type, CASE json_type(props, '$.k') WHEN 'UBIGINT' THEN 'number' WHEN 'BIGINT' THEN 'number' ELSE 'other' END AS kind, count_if(json_extract(props, '$.k')::BIGINT = 3) AS threes, count(*) AS n FROM events GROUP BY 1, 2")
+def json_kinds(spark, sf):
+    e = B.table(spark, sf, "events")
+    return e.groupBy("event_type", X.json_kind(F.col("props"), "$.k").alias("kind")).agg(F.count_if(X.json_holds(F.col("props"), "$.k", 3)).alias("threes"), F.count("*").alias("n"))

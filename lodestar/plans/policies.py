@@ -64,10 +64,11 @@ def coverage_missing(spark, sf):
     return P.missing(B.hits(spark, sf), "scope", ["s0", "s1", "x1", "x2"]).select(F.array_join(F.sort_array("missing"), ",").alias("missing"))
 
 
-@query("scope_filter_fallback", f"WITH {B.HITS} SELECT count(*) AS n, round(sum(score), 4) AS total FROM h")
+@query("scope_filter_fallback", f"WITH {B.HITS} SELECT 'absent' AS asked, count(*) AS n, round(sum(score), 4) AS total FROM h UNION ALL SELECT 's2', count(*), round(sum(score), 4) FROM h WHERE scope = 's2'")
 def scope_filter_fallback(spark, sf):
     h = B.hits(spark, sf)
-    return P.scope_or_all(h, F.col("scope") == "absent").agg(F.count("*").alias("n"), F.round(F.sum("score"), 4).alias("total"))
+    total = lambda s: P.scope_or_all(h, F.col("scope") == s).agg(F.lit(s).alias("asked"), F.count("*").alias("n"), F.round(F.sum("score"), 4).alias("total"))
+    return total("absent").unionByName(total("s2"))
 
 
 @query("layer_histogram", f"WITH {B.HITS} SELECT source_layer, count(*) AS n FROM h GROUP BY source_layer")

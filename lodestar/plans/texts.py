@@ -98,10 +98,10 @@ def safe_filenames(spark, sf):
     return B.table(spark, sf, "customer").select("c_custkey", X.safe_filename(F.concat("c_name", F.lit(" ("), "c_mktsegment", F.lit(").pdf"))).alias("name"))
 
 
-@query("mean_vectors", "SELECT label, round(avg(embedding[1]::DOUBLE), 5) AS first, round(avg(embedding[64]::DOUBLE), 5) AS last FROM embeddings GROUP BY label")
+@query("mean_vectors", "SELECT label, k AS component, round(avg(x), 5) AS mean FROM (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding)))::INT AS k FROM embeddings) GROUP BY 1, 2")
 def mean_vectors(spark, sf):
-    m = B.table(spark, sf, "embeddings").groupBy("label").agg(V.mean_vector(F.collect_list("embedding")).alias("m"))
-    return m.select("label", F.round(F.element_at("m", 1), 5).alias("first"), F.round(F.element_at("m", 64), 5).alias("last"))
+    m = V.mean_vectors(B.table(spark, sf, "embeddings"), ["label"])
+    return m.select("label", F.posexplode("mean").alias("component", "mean")).withColumn("mean", F.round("mean", 5))
 
 
 @query("normalized_embeddings", "SELECT vec_id, len(embedding)::INT AS dims, round(embedding[1]::DOUBLE, 5) AS first FROM embeddings")
