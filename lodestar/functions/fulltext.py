@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lodestar.functions.text import tokens
+from lodestar.functions.text import WORD, tokens
 
 # Words that a stemmed query passes over, and endings that stemming takes off, longest first.
 STOP_WORDS = ("a", "al", "como", "con", "de", "del", "el", "en", "es", "la", "las", "lo", "los", "no", "o", "para", "por", "que", "se", "su", "un", "una", "y")
@@ -64,49 +64,64 @@ def text_query(text: str, stemmed: bool = False) -> TextQuery:
     return TextQuery(tuple(tuple(dict.fromkeys(a)) for a in found if a), tuple(excluded))
 
 
-def _places(words: Column, terms: list[str], stemmed: bool) -> Column:
-    """(term number from 1, place) of the words that are terms, in order. A stem begins its word, so that only
-    words that begin with a term are stemmed."""
+def _numbers(terms: list[str], stemmed: bool):
+    """The term number from 1 of a word, 0 for others. A stem begins its word, so that only words that begin with
+    a term are stemmed."""
 
-    def one(w, i):
-        at = lambda k: F.struct(F.lit(k).alias("t"), i.alias("p"))
+    def one(w):
         out = None
         for k, t in enumerate(terms, 1):
             mine = w.startswith(t) & (stem(w) == t) if stemmed else w == t
-            out = F.when(mine, at(k)) if out is None else out.when(mine, at(k))
-        return out
+            out = F.when(mine, k) if out is None else out.when(mine, k)
+        return out.otherwise(0)
 
-    return F.array_compact(F.transform(words, one))
+    return one
+
+
+def _all_words(text: Column) -> Column:
+    """(words passed over since the last one, word) of every word."""
+    return F.transform(tokens(text), lambda w: F.struct(F.lit(0).alias("g"), w.alias("w")))
+
+
+def _some_words(text: Column, terms: list[str]) -> Column:
+    """(words passed over since the last one, word) of the words that begin with a term. What stands between them
+    is only counted, so that the array is as long as there are hits."""
+    letter = WORD[:-1]
+    hit = f"(?<!{letter})(?:{'|'.join(sorted(terms, key=len, reverse=True))}){letter}*"
+    low = F.lower(F.coalesce(text, F.lit("")))
+    between = F.transform(F.split(low, hit, -1), lambda x: F.regexp_count(x, F.lit(WORD)))
+    return F.filter(F.zip_with(between, F.regexp_extract_all(low, F.lit(hit), F.lit(0)), lambda g, w: F.struct(g.alias("g"), w.alias("w"))), lambda x: x["w"].isNotNull())
 
 
 def _covers(hits: Column, wanted: list[int]) -> Column:
-    """The rank of one alternative: a single pass that remembers each term's last place."""
+    """The rank of one alternative over hits (t, g): a single pass that remembers each term's last place."""
     n = len(wanted)
-    zero = F.struct(*(F.lit(-1).alias(f"l{k}") for k in range(n)), *(F.lit(-1).alias(f"e{k}") for k in range(n)), F.lit(0).alias("seen"), F.lit(-1).alias("from_"), F.lit(0.0).alias("rank"))
+    zero = F.struct(*(F.lit(-1).alias(f"l{k}") for k in range(n)), *(F.lit(-1).alias(f"e{k}") for k in range(n)), F.lit(0).alias("at"), F.lit(0).alias("seen"), F.lit(-1).alias("from_"), F.lit(0.0).alias("rank"))
 
     def step(acc, x):
+        place = acc["at"] + x["g"]
         mine = [x["t"] == t for t in wanted]
         some = reduce(lambda a, b: a | b, mine)
         seen = acc["seen"] + F.when(some, 1).otherwise(0)
-        last = [F.when(m, x["p"]).otherwise(acc[f"l{k}"]) for k, m in enumerate(mine)]
+        last = [F.when(m, place).otherwise(acc[f"l{k}"]) for k, m in enumerate(mine)]
         entry = [F.when(m, seen).otherwise(acc[f"e{k}"]) for k, m in enumerate(mine)]
         begin = F.least(*last) if n > 1 else last[0]
         first = F.least(*entry) if n > 1 else entry[0]
         ends = some & (begin >= 0) & (begin > acc["from_"])
-        noise = (x["p"] - begin) - (seen - first)
-        return F.struct(*(c.alias(f"l{k}") for k, c in enumerate(last)), *(c.alias(f"e{k}") for k, c in enumerate(entry)), seen.alias("seen"), F.when(ends, begin).otherwise(acc["from_"]).alias("from_"), F.when(ends, acc["rank"] + F.lit(0.1) / (F.lit(1) + noise)).otherwise(acc["rank"]).alias("rank"))
+        noise = (place - begin) - (seen - first)
+        return F.struct(*(c.alias(f"l{k}") for k, c in enumerate(last)), *(c.alias(f"e{k}") for k, c in enumerate(entry)), (place + 1).alias("at"), seen.alias("seen"), F.when(ends, begin).otherwise(acc["from_"]).alias("from_"), F.when(ends, acc["rank"] + F.lit(0.1) / (F.lit(1) + noise)).otherwise(acc["rank"]).alias("rank"))
 
     return F.aggregate(hits, zero, step, lambda acc: acc["rank"])
 
 
 def _consecutive(hits: Column, numbers: list[int]) -> Column:
-    """Whether the numbered terms stand one after the other somewhere."""
+    """Whether the numbered terms stand one after the other somewhere, in hits of every word."""
 
-    def follows(start, k):
-        return F.exists(hits, lambda x: (x["t"] == numbers[k]) & (x["p"] == start["p"] + k))
+    def follows(i, k):
+        return F.coalesce(F.get(hits, i + k)["t"] == numbers[k], F.lit(False))
 
-    starts = F.filter(hits, lambda x: x["t"] == numbers[0])
-    return F.exists(starts, lambda s: reduce(lambda a, b: a & b, (follows(s, k) for k in range(1, len(numbers)))))
+    at = F.transform(hits, lambda x, i: F.when(x["t"] == numbers[0], i))
+    return F.exists(at, lambda i: i.isNotNull() & reduce(lambda a, b: a & b, (follows(i, k) for k in range(1, len(numbers)))))
 
 
 def _match(query: TextQuery):
@@ -145,6 +160,8 @@ def cover_ranks(text: Column, /, **queries: tuple[TextQuery, bool]) -> Column:
     none = F.lit(None).cast("double")
     if not matches:
         return F.struct(*(none.alias(n) for n in queries))
+    phrases = any(len(g) > 1 for q, _ in queries.values() for g in (*q.excluded, *(g for a in q.alternatives for g in a)))
+    terms = list(dict.fromkeys(t for m, _ in matches.values() for t in m[0]))
 
     def ranks(words):
         out = []
@@ -152,12 +169,14 @@ def cover_ranks(text: Column, /, **queries: tuple[TextQuery, bool]) -> Column:
             if n not in matches:
                 out.append(none.alias(n))
                 continue
-            (terms, _, ranked), stemmed = matches[n]
-            out.append(_once(_places(words, terms, stemmed), ranked).alias(n))
+            (own, _, ranked), stemmed = matches[n]
+            number = _numbers(own, stemmed)
+            hits = F.transform(words, lambda x: F.struct(number(x["w"]).alias("t"), x["g"].alias("g")))
+            out.append(_once(hits, ranked).alias(n))
         return F.struct(*out)
 
     may = reduce(lambda a, b: a | b, (m[1](low) for m, _ in matches.values()))
-    return F.when(may, _once(tokens(text), ranks)).otherwise(F.struct(*(none.alias(n) for n in queries)))
+    return F.when(may, _once(_all_words(text) if phrases else _some_words(text, terms), ranks)).otherwise(F.struct(*(none.alias(n) for n in queries)))
 
 
 def cover_rank(text: Column, query: TextQuery, stemmed: bool = False) -> Column:

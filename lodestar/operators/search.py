@@ -56,15 +56,19 @@ def vector_hits(chunks: DataFrame, query: Sequence[float], n: int = 40, threshol
 
 def text_hits(chunks: DataFrame, text: str, n: int = 40, stemmed: bool = False) -> DataFrame:
     """Chunks that match a search-box text, the n of highest cover density."""
-    hit = chunks.withColumn("text_rank", cover_rank(F.col("content"), text_query(text, stemmed), stemmed)).where("text_rank is not null")
-    return top(hit, n, F.desc("text_rank"), F.col("id"))
+    return top(_having(chunks, "text_rank", cover_rank(F.col("content"), text_query(text, stemmed), stemmed)), n, F.desc("text_rank"), F.col("id"))
+
+
+def _having(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a costly value, rows without it left out. A filter on the value would have it computed again, and
+    pushed below joins into a scan's few tasks; a generator computes it once, where it stands."""
+    return df.select("*", F.explode(F.array_compact(F.array(value))).alias(name))
 
 
 def words_hits(chunks: DataFrame, text: str, n: int = 40) -> DataFrame:
     """Chunks that hold every word of the text, the n of highest saturated term frequency."""
     terms = list(dict.fromkeys(re.findall("[0-9a-zà-öø-ÿ]+", text.lower())))
-    hit = chunks.withColumn("text_rank", term_rank(F.col("content"), terms)).where("text_rank is not null")
-    return top(hit, n, F.desc("text_rank"), F.col("id"))
+    return top(_having(chunks, "text_rank", term_rank(F.col("content"), terms)), n, F.desc("text_rank"), F.col("id"))
 
 
 def literal_match(text: str, *columns: Column) -> Column:
@@ -224,9 +228,10 @@ def layered_rrf(chunks: DataFrame, query: Sequence[float], layer: Column, n: int
 def weighted_sum(chunks: DataFrame, query: Sequence[float], text: str, n: int, vector: float = 0.7, words: float = 0.3) -> DataFrame:
     """(id, score): vector * similarity + words * min(text rank, 1) over chunks with either."""
     terms = list(dict.fromkeys(re.findall("[0-9a-zà-öø-ÿ]+", text.lower())))
-    s = chunks.select("id", similarity(F.col("embedding"), query).alias("sim"), term_rank(F.col("content"), terms).alias("rank"))
-    score = F.round(vector * F.coalesce("sim", F.lit(0.0)) + words * F.least(F.coalesce("rank", F.lit(0.0)), F.lit(1.0)), 6)
-    return top(s.where("sim is not null or rank is not null").select("id", score.alias("score")), n, F.desc("score"), F.col("id"))
+    s, r = similarity(F.col("embedding"), query), term_rank(F.col("content"), terms)
+    both = _having(chunks.select("id", "embedding", "content"), "x", F.transform(F.array(F.struct(s.alias("sim"), r.alias("rank"))), lambda x: F.when(x["sim"].isNotNull() | x["rank"].isNotNull(), x))[0])
+    score = F.round(vector * F.coalesce("x.sim", F.lit(0.0)) + words * F.least(F.coalesce("x.rank", F.lit(0.0)), F.lit(1.0)), 6)
+    return top(both.select("id", score.alias("score")), n, F.desc("score"), F.col("id"))
 
 
 def batch_vector_topk(chunks: DataFrame, queries: DataFrame, n: int, threshold: float) -> DataFrame:

@@ -24,8 +24,12 @@ def query_vector(spark: SparkSession, sf: str, vec_id: int = 0) -> list[float]:
 
 
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """Text chunks with vectors: every document with the vector of its number, counted round by their number."""
-    v = vectors(spark, sf).drop("scope").withColumnRenamed("id", "vec")
+    """Text chunks with vectors: every document with the vector of its number, counted round by their number.
+
+    Both tables grow with the corpus, so they meet by a shuffle; a broadcast of small vectors would leave the texts
+    in as few tasks as their file has row groups.
+    """
+    v = vectors(spark, sf).drop("scope").withColumnRenamed("id", "vec").hint("shuffle_hash")
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), "lang", F.col("source").alias("scope"))
     return d.join(v, F.col("id") % table(spark, sf, "embeddings").count() == F.col("vec")).drop("vec")
 
