@@ -247,3 +247,31 @@ def section_of_page(toc: DataFrame, pages: DataFrame) -> DataFrame:
     u = first.select("doc", F.col("page").cast("long").alias("at"), F.lit(0).alias("kind"), "title").unionByName(pages.select("doc", F.col("pos").cast("long").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("string").alias("title")))
     w = Window.partitionBy("doc").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return u.withColumn("title", F.last("title", ignorenulls=True).over(w)).where("kind = 1").select("doc", F.col("at").alias("pos"), "title")
+
+
+# Fixed value: the share of a page's height that its head and its foot take.
+MARGIN = 0.08
+
+
+def cropped_pages(blocks: DataFrame, margin: float = MARGIN) -> DataFrame:
+    """(doc, page, text) of text blocks (doc, page, ord, top, bottom, height, text): those that lie in the page's head
+    or foot go, the others are joined in order. A page of which nothing stays has an empty text."""
+    inside = (F.col("bottom") > F.col("height") * margin) & (F.col("top") < F.col("height") * (1 - margin)) & (F.trim(F.coalesce("text", F.lit(""))) != "")
+    line = F.when(inside, F.struct("ord", F.trim("text").alias("text")))
+    return blocks.groupBy("doc", "page").agg(F.array_join(F.transform(F.sort_array(F.collect_list(line)), lambda x: x["text"]), "\n").alias("text"))
+
+
+def page_map(pages: DataFrame, gap: int = 2) -> DataFrame:
+    """(doc, page, start, end): where each page (doc, page, text) stands in its document's text, pages joined by a gap."""
+    w = Window.partitionBy("doc").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.length("text")
+    start = F.coalesce(F.sum(size + gap).over(w), F.lit(0))
+    return pages.select("doc", "page", start.cast("long").alias("start"), (start + size).cast("long").alias("end"))
+
+
+def page_breadcrumbs(chunks: DataFrame, spans: DataFrame, toc: DataFrame) -> DataFrame:
+    """chunks (doc, pos, ...) with their page and the title of the section it stands in: two as-of joins."""
+    at = chunks.select("doc", F.col("pos").cast("long").alias("pos")).distinct()
+    paged = page_of_offset(spans.select("doc", "page", "start"), at)
+    titled = section_of_page(toc, paged.where("page is not null").select("doc", F.col("page").alias("pos")).distinct()).select("doc", F.col("pos").alias("page"), F.col("title").alias("breadcrumb"))
+    return chunks.join(paged, ["doc", "pos"], "left").join(titled, ["doc", "page"], "left")

@@ -273,3 +273,32 @@ def inline_fallbacks(spark, sf):
 @query("prompt_context", f"WITH {B.HITS} SELECT 'summary' || chr(10) || chr(10) || arg_max(scope || id, (similarity, -id)) AS context FROM h")
 def prompt_context(spark, sf):
     return R.prompt_context(B.hits(spark, sf).withColumn("content", F.concat("scope", F.col("id").cast("string"))), F.lit("summary"))
+
+
+_BLOCKS = "b AS (SELECT l_orderkey AS doc, l_linenumber % 2 AS page, l_partkey * 10 + l_linenumber AS ord, l_quantity AS top, l_quantity + 3 AS bottom, 50.0 AS height, CASE WHEN l_suppkey % 7 > 0 THEN l_shipdate::DATE::VARCHAR ELSE ' ' END AS text FROM lineitem), p AS (SELECT doc, page, coalesce(string_agg(trim(text), chr(10) ORDER BY ord, text) FILTER (bottom > 4.0 AND top < 46.0 AND trim(text) <> ''), '') AS text FROM b GROUP BY doc, page)"
+
+
+def _pages(spark, sf):
+    l = B.table(spark, sf, "lineitem")
+    text = F.when(F.col("l_suppkey") % 7 > 0, F.col("l_shipdate").cast("date").cast("string")).otherwise(" ")
+    b = l.select(F.col("l_orderkey").alias("doc"), (F.col("l_linenumber") % 2).alias("page"), (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("ord"), F.col("l_quantity").alias("top"), (F.col("l_quantity") + 3).alias("bottom"), F.lit(50.0).alias("height"), text.alias("text"))
+    return I.cropped_pages(b)
+
+
+@query("cropped_pages", f"WITH {_BLOCKS} SELECT * FROM p")
+def cropped_pages(spark, sf):
+    return _pages(spark, sf)
+
+
+@query("page_map", f"WITH {_BLOCKS} SELECT doc, page, coalesce(sum(length(text) + 2) OVER w, 0)::BIGINT AS start, (coalesce(sum(length(text) + 2) OVER w, 0) + length(text))::BIGINT AS \"end\" FROM p WINDOW w AS (PARTITION BY doc ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+def page_map(spark, sf):
+    return I.page_map(_pages(spark, sf))
+
+
+@query("page_breadcrumbs", "WITH c AS (SELECT o_orderkey AS doc, (o_orderkey * 7 % 40)::BIGINT AS pos FROM orders), s AS (SELECT l_orderkey AS doc, l_linenumber AS page, (l_linenumber - 1) * 10 AS start FROM lineitem GROUP BY ALL), t AS (SELECT l_orderkey AS doc, l_linenumber AS ord, l_linenumber AS page, 'T' || l_partkey AS title FROM lineitem WHERE l_linenumber % 2 = 0), p AS (SELECT c.*, (SELECT max(page) FROM s WHERE s.doc = c.doc AND s.start <= c.pos) AS page FROM c) SELECT p.*, (SELECT arg_max(title, (t.page, ord, title)) FROM t WHERE t.doc = p.doc AND t.page <= p.page) AS breadcrumb FROM p")
+def page_breadcrumbs(spark, sf):
+    l = B.table(spark, sf, "lineitem")
+    c = B.table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc"), (F.col("o_orderkey") * 7 % 40).cast("long").alias("pos"))
+    s = l.select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").cast("long").alias("page"), ((F.col("l_linenumber") - 1) * 10).cast("long").alias("start")).distinct()
+    t = l.where("l_linenumber % 2 = 0").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("ord"), F.col("l_linenumber").alias("page"), F.concat(F.lit("T"), F.col("l_partkey").cast("string")).alias("title"))
+    return I.page_breadcrumbs(c, s, t)
