@@ -252,7 +252,7 @@ def context_without_boosts(spark, sf):
     return S.union_plain(c.where("label % 2 = 0"), c.where("label % 2 = 1"), B.query_vector(spark, sf), 30, 0.05)
 
 
-@query("anchor_selection", "SELECT p_partkey AS id, p_name AS name, 1.0 AS similarity FROM part WHERE lower(trim(p_name)) = lower(trim((SELECT p_name FROM part WHERE p_partkey = 7))) ORDER BY 1 LIMIT 8")
+@query("anchor_selection", "SELECT p_partkey AS id, p_name AS name, 1.0::DOUBLE AS similarity FROM part WHERE lower(trim(p_name)) = lower(trim((SELECT p_name FROM part WHERE p_partkey = 7))) ORDER BY 1 LIMIT 8")
 def anchor_selection(spark, sf):
     p = B.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
     near = p.select("id", "name", F.lit(0.8).alias("similarity"))
