@@ -86,6 +86,27 @@ def test_groups_and_lists_in_parts(spark, monkeypatch):
     assert got == sorted(brute(rows, 4, 85)) and len({c for *_, c in got}) > 3
 
 
+@pytest.mark.parametrize("once", [True, False])
+def test_lists_stream_in_any_batches(once):
+    """Rows in company by brute force, whatever the batches' edges."""
+    import pyarrow as pa
+
+    rng = random.Random(11)
+    for _ in range(200):
+        rows = sorted((rng.randint(0, 6), rng.randint(0, 4), 9, k % 3) for k in range(rng.randint(0, 25)))
+        left = [r for k, r in enumerate(rows) if not once or k == 0 or r[:2] != rows[k - 1][:2]]
+        want = [r for r in left if sum(x[0] == r[0] for x in left) > 1]
+        batches, at = [], 0
+        while at < len(rows):
+            n = rng.randint(0, 5)
+            part = rows[at : at + n]
+            at += n
+            cols = list(zip(*part)) if part else [[], [], [], []]
+            batches.append(pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())], ["g", "h", "n", "i"]))
+        got = [r for p in jaccard._shared(iter(batches), once) for r in zip(*(p[k].tolist() for k in ("g", "h", "n", "i")))]
+        assert got == want
+
+
 def test_empty_table(spark):
     assert jaccard.jaccard_components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
