@@ -14,6 +14,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -209,3 +210,24 @@ def passes(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
         at = mix(h.view(np.uint64) + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)) & np.uint64(len(bits) * 8 - 1)
         ok &= (bits[(at >> np.uint64(3)).astype(np.int64)] >> (7 - (at & np.uint64(7)).astype(np.uint8))) & 1 == 1
     return ok
+
+
+def numbered(df: DataFrame, *order: str, name: str, into: str) -> tuple[DataFrame, DataFrame]:
+    """The rows with their place (from 0) in the order of some columns, nulls first, and the table that they are read from.
+
+    A range-partitioned sort writes them; the driver sees one count for each partition. A sort key that many rows share
+    is split over partitions by the rows' own numbers.
+    """
+    spark = df.sparkSession
+    own = df.withColumn("__tie", F.monotonically_increasing_id())
+    keys = [*order, "__tie"]
+    rows = written(own.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__at", F.monotonically_increasing_id()).drop("__tie"), name)
+    part = F.shiftright("__at", 33)
+    counts = sorted((r.p, r.n) for r in rows.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
+    offsets, total = [], 0
+    for p, n in counts:
+        offsets.append((p, total))
+        total += n
+    small = F.broadcast(spark.createDataFrame(offsets, "__p long, __offset long"))
+    within = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.join(small, part == F.col("__p")).withColumn(into, F.col("__offset") + within).drop("__at", "__p", "__offset"), rows

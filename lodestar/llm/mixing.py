@@ -124,7 +124,7 @@ def _quotas(table: pa.Table, limit: int) -> pa.Table:
 
 
 def mix_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, limit: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
-    """(doc_id, size, source_size, target, rate, copies, taken) for every row, after row_col where it is given.
+    """(doc_id, source, size, source_size, target, rate, copies, taken) for every row, after row_col where it is given.
 
     size: words [^\\x20\\x09-\\x0D]+ of the text (null: 0). Null sources are a source of their own, last.
     A document comes 0 to limit times; one of size 0 is not taken. The same input gives the same copies:
@@ -156,4 +156,4 @@ def mix_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share
     place = F.col("k") + F.coalesce("ahead", F.lit(0))
     each = F.floor(F.col("quota") / F.col("n"))
     copies = (each + F.when(place <= F.col("quota") - each * F.col("n"), 1).otherwise(0)).cast("int")
-    return j.select(*key, "doc_id", "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    return j.select(*key, "doc_id", "source", "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
