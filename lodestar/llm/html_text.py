@@ -16,8 +16,12 @@ VOID = _set("area base br col embed hr img input link meta param source track wb
 RAW = _set("script style xmp iframe noembed noframes")
 ESCAPABLE = _set("textarea title")
 #: Elements never rendered.
-UNSEEN = _set("head script style template noscript iframe object embed audio video canvas svg math select datalist title meta link base param area source track noembed noframes")
-BLOCK = _set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table ul caption tr thead tbody tfoot td th optgroup option search")
+UNSEEN = _set("head script style template noscript iframe object embed audio video canvas datalist title meta link base param area source track noembed noframes svg:desc svg:metadata svg:defs svg:symbol svg:clippath svg:mask svg:pattern math:annotation math:annotation-xml")
+#: Elements of drawings and formulas that aren't HTML's: their names here, by the element that they stand in.
+FOREIGN = {"svg": _set("desc metadata defs symbol clippath mask pattern text"), "math": _set("annotation annotation-xml")}
+#: Elements whose end tag closes whatever is still open in them.
+CONTAINERS = _set("template select object video audio canvas svg math button")
+BLOCK = _set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table ul caption tr thead tbody tfoot td th optgroup option search svg:text")
 #: Blocks with an empty line before and after.
 SPACED = _set("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure")
 CLOSES_P = _set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li dd dt main menu nav ol p pre section table ul summary search")
@@ -48,16 +52,16 @@ _WS = re.compile(r"[ \t\n\r\f]+")
 _LONG_REF = re.compile(r"&#(\d{8,});?")
 #: Start tags that leave an open head open.
 IN_HEAD = _set("base basefont bgsound link meta title noscript noframes style script template head")
-#: Columns that text is moved in at most, tables within tables whose cells are aligned, and steps spent on the
-#: places of cells that span rows. Beyond them layout gets simpler; no text is lost.
-INDENT, ALIGNED, SPAN_STEPS = 40, 12, 200_000
+#: Indentation and alignment move no text beyond this column. Each line of a page has text of its own, so its rendering
+#: is at most so many times as long.
+MARGIN = 80
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids")
+    __slots__ = ("tag", "attrs", "kids", "holds_tables")
 
     def __init__(self, tag, attrs=""):
-        self.tag, self.attrs, self.kids = tag, attrs, []
+        self.tag, self.attrs, self.kids, self.holds_tables = tag, attrs, [], False
 
 
 def unescaped(x: str) -> str:
@@ -190,6 +194,9 @@ def parse(doc: str) -> Node:
                 stack.cut(len(nodes) - 1)
             add(unescaped(tag), not blank)
             continue
+        inside = next((f for f, names in FOREIGN.items() if tag in names and stack.places.get(f)), None)
+        if inside:
+            tag = f"{inside}:{tag}"
         if kind == "/":
             if tag == "br":
                 add(Node("br"), True)
@@ -201,6 +208,8 @@ def parse(doc: str) -> Node:
                 stack.close({"table"}, {"template"})
             elif tag in TABLE_HOLDERS:
                 stack.close({tag}, {"table", "template"})
+            elif tag in CONTAINERS:
+                stack.close({tag}, {"template"} - {tag})
             elif tag in BLOCK:
                 stack.close({tag}, SCOPE - {tag}) if tag not in ("html", "body") else None
             else:
@@ -219,7 +228,11 @@ def parse(doc: str) -> Node:
             stack.close({"head"}, frozenset())
         if tag in IMPLIED:
             stack.close(*IMPLIED[tag])
+        elif tag in ("select", "input", "textarea"):
+            stack.close({"select"}, SCOPE)
         table = stack.nearest(("table",))
+        if tag == "table" and table > 0:
+            nodes[table].holds_tables = True
         in_table = table > stack.nearest(("template",)) and table > 0
         if tag in TABLE_HOLDERS and in_table:
             stack.cut(stack.nearest(TABLE_HOLDERS[tag]) + 1)
@@ -228,6 +241,7 @@ def parse(doc: str) -> Node:
                 nodes[-1].kids.append(row)
                 stack.push(row)
         elif tag == "table" and in_table and nodes[-1].tag in TABLE_PARTS:
+            nodes[table].holds_tables = False
             stack.cut(table)
         node = Node(tag, attrs)
         if tag in RAW or tag in ESCAPABLE or tag == "plaintext":
@@ -239,7 +253,7 @@ def parse(doc: str) -> Node:
             node.kids.append(unescaped(text) if tag in ESCAPABLE else text)
             continue
         add(node, tag not in IN_TABLE)
-        if tag not in VOID:
+        if tag not in VOID and not (attrs.endswith("/") and stack.nearest(("svg", "math")) > 0):
             stack.push(node)
 
 
@@ -311,7 +325,7 @@ class _Lines:
             self._end_block()
         if not self.line:
             first = self.columns - sum(map(len, self.marks))
-            self.line.append(" " * min(first, INDENT) + "".join(self.marks))
+            self.line.append(" " * min(first, MARGIN) + "".join(self.marks))
         elif self.marks:
             self.line.append("".join(self.marks))
         self.marks.clear()
@@ -368,29 +382,71 @@ def _rows(table: Node, seen: bool):
                         yield y, own
 
 
+class _Held:
+    """The last row that holds each column: a tree of least values, grown where cells span rows."""
+
+    def __init__(self, columns: int):
+        self.size = 1 << columns.bit_length()
+        self.least: dict[int, int] = {}  # of a node's columns, without what holds for a node above
+        self.whole: dict[int, int] = {}  # held by all of a node's columns
+
+    def hold(self, lo: int, hi: int, row: int) -> None:
+        """Columns lo to hi (without hi) are held to a row."""
+        self._hold(1, 0, self.size, lo, hi, row)
+
+    def _hold(self, node, a, b, lo, hi, row):
+        if lo <= a and b <= hi:
+            self.whole[node] = max(self.whole.get(node, -1), row)
+            return
+        mid = (a + b) // 2
+        if lo < mid:
+            self._hold(2 * node, a, mid, lo, hi, row)
+        if hi > mid:
+            self._hold(2 * node + 1, mid, b, lo, hi, row)
+        self.least[node] = min(self._of(2 * node), self._of(2 * node + 1))
+
+    def _of(self, node: int) -> int:
+        return max(self.whole.get(node, -1), self.least.get(node, -1))
+
+    def free(self, at: int, row: int) -> int:
+        """The first column from at on that no row before holds in this one."""
+        found = self._free(1, 0, self.size, at, row)
+        return found if found >= 0 else max(at, self.size)
+
+    def _free(self, node, a, b, at, row):
+        if b <= at or self._of(node) >= row:
+            return -1
+        if node not in self.whole and node not in self.least:
+            return max(a, at)
+        if b - a == 1:
+            return a
+        mid = (a + b) // 2
+        found = self._free(2 * node, a, mid, at, row)
+        return found if found >= 0 else self._free(2 * node + 1, mid, b, at, row)
+
+
 def _placed(rows: list[list[Node]]) -> list[list[tuple[int, int, Node]]]:
     """(column, colspan, cell) of each row's cells; cells that span rows keep their columns in the next ones."""
-    out, held, steps = [], [], 0  # held: (first column, end, last row), by column
-    for r, cells in enumerate(rows):
-        held = [h for h in held if h[2] >= r]
-        row, at, k, new = [], 0, 0, []
-        for c in cells:
-            while k < len(held) and held[k][0] <= at:
-                at, k, steps = max(at, held[k][1]), k + 1, steps + 1
-            wide, high = max(1, _span(c, "colspan", 1000)), _span(c, "rowspan", 65534)
+    sized = [[(max(1, _span(c, "colspan", 1000)), _span(c, "rowspan", 65534), c) for c in cells] for cells in rows]
+    spanning = any(high != 1 for row in sized for _, high, _ in row)
+    held = _Held(sum(wide for row in sized for wide, _, _ in row)) if spanning else None
+    out = []
+    for r, cells in enumerate(sized):
+        row, at = [], 0
+        for wide, high, c in cells:
+            if held:
+                at = held.free(at, r)
             row.append((at, wide, c))
-            if high != 1 and steps < SPAN_STEPS:
-                new.append((at, at + wide, r + high - 1 if high else len(rows)))
             at += wide
-        steps += len(held)
-        if new:
-            held = sorted(held + new)
+        for (start, wide, _), (_, high, _) in zip(row, cells):
+            if high != 1:
+                held.hold(start, start + wide, r + high - 1 if high else len(rows))
         out.append(row)
     return out
 
 
 def _grid(rows: list[list[tuple[int, int, list[str]]]]) -> list[str]:
-    """Rows of (column, colspan, lines) with their columns aligned."""
+    """Rows of (column, colspan, lines) with their columns aligned, up to the margin; cells beyond follow each other."""
     width: dict[int, int] = {}
     for row in rows:
         for k, (at, wide, cell) in enumerate(row):
@@ -399,7 +455,7 @@ def _grid(rows: list[list[tuple[int, int, list[str]]]]) -> list[str]:
                 width[at] = max(width[at], max(map(len, cell), default=0))
     start, edge = {}, 0
     for at in sorted(width):
-        start[at] = edge
+        start[at] = min(edge, MARGIN)
         edge += width[at] + 2 if width[at] else 0
     out = []
     for row in rows:
@@ -439,6 +495,31 @@ def _visible(node: Node, seen: bool) -> bool | None:
     return seen
 
 
+def _is_list(select: Node) -> bool:
+    """Whether a select shows its options as a list."""
+    a = attributes(select.attrs)
+    return "multiple" in a or re.fullmatch(r"\s*0*([2-9]|[1-9]\d+)\s*", a.get("size", "")) is not None
+
+
+def _shown(select: Node) -> list[Node]:
+    """The options (and groups) of a select that show: all of a list's, else the chosen one, else the first that can be."""
+    found, work = [], [(x, False) for x in reversed(select.kids)]
+    while work:
+        x, off = work.pop()
+        if not isinstance(x, Node) or _visible(x, True) is None:
+            continue
+        a = attributes(x.attrs)
+        if x.tag in ("option", "optgroup"):
+            found.append((x, "selected" in a, off or "disabled" in a))
+        if x.tag != "option":
+            work += [(y, off or "disabled" in a) for y in reversed(x.kids)]
+    if _is_list(select):
+        return [x for x, _, _ in found]
+    options = [o for o in found if o[0].tag == "option"]
+    best = [o for o in options if o[1]][-1:] or [o for o in options if not o[2]][:1]
+    return [x for x, _, _ in best]
+
+
 # Rendering goes by generators: each yields the rendering of a part and is resumed when that has ended, so
 # that nesting costs no Python frames.
 
@@ -456,29 +537,31 @@ def _run(work):
     return value
 
 
-def _table(node: Node, out: _Lines, seen: bool, depth: int, nest: int):
-    """Captions first, then a table's rows with cells aligned in columns."""
+def _table(node: Node, out: _Lines, seen: bool, depth: int):
+    """Captions first, then a table's rows with cells aligned in columns.
+
+    A table that holds tables lays out the page: its cells follow each other.
+    """
     for x in node.kids:
         if isinstance(x, Node) and x.tag not in ("tr", "tbody", "thead", "tfoot", "colgroup", "col") or isinstance(x, str) and x.strip():
             holder = Node("div")
             holder.kids = [x]
             out.block(1)
-            yield _render(holder, out, seen, False, [], depth, nest)
+            yield _render(holder, out, seen, False, [], depth)
             out.block(1)
     looks, rows = [], []
     for r, look in _rows(node, seen):
         looks.append(look)
         rows.append([c for c in r.kids if isinstance(c, Node) and c.tag in ("td", "th")])
     placed = _placed(rows)
-    alone = nest >= ALIGNED or all(len(r) < 2 and all(at == 0 for at, *_ in r) for r in placed)
-    if alone:  # one column, or very deep: cells follow each other
+    if node.holds_tables or all(len(r) < 2 and all(at == 0 for at, *_ in r) for r in placed):
         for row, look in zip(placed, looks):
             out.block(1)
             for k, (_, _, c) in enumerate(row):
                 if (own := _visible(c, look)) is not None:
                     if k and out.line and not out.gap and not out.fresh:
                         out.line.append("  ")
-                    yield _render(c, out, own, False, [], 0, nest + 1)
+                    yield _render(c, out, own, False, [], 0)
             out.block(1)
         return
     grid = []
@@ -488,7 +571,7 @@ def _table(node: Node, out: _Lines, seen: bool, depth: int, nest: int):
             own, lines = _visible(c, look), []
             if own is not None:
                 part = _Lines()
-                yield _render(c, part, own, False, [], 0, nest + 1)
+                yield _render(c, part, own, False, [], 0)
                 lines = part.lines()
             cells.append((at, wide, lines))
         grid.append(cells)
@@ -499,7 +582,7 @@ def _table(node: Node, out: _Lines, seen: bool, depth: int, nest: int):
             out.put(y)
 
 
-def _render(node: Node, out: _Lines, seen: bool, pre: bool, order: list, depth: int, nest: int):
+def _render(node: Node, out: _Lines, seen: bool, pre: bool, order: list, depth: int):
     kids = node.kids
     if node.tag == "details" and "open" not in attributes(node.attrs):
         kids = [x for x in kids if isinstance(x, Node) and x.tag == "summary"][:1]
@@ -524,14 +607,29 @@ def _render(node: Node, out: _Lines, seen: bool, pre: bool, order: list, depth:
             if alt and look:
                 out.text(alt, False)
             continue
-        if tag == "table":
+        if tag == "select":
+            for option in _shown(x):
+                label = attributes(option.attrs).get("label", "") if "label" in option.attrs.lower() else ""
+                if option.tag == "optgroup" or _is_list(x):
+                    out.block(1)
+                if label:
+                    out.text(label, False)
+                elif option.tag == "option":
+                    yield _render(option, out, look, False, [], depth)
+            if _is_list(x):
+                out.block(1)
+        elif tag == "table":
             out.block(2)
-            yield _table(x, out, look, depth, nest)
+            yield _table(x, out, look, depth)
             out.block(2)
         elif tag in ("ul", "ol", "menu", "dir"):
-            first = attributes(x.attrs).get("start", "1") if x.attrs else "1"
+            first = attributes(x.attrs).get("start", "") if x.attrs else ""
             out.block(2 if depth == 0 else 1)
-            yield _render(x, out, look, pre, ["ol" if tag == "ol" else "ul", int(first) if re.fullmatch(r"-?\d{1,9}", first) else 1], depth + 1, nest)
+            step, begin = 1, 1
+            if tag == "ol" and x.attrs and "reversed" in attributes(x.attrs):
+                step, begin = -1, sum(isinstance(y, Node) and y.tag == "li" for y in x.kids)
+            number = int(first) if re.fullmatch(r"-?\d{1,9}", first) else begin
+            yield _render(x, out, look, pre, ["ol" if tag == "ol" else "ul", number, step], depth + 1)
             out.block(2 if depth == 0 else 1)
         elif tag == "li":
             mark = "- "
@@ -540,31 +638,32 @@ def _render(node: Node, out: _Lines, seen: bool, pre: bool, order: list, depth:
                 if re.fullmatch(r"-?\d{1,9}", own):
                     order[1] = int(own)
                 mark = f"{order[1]}. "
-                order[1] += 1
+                order[1] += order[2]
             out.block(1)
             out.enter(mark)
-            yield _render(x, out, look, False, [], depth, nest)
+            yield _render(x, out, look, False, [], depth)
             out.leave()
             out.block(1)
         elif tag == "blockquote" or tag == "dd":
             out.block(2 if tag == "blockquote" else 1)
             out.enter("  ")
-            yield _render(x, out, look, False, [], depth, nest)
+            yield _render(x, out, look, False, [], depth)
             out.leave()
             out.block(2 if tag == "blockquote" else 1)
         elif tag in BLOCK:
             ends = 2 if tag in SPACED else 1
             out.block(ends)
-            yield _render(x, out, look, pre or tag == "pre" or tag == "textarea", [], depth, nest)
+            yield _render(x, out, look, pre or tag == "pre" or tag == "textarea", [], depth)
             out.block(ends)
         else:
-            yield _render(x, out, look, pre or tag in ("textarea", "listing", "plaintext", "xmp"), order, depth, nest)
+            yield _render(x, out, look, pre or tag in ("textarea", "listing", "plaintext", "xmp"), order, depth)
 
 
 def html_to_text(doc: str | None) -> str:
     """All visible text of a document: blocks on lines of their own, lists marked, table cells aligned.
 
-    Time and memory are linear in the document, whatever its nesting.
+    Drawings' and formulas' text and a select's chosen option are visible too. Time is linear in the document (by a
+    logarithm more in tables with cells that span rows) and so is the text's length (see MARGIN), whatever the nesting.
     """
     if not doc:
         return ""
@@ -573,7 +672,7 @@ def html_to_text(doc: str | None) -> str:
     if look is None:
         return ""
     out = _Lines()
-    _run(_render(root, out, look, False, [], 0, 0))
+    _run(_render(root, out, look, False, [], 0))
     return "\n".join(out.lines())
 
 

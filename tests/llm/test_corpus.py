@@ -423,6 +423,13 @@ ATTACKS = {
     "starts": "x" + "<" * 50_000,
     "foster": "x<table>" + "x<div>y" * 5000,
     "style": '<p style=";display:none x' + " " * 50_000 + '">x',
+    "one wide cell": "<table><tr><td>" + "w" * 200_000 + "<td>x" + "<tr><td>a<td>b" * 3000,
+    "many spans": "x<table>" + "<tr><td rowspan=65534>x" * 6500,
+    "wide spans": "x<table>" + "<tr><td rowspan=65534 colspan=1000>x<td rowspan=2>y" * 4000,
+    "empty spans": "x<table>" + "<tr><td rowspan=65534><td rowspan=2>" * 4000 + "<tr>" + "<td>y" * 4000,
+    "last columns": "x<table><tr>" + "<td>c" * 1000 + "<tr><td colspan=999><td>y" * 5000,
+    "options": "x<select>" + "<optgroup disabled><option disabled>y" * 10_000,
+    "drawings": "x" + "<svg><g><text>y" * 10_000,
 }
 
 
@@ -431,8 +438,10 @@ def test_no_page_takes_long(name):
     import time
 
     began = time.perf_counter()
-    assert "x" in html_text.html_to_text(ATTACKS[name])
+    text = html_text.html_to_text(ATTACKS[name])
     assert time.perf_counter() - began < 8  # about a second on an idle machine
+    assert "x" in text
+    assert len(text) <= html_text.MARGIN * len(ATTACKS[name])
 
 
 @pytest.mark.parametrize(
@@ -457,6 +466,55 @@ def test_tables_details_and_parts(html, text):
     assert html_text.html_to_text(html) == text
 
 
+@pytest.mark.parametrize("tag", ["select", "template", "video", "audio", "object", "canvas", "svg", "math", "button"])
+@pytest.mark.parametrize("part", ["<p>in", "<ul><li>in", "<div><option>in", "<table><tr><td>in"])
+def test_nothing_open_in_a_container_hides_the_rest(tag, part):
+    for attrs in ("", " hidden"):
+        assert html_text.html_to_text(f"a<{tag}{attrs}>{part}</{tag}>REST").endswith("REST")
+
+
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        ("<math><mi>x</mi><mo>=</mo><annotation>tex</annotation></math>z", "x=z"),
+        ("<svg><title>t</title><defs/><text>one</text><text>two</text><desc>d</desc></svg>z", "one\ntwo\nz"),
+        ("<desc>not a drawing's</desc>", "not a drawing's"),
+        ("<select><option>a<option selected>b<option>c</select>z", "bz"),
+        ("<select><option disabled>a<optgroup label=G><option>b</select>z", "bz"),
+        ("<select multiple><optgroup label=G><option>a<option label=L>b</select>z", "G\na\nL\nz"),
+        ("<select><option>a<input>rest", "arest"),
+        ("<ol reversed><li>a<li>b<li value=7>c<li>d</ol>", "4. a\n3. b\n7. c\n6. d"),
+        ("<ol reversed start=9><li>a<li>b</ol>", "9. a\n8. b"),
+        ("<table><tr><td>A<td><table><tr><td>x<td>y<tr><td>long<td>z</table><td>B</table>", "A\n\nx     y\nlong  z\n\nB"),
+    ],
+)
+def test_drawings_formulas_choices_and_layout_tables(html, text):
+    assert html_text.html_to_text(html) == text
+
+
+def test_spans_stand_where_a_plain_table_of_columns_puts_them():
+    """Random tables against a grid of held columns."""
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        rows = [[(int(rng.integers(1, 4)), int(rng.integers(0, 5))) for _ in range(rng.integers(0, 5))] for _ in range(8)]
+        nodes = [[html_text.Node("td", f" colspan={w} rowspan={h}") for w, h in row] for row in rows]
+        until, want = {}, []
+        for r, row in enumerate(rows):
+            at, places, new = 0, [], []
+            for w, h in row:
+                while until.get(at, -1) >= r:
+                    at += 1
+                places.append(at)
+                new.append((at, w, h))
+                at += w
+            for a, w, h in new:
+                for c in range(a, a + w):
+                    if h != 1:
+                        until[c] = max(until.get(c, -1), r + h - 1 if h else len(rows))
+            want.append(places)
+        assert [[at for at, *_ in row] for row in html_text._placed(nodes)] == want
+
+
 @pytest.mark.parametrize("n", [170, 175, 3000])
 def test_nested_tables_keep_their_text(n):
     assert html_text.html_to_text("<table><tr><td>" * n + "deep") == "deep"
