@@ -16,7 +16,6 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lodestar.llm.common import dropped, map_arrow, mix, passes, stream_arrow, wanted_filter, written
 from lodestar.llm.components import connected_components
@@ -405,8 +404,8 @@ def _cross_pairs(known: DataFrame, percent: int, parts: int) -> DataFrame:
     Lists of one component end here. Others are cut into parts of LIST entries by text, and each pair of parts
     is a group of its own.
     """
-    w = Window.partitionBy("g")
-    mixed = known.withColumns({"lo": F.min("comp").over(w), "hi": F.max("comp").over(w), "c": F.count("*").over(w)}).where("lo < hi")
+    spread = known.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo < hi").select("g", "c")
+    mixed = known.join(written(spread, "spread"), "g")
     mixed = mixed.withColumn("parts", F.ceil(F.col("c") / LIST).cast("int")).withColumn("p", F.pmod(F.xxhash64("h"), "parts").cast("int"))
     q = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     mixed = mixed.select("g", "h", "n", "i", "pivot", "comp", "p", q.alias("q")).withColumn("x", F.least("p", "q")).withColumn("y", F.greatest("p", "q"))
