@@ -115,16 +115,17 @@ def _covers(hits: Column, wanted: list[int]) -> Column:
 
 
 def _consecutive(hits: Column, numbers: list[int]) -> Column:
-    """Whether the numbered terms stand one after the other somewhere, in hits of every word."""
+    """Whether the numbered terms stand one after the other somewhere."""
 
     def follows(i, k):
-        return F.coalesce(F.get(hits, i + k)["t"] == numbers[k], F.lit(False))
+        x = F.get(hits, i + k)
+        return F.coalesce((x["t"] == numbers[k]) & (x["g"] == 0), F.lit(False))
 
     at = F.transform(hits, lambda x, i: F.when(x["t"] == numbers[0], i))
     return F.exists(at, lambda i: i.isNotNull() & reduce(lambda a, b: a & b, (follows(i, k) for k in range(1, len(numbers)))))
 
 
-def _match(query: TextQuery):
+def match(query: TextQuery):
     """(terms, whether a lower-case text may match, the rank of its words), or None for a query without words."""
     terms = list(dict.fromkeys([*query.terms, *(w for g in query.excluded for w in g)]))
     number = {t: k for k, t in enumerate(terms, 1)}
@@ -156,7 +157,7 @@ def cover_ranks(text: Column, /, **queries: tuple[TextQuery, bool]) -> Column:
     """A struct of the ranks of a text by (query, stemmed) for each name, null where it doesn't match: the best
     alternative's. A text is cut into words once for all queries, and not at all if it lacks their terms."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    matches = {n: (_match(q), stemmed) for n, (q, stemmed) in queries.items() if q.alternatives}
+    matches = {n: (match(q), stemmed) for n, (q, stemmed) in queries.items() if q.alternatives}
     none = F.lit(None).cast("double")
     if not matches:
         return F.struct(*(none.alias(n) for n in queries))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -11,10 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestar import storage
 from lodestar.functions.text import chunk_role, clause_refs, standards, strip_boilerplate, tag_prefix, tags
+from lodestar.operators.textindex import with_buckets, write_text_index
 
-#: Folders of a chunk table.
-BUCKETS = 64
+#: Folders of a chunk table at least, and rows that a folder and a task of it should have.
+BUCKETS, ROWS = 64, 200_000
 PIECES = "array<struct<heading:string,content:string>>"
 _HEADING = re.compile(r"^(#{1,6})\s+(.+?)\s*$")
 _CLAUSE_LINE = re.compile(r"^\s*\d+(?:\.\d+)*\s+\S.{0,120}?(?:\.{2,}\s*\d+|\s\d+)?\s*$")
@@ -163,45 +164,49 @@ def nearest_page(tasks: DataFrame, pages: DataFrame) -> DataFrame:
     return j.groupBy("task").agg(F.min_by("page", F.struct(rank.alias("a"), F.abs(F.col("page") - F.col("wanted")).alias("b"))).alias("page"))
 
 
-def load_chunks(chunks: DataFrame, path: str) -> None:
+def _buckets(new: DataFrame, path: str) -> int:
+    """How many folders a chunk table has: decided by its first load, kept beside it."""
+    spark = new.sparkSession
+    if storage.exists(spark, f"{path}.folders"):
+        return spark.read.parquet(f"{path}.folders").head()[0]
+    n = 1
+    while n * ROWS < new.count():
+        n *= 2
+    spark.range(1).select(F.lit(max(n, BUCKETS)).alias("n")).write.parquet(f"{path}.folders")
+    return max(n, BUCKETS)
+
+
+def load_chunks(chunks: DataFrame, path: str, index: str | None = None) -> None:
     """Replace the chunks of the sources at hand and leave others. Rows that are eligible but have no embedding
     are left out, and a source of which none is left loses its old rows too; no row at all is an error, as is a
-    row of another tenant than the first.
+    row of another tenant than the first. index: the full-text index of the table, whose folders are replaced too.
 
-    Sources are dealt into BUCKETS folders by hash; only folders of sources at hand are rewritten, through a
-    table beside them, so a reload costs those folders and no folder is made for each source.
+    Sources are dealt into folders by hash, as many as the first load has rows for (BUCKETS at least); only folders of
+    sources at hand are rewritten, each by as many tasks as it has ROWS, from a table beside them. Folders that lose
+    all rows are deleted once the others are written.
     """
-    spark = chunks.sparkSession
+    spark, path = chunks.sparkSession, path.rstrip("/")
     fit = (~F.col("eligible") | (F.size("embedding") > 0)) if "embedding" in chunks.columns else F.lit(True)
-    stage = f"{path.rstrip('/')}.load-{uuid.uuid4().hex}"
-    marked = chunks.withColumn("__fit", fit).withColumn("bucket", F.pmod(F.xxhash64(F.col("source_id").cast("string")), F.lit(BUCKETS)).cast("int"))
-    marked.write.parquet(f"{stage}/new")
-    new = spark.read.parquet(f"{stage}/new")
+    new = storage.kept(chunks.withColumn("__fit", fit), "load")
     tenants = F.count_distinct("tenant_id") if "tenant_id" in chunks.columns else F.lit(1)
     facts = new.agg(F.count_if("__fit").alias("rows"), tenants.alias("tenants")).head()
-    try:
-        if not facts["rows"]:
-            raise ValueError("NO_CHUNKS: no row is fit to be loaded")
-        if facts["tenants"] > 1:
-            raise ValueError("TENANT_MISMATCH: chunks of several tenants")
-        fs = spark._jvm.org.apache.hadoop.fs.Path(path)
-        held = fs.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs)
-        kept = new.where("__fit").drop("__fit")
-        if held:
-            at = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # BUCKETS at most
-            old = spark.read.parquet(path).where(F.col("bucket").isin(at)).join(new.select("source_id").distinct(), "source_id", "left_anti")
-            kept = kept.unionByName(old, allowMissingColumns=True)
-            # folders that only lose rows are written too
-            kept.write.parquet(f"{stage}/whole")
-            kept = spark.read.parquet(f"{stage}/whole")
-            gone = set(at) - {r["bucket"] for r in kept.select("bucket").distinct().collect()}
-            for b in gone:
-                p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={b}")
-                p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        kept.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-    finally:
-        p = spark._jvm.org.apache.hadoop.fs.Path(stage)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    if not facts["rows"]:
+        raise ValueError("NO_CHUNKS: no row is fit to be loaded")
+    if facts["tenants"] > 1:
+        raise ValueError("TENANT_MISMATCH: chunks of several tenants")
+    held = storage.exists(spark, path)
+    new = with_buckets(new, _buckets(new, path))
+    at = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # no more than there are folders
+    whole = new.where("__fit").drop("__fit")
+    if held:
+        old = spark.read.parquet(path).where(F.col("bucket").isin(at)).join(new.select("source_id").distinct(), "source_id", "left_anti")
+        whole = whole.unionByName(old, allowMissingColumns=True)
+    whole = storage.kept(whole, "whole")
+    sizes = whole.groupBy("bucket").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("__tasks"))
+    spread = whole.join(F.broadcast(sizes), "bucket").withColumn("__part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), "__tasks"))
+    storage.replace_folders(spread.repartition("bucket", "__part").drop("__tasks", "__part"), path, "bucket", at)
+    if index:
+        write_text_index(whole, index, at)
 
 
 def merge_rows(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

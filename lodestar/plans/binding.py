@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar import storage
+from lodestar.operators.textindex import TextIndex, with_buckets, write_text_index
+from lodestar.operators.vectorindex import VectorIndex, write_vector_index
 from lodestar.session import table
 
 QUERY_TEXT = "the of and"
@@ -61,3 +64,33 @@ HITS = """h AS (SELECT o_orderkey AS id, round(o_totalprice % 1000 / 1000, 6) AS
     's' || (o_custkey % 5) AS scope, ['administrative', 'constitution', 'policy', 'canonical', 'supplementary'][((o_orderkey // 5) % 5 + 1)::INT] AS authority,
     ['global', 'tenant', 'personal'][(o_custkey % 3 + 1)::INT] AS source_layer, o_orderkey % 35 = 0 AS is_constitutional, o_orderkey % 55 = 0 AS is_summary, o_orderstatus AS space
     FROM orders)"""
+
+
+#: Indexes of the chunks, by application and folder of the tables: built by the first query that asks for them.
+_indexes: dict[tuple[str, str, str], str] = {}
+
+
+def _index(spark: SparkSession, sf: str, kind: str, write) -> str:
+    key = (spark.sparkContext.applicationId, sf, kind)
+    if key not in _indexes:
+        path = storage.new_path(spark, kind)
+        write(path)
+        _indexes[key] = path
+    return _indexes[key]
+
+
+def text_index(spark: SparkSession, sf: str) -> TextIndex:
+    """The full-text index of all chunks, in folders by their scope."""
+    c = chunks(spark, sf).select("id", "content", "scope")
+    return TextIndex(spark, _index(spark, sf, "texts", lambda path: write_text_index(with_buckets(c, 8, "scope"), path)))
+
+
+def vector_index(spark: SparkSession, sf: str) -> VectorIndex:
+    """The vector index of all vectors."""
+    return VectorIndex(spark, _index(spark, sf, "vectors", lambda path: write_vector_index(vectors(spark, sf), path, 64)))
+
+
+def chunk_vector_index(spark: SparkSession, sf: str) -> VectorIndex:
+    """The vector index of all chunks."""
+    c = chunks(spark, sf).drop("content")
+    return VectorIndex(spark, _index(spark, sf, "chunk_vectors", lambda path: write_vector_index(c, path, 64)))

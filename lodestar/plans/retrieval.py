@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestar.catalog import query
+from lodestar.catalog import ORACLES, query
 from lodestar.functions import fulltext as FT
+from lodestar.operators import indexed
 from lodestar.operators import search as S
 from lodestar.plans import binding as B
 
@@ -264,3 +265,36 @@ def anchor_fallback(spark, sf):
     p = B.table(spark, sf, "part")
     near = p.where("p_size >= 40").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.round(F.col("p_size") / 50.0, 4).alias("similarity"))
     return S.select_anchors(p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), ["no such name"], near)
+
+
+# The same results from the indexes, against the SQL of the scans.
+
+
+@query("text_index_topk", ORACLES["text_rank_topk"])
+def text_index_topk(spark, sf):
+    return B.text_index(spark, sf).hits(B.QUERY_TEXT, 40)
+
+
+@query("text_index_box", ORACLES["search_box"])
+def text_index_box(spark, sf):
+    return B.text_index(spark, sf).hits('"Apache License" or of the -mit', 60)
+
+
+@query("text_index_stems", ORACLES["stemmed_rank"])
+def text_index_stems(spark, sf):
+    return B.text_index(spark, sf).hits("de los licenses mentions", 40, stemmed=True)
+
+
+@query("vector_index_topk", ORACLES["vector_topk"])
+def vector_index_topk(spark, sf):
+    return B.vector_index(spark, sf).hits(B.query_vector(spark, sf), 25, 0.1).select("id", "similarity")
+
+
+@query("hybrid_index_rrf", ORACLES["hybrid_rrf"])
+def hybrid_index_rrf(spark, sf):
+    return indexed.hybrid(B.text_index(spark, sf), B.chunk_vector_index(spark, sf), B.chunks(spark, sf), B.query_vector(spark, sf), B.QUERY_TEXT, 40, 0.0)
+
+
+@query("hybrid_index_identifier", ORACLES["hybrid_identifier"])
+def hybrid_index_identifier(spark, sf):
+    return indexed.hybrid(B.text_index(spark, sf), B.chunk_vector_index(spark, sf), B.chunks(spark, sf), B.query_vector(spark, sf), "mit2.0", 40, 0.0)
