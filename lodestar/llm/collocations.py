@@ -25,10 +25,11 @@ KEPT = 2000
 #: Words of the dictionary that all tasks get, the most frequent ones of at most WORD_BYTES; other words are joined.
 HEAD = 1 << 19
 WORD_BYTES = 64
-#: Distinct words or keys gathered before they are handed on; keys of a range of the sort; samples of keys at most.
+#: Distinct words or keys gathered before they are handed on; keys of a range of the sort; samples of keys and
+#: ranges at most (ranges of more keys beyond 34 thousand million keys).
 FLUSH = 1 << 18
-RANGE_KEYS = 1 << 21
-SAMPLES = 1 << 17
+RANGE_KEYS = 1 << 19
+SAMPLES, RANGES = 1 << 18, 1 << 16
 
 # What ends a piece, what parts words. 0xFF is in no UTF-8 text and stands for the end of a piece.
 ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -194,7 +195,7 @@ def _splitters(blobs: DataFrame, range_keys: int) -> np.ndarray:
     """Keys that part the sorted keys into ranges of about range_keys, from an even sample of SAMPLES keys at most
     and one a blob."""
     total = blobs.agg(F.sum("n")).head()[0] or 0
-    ranges = -(-total // range_keys)
+    ranges = min(RANGES, -(-total // range_keys))
     if ranges <= 1:
         return np.zeros((2, 0), np.uint64)
     step = max(1, total // SAMPLES)
@@ -243,16 +244,21 @@ def phrase_counts(blobs: DataFrame, least: int, range_keys: int) -> DataFrame:
         keys = np.concatenate([_unblob(r) for r in table.column("keys").to_pylist()], axis=1)
         counts = np.concatenate([np.frombuffer(r, ">i8") for r in table.column("counts").to_pylist()]).astype(np.int64)
         keys, counts = _runs(keys, counts)
-        ids = np.stack([keys[0] >> np.uint64(32), keys[0] & np.uint64(0xFFFFFFFF), keys[1] >> np.uint64(32), keys[1] & np.uint64(0xFFFFFFFF)]).astype(np.uint32)
+        half = np.uint64(32)
+        # whether a key begins with other words than the one before: two, three, all four of them
+        two = keys[0, 1:] != keys[0, :-1]
+        three = two | (keys[1, 1:] >> half != keys[1, :-1] >> half)
+        whole = {2: None, 3: keys[1] >> half > 0, 4: keys[1] & np.uint64(0xFFFFFFFF) > 0}
         phrases, f = [], []
-        for width in range(2, WIDEST + 1):
-            first = np.flatnonzero(np.concatenate([[True], (ids[:width, 1:] != ids[:width, :-1]).any(axis=0)]))
+        for width, new in ((2, two), (3, three), (4, np.ones(len(two), bool))):
+            first = np.flatnonzero(np.concatenate([[True], new]))
             c = np.add.reduceat(counts, first)
             keep = c >= least
             keep[[0, -1]] = True
-            keep &= ids[width - 1, first] > 0
-            raw = np.ascontiguousarray(ids[:width, first[keep]].T.astype(">u4")).tobytes()
-            phrases += [raw[k : k + 4 * width] for k in range(0, len(raw), 4 * width)]
+            if whole[width] is not None:
+                keep &= whole[width][first]
+            raw = _blob(keys[:, first[keep]])
+            phrases += [raw[k : k + 4 * width] for k in range(0, len(raw), 16)]
             f.append(c[keep])
         return pa.table({"phrase": pa.array(phrases, pa.binary()), "f": pa.array(np.concatenate(f), pa.int64())})
 
