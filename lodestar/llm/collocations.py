@@ -7,6 +7,7 @@ prefixes. Keys lie in blobs of sorted runs, sixteen bytes a key; Spark moves and
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections import Counter, defaultdict
 
@@ -25,9 +26,10 @@ KEPT = 2000
 #: Words of the dictionary that all tasks get, the most frequent ones of at most WORD_BYTES; other words are joined.
 HEAD = 1 << 19
 WORD_BYTES = 64
-#: Distinct words or keys gathered before they are handed on; keys of a range of the sort; samples of keys and
+#: Distinct words and keys gathered before they are handed on, keys of a blob, bytes of a text cut into words at once.
+FLUSH_WORDS, FLUSH, BLOB, SLICE = 1 << 17, 1 << 18, 1 << 13, 1 << 20
+#: Keys of a range of the sort; samples of keys and
 #: ranges at most (ranges of more keys beyond 34 thousand million keys).
-FLUSH = 1 << 18
 RANGE_KEYS = 1 << 19
 SAMPLES, RANGES = 1 << 18, 1 << 16
 
@@ -38,6 +40,19 @@ _TABLE = bytes(_BREAK if c in ENDS else c + 32 if 65 <= c <= 90 else c for c in
 _AS_SPACES = bytes(32 if c in ENDS else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
+_GAP = re.compile(rb"[ \t\xff]")
+
+
+def _slices(raw: bytes):
+    """A text in parts that end where a word does, so that no list holds all words of a very long one."""
+    at = 0
+    while at < len(raw):
+        end = _GAP.search(raw, at + SLICE) if at + SLICE < len(raw) else None
+        stop = end.start() if end else len(raw)
+        yield raw[at:stop]
+        at = stop
+
+
 def _lang(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
 
@@ -60,12 +75,14 @@ def word_counts(docs: DataFrame, least: int) -> DataFrame:
 
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary())):
-                found = text.as_py().translate(_AS_SPACES).split()
-                total[lang] += len(found)
-                for w, c in Counter(found).items():
-                    held[lang, w] += c
-                if len(held) >= FLUSH:
-                    yield flush()
+                total[lang] += 0
+                for part in _slices(text.as_py().translate(_AS_SPACES)):
+                    found = part.split()
+                    total[lang] += len(found)
+                    for w, c in Counter(found).items():
+                        held[lang, w] += c
+                    if len(held) >= FLUSH_WORDS:
+                        yield flush()
         if total:
             yield flush()
 
@@ -147,7 +164,8 @@ def _unblob(raw) -> np.ndarray:
 
 
 def place_keys(docs: DataFrame, dictionary: DataFrame, head: int) -> DataFrame:
-    """(keys, counts, n): blobs of sorted distinct keys of places, with how often each came."""
+    """(keys, counts, n): blobs of sorted distinct keys of places, with how often each came. Blobs are small rows, since
+    readers and writers of tables hold many rows at once."""
     sent, more = _sent(dictionary, head)
     texts = _lang(docs)
     if more:
@@ -160,7 +178,9 @@ def place_keys(docs: DataFrame, dictionary: DataFrame, head: int) -> DataFrame:
         def flush():
             keys, counts = _runs(np.concatenate(held, axis=1), None)
             held.clear()
-            return pa.RecordBatch.from_pydict({"keys": pa.array([_blob(keys)], pa.binary()), "counts": pa.array([counts.astype(">i8").tobytes()], pa.binary()), "n": pa.array([len(counts)], pa.int64())})
+            for lo in range(0, len(counts), BLOB):
+                c = counts[lo : lo + BLOB]
+                yield pa.RecordBatch.from_pydict({"keys": pa.array([_blob(keys[:, lo : lo + BLOB])], pa.binary()), "counts": pa.array([c.astype(">i8").tobytes()], pa.binary()), "n": pa.array([len(c)], pa.int64())})
 
         for batch in batches:
             rest = batch.column("rest").to_pylist() if more else [None] * batch.num_rows
@@ -168,15 +188,21 @@ def place_keys(docs: DataFrame, dictionary: DataFrame, head: int) -> DataFrame:
                 known = maps.get(lang, {})
                 if extra:
                     known = _Both({x["word"].encode(): x["id"] for x in extra}, known)
-                found = text.as_py().translate(_TABLE).replace(b"\xff", b" \xff ").split()
-                keys = _keys(np.fromiter((known.get(w, 0) for w in found), np.uint64, len(found)))
-                held.append(keys)
-                size += keys.shape[1]
-                if size >= FLUSH:
-                    yield flush()
-                    size = 0
+                ids = []
+                for part in _slices(text.as_py().translate(_TABLE)):
+                    found = part.replace(b"\xff", b" \xff ").split()
+                    ids.append(np.fromiter((known.get(w, 0) for w in found), np.uint64, len(found)))
+                if not ids:
+                    continue
+                keys = _keys(np.concatenate(ids))
+                for lo in range(0, keys.shape[1], FLUSH):
+                    held.append(keys[:, lo : lo + FLUSH])
+                    size += held[-1].shape[1]
+                    if size >= FLUSH:
+                        yield from flush()
+                        size = 0
         if size:
-            yield flush()
+            yield from flush()
 
     return stream_arrow(texts, run, "keys binary, counts binary, n long", keeps="collocations")
 
