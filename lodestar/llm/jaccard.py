@@ -405,6 +405,7 @@ def _cross_pairs(known: DataFrame, percent: int, parts: int) -> DataFrame:
     is a group of its own.
     """
     spread = known.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo < hi").select("g", "c")
+    # few lists hold several components: their table is small, and only their entries go on
     mixed = known.join(written(spread, "spread"), "g")
     mixed = mixed.withColumn("parts", F.ceil(F.col("c") / LIST).cast("int")).withColumn("p", F.pmod(F.xxhash64("h"), "parts").cast("int"))
     q = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
@@ -501,8 +502,10 @@ def links(docs: DataFrame, keys: DataFrame, width: int, percent: int) -> DataFra
     label = chosen.join(comp, "h", "full").select("h", F.coalesce("pivot", "h").alias("pivot"), F.coalesce("comp", "h").alias("comp"))
     label = written(label, "label")
     known = lists.select("g", "h", "n", "i").join(label, "h", "left").select("g", "h", "n", "i", F.coalesce("pivot", "h").alias("pivot"), F.coalesce("comp", "h").alias("comp"))
-    across = written(_cross_pairs(known, percent, parts), "across")
+    known = written(known, "known")
     dropped(lists, chosen, nodes, label)
+    across = written(_cross_pairs(known, percent, parts), "across")
+    dropped(known)
     return within.unionByName(_verified(across, sets, percent))
 
 
