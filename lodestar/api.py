@@ -66,16 +66,19 @@ def clause_near_standard(text: str, standard: str, before: int = 80, after: int
     return near[0] if len(near) == 1 else None
 
 
-def resolved_filters(text: str, tenant=None) -> dict:
-    """Filters that a query's own words give: its only standard, and the clause near it; a tenant, or global rows without one."""
-    scope = validate_scope(text)
+def resolved_filters(text: str, tenant=None, given: dict | None = None) -> dict:
+    """Filters of a query: a given standard before those that its words name, and the only clause near a lone standard.
+    A tenant, or global rows without one. Several standards come as source_standards, one as source_standard."""
+    given = dict(given or {})
+    standards = [given["source_standard"]] if given.get("source_standard") else list(given.get("source_standards") or validate_scope(text).standards)
     out: dict = {"tenant_id": tenant} if tenant is not None else {"is_global": True}
-    if len(scope.standards) == 1:
-        out["source_standard"] = scope.standards[0]
-        if clause := clause_near_standard(text, scope.standards[0]):
+    if len(standards) == 1:
+        out["source_standard"] = standards[0]
+        clause = given.get("clause_id") or clause_near_standard(text, standards[0])
+        if clause:
             out["clause_id"] = clause
-    elif scope.standards:
-        out["source_standards"] = scope.standards
+    elif standards:
+        out["source_standards"] = standards
     return out
 
 
@@ -106,24 +109,58 @@ class Request:
     filters: dict = field(default_factory=dict)
     penalty: float = 0.25
     least: float | None = None
+    #: An inclusive range of times in UTC, of one of TIME_FIELDS.
+    since: object = None
+    until: object = None
+    time_field: str = "created_at"
+    #: Only rows of a requested scope, where there are any, after the penalty.
+    strict: bool = False
 
 
-def search_grounded(chunks: DataFrame, request: Request) -> DataFrame:
-    """Hybrid retrieval of a tenant's chunks, penalised by scope, deduplicated by content, spread over scopes,
-    and checked against leaks. Columns: id, content, score, similarity, scope, tenant_id, is_global."""
+#: Columns that a request's time range may be about.
+TIME_FIELDS = ("created_at", "updated_at")
+
+
+def requested_scopes(request: Request) -> list[str]:
+    """A request's own scopes, or its filters' standards, or those that its words name."""
+    found = resolved_filters(request.text, request.tenant, {k: v for k, v in request.filters.items() if k.startswith("source_standard")})
+    return list(request.scopes) or list(found.get("source_standards") or ([found["source_standard"]] if "source_standard" in found else []))
+
+
+def _candidates(chunks: DataFrame, request: Request) -> DataFrame:
+    """Chunks that a request's filters, clause and time range let through. The clause counts where chunks have one."""
     search.require_tenant(request.tenant)
     limited(k=request.k, fetch_k=request.fetch_k, rrf_k=request.rrf_k)
+    if request.time_field not in TIME_FIELDS:
+        raise ValueError(f"UNKNOWN_TIME_FIELD: {request.time_field}")
     c = policy.metadata_filter(chunks, checked_filters(request.filters, chunks.columns))
-    found = search.hybrid(c, request.vector, request.text, request.fetch_k, 0.25, request.rrf_k, tenant=request.tenant, scopes=())
+    scopes = requested_scopes(request)
+    clause = resolved_filters(request.text, request.tenant, {"source_standard": scopes[0]}).get("clause_id") if len(scopes) == 1 else None
+    if clause and "clause_id" in chunks.columns and "clause_id" not in request.filters:
+        c = policy.scope_or_all(c, F.coalesce(F.col("clause_id") == clause, F.lit(False)))
+    return policy.time_range(c, request.time_field, request.since, request.until)
+
+
+def search_grounded(chunks: DataFrame, request: Request) -> DataFrame:
+    """Hybrid retrieval of a tenant's chunks, penalised by scope, deduplicated by content, spread over scopes,
+    and checked against leaks. Columns: id, content, score, similarity, scope, tenant_id, is_global.
+
+    Scopes that are asked for come before ranks: chunks of others are found only where none of theirs is.
+    """
+    c = _candidates(chunks, request)
+    scopes = requested_scopes(request)
+    found = search.hybrid(c, request.vector, request.text, request.fetch_k, 0.25, request.rrf_k, tenant=request.tenant, scopes=scopes, fallback=True)
     # payloads join the few ranked ids only
     rows = c.select("id", "content", "scope", "tenant_id", "is_global").join(F.broadcast(found), "id")
     rows = policy.drop_structure(rows)
-    rows = policy.scope_penalty(rows, list(request.scopes)) if request.scopes else rows
+    rows = policy.scope_penalty(rows, scopes, request.penalty) if scopes else rows
+    if request.strict:
+        rows = policy.strict_scope(rows, scopes)
     if request.least is not None:
         rows = policy.min_score(rows, request.least, F.lit("rrf"))
     rows = policy.dedupe_content(rows)
     rows = policy.verify_isolation(rows, request.tenant)
-    return policy.stratify(rows, list(request.scopes), request.k) if request.scopes else search.top(rows, request.k, F.desc("score"), F.col("id"))
+    return policy.stratify(rows, scopes, request.k) if scopes else search.top(rows, request.k, F.desc("score"), F.col("id"))
 
 
 def fingerprint(request: Request) -> str:
@@ -138,7 +175,7 @@ def _branches(chunks: DataFrame, requests: Sequence[Request]) -> DataFrame:
     lists = None
     for n, r in enumerate(requests):
         one = search_grounded(chunks, r)
-        away = F.col("scope_penalized").cast("double") if r.scopes else F.lit(0.0)
+        away = F.col("scope_penalized").cast("double") if requested_scopes(r) else F.lit(0.0)
         one = one.select(F.lit(n).alias("list_no"), F.row_number().over(Window.orderBy(F.desc("score"), "id")).alias("pos"), "id", away.alias("away"))
         lists = one if lists is None else lists.unionByName(one)
     return lists.withColumn("ratio", F.avg("away").over(Window.partitionBy("list_no"))).drop("away")
@@ -185,14 +222,29 @@ def query_mode(text: str, anchors: int) -> str:
 
 
 def search_comprehensive(chunks: DataFrame, edges: DataFrame, summaries: DataFrame, request: Request, hops: int = 2) -> DataFrame:
-    """Chunks, graph neighbours and summaries by quotas 3, 2, 1. summaries: (id, embedding, children)."""
+    """Chunks, graph neighbours and summaries by quotas 3, 2, 1. summaries: (id, embedding, children, tenant_id).
+
+    Only the tenant's summaries are searched. Graph neighbours and summaries' leaves count only as chunks that the tenant
+    may see; every row of all three passes the leak check.
+    """
     limited(hops=hops)
-    base = search_grounded(chunks, request).select("id", "score")
-    place = lambda d, s: d.select(F.lit(s).alias("source"), F.col("id").cast("long").alias("id"), F.row_number().over(Window.orderBy(F.desc("score"), "id")).alias("pos"), "score")
-    near = graph.multi_hop(base.limit(12).select(F.col("id").alias("node"), "score"), edges, hops, n=40).where("hop > 0").select(F.col("node").alias("id"), "score")
-    top = search.vector_hits(summaries, request.vector, 5, 0.25, inclusive=True)
-    leaves = graph.tree_leaves(top.select("id"), summaries.select("id", "children")).join(top.select(F.col("id").alias("root"), "similarity"), "root").groupBy(F.col("leaf").alias("id")).agg(F.max("similarity").alias("score"))
+    if "tenant_id" not in summaries.columns:
+        raise ValueError("TENANT_REQUIRED: summaries without an owner")
+    owned = chunks.select(F.col("id").alias("__id"), "tenant_id", "is_global")
+    mine = search.scoped(owned, request.tenant)
+    visible = lambda d: d.join(mine, F.col("id") == F.col("__id")).drop("__id")
+    base = search_grounded(chunks, request).select("id", "score", "tenant_id", "is_global")
+    place = lambda d, s: d.select(F.lit(s).alias("source"), F.col("id").cast("long").alias("id"), F.row_number().over(Window.orderBy(F.desc("score"), "id")).alias("pos"), "score", "tenant_id", "is_global")
+    # a walk goes over chunks that the tenant may see, so that others lend no score either
+    seen = mine.select("__id")
+    walk = edges.join(seen.withColumnRenamed("__id", "src"), "src", "left_semi").join(seen.withColumnRenamed("__id", "dst"), "dst", "left_semi")
+    near = visible(graph.multi_hop(base.limit(12).select(F.col("id").alias("node"), "score"), walk, hops, n=40).where("hop > 0").select(F.col("node").alias("id"), "score"))
+    own = search.scoped(summaries, request.tenant, include_global=False)
+    top = search.vector_hits(own, request.vector, 5, 0.25, inclusive=True)
+    below = graph.tree_leaves(top.select("id"), own.select("id", "children")).join(top.select(F.col("id").alias("root"), "similarity"), "root")
+    leaves = visible(below.groupBy(F.col("leaf").alias("id")).agg(F.max("similarity").alias("score")))
     rows = place(base, "chunks").unionByName(place(near, "graph")).unionByName(place(leaves, "summary"))
+    rows = policy.verify_isolation(rows, request.tenant).drop("tenant_id", "is_global")
     return policy.late_fusion(rows, {"chunks": 3, "graph": 2, "summary": 1}, request.k)
 
 
@@ -200,7 +252,7 @@ def explain(chunks: DataFrame, request: Request) -> DataFrame:
     """Each result with the parts of its score, the way it came, the filters it met and the query's words it holds."""
     words = F.array(*(F.lit(w) for w in dict.fromkeys(re.findall("[0-9a-zà-öø-ÿ]+", request.text.lower()))))
     r = search_grounded(chunks, request)
-    way = F.concat_ws(">", F.lit("hybrid"), F.when(F.col("scope_penalized"), "scope_penalty") if request.scopes else F.lit(None).cast("string"), F.lit("stratified" if request.scopes else "ranked"))
+    way = F.concat_ws(">", F.lit("hybrid"), F.when(F.col("scope_penalized"), "scope_penalty") if requested_scopes(request) else F.lit(None).cast("string"), F.lit("stratified" if requested_scopes(request) else "ranked"))
     met = F.array(*(F.lit(x) for x in sorted(request.filters))).cast("array<string>")
     return r.select("id", "scope", F.struct("score", "similarity").alias("parts"), way.alias("path"), met.alias("filters"), F.array_intersect(tokens(F.col("content")), words).alias("matched"))
 

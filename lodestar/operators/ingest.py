@@ -121,7 +121,8 @@ def chunked(docs: DataFrame, most: int = 1500, headings: bool = True) -> DataFra
         t = strip_toc_block(t)
         return split_headings(t, most) if headings and re.search(r"(?m)^#{1,6}\s", t) else [("", p) for p in pack_paragraphs(t, most)]
 
-    d = docs.select("doc_id", F.posexplode(splitter(split)(strip_boilerplate(F.coalesce("text", F.lit(""))))).alias("chunk_index", "piece")).select("doc_id", "chunk_index", "piece.*")
+    clean = docs.select("doc_id", strip_boilerplate(F.coalesce("text", F.lit(""))).alias("__text"))
+    d = clean.select("doc_id", F.posexplode(splitter(split)(F.col("__text"))).alias("chunk_index", "piece")).select("doc_id", "chunk_index", "piece.*")
     return enriched(d)
 
 

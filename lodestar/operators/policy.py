@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestar.functions.text import clean_content, content_key, structural_only
+from lodestar.functions.text import clean_content, content_key, same_scope, scope_name_key, standard_key, structural_only
 
 # Authority weights of roles and tasks.
 BALANCED = {"administrative": 1.0, "constitution": 1.0, "policy": 1.0, "canonical": 1.0, "supplementary": 1.0}
@@ -92,20 +92,21 @@ def verify_isolation(df: DataFrame, tenant) -> DataFrame:
 
 
 def scope_penalty(df: DataFrame, requested: Sequence[str], factor: float = 0.25) -> DataFrame:
-    """Scores of rows with another scope than requested times 1 - factor; rows without scope stay."""
-    away = (F.coalesce("scope", F.lit("")) != "") & ~F.col("scope").isin(list(requested)) if requested else F.lit(False)
+    """Scores of rows with another scope than requested times 1 - factor; rows without scope stay. A standard is the
+    same in any spelling."""
+    away = (F.coalesce("scope", F.lit("")) != "") & ~same_scope(F.col("scope"), requested) if requested else F.lit(False)
     return df.withColumn("scope_penalized", away).withColumn("score", F.when(away, F.col("score") * (1 - factor)).otherwise(F.col("score")))
 
 
 def penalty_ratio(df: DataFrame, requested: Sequence[str]) -> DataFrame:
     """The share of penalised rows among those with a scope, 0 without any."""
-    r = F.avg(F.when(F.coalesce("scope", F.lit("")) != "", (~F.col("scope").isin(list(requested))).cast("double")))
+    r = F.avg(F.when(F.coalesce("scope", F.lit("")) != "", (~same_scope(F.col("scope"), requested)).cast("double")))
     return df.agg(F.round(F.coalesce(r, F.lit(0.0)), 4).alias("penalty_ratio"))
 
 
 def stratify(df: DataFrame, requested: Sequence[str], n: int) -> DataFrame:
     """Rows taken in turn from the requested scopes, best first, then the others."""
-    order = F.array_position(F.array(*(F.lit(s) for s in requested)), F.col("scope"))
+    order = F.array_position(F.array(*(F.lit(scope_name_key(s)) for s in requested)), standard_key(F.col("scope")))
     bucket = F.when(F.coalesce(order, F.lit(0)) == 0, F.lit(len(requested) + 1)).otherwise(order)
     w = Window.partitionBy("bucket").orderBy(F.desc("score"), "id")
     r = df.withColumn("bucket", bucket).withColumn("turn", F.row_number().over(w)).where(F.col("turn") <= n)
@@ -145,13 +146,13 @@ def heading_boost(content: Column, anchors: Sequence[str]) -> Column:
 
 def late_fusion(df: DataFrame, quotas: Mapping[str, int], k: int) -> DataFrame:
     """Rows of (source, id, pos) by source quotas in the quotas' order, then the overflow in that order; an id
-    counts once, where it comes first."""
+    counts once, where it comes first. Every task cuts a source to its first k rows before anything is sorted as a whole."""
     names = list(quotas)
     place = F.array_position(F.array(*(F.lit(s) for s in names)), F.col("source"))
     quota = F.create_map(*(F.lit(x) for kv in quotas.items() for x in kv))[F.col("source")]
     d = df.withColumn("place", place).where("place > 0")
     d = first_by(d, F.col("id").cast("string"), F.col("place"), F.col("pos"))
-    d = d.withColumn("turn", F.row_number().over(Window.partitionBy("source").orderBy("pos", "id")))
+    d = d.withColumn("turn", F.row_number().over(Window.partitionBy("source").orderBy("pos", "id"))).where(F.col("turn") <= max(1, k))
     phase = (F.col("turn") > quota).cast("int")
     return d.withColumn("phase", phase).orderBy("phase", "place", "turn").limit(k)
 
@@ -176,7 +177,7 @@ def missing(df: DataFrame, column: str, requested: Sequence[str]) -> DataFrame:
 
 def strict_scope(df: DataFrame, requested: Sequence[str]) -> DataFrame:
     """After the penalty: only rows of a requested scope, or all where there is none. No request keeps all."""
-    return scope_or_all(df, F.col("scope").isin(list(requested))) if requested else df
+    return scope_or_all(df, same_scope(F.col("scope"), requested)) if requested else df
 
 
 def normalized_rows(df: DataFrame) -> DataFrame:

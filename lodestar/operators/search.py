@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestar.functions.fulltext import cover_rank, cover_ranks, text_query
-from lodestar.functions.text import term_rank
+from lodestar.functions.text import same_scope, term_rank
 from lodestar.functions.vector import similarity
 
 # What names an identifier, and what makes a query clause-heavy with the weights it then gets.
@@ -28,6 +28,15 @@ def require_tenant(tenant) -> None:
         raise ValueError("TENANT_REQUIRED")
 
 
+def in_scopes(scopes: Sequence[str]) -> Column | None:
+    """Whether a row's scope equals or contains a requested one, a standard in any of its spellings; None without any."""
+    terms = sorted({s.strip().lower() for s in scopes if s and s.strip()})
+    if not terms:
+        return None
+    s = F.lower(F.trim("scope"))
+    return F.coalesce((s != "") & (same_scope(F.col("scope"), terms) | reduce(lambda a, b: a | b, [s.contains(t) for t in terms])), F.lit(False))
+
+
 def scoped(chunks: DataFrame, tenant=None, scopes: Sequence[str] = (), include_global: bool = True) -> DataFrame:
     """Rows of a tenant (and global ones) whose scope equals or contains a requested scope; rows without a
     scope go if one is requested."""
@@ -35,11 +44,8 @@ def scoped(chunks: DataFrame, tenant=None, scopes: Sequence[str] = (), include_g
     if tenant is not None:
         own = F.col("tenant_id") == F.lit(tenant)
         out = out.where(own | F.coalesce(F.col("is_global"), F.lit(False)) if include_global and "is_global" in chunks.columns else own)
-    terms = sorted({s.strip().lower() for s in scopes if s and s.strip()})
-    if terms:
-        s = F.lower(F.trim("scope"))
-        out = out.where((s != "") & reduce(lambda a, b: a | b, [(s == t) | s.contains(t) for t in terms]))
-    return out
+    mine = in_scopes(scopes)
+    return out if mine is None else out.where(mine)
 
 
 def top(df: DataFrame, n: int, *order: Column) -> DataFrame:
@@ -123,11 +129,17 @@ def fused_channels(rows: DataFrame, channels: Sequence[tuple[str, float, Column]
     return e.groupBy(*keys).agg(F.round(F.sum(F.col("weight") / (F.lit(float(k)) + F.col("rank"))), 6).alias("score"), F.greatest(F.max("value"), F.lit(0.0)).alias("similarity"), *(value(c).alias(c) for c, _, _ in channels))
 
 
-def hybrid(chunks: DataFrame, query: Sequence[float], text: str, n: int = 40, threshold: float = 0.25, k: int = 60, vector: float = 0.7, words: float = 0.3, tenant=None, scopes: Sequence[str] = ()) -> DataFrame:
+def hybrid(chunks: DataFrame, query: Sequence[float], text: str, n: int = 40, threshold: float = 0.25, k: int = 60, vector: float = 0.7, words: float = 0.3, tenant=None, scopes: Sequence[str] = (), fallback: bool = False) -> DataFrame:
     """(id, score, similarity): vector, stemmed text, exact text and, for identifiers, literal channels fused over
-    the scoped chunks. similarity is the greatest value of a row's channels; a literal match counts 1."""
+    the scoped chunks. similarity is the greatest value of a row's channels; a literal match counts 1.
+
+    fallback: each requested scope is ranked for itself and gives its quota of rows (fan_out_quota), n rows if it is the
+    only one; where none of them has any, chunks of other scopes are found. One pass ranks all.
+    """
     text = text.strip()
-    c = scoped(chunks, tenant, scopes)
+    wanted = [s for s in dict.fromkeys(scopes) if s and s.strip()] if fallback else []
+    c = scoped(chunks, tenant, () if fallback else scopes)
+    c = c.withColumn("__far", F.coalesce(*(F.when(in_scopes([s]), k) for k, s in enumerate(wanted)), F.lit(len(wanted))))
     w = channel_weights(text, vector, words)
     c = c.withColumn("__sim", similarity(F.col("embedding"), query))
     channels = [("vector", w["vector"], F.when(F.col("__sim") > threshold, F.col("__sim")))]
@@ -138,7 +150,15 @@ def hybrid(chunks: DataFrame, query: Sequence[float], text: str, n: int = 40, th
         if IDENTIFIER.search(text):
             columns = [F.col(x) for x in ("content", "semantic_context", "scope") if x in c.columns]
             channels.append(("literal", w["literal"], F.when(literal_match(text, *columns), 1.0)))
-    return top(fused_channels(c, channels, n, k).select("id", "score", "similarity"), n, F.desc("score"), F.desc("similarity"), F.col("id"))
+    order = (F.desc("score"), F.desc("similarity"), F.col("id"))
+    if not wanted:
+        return top(fused_channels(c, channels, n, k).select("id", "score", "similarity"), n, *order)
+    # a few rows for each scope and channel from here on
+    each = fan_out_quota(n, len(wanted)) if len(wanted) > 1 else n
+    found = fused_channels(c, channels, n, k, ("__far", "id"))
+    found = found.withColumn("__near", F.min("__far").over(Window.partitionBy())).withColumn("__turn", F.row_number().over(Window.partitionBy("__far").orderBy(*order)))
+    found = found.where(((F.col("__far") < len(wanted)) & (F.col("__turn") <= each)) | ((F.col("__near") == len(wanted)) & (F.col("__turn") <= n)))
+    return found.select("id", "score", "similarity").orderBy(*order)
 
 
 def batch_hybrid(chunks: DataFrame, queries: Sequence[tuple[str, Sequence[float]]], n: int, threshold: float, k: int = 60) -> DataFrame:

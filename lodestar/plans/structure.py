@@ -251,10 +251,10 @@ def scope_keys(spark, sf):
     return B.table(spark, sf, "part").select("p_partkey", X.scope_key(F.concat("p_type", F.lit(" / "), F.col("p_size").cast("string"))).alias("key"))
 
 
-@query("boilerplate_free", "SELECT doc_id, trim(regexp_replace(replace(text, chr(13), ''), '\\n{3,}', chr(10) || chr(10), 'g'), ' ') AS text FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '(?im)iso|norma|internac|^\\s*(?:[ivxlcdm]+|\\d+)\\s*$|referencia|traducci') AND NOT contains(text, chr(13))")
+@query("boilerplate_free", "SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '(?im)^all rights reserved[^\\n]*$', '', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '\\n+$', ''), ' ') AS text FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '(?im)iso|norma|internac|^\\s*(?:[ivxlcdm]+|\\d+)\\s*$|referencia|traducci') AND NOT contains(text, chr(13))")
 def boilerplate_free(spark, sf):
     d = B.table(spark, sf, "documents").where(r"text is not null and not contains(text, '\r')").where(~F.col("text").rlike(r"(?im)iso|norma|internac|^\s*(?:[ivxlcdm]+|\d+)\s*$|referencia|traducci"))
-    noise = F.lit("\n# NORMA\nNORMA INTERNACIONAL Traduccion oficial Official translation\nISO 9001:2015 (traducción oficial)\n© ISO 2015 - Todos los derechos reservados\nxii\n17\n")
+    noise = F.lit("\n# NORMA\nNORMA INTERNACIONAL Traduccion oficial Official translation\nISO 9001:2015 (traducción oficial)\n© ISO 2015 - Todos los derechos reservados\nxii\n17\nxiii\n18\n")
     return d.select("doc_id", X.strip_boilerplate(F.concat(F.col("text"), noise)).alias("text")).withColumn("text", F.rtrim(F.regexp_replace("text", r"\n+$", "")))
 
 

@@ -138,7 +138,8 @@ def test_grounded_search(spark):
     assert api.explain(c, q).count() == len(got)
     assert api.search_many(c, [q, q]).count() == len(got)
     e = spark.createDataFrame([(1, 4), (4, 8)], "src long, dst long")
-    s = spark.createDataFrame([(100, [1.0, 0.0], [101]), (101, [0.0, 1.0], [])], "id long, embedding array<double>, children array<long>")
+    c = c.unionByName(spark.createDataFrame([(8, "far", [0.0, -1.0], "s1", 1, False), (101, "leaf", [0.0, -1.0], "s1", 1, False)], c.schema))
+    s = spark.createDataFrame([(100, [1.0, 0.0], [101], 1)], "id long, embedding array<double>, children array<long>, tenant_id int")
     assert {r.source for r in api.search_comprehensive(c, e, s, q).collect()} >= {"chunks", "graph", "summary"}
 
 
