@@ -1,4 +1,4 @@
-"""Graph and tree operators over edge tables, unrolled to a bounded depth with one row kept for each node."""
+"""Graph and tree operators over edge tables: hops with one row kept for each node, trees of any depth by doubling."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestar import storage
+
 
 def undirected(edges: DataFrame) -> DataFrame:
     """(a, b) in both directions, so that touching either end is an equi-join."""
@@ -62,9 +64,37 @@ def guided_search(chunk_scores: DataFrame, edges: DataFrame, boosts: dict[str, f
     return best.orderBy(F.desc("score"), "id").limit(n)
 
 
-def tree_leaves(roots: DataFrame, tree: DataFrame, depth: int = 5) -> DataFrame:
-    """(root, leaf): nodes without children below each root, to a depth. tree: (id, children array)."""
+def reached_from(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(root, node) for every node at or below a root along links(parent, child), whatever the depth, cycles included.
+
+    Distances double: links of length k joined with themselves have length 2k, and roots known within k become known
+    within 2k. A round that finds nothing new ends it, since the way to a farther root would pass a nearer one's distance;
+    so a chain of n nodes takes log n rounds, each written.
+    """
+    jump = storage.kept(links.where("parent IS NOT NULL AND child IS NOT NULL").select("parent", "child").distinct(), "links")
+    known = storage.kept(roots.select("root", F.col("root").alias("node")).distinct(), "known")
+    n = known.count()
+    while True:
+        below = jump.join(known.select("root", F.col("node").alias("parent")), "parent").select("root", F.col("child").alias("node"))
+        known = storage.kept(known.unionByName(below).distinct(), "known")
+        before, n = n, known.count()
+        if n == before:
+            return known
+        further = jump.select("parent", F.col("child").alias("__mid")).join(jump.select(F.col("parent").alias("__mid"), "child"), "__mid").select("parent", "child")
+        jump = storage.kept(further.distinct(), "links")
+
+
+def tree_leaves(roots: DataFrame, tree: DataFrame, depth: int | None = None) -> DataFrame:
+    """(root, leaf): nodes without children below each root. tree: (id, children array); roots: (id).
+
+    Without a depth, however deep the tree is (see reached_from). With one, a single plan of so many joins, for trees that
+    are known to be flat: leaves below the depth are not found.
+    """
     t = tree.select(F.col("id").alias("__id"), "children")
+    if depth is None:
+        links = t.select(F.col("__id").alias("parent"), F.explode("children").alias("child"))
+        inner = t.where(F.size("children") > 0).select(F.col("__id").alias("node"))
+        return reached_from(roots.select(F.col("id").alias("root")), links).join(inner, "node", "left_anti").select("root", F.col("node").alias("leaf"))
     front = roots.select(F.col("id").alias("root"), F.col("id").alias("node"))
     leaves = None
     for _ in range(depth + 1):
@@ -97,15 +127,35 @@ def valid_relations(relations: DataFrame, entities: DataFrame) -> DataFrame:
     return r.groupBy("source", "target", "relation").agg(F.max(F.greatest(F.lit(1.0), F.least(F.lit(10.0), F.col("weight").cast("double")))).alias("weight"))
 
 
-def taxonomy_paths(nodes: DataFrame, depth: int = 8) -> DataFrame:
-    """(id, path, level) from (id, parent_id, label): labels joined by dots from the root down."""
-    front = nodes.where("parent_id is null").select("id", F.col("label").alias("path"), F.lit(0).alias("level"))
-    out = front
-    kids = nodes.select(F.col("id").alias("__id"), F.col("parent_id").alias("__p"), "label")
-    for level in range(1, depth):
-        front = kids.join(front, kids["__p"] == front["id"]).select(F.col("__id").alias("id"), F.concat_ws(".", "path", "label").alias("path"), F.lit(level).alias("level"))
-        out = out.unionByName(front)
-    return out
+def taxonomy_paths(nodes: DataFrame) -> DataFrame:
+    """(id, path, level) from (id, parent_id, label): labels joined by dots from the root down, whatever the depth.
+
+    Every node's path doubles in length each round, by the path of the ancestor that it ends at. Nodes without a way up to
+    a root (in or below a cycle, or under an unknown parent) have no path.
+    """
+    most = nodes.count().bit_length() + 1
+    at = storage.kept(nodes.select("id", F.coalesce("label", F.lit("")).alias("path"), F.lit(0).alias("level"), F.col("parent_id").alias("up")), "paths")
+    for _ in range(most):
+        if at.where("up IS NOT NULL").isEmpty():
+            break
+        above = at.select(F.col("id").alias("__up"), F.col("path").alias("__path"), F.col("level").alias("__level"), F.col("up").alias("__next"))
+        open_ = at.where("up IS NOT NULL").join(above, F.col("up") == F.col("__up")).select("id", F.concat_ws(".", "__path", "path").alias("path"), (F.col("level") + F.col("__level") + 1).alias("level"), F.col("__next").alias("up"))
+        at = storage.kept(at.where("up IS NULL").unionByName(open_), "paths")
+    return at.where("up IS NULL").select("id", "path", "level")
+
+
+def reparented(nodes: DataFrame, paths: DataFrame, node, parent) -> DataFrame:
+    """(id, path, level) of all nodes(id, parent_id, ...) once `node` hangs under `parent` (None: as a root): the paths of
+    its whole subtree are rewritten, others stay. A parent in the subtree itself is an error."""
+    below = reached_from(nodes.where(F.col("id") == F.lit(node)).select(F.col("id").alias("root")), nodes.select(F.col("parent_id").alias("parent"), F.col("id").alias("child")))
+    if parent is not None and not below.where(F.col("node") == F.lit(parent)).isEmpty():
+        raise ValueError(f"CYCLE: {parent} is below {node}")
+    ends = {r.id: (r.path, r.level) for r in paths.where(F.col("id").isin([x for x in (node, parent) if x is not None])).collect()}
+    (old, level), (new, to) = ends[node], ends[parent] if parent is not None else ("", -1)
+    label = nodes.where(F.col("id") == F.lit(node)).select(F.coalesce("label", F.lit(""))).head()[0]
+    head = f"{new}.{label}" if parent is not None else label
+    moved = paths.join(below.select(F.col("node").alias("id")), "id", "left_semi").select("id", F.concat(F.lit(head), F.substring("path", len(old) + 1, 1 << 30)).alias("path"), (F.col("level") - level + to + 1).alias("level"))
+    return paths.join(below.select(F.col("node").alias("id")), "id", "left_anti").select("id", "path", "level").unionByName(moved)
 
 
 def under(path: Column, prefix: str) -> Column:

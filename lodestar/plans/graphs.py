@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodestar.catalog import query
+from lodestar.operators import communities as C
 from lodestar.operators import graph as G
 from lodestar.plans import binding as B
 
@@ -57,7 +59,7 @@ def tree_leaves(spark, sf):
     name = lambda p, x: F.concat(F.lit(p), F.col(x).cast("string"))
     t = n.groupBy(name("r", "n_regionkey").alias("id")).agg(F.collect_set(name("n", "n_nationkey")).alias("children"))
     t = t.unionByName(c.groupBy(name("n", "c_nationkey").alias("id")).agg(F.collect_set(name("c", "c_custkey")).alias("children")))
-    return G.tree_leaves(B.table(spark, sf, "region").select(name("r", "r_regionkey").alias("id")), t)
+    return G.tree_leaves(B.table(spark, sf, "region").select(name("r", "r_regionkey").alias("id")), t, depth=5)
 
 
 @query("taxonomy_paths", "SELECT 'r' || r_regionkey AS id, r_name AS path, 0 AS level FROM region UNION ALL SELECT 'n' || n_nationkey, r_name || '.' || n_name, 1 FROM nation JOIN region ON r_regionkey = n_regionkey UNION ALL SELECT 'c' || c_custkey, r_name || '.' || n_name || '.' || c_name, 2 FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey")
@@ -66,7 +68,29 @@ def taxonomy_paths(spark, sf):
     r = B.table(spark, sf, "region").select(name("r", "r_regionkey").alias("id"), F.lit(None).cast("string").alias("parent_id"), F.col("r_name").alias("label"))
     n = B.table(spark, sf, "nation").select(name("n", "n_nationkey").alias("id"), name("r", "n_regionkey").alias("parent_id"), F.col("n_name").alias("label"))
     c = B.table(spark, sf, "customer").select(name("c", "c_custkey").alias("id"), name("n", "c_nationkey").alias("parent_id"), F.col("c_name").alias("label"))
-    return G.taxonomy_paths(r.unionByName(n).unionByName(c), 4)
+    return G.taxonomy_paths(r.unionByName(n).unionByName(c))
+
+
+# Each customer's orders in turn: an order hangs under the one before, the first one under the customer.
+_CHAINS = "x AS (SELECT o_orderkey AS id, coalesce(lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey), -1 - o_custkey) AS parent FROM orders)"
+
+
+def _chains(spark, sf):
+    before = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    return B.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.coalesce(before, -1 - F.col("o_custkey")).alias("parent"))
+
+
+@query("deep_tree_leaves", f"WITH RECURSIVE {_CHAINS}, r(root, node) AS (SELECT DISTINCT -1 - o_custkey, -1 - o_custkey FROM orders UNION ALL SELECT r.root, x.id FROM r JOIN x ON x.parent = r.node) SELECT root, node AS leaf FROM r WHERE node NOT IN (SELECT parent FROM x)")
+def deep_tree_leaves(spark, sf):
+    tree = _chains(spark, sf).groupBy(F.col("parent").alias("id")).agg(F.collect_list("id").alias("children"))
+    return G.tree_leaves(tree.where("id < 0").select("id"), tree)
+
+
+@query("deep_taxonomy_paths", f"WITH RECURSIVE {_CHAINS}, r(id, path, level) AS (SELECT DISTINCT -1 - o_custkey, 'c' || o_custkey, 0 FROM orders UNION ALL SELECT x.id, r.path || '.' || x.id, r.level + 1 FROM r JOIN x ON x.parent = r.id) SELECT id, path, level::INT AS level FROM r")
+def deep_taxonomy_paths(spark, sf):
+    x = _chains(spark, sf)
+    roots = x.where("parent < 0").select(F.col("parent").alias("id"), F.lit(None).cast("long").alias("parent_id"), F.concat(F.lit("c"), (-1 - F.col("parent")).cast("string")).alias("label")).distinct()
+    return G.taxonomy_paths(roots.unionByName(x.select("id", F.col("parent").alias("parent_id"), F.col("id").cast("string").alias("label"))))
 
 
 @query(
@@ -111,6 +135,11 @@ def communities(spark, sf):
     return G.label_communities(B.edges(spark, sf), 4)
 
 
+@query("modular_communities")
+def modular_communities(spark, sf):
+    return C.modular_communities(B.edges(spark, sf), rounds=6)
+
+
 @query("gmm_clusters")
 def gmm_clusters(spark, sf):
     return G.gaussian_clusters(B.vectors(spark, sf).select("id", "label", "embedding"), "label", most=4)

@@ -166,9 +166,9 @@ def structural_filter(spark, sf):
 
 @query("community_summaries")
 def community_summaries(spark, sf):
-    from lodestar.operators.graph import label_communities
+    from lodestar.operators.communities import modular_communities
 
-    labels = label_communities(B.edges(spark, sf), 4)
+    labels = modular_communities(B.edges(spark, sf), rounds=6)
     names = B.table(spark, sf, "customer").select(F.col("c_custkey").alias("node"), F.col("c_name").alias("name"))
     return K.community_summaries(labels, names).drop("members")
 
