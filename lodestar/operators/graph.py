@@ -175,43 +175,6 @@ def label_communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
     return labels
 
 
-def gaussian_clusters(vectors: DataFrame, group: str, id_col: str = "id", vec_col: str = "embedding", most: int = 10, least_p: float = 0.3, seed: int = 7) -> DataFrame:
-    """(group, id, cluster, p): soft clusters of each group by diagonal Gaussian mixtures, their number 2..most
-    chosen by BIC; members with p >= least_p, or the likeliest cluster. Groups are a document's summaries."""
-    import numpy as np
-    import pandas as pd
-
-    schema = f"`{group}` {vectors.schema[group].dataType.simpleString()}, id long, cluster int, p double"
-
-    def fit(x, k, rng):
-        n, d = x.shape
-        mean = x[rng.choice(n, k, replace=False)]
-        var = np.tile(x.var(axis=0) + 1e-6, (k, 1))
-        mix = np.full(k, 1.0 / k)
-        for _ in range(50):
-            logp = np.log(mix) - 0.5 * (np.log(2 * np.pi * var).sum(1) + ((x[:, None] - mean) ** 2 / var).sum(2))
-            top = logp.max(1, keepdims=True)
-            like = top[:, 0] + np.log(np.exp(logp - top).sum(1))
-            r = np.exp(logp - like[:, None])
-            nk = r.sum(0) + 1e-9
-            mean, mix = (r.T @ x) / nk[:, None], nk / n
-            var = np.maximum((r.T @ x**2) / nk[:, None] - mean**2, 1e-6)
-        return r, -2 * like.sum() + (2 * k * d + k - 1) * np.log(n)
-
-    def one(pdf):
-        pdf = pdf.sort_values(id_col)
-        x = np.array(pdf[vec_col].tolist(), float)
-        if len(x) < 4:
-            return pd.DataFrame({group: pdf[group], "id": pdf[id_col], "cluster": 0, "p": 1.0})
-        rng = np.random.default_rng(seed)
-        best = min((fit(x, k, rng) for k in range(2, min(most, len(x) - 1) + 1)), key=lambda z: z[1])[0]
-        keep = (best >= least_p) | (best == best.max(1, keepdims=True))
-        i, c = np.nonzero(keep)
-        return pd.DataFrame({group: pdf[group].iloc[0], "id": pdf[id_col].to_numpy()[i], "cluster": c, "p": np.round(best[i, c], 6)})
-
-    return vectors.groupBy(group).applyInPandas(one, schema)
-
-
 def document_sections(toc: DataFrame) -> DataFrame:
     """TOC rows (doc, ord, level, title, page) with the page where each ends and its parent: the last earlier row
     of a smaller level. Levels are few, so the parent is the latest of one running maximum for each level."""

@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from lodestar.functions.vector import mean_vector
-from lodestar.operators.graph import gaussian_clusters
+from lodestar import storage
+from lodestar.functions.vector import mean_vectors
+from lodestar.operators.mixtures import mixture_clusters
 
 # Phrases that tell a refusal, lengths of the extractive fallback.
 REFUSALS = "i cannot|i can't|no puedo|lo siento|as an ai|unable to"
@@ -27,15 +29,21 @@ def looks_like_refusal(text: Column) -> Column:
 
 def summary_level(nodes: DataFrame, group: Column, level: int, summarise: Callable[[Column], Column] = extractive_summary, parts: int = 50) -> DataFrame:
     """Nodes (doc, id, content, embedding) joined into one summary node for each document and group:
-    (doc, id, level, children, title, content, embedding). The text of at most so many members is read."""
-    lines = F.transform(F.slice(F.sort_array(F.collect_list(F.struct("id", "content"))), 1, parts), lambda x: x["content"])
-    g = nodes.withColumn("__g", group).where("__g is not null").groupBy("doc", "__g").agg(F.sort_array(F.collect_set("id")).alias("children"), F.array_join(lines, "\n").alias("text"), mean_vector(F.collect_list("embedding")).alias("embedding"))
-    s = g.withColumn("s", summarise(F.col("text")))
+    (doc, id, level, children, title, content, embedding). A summariser reads the first `parts` members by id (a model's
+    window); every task cuts a group to them before texts are gathered. Vectors are averaged by component sums over all
+    members."""
+    g = nodes.withColumn("__g", group).where("__g is not null")
+    first = g.select("doc", "__g", "id", "content", F.row_number().over(Window.partitionBy("doc", "__g").orderBy("id")).alias("__r")).where(F.col("__r") <= parts)
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("id", "content"))), lambda x: x["content"])
+    texts = first.groupBy("doc", "__g").agg(F.array_join(lines, "\n").alias("text"))
+    members = g.groupBy("doc", "__g").agg(F.sort_array(F.collect_set("id")).alias("children"))
+    means = mean_vectors(g, ["doc", "__g"]).withColumnRenamed("mean", "embedding")
+    s = members.join(texts, ["doc", "__g"]).join(means, ["doc", "__g"], "left").withColumn("s", summarise(F.col("text")))
     ident = F.concat(F.lit(f"L{level}:"), F.substring(F.sha1(F.concat_ws("|", F.col("doc").cast("string"), F.lit(str(level)), F.col("__g").cast("string"))), 1, 16))
     return s.select("doc", ident.alias("id"), F.lit(level).alias("level"), "children", "s.title", F.col("s.summary").alias("content"), "embedding")
 
 
-def summary_tree(chunks: DataFrame, section: Column, depth: int = 3, most: int = 10, keep: Callable[[DataFrame], DataFrame] = lambda x: x) -> DataFrame:
+def summary_tree(chunks: DataFrame, section: Column, depth: int = 3, most: int = 10, keep: Callable[[DataFrame], DataFrame] = lambda x: storage.kept(x, "level")) -> DataFrame:
     """Levels of summaries over each document's chunks: by section first, then by Gaussian clusters, until a
     document has one node. keep writes a level where lineage should end."""
     base = chunks.select("doc", F.col("id").cast("string").alias("id"), "content", "embedding", section.alias("__section"))
@@ -45,7 +53,7 @@ def summary_tree(chunks: DataFrame, section: Column, depth: int = 3, most: int =
         many = front.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select("doc")
         part = front.join(many, "doc", "left_semi")
         numbered = part.withColumn("num", F.xxhash64("id"))
-        c = gaussian_clusters(numbered.select("doc", F.col("num").alias("id"), "embedding"), "doc", most=most)
+        c = mixture_clusters(numbered.select("doc", F.col("num").alias("id"), "embedding"), "doc", most=most)
         joined = numbered.join(c.select(F.col("doc").alias("__d"), F.col("id").alias("__i"), "cluster"), (F.col("doc") == F.col("__d")) & (F.col("num") == F.col("__i")))
         front = keep(summary_level(joined.select("doc", "id", "content", "embedding", "cluster"), F.col("cluster"), level))
         out = out.unionByName(front)

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from lodestar.catalog import query
 from lodestar.operators import communities as C
 from lodestar.operators import graph as G
+from lodestar.operators.mixtures import mixture_clusters
 from lodestar.plans import binding as B
 
 
@@ -142,4 +143,4 @@ def modular_communities(spark, sf):
 
 @query("gmm_clusters")
 def gmm_clusters(spark, sf):
-    return G.gaussian_clusters(B.vectors(spark, sf).select("id", "label", "embedding"), "label", most=4)
+    return mixture_clusters(B.vectors(spark, sf).select("id", "label", "embedding"), "label", most=4)
