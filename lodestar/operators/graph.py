@@ -228,10 +228,7 @@ def rule_guided_search(anchors: DataFrame, edges: DataFrame, boosts: dict[str, f
 
 def match_entities(incoming: DataFrame, existing: DataFrame, least: float = 0.95) -> DataFrame:
     """(seq, entity, how): the entity that each incoming row (seq, name, embedding) is: one of the same name
-    without case, else the nearest vector of at least `least`, else none (null). existing: (id, name, embedding).
-
-    incoming is a document's few entities; more than a batch of them must be split by the caller.
-    """
+    without case, else the nearest vector of at least `least`, else none (null). existing: (id, name, embedding)."""
     from lodestar.operators.search import batch_vector_topk
 
     key = lambda c: F.lower(F.trim(c))

@@ -19,8 +19,8 @@ from lodestar.functions.vector import similarity
 IDENTIFIER = re.compile(r"[A-Za-z]+[-./]?[0-9]+|[0-9]+[A-Za-z]+|iso\s*[0-9]{3,5}|cl[aá]usula\s*[0-9]+(?:\.[0-9]+)*", re.I)
 CLAUSE_HEAVY = re.compile(r"\b(?:cl[aá]usula|clause|numeral|apartado|secci[oó]n|standard|scope)\b", re.I)
 CLAUSE_WEIGHTS = (0.55, 0.75)
-#: Queries of a batch that are sent to all tasks.
-BATCH = 1000
+#: Queries of a batch that are sent to all tasks at most, and their bytes; more are multiplied in blocks.
+BATCH, BATCH_BYTES = 1000, 8 << 20
 
 
 def require_tenant(tenant) -> None:
@@ -255,17 +255,24 @@ def weighted_sum(chunks: DataFrame, query: Sequence[float], text: str, n: int, v
 
 
 def batch_vector_topk(chunks: DataFrame, queries: DataFrame, n: int, threshold: float) -> DataFrame:
-    """(query_id, rank, id, similarity): each query's n best. queries: (query_id, query), at most BATCH of them,
-    which every row meets; norms are taken once for a row and a query, and each task cuts a query to n rows."""
-    from lodestar.functions.vector import dot, norm
+    """(query_id, rank, id, similarity): each query's n best above the threshold. queries: (query_id, query), any number.
 
-    if queries.limit(BATCH + 1).count() > BATCH:
-        raise ValueError(f"at most {BATCH} queries a batch")
-    unit = lambda c: F.when(c.isNotNull() & (norm(c) > 0), norm(c))
-    c = chunks.select("id", "embedding", unit(F.col("embedding")).alias("length")).where("length is not null")
-    q = queries.select("query_id", "query", unit(F.col("query")).alias("q_length")).where("q_length is not null")
-    pairs = c.join(F.broadcast(q), F.size("embedding") == F.size("query"))
-    s = pairs.select("query_id", "id", F.round(dot(F.col("embedding"), F.col("query")) / (F.col("length") * F.col("q_length")), 6).alias("similarity")).where(F.col("similarity") > threshold)
+    Few queries are sent to all tasks, and norms taken once for a row and a query; more are multiplied with the rows in
+    blocks (see blocks.block_topk). Either way each task cuts a query to n rows.
+    """
+    from lodestar.functions.vector import dot, norm
+    from lodestar.operators.blocks import block_topk
+
+    size = queries.limit(BATCH + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("query")), F.lit(0)).alias("x")).head()
+    if size["n"] > BATCH or size["x"] * 8 > BATCH_BYTES:
+        s = block_topk(chunks, queries, n, threshold)
+    else:
+        unit = lambda c: F.when(c.isNotNull() & (norm(c) > 0), norm(c))
+        c = chunks.select("id", "embedding", unit(F.col("embedding")).alias("length")).where("length is not null")
+        q = queries.select("query_id", "query", unit(F.col("query")).alias("q_length")).where("q_length is not null")
+        pairs = c.join(F.broadcast(q), F.size("embedding") == F.size("query"))
+        s = pairs.select("query_id", "id", F.round(dot(F.col("embedding"), F.col("query")) / (F.col("length") * F.col("q_length")), 6).alias("similarity"))
+    s = s.where(F.col("similarity") > threshold)
     r = s.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.col("id"))))
     return r.where(F.col("rank") <= n).select("query_id", "rank", "id", "similarity")
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodestar.catalog import ORACLES, query
 from lodestar.functions import fulltext as FT
+from lodestar.operators import blocks as BL
 from lodestar.operators import indexed
 from lodestar.operators import search as S
 from lodestar.plans import binding as B
@@ -139,6 +141,16 @@ def batch_topk_per_query(spark, sf):
     return S.batch_vector_topk(v, v.where("id < 8").select(F.col("id").alias("query_id"), F.col("embedding").alias("query")), 10, 0.1)
 
 
+@query("block_topk_per_query", f"WITH {B.VECTORS}, s AS (SELECT a.id AS query_id, b.id, round(list_cosine_similarity(a.embedding, b.embedding), 6) AS similarity FROM v a, v b), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM s WHERE similarity > 0.1) SELECT query_id, rank::INT AS rank, id, similarity FROM r WHERE rank <= 5")
+def block_topk_per_query(spark, sf):
+    """Every vector asks for its nearest ones."""
+    v = B.vectors(spark, sf)
+    q = v.select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
+    hits = BL.block_topk(v, q, 5, 0.1).where("similarity > 0.1")
+    r = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")))
+    return r.where("rank <= 5").select("query_id", "rank", "id", "similarity")
+
+
 @query("keyset_page", f"WITH {B.VECTORS}, s AS (SELECT id, {B.SIM} AS score FROM v, q), p AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS n FROM s WHERE score < 0.25 OR (score = 0.25 AND id > 10)) SELECT id, score, (SELECT count(*) FROM p) > 20 AS has_more FROM p WHERE n <= 20")
 def keyset_page(spark, sf):
     s = B.vectors(spark, sf).select("id", S.similarity(F.col("embedding"), B.query_vector(spark, sf)).alias("score"))

@@ -51,11 +51,11 @@ def rule_guided_search(spark, sf):
     return G.rule_guided_search(_anchors(spark, sf), B.edges(spark, sf), {"1": 1.5, "2": 1.2}, 30)
 
 
-@query("entity_matches", f"WITH {B.VECTORS}, i AS (SELECT id AS seq, CASE WHEN id % 2 = 0 THEN 'N' || (id - 1) ELSE 'new' END AS name, embedding FROM v WHERE id < 40), x AS (SELECT id, 'n' || id AS name, embedding FROM v WHERE id % 3 <> 0), s AS (SELECT seq, arg_max(x.id, (round(list_cosine_similarity(i.embedding, x.embedding), 6), -x.id)) AS near, max(round(list_cosine_similarity(i.embedding, x.embedding), 6)) AS sim FROM i, x GROUP BY seq) SELECT i.seq, coalesce(x.id, CASE WHEN sim >= 0.3 THEN near END) AS entity, CASE WHEN x.id IS NOT NULL THEN 'name' WHEN sim >= 0.3 THEN 'vector' END AS how FROM i LEFT JOIN x ON lower(x.name) = lower(i.name) LEFT JOIN s ON s.seq = i.seq")
+@query("entity_matches", f"WITH {B.VECTORS}, i AS (SELECT id AS seq, CASE WHEN id % 2 = 0 THEN 'N' || (id - 1) ELSE 'new' END AS name, embedding FROM v), x AS (SELECT id, 'n' || id AS name, embedding FROM v WHERE id % 3 <> 0), s AS (SELECT seq, arg_max(x.id, (round(list_cosine_similarity(i.embedding, x.embedding), 6), -x.id)) AS near, max(round(list_cosine_similarity(i.embedding, x.embedding), 6)) AS sim FROM i, x GROUP BY seq) SELECT i.seq, coalesce(x.id, CASE WHEN sim >= 0.3 THEN near END) AS entity, CASE WHEN x.id IS NOT NULL THEN 'name' WHEN sim >= 0.3 THEN 'vector' END AS how FROM i LEFT JOIN x ON lower(x.name) = lower(i.name) LEFT JOIN s ON s.seq = i.seq")
 def entity_matches(spark, sf):
     v = B.vectors(spark, sf)
     name = F.when(F.col("id") % 2 == 0, F.concat(F.lit("N"), (F.col("id") - 1).cast("string"))).otherwise("new")
-    new = v.where("id < 40").select(F.col("id").alias("seq"), name.alias("name"), "embedding")
+    new = v.select(F.col("id").alias("seq"), name.alias("name"), "embedding")
     return G.match_entities(new, v.where("id % 3 <> 0").select("id", F.concat(F.lit("n"), F.col("id").cast("string")).alias("name"), "embedding"), 0.3)
 
 

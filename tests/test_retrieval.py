@@ -1,12 +1,13 @@
 """Leak checks that no plan can lose, multi-query controls, full-text queries, loading, cut contexts."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lodestar import api
 from lodestar.functions.fulltext import cover_rank, text_query
 from lodestar.functions.text import strip_boilerplate
-from lodestar.operators import ingest, policy, search
+from lodestar.operators import blocks, ingest, policy, search
 
 WORDS = "alpha beta gamma delta".split()
 
@@ -142,11 +143,21 @@ def test_contexts_are_cut_at_boundaries_and_cite(spark):
     assert api.context(h.limit(0)).head().citations == []
 
 
-def test_batches_have_a_checked_size(spark, monkeypatch):
-    monkeypatch.setattr(search, "BATCH", 2)
-    q = spark.createDataFrame([(k, [1.0, 0.0]) for k in range(3)], "query_id long, query array<double>")
-    with pytest.raises(ValueError, match="at most 2"):
-        search.batch_vector_topk(spark.createDataFrame([(1, [1.0, 0.0])], "id long, embedding array<double>"), q, 1, 0.0)
+def test_query_sets_of_any_size(spark, monkeypatch):
+    """In blocks as with all queries in every task: ties, several dimensions, vectors that can't be compared."""
+    rng = np.random.default_rng(1)
+    vec = lambda k: None if k % 50 == 1 else [0.0] * 4 if k % 50 == 2 else [float(x) for x in rng.integers(-2, 3, 3 if k % 50 == 3 else 4)]
+    rows = spark.createDataFrame([(k, vec(k)) for k in range(600)], "id long, embedding array<double>")
+    asked = spark.createDataFrame([(f"q{k}", vec(k)) for k in range(300)], "query_id string, query array<double>")
+    for n, threshold in ((3, 0.2), (1, 0.999), (1000, 0.9)):
+        ask = lambda: sorted(tuple(r) for r in search.batch_vector_topk(rows, asked, n, threshold).collect())
+        want = ask()
+        monkeypatch.setattr(search, "BATCH", 2)
+        monkeypatch.setattr(blocks, "ROW_BYTES", 2000)
+        monkeypatch.setattr(blocks, "QUERY_BYTES", 1000)
+        assert ask() == want and want
+        monkeypatch.undo()
+
 
 
 @pytest.mark.parametrize("spelling", ["ISO 9001", "ISO9001:2015", "9001", "iso 9001"])
