@@ -57,10 +57,10 @@ def text_rank_topk(spark, sf):
     return S.text_hits(B.chunks(spark, sf), B.QUERY_TEXT, 40).select("id", "text_rank")
 
 
-@query("stemmed_rank", f"WITH c AS (SELECT doc_id AS id, text AS content FROM documents), {_covers('r', [FT.stem_text(w) for w in ('licenses', 'mentions')], stemmed=True)} SELECT id, rank AS text_rank FROM r ORDER BY text_rank DESC, id LIMIT 40")
+@query("stemmed_rank", f"WITH c AS (SELECT doc_id AS id, text AS content FROM documents), {_covers('r', [FT.stem_text(w) for w in ('licenses', 'apaches')], stemmed=True)} SELECT id, rank AS text_rank FROM r ORDER BY text_rank DESC, id LIMIT 40")
 def stemmed_rank(spark, sf):
     d = B.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
-    return S.text_hits(d, "de los licenses mentions", 40, stemmed=True).select("id", "text_rank")
+    return S.text_hits(d, "de los licenses apaches", 40, stemmed=True).select("id", "text_rank")
 
 
 _TEXTS = "c AS (SELECT doc_id AS id, text AS content FROM documents)"
@@ -294,7 +294,7 @@ def text_index_box(spark, sf):
 
 @query("text_index_stems", ORACLES["stemmed_rank"])
 def text_index_stems(spark, sf):
-    return B.text_index(spark, sf).hits("de los licenses mentions", 40, stemmed=True)
+    return B.text_index(spark, sf).hits("de los licenses apaches", 40, stemmed=True)
 
 
 @query("vector_index_topk", ORACLES["vector_topk"])

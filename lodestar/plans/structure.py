@@ -186,7 +186,7 @@ def dominant_stage(spark, sf):
     return O.dominant_stage(B.table(spark, sf, "events").groupBy(F.col("event_type").alias("stage")).agg(F.count("*").alias("events")))
 
 
-@query("event_page", "SELECT event_id, true AS has_more FROM events ORDER BY ts, event_id LIMIT 30")
+@query("event_page", "SELECT event_id, (SELECT count(*) FROM events) > 30 AS has_more FROM events ORDER BY ts, event_id LIMIT 30")
 def event_page(spark, sf):
     return O.event_page(B.table(spark, sf, "events"), 30).select("event_id", "has_more")
 
@@ -201,20 +201,22 @@ def _jobs(spark, sf):
     return o.select(F.col("o_orderkey").alias("job_id"), F.col("o_orderpriority").alias("job_type"), F.col("o_custkey").alias("doc_id"), (F.col("o_custkey") % 20).alias("tenant_id"), s.alias("status"), at.alias("created_at"), at.alias("updated_at"))
 
 
-@query("claimed_jobs", f"WITH j AS (SELECT o_orderkey AS job_id, o_orderpriority AS job_type, {_JOB} AS status, o_orderdate AS c FROM orders), t AS (SELECT job_id FROM (SELECT *, row_number() OVER (PARTITION BY job_type ORDER BY c, job_id) AS r FROM j WHERE status = 'pending') WHERE r <= 2) SELECT CASE WHEN job_id IN (SELECT job_id FROM t) THEN 'processing' ELSE status END AS status, CASE WHEN job_id IN (SELECT job_id FROM t) THEN 'w1' END AS worker, count(*) AS n FROM j GROUP BY 1, 2")
+@query("claimed_jobs", f"WITH j AS (SELECT o_orderkey AS job_id, o_orderpriority AS job_type, {_JOB} AS status, o_orderdate AS c FROM orders), t AS (SELECT job_id FROM (SELECT *, row_number() OVER (PARTITION BY job_type ORDER BY c, job_id) AS r FROM j WHERE status = 'pending') WHERE r <= 2) SELECT job_id, CASE WHEN t.job_id IS NOT NULL THEN 'processing' ELSE status END AS status, CASE WHEN t.job_id IS NOT NULL THEN 'w1' END AS worker FROM j LEFT JOIN t USING (job_id)")
 def claimed_jobs(spark, sf):
-    return O.claimed(_jobs(spark, sf), "w1", F.lit("2000-01-01 00:00:00").cast("timestamp"), 2).groupBy("status", "worker").agg(F.count("*").alias("n"))
+    return O.claimed(_jobs(spark, sf), "w1", F.lit("2000-01-01 00:00:00").cast("timestamp"), 2).select("job_id", "status", "worker")
 
 
-@query("startable_jobs", f"WITH j AS (SELECT o_orderkey AS job_id, o_custkey AS doc_id, o_custkey % 20 AS tenant_id, {_JOB} AS status, o_orderdate AS c FROM orders), b AS (SELECT * FROM j WHERE status = 'processing'), o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY c, job_id) AS d FROM j WHERE status = 'pending' AND doc_id NOT IN (SELECT doc_id FROM b)), f AS (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY c, job_id) AS t FROM o WHERE d = 1) SELECT job_id FROM f WHERE t + (SELECT count(*) FROM b WHERE b.tenant_id = f.tenant_id) <= 25")
+@query("startable_jobs", f"WITH j AS (SELECT o_orderkey AS job_id, o_orderkey // 8 AS doc_id, o_custkey % 20 AS tenant_id, {_JOB} AS status, o_orderdate AS c FROM orders), b AS (SELECT * FROM j WHERE status = 'processing'), o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY c, job_id) AS d FROM j WHERE status = 'pending' AND doc_id NOT IN (SELECT doc_id FROM b)), f AS (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY c, job_id) AS turn FROM o WHERE d = 1), u AS (SELECT tenant_id, count(*) AS used FROM b GROUP BY tenant_id), m AS (SELECT max(used) + 3 AS slots FROM u) SELECT job_id FROM f LEFT JOIN u USING (tenant_id), m WHERE turn + coalesce(used, 0) <= slots")
 def startable_jobs(spark, sf):
-    return O.startable(_jobs(spark, sf), 25).select("job_id")
+    jobs = _jobs(spark, sf).withColumn("doc_id", F.floor(F.col("job_id") / 8))
+    most = jobs.where("status = 'processing'").groupBy("tenant_id").count().agg(F.max("count")).head()[0]
+    return O.startable(jobs, most + 3).select("job_id")
 
 
-@query("due_tenants", f"WITH j AS (SELECT o_custkey % 200 AS tenant_id, {_JOB} AS status, o_orderdate AS c FROM orders WHERE o_orderpriority = '1-URGENT'), t AS (SELECT DISTINCT c_custkey % 200 AS tenant_id FROM customer) SELECT tenant_id FROM t WHERE NOT EXISTS (SELECT 1 FROM j WHERE j.tenant_id = t.tenant_id AND (status <> 'completed' OR c > TIMESTAMP '1995-01-01' - INTERVAL 1 DAY))")
+@query("due_tenants", f"WITH j AS (SELECT o_custkey AS tenant_id, {_JOB} AS status, o_orderdate AS c FROM orders WHERE o_orderpriority = '1-URGENT'), t AS (SELECT c_custkey AS tenant_id FROM customer) SELECT tenant_id FROM t WHERE NOT EXISTS (SELECT 1 FROM j WHERE j.tenant_id = t.tenant_id AND (status <> 'completed' OR c > TIMESTAMP '1997-01-01' - INTERVAL 1 DAY))")
 def due_tenants(spark, sf):
-    t = B.table(spark, sf, "customer").select((F.col("c_custkey") % 200).alias("tenant_id"))
-    return O.due_tenants(t, _jobs(spark, sf).withColumn("tenant_id", F.col("doc_id") % 200), "1-URGENT", F.lit("1995-01-01 00:00:00").cast("timestamp"), 86400)
+    t = B.table(spark, sf, "customer").select(F.col("c_custkey").alias("tenant_id"))
+    return O.due_tenants(t, _jobs(spark, sf).withColumn("tenant_id", F.col("doc_id")), "1-URGENT", F.lit("1997-01-01 00:00:00").cast("timestamp"), 86400)
 
 
 @query("stalled_batches", "WITH b AS (SELECT DISTINCT user_id % 50 AS batch_id FROM events), l AS (SELECT user_id % 50 AS batch_id, max(ts) AS last_event FROM events GROUP BY 1) SELECT batch_id, last_event, floor(epoch(TIMESTAMP '2024-01-31')) - floor(epoch(last_event)) > 180 AS stalled FROM b JOIN l USING (batch_id)")
