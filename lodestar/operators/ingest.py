@@ -211,8 +211,28 @@ def load_chunks(chunks: DataFrame, path: str, index: str | None = None) -> None:
 
 
 def merge_rows(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Upsert: new rows replace old ones of the same keys."""
-    return old.join(new.select(*keys), keys, "left_anti").unionByName(new, allowMissingColumns=True)
+    """Upsert: new rows replace old ones of the same keys; repeated new ones come once (see checked_upsert for an order)."""
+    return checked_upsert(old, new, keys, F.lit(0), {})[0]
+
+
+def checked_upsert(old: DataFrame, new: DataFrame, keys: list[str], order: Column, rules: dict[str, Column], types: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(merged, rejected) of an upsert in which a bad row doesn't keep the good ones out.
+
+    A row is bad if a key is null, a rule (a condition by its error's name) doesn't hold, or a column can't be cast to its
+    type; it comes out of rejected with all its errors, as it came. Good rows replace old ones of their keys; among
+    repeated keys the last by `order` wins, equal ones by a hash of the row. New rows are read once.
+    """
+    types = types or {}
+    tests = {f"NULL_KEY: {k}": F.col(k).isNotNull() for k in keys} | rules
+    tests |= {f"NOT_{t.upper()}: {c}": F.col(c).isNull() | F.col(c).try_cast(t).isNotNull() for c, t in types.items()}
+    errors = F.array_compact(F.array(*(F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in tests.items()))) if tests else F.array().cast("array<string>")
+    turn = F.struct(order.alias("o"), F.xxhash64(*new.columns).alias("h"))
+    checked = storage.kept(new.withColumns({"__errors": errors, "__turn": turn}), "upsert")
+    good = checked.where(F.size("__errors") == 0)
+    last = good.groupBy(*keys).agg(F.max_by(F.struct(*new.columns), "__turn").alias("x")).select("x.*")
+    last = last.withColumns({c: F.col(c).cast(t) for c, t in types.items()})
+    merged = old.join(last.select(*keys), keys, "left_anti").unionByName(last, allowMissingColumns=True)
+    return merged, checked.where(F.size("__errors") > 0).select(*new.columns, F.col("__errors").alias("errors"))
 
 
 def anchor_token(text: Column, context: Column, node: Column) -> Column:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestar import storage
+
 from lodestar.functions.text import worker_stage
 
 # The share of work done at each stage, terminal states, seconds of a stall.
@@ -83,12 +87,49 @@ def queue_depth(jobs: DataFrame, now: Column, workers: int = 4, per_minute: int
     return jobs.groupBy("job_type").agg(pending.alias("pending"), F.coalesce(F.greatest(wait, F.lit(0)), F.lit(0)).alias("oldest_wait")).withColumn("eta_seconds", F.ceil(F.col("pending") / (per_minute * workers) * 60)).withColumn("accepts", F.col("pending") < limit)
 
 
+#: Rows up to which a percentile's values are held in one buffer, and bins of a refining pass beyond.
+HELD, BINS = 1_000_000, 1024
+
+
 def percentiles(df: DataFrame, value: str, ps: tuple[float, ...] = (0.5, 0.95), by: tuple[str, ...] = ()) -> DataFrame:
-    """Nearest-rank percentiles: the value at place ceil(p * n)."""
+    """Nearest-rank percentiles: the value at place ceil(p * n). Beyond HELD rows by refinement, see refined_percentiles."""
+    if df.select(F.count(value)).head()[0] > HELD:
+        return refined_percentiles(df, value, ps, by)
     aggs = [F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY `{value}`)").alias(f"p{round(p * 100)}") for p in ps]
     return df.groupBy(*by).agg(F.count(value).alias("n"), *aggs)
 
 
+def refined_percentiles(df: DataFrame, value: str, ps: tuple[float, ...] = (0.5, 0.95), by: tuple[str, ...] = ()) -> DataFrame:
+    """percentiles of groups of any size, exactly: passes of counts narrow the range that holds each place.
+
+    A pass counts the values of a range in BINS bins of equal width and keeps the bin that the place falls into, with its own
+    least and greatest value; a range of one value ends. So a group costs BINS rows a pass, however many values it has, and
+    passes grow with the logarithm of the range over the values' spacing. Null values don't count; groups without others
+    have n of 0 and null percentiles.
+    """
+    keys = [f"__b{k}" for k in range(len(by))]
+    v = storage.kept(df.select(*(F.col(c).alias(k) for c, k in zip(by, keys)), F.col(value).cast("double").alias("__v")), "values")
+    known = v.groupBy(*keys).agg(F.count("__v").alias("n"), F.min("__v").alias("lo"), F.max("__v").alias("hi"))
+    # floats of p * n just above a whole number are that number
+    place = lambda p: F.greatest(F.lit(1), F.ceil(F.lit(p) * F.col("n") - 1e-9)).cast("long")
+    open_ = storage.kept(known.withColumn("x", F.explode(F.array(*(F.struct(F.lit(k).alias("p"), place(p).alias("place")) for k, p in enumerate(ps))))).select(*keys, "n", "lo", "hi", "x.p", "x.place"), "places")
+    done = open_.where("lo IS NULL OR lo = hi")
+    open_ = open_.where("lo < hi")
+    same = lambda a, b: reduce(lambda x, y: x & y, (a[k].eqNullSafe(b[k]) for k in keys), F.lit(True))
+    while not open_.isEmpty():
+        o = open_.select(*(F.col(k).alias(k) for k in keys), "n", "lo", "hi", "p", "place").alias("o")
+        x = v.alias("v").join(o, same({k: F.col(f"v.{k}") for k in keys}, {k: F.col(f"o.{k}") for k in keys}) & F.col("__v").between(F.col("lo"), F.col("hi")))
+        bin_ = F.least(F.floor((F.col("__v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS), F.lit(BINS - 1))
+        c = x.select(*(F.col(f"o.{k}").alias(k) for k in keys), "n", "p", "place", bin_.alias("bin"), "__v").groupBy(*keys, "n", "p", "place", "bin").agg(F.count("*").alias("c"), F.min("__v").alias("lo"), F.max("__v").alias("hi"))
+        run = F.sum("c").over(Window.partitionBy(*keys, "p").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        hit = c.withColumn("upto", run).where((F.col("upto") >= F.col("place")) & (F.col("upto") - F.col("c") < F.col("place")))
+        step = storage.kept(hit.select(*keys, "n", "lo", "hi", "p", (F.col("place") - (F.col("upto") - F.col("c"))).alias("place")), "places")
+        done = done.unionByName(step.where("lo = hi"))
+        open_ = step.where("lo < hi")
+    cols = [F.max(F.when(F.col("p") == k, F.col("lo"))).cast(df.schema[value].dataType).alias(f"p{round(p * 100)}") for k, p in enumerate(ps)]
+    return done.groupBy(*keys, "n").agg(*cols).select(*(F.col(k).alias(c) for c, k in zip(by, keys)), "n", *(f"p{round(p * 100)}" for p in ps))
+
+
 def event_tail(events: DataFrame, size: int, after: tuple[str, int] | None = None) -> DataFrame:
     """The next events behind a cursor (ts, event_id), in order."""
     size = max(1, min(500, size))

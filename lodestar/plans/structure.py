@@ -9,6 +9,7 @@ from lodestar.catalog import query
 from lodestar.functions import identity as D
 from lodestar.functions import text as X
 from lodestar.operators import graph as G
+from lodestar.operators import intervals as IV
 from lodestar.operators import ingest as I
 from lodestar.operators import operations as O
 from lodestar.operators import policy as P
@@ -304,3 +305,23 @@ def page_breadcrumbs(spark, sf):
     s = l.select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").cast("long").alias("page"), ((F.col("l_linenumber") - 1) * 10).cast("long").alias("start")).distinct()
     t = l.where("l_linenumber % 2 = 0").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("ord"), F.col("l_linenumber").alias("page"), F.concat(F.lit("T"), F.col("l_partkey").cast("string")).alias("title"))
     return I.page_breadcrumbs(c, s, t)
+
+
+@query("enclosing_intervals", "WITH p AS (SELECT o_orderkey, o_custkey % 50 AS k, o_orderkey % 5000 AS pos FROM orders), i AS (SELECT c_custkey, c_custkey % 50 AS k, c_custkey * 3 AS a, c_custkey * 3 + round(abs(c_acctbal))::BIGINT AS b FROM customer) SELECT p.k, o_orderkey, c_custkey FROM p JOIN i ON p.k = i.k AND pos >= a AND pos < b")
+def enclosing_intervals(spark, sf):
+    p = B.table(spark, sf, "orders").select("o_orderkey", (F.col("o_custkey") % 50).alias("k"), (F.col("o_orderkey") % 5000).alias("at"))
+    c = B.table(spark, sf, "customer").select("c_custkey", (F.col("c_custkey") % 50).alias("k"), (F.col("c_custkey") * 3).alias("start"), (F.col("c_custkey") * 3 + F.round(F.abs("c_acctbal")).cast("long")).alias("end"))
+    return IV.enclosing(p, c, ["k"]).select("k", "o_orderkey", "c_custkey")
+
+
+@query("refined_percentiles", "SELECT l_returnflag, count(l_extendedprice) AS n, quantile_disc(l_extendedprice, 0.5) AS p50, quantile_disc(l_extendedprice, 0.95) AS p95 FROM lineitem GROUP BY l_returnflag")
+def refined_percentiles(spark, sf):
+    return O.refined_percentiles(B.table(spark, sf, "lineitem"), "l_extendedprice", by=("l_returnflag",))
+
+
+@query("checked_upsert", "WITH n AS (SELECT o_custkey AS id, o_orderkey AS seq, o_totalprice AS v FROM orders WHERE o_totalprice >= 50000), l AS (SELECT id, arg_max(v, seq) AS v FROM n GROUP BY id) SELECT c_custkey AS id, coalesce(l.v, c_acctbal) AS v, (SELECT count(*) FROM orders WHERE o_totalprice < 50000) AS rejected FROM customer LEFT JOIN l ON l.id = c_custkey UNION ALL SELECT l.id, l.v, (SELECT count(*) FROM orders WHERE o_totalprice < 50000) FROM l WHERE l.id NOT IN (SELECT c_custkey FROM customer)")
+def checked_upsert(spark, sf):
+    old = B.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("v"))
+    new = B.table(spark, sf, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("seq"), F.col("o_totalprice").alias("v"))
+    merged, bad = I.checked_upsert(old, new, ["id"], F.col("seq"), {"TOO_SMALL": F.col("v") >= 50000})
+    return merged.select("id", "v", F.lit(bad.count()).alias("rejected"))
