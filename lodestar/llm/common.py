@@ -94,6 +94,13 @@ def dropped(*tables: DataFrame | None) -> None:
             remove_path(t.sparkSession, path)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let go of the shuffle files of ended plans: Spark deletes them once the driver has collected the plans, which a
+    driver with room left may not do for half an hour."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 #: Bytes of an Arrow batch at most, so that a worker's memory doesn't grow with the length of texts.
 BATCH_BYTES = 8 << 20
 

@@ -17,7 +17,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import dropped, map_arrow, mix, passes, stream_arrow, wanted_filter, written
+from lodestar.llm.common import dropped, map_arrow, mix, passes, release_shuffles, stream_arrow, wanted_filter, written
 from lodestar.llm.components import connected_components
 from lodestar.llm.shingles import batch_sets
 
@@ -486,8 +486,10 @@ def links(docs: DataFrame, keys: DataFrame, width: int, percent: int) -> DataFra
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * (100 - percent) / 100 * 32 / 32e6) + 1)
     often = spark.sparkContext.broadcast(frequent(docs, width))
     entries = written(index_lists(postings(docs, width, percent, often), parts), "entries")
+    release_shuffles(spark)
     lists = written(trimmed_lists(entries, percent, parts), "lists")
     dropped(entries)
+    release_shuffles(spark)
     votes = lists.where("h <> pivot").groupBy("h", "pivot").agg(F.count("*").alias("count"), F.first("n").alias("n"))
     chosen = votes.groupBy("h").agg(F.max(F.struct("count", F.negative("pivot").alias("neg"))).alias("x"), F.first("n").alias("n")).select("h", F.negative("x.neg").alias("pivot"), "n")
     chosen = written(chosen, "chosen")
@@ -497,6 +499,7 @@ def links(docs: DataFrame, keys: DataFrame, width: int, percent: int) -> DataFra
         return spark.createDataFrame([], "a long, b long")
     bits = spark.sparkContext.broadcast(wanted_filter(nodes, count))
     sets = written(set_rows(docs, width, bits).dropDuplicates(["h"]), "sets")
+    release_shuffles(spark)
     within = within_groups(chosen, sets, percent)
     comp = connected_components(within).select(F.col("node").alias("h"), F.col("root").alias("comp"))
     label = chosen.join(comp, "h", "full").select("h", F.coalesce("pivot", "h").alias("pivot"), F.coalesce("comp", "h").alias("comp"))
@@ -504,6 +507,7 @@ def links(docs: DataFrame, keys: DataFrame, width: int, percent: int) -> DataFra
     known = lists.select("g", "h", "n", "i").join(label, "h", "left").select("g", "h", "n", "i", F.coalesce("pivot", "h").alias("pivot"), F.coalesce("comp", "h").alias("comp"))
     known = written(known, "known")
     dropped(lists, chosen, nodes, label)
+    release_shuffles(spark)
     across = written(_cross_pairs(known, percent, parts), "across")
     dropped(known)
     return within.unionByName(_verified(across, sets, percent))
