@@ -148,3 +148,12 @@ def test_query(spark, sf):
     r = registry.QUERIES["op10_ngram_jaccard"](spark, sf).toPandas()
     rows = [(x.doc_id, x.text) for x in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted(map(tuple, r[["doc_id", "n_shingles", "component_id"]].to_numpy().tolist())) == sorted(brute(rows, 4, 85))
+
+
+def test_words_built_to_collide_in_polynomials_are_told_apart(spark):
+    """A Thue-Morse word of 1,024 letters and its complement have equal polynomials modulo 2^64, whatever the base."""
+    word = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    docs = spark.createDataFrame([(1, word), (2, word.translate(str.maketrans("ab", "ba"))), (3, word.upper()), (4, "a"), (5, "a\x00")], "doc_id long, text string")
+    from lodestar.llm.jaccard import jaccard_components
+
+    assert {r.doc_id: r.component_id for r in jaccard_components(docs).collect()} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}
