@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +51,8 @@ TEMPLATES |= {
     "mpl-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License v 2.0 If a copy of the MPL was not distributed with this file You can obtain one at <<optional>>http<<end>> <<optional>>https<<end>> <<optional>>www<<end>> mozilla org MPL 2.0",
 }
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: A part of a word that templates are held against: letters, digits and their marks.
+_PART = regex.compile(r"[\p{L}\p{N}\p{M}]+")
 _LOWER = {k: k + 32 for k in range(65, 91)}
 _MARK = re.compile(r"<<(optional|either|or|end|any:\d+)>>")
 
@@ -58,6 +61,19 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.translate(_LOWER))
 
 
+def template_words(w: list[str]) -> tuple[list[str], list[int] | None]:
+    """The words that templates see, and the place of each in w (None: the same). Signs beyond ASCII, such as
+    typographic quotes, dashes and the copyright sign, are letters of base words but part words here."""
+    if all(x.isascii() for x in w):
+        return w, None
+    parts, places = [], []
+    for k, x in enumerate(w):
+        for part in (x,) if x.isascii() else _PART.findall(x):
+            parts.append(part)
+            places.append(k)
+    return parts, places
+
+
 class Either:
     """Parts of a template of which one must stand."""
 
@@ -143,21 +159,25 @@ class Scanner:
         """n_words, base places (start, label), template spans (start, end, label)."""
         w = words(text)
         held = set(w)
-        live = {l for l, x in self.automata.items() if x.mandatory <= held}
         base, spans = [], []
-        if live or any(all(x in held for x in p) for p, _ in self.phrases):
-            hits = [k for k, x in enumerate(w) if x in self.by_first]
-            for k in hits:
-                phrases, automata = self.by_first[w[k]]
-                for p, l in phrases:
+        if any(all(x in held for x in p) for p, _ in self.phrases):
+            for k, x in enumerate(w):
+                for p, l in self.by_first.get(x, ((), ()))[0]:
                     if tuple(w[k : k + len(p)]) == p:
                         base.append((k, l))
-                for l, x in automata:
-                    if l in live and (end := x.match(w, k)) > 0:
+        t, places = template_words(w)
+        held = held if places is None else set(t)
+        live = {l for l, x in self.automata.items() if x.mandatory <= held}
+        if live:
+            for k, x in enumerate(t):
+                for l, a in self.by_first.get(x, ((), ()))[1]:
+                    if l in live and (end := a.match(t, k)) > 0:
                         spans.append((k, end, l))
             for l, x in self.anywhere:
                 if l in live:
-                    spans += ((k, end, l) for k in range(len(w)) if (end := x.match(w, k)) > 0)
+                    spans += ((k, end, l) for k in range(len(t)) if (end := x.match(t, k)) > 0)
+            if places is not None:
+                spans = [(places[a], places[b - 1] + 1, l) for a, b, l in spans]
             spans.sort()
         return {"n_words": len(w), "base": base, "spans": spans}
 
@@ -165,7 +185,8 @@ class Scanner:
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans.
 
-    spans: array of (start, end, label), word places of accepted templates. first_word and last_word are
+    spans: array of (start, end, label), word places of accepted templates; templates pass over punctuation of
+    any script, base phrases only over ASCII. first_word and last_word are
     the smallest and largest start of a base phrase, null without one. labels: base and template labels,
     distinct, sorted, comma-joined, empty without one. score: 1 with an accepted template, 0.5 with a
     phrase alone, else 0. A null text is empty. Repeated rows stay repeated; other columns are ignored.

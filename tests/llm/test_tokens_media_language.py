@@ -285,3 +285,20 @@ def test_template_labels_against_patterns(spark, sf):
 def test_templates_may_begin_with_any_words():
     s = licenses.Scanner({}, {"x": "<<any:2>> grants rights"})
     assert [(a, b) for a, b, _ in s.scan("the owner grants rights")["spans"]] == [(0, 4), (1, 4), (2, 4)]
+
+
+def test_typographic_signs_are_no_words_of_templates():
+    mit = MIT + DISCLAIMERS["mit-text"]
+    curly = mit.replace('"Software"', "\u201cSoftware\u201d").replace('"AS IS"', "\u201cAS IS\u201d")
+    s = licenses.Scanner()
+    for text in (mit, curly, curly.replace(" ", "\u00a0", 5), curly.replace("free of charge", "free \u2013 of \u2014 charge")):
+        r = s.scan("\u00a9 2020 A B " + text)
+        assert "mit-text" in {l for *_, l in r["spans"]}, text[:60]
+    w = licenses.words("\u00a9 2020 " + curly)
+    (a, b, _), = (x for x in s.scan("\u00a9 2020 " + curly)["spans"] if x[2] == "mit-text")
+    assert w[a] == "permission" and licenses.template_words(w[b - 1 : b])[0] == ["software"]
+    # base phrases keep the contract's words: a quote is a letter of its word
+    assert s.scan("the \u201cmit license\u201d")["base"] == [] and s.scan("the \u201cx\u201d mit license")["base"] == [(2, "mit")]
+    # words of other scripts count as they are, marks included
+    assert {l for *_, l in s.scan("Copyright \u00a9 \u0930\u093e\u092e. All rights reserved")["spans"]} == {"all-rights-reserved"}
+    assert s.scan("\u2014 \u201d")["n_words"] == 2 and s.scan("\u2014 \u201d")["spans"] == []
