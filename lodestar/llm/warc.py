@@ -10,6 +10,7 @@ import hashlib
 import io
 import json
 import os
+import re
 import uuid
 import zlib
 
@@ -26,16 +27,21 @@ ARCHIVE_BYTES = 32 << 20
 REVISIT_BYTES = 100
 #: Repeated payloads up to which their first holders are sent to all tasks, about 9 MB. The plan changes, not the result.
 FEW = 100_000
+#: Equal rows that one task makes again from a group.
+REPEATS = 4096
+#: Bytes of a record's head; what is longer isn't one.
+HEAD_BYTES = 1 << 20
 _CHUNK = 1 << 18
 
 
 class Store:
     """Files of a shared folder by a URI with its scheme: file: directly, other file systems through pyarrow."""
 
-    def __init__(self, uri: str):
-        if uri.startswith("file:"):
-            self.fs, self.root = None, "/" + uri[5:].lstrip("/")
-            os.makedirs(self.root, exist_ok=True)
+    def __init__(self, uri: str, create: bool = True):
+        if uri.startswith(("file:", "/")):
+            self.fs, self.root = None, "/" + uri.removeprefix("file:").lstrip("/")
+            if create:
+                os.makedirs(self.root, exist_ok=True)
         else:
             from pyarrow import fs
 
@@ -75,24 +81,78 @@ def _line(x: str) -> str:
     return "".join(c if c.isprintable() else "".join(f"%{b:02X}" for b in c.encode()) for c in x)
 
 
+class Cut(ValueError):
+    """An archive that ends, or stops being one, within a record or a gzip member."""
+
+
 def inflated(f):
-    """Chunks of a gzip file, of one member or many."""
-    d = zlib.decompressobj(31)
+    """Chunks of a gzip file, of one member or many. What isn't gzip after a whole member raises Cut, as does an
+    unfinished member, once all that could be inflated has been given; zero padding at the end is none of it."""
+    d, fresh = zlib.decompressobj(31), True
     while raw := f.read(_CHUNK):
         while raw:
-            out = d.decompress(raw, _CHUNK * 4)
+            if fresh and not (raw := raw.lstrip(b"\0")):
+                break
+            fresh = False
+            try:
+                out = d.decompress(raw, _CHUNK * 4)
+            except zlib.error as e:
+                raise Cut(f"not gzip: {e}") from e
             if out:
                 yield out
             if d.eof:
-                raw, d = d.unused_data, zlib.decompressobj(31)
+                raw, d, fresh = d.unused_data, zlib.decompressobj(31), True
             else:
                 raw = d.unconsumed_tail
     if out := d.flush():
         yield out
+    if not fresh:
+        raise Cut("the last gzip member is cut short")
+
+
+_HEAD_END = re.compile(rb"\r?\n\r?\n")
+_BLANKS = re.compile(rb"[\r\n]*")
+
+
+class Headers(dict):
+    """Header fields by lower-case name; looked up in any case."""
+
+    def __getitem__(self, name: str) -> str:
+        return super().__getitem__(name.lower())
+
+    def get(self, name: str, default=None):
+        return super().get(name.lower(), default)
+
+
+def headers(raw: bytes) -> Headers:
+    """The fields of a record's head: any case, any space around the colon, folded lines joined; of a repeated field the
+    first counts. Bytes that aren't UTF-8 are read as Latin-1."""
+    try:
+        text = raw.decode("utf-8")
+    except UnicodeDecodeError:
+        text = raw.decode("latin-1")
+    lines: list[str] = []
+    for x in text.replace("\r\n", "\n").split("\n"):
+        if x[:1] in (" ", "\t") and len(lines) > 1:
+            lines[-1] += " " + x.strip()
+        else:
+            lines.append(x)
+    if not lines[0].upper().startswith("WARC/"):
+        raise Cut("no WARC record begins here")
+    out = Headers()
+    for x in lines[1:]:
+        name, colon, value = x.partition(":")
+        if colon:
+            out.setdefault(name.strip().lower(), value.strip())
+    return out
 
 
 def records(chunks):
-    """(headers, record bytes, body offset) of each record of a WARC stream, held one at a time."""
+    """(headers, record bytes, body offset) of each record of a WARC stream, held one at a time.
+
+    Lines may end in a line feed alone, and any number of blank lines may stand between records; a record's bytes
+    are given with its own. Raises Cut at a record that is cut short.
+    """
     held = bytearray()
     chunks = iter(chunks)
 
@@ -105,28 +165,46 @@ def records(chunks):
         return True
 
     while fill(1):
-        while (end := held.find(b"\r\n\r\n")) < 0:
+        del held[: _BLANKS.match(held).end()]
+        if not held:
+            continue
+        seen = 0
+        while not (end := _HEAD_END.search(held, seen)):
+            seen = max(0, len(held) - 3)
+            if seen > HEAD_BYTES:
+                raise Cut("no WARC record's head ends here")
             if not fill(len(held) + 1):
-                raise ValueError("a WARC record is cut short")
-        head = dict(x.split(": ", 1) for x in held[:end].decode("utf-8").split("\r\n")[1:])
-        total = end + 4 + int(head["Content-Length"]) + 4
+                raise Cut("a WARC record is cut short")
+        head = headers(bytes(held[: end.start()]))
+        n = head.get("Content-Length", "")
+        if not (n.isascii() and n.isdigit()):
+            raise Cut("a WARC record without a length")
+        total = end.end() + int(n)
         if not fill(total):
-            raise ValueError("a WARC record is cut short")
-        yield head, bytes(held[:total]), end + 4
+            raise Cut("a WARC record is cut short")
+        fill(total + 4)
+        total += min(_BLANKS.match(held, total).end() - total, 4)
+        yield head, bytes(held[:total]), end.end()
         del held[:total]
 
 
+def _digest(head: Headers, raw: bytes, body: int) -> str:
+    """The payload digest that a record states, else that of its block."""
+    return head.get("WARC-Payload-Digest") or "sha256:" + hashlib.sha256(raw[body : body + int(head["Content-Length"])]).hexdigest()
+
+
 def normalise(source, target, level: int = 6):
     """Rewrite a monolithic gzip WARC so that each record is a member of its own.
 
-    Inflates the stream once. Yields the offset index's entries (offset, length, record id, type, digest).
+    Inflates the stream once. Yields the offset index's entries (offset, length, record id, type, digest); an id or a
+    type that a record lacks is None, a digest is then that of its block.
     """
     at = 0
-    for head, raw, _ in records(inflated(source)):
+    for head, raw, body in records(inflated(source)):
         z = zlib.compressobj(level, zlib.DEFLATED, 31)
         member = z.compress(raw) + z.flush()
         target.write(member)
-        yield at, len(member), head["WARC-Record-ID"], head["WARC-Type"], head["WARC-Payload-Digest"]
+        yield at, len(member), head.get("WARC-Record-ID"), head.get("WARC-Type"), _digest(head, raw, body)
         at += len(member)
 
 
@@ -205,6 +283,70 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
     return map_arrow(index.select("archive", "offset", "length"), one, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, body_digest string, body_bytes long")
 
 
+def normalise_archives(files: DataFrame, path_col: str = "path", folder: str | None = None) -> DataFrame:
+    """Normalise existing gzip WARC files, by whomever they were written: a row for each record of the new archives.
+
+    files holds their paths as URIs, each read once by one task and never held whole (a record is). Returns source, archive,
+    offset, length, record_id, record_type, payload_digest, error. A file that ends within a record, or goes on
+    with what isn't gzip, gives all its whole records and one more row with the reason in error and nulls
+    elsewhere; so does a file that can't be opened. An empty file gives none. Null paths are passed over; a
+    repeated path is normalised each time that it is there. Other columns are ignored. The archives stand once the
+    result has been written.
+    """
+    spark = files.sparkSession
+    folder = qualified(spark, folder) if folder else shared_path(spark, "warc")
+    names = ["source", "archive", "offset", "length", "record_id", "record_type", "payload_digest", "error"]
+
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64()] + [pa.string()] * 4
+
+    def table(rows):
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)], names)
+
+    def one(out, path):
+        home, _, leaf = path.rpartition("/")
+        name, rows, error, n = uuid.uuid4().hex, [], None, 0
+        try:
+            src = Store(home, create=False).open(leaf)
+        except OSError as e:
+            yield table([(path, *[None] * 6, str(e))])
+            return
+        with src, out.create(f"{name}.warc.tmp") as dst, out.create(f"{name}.idx.tmp") as side:
+            entries = normalise(src, dst)
+            while True:
+                try:
+                    r = next(entries, None)
+                except (Cut, OSError) as e:
+                    error = str(e)
+                    break
+                if r is None:
+                    break
+                n += 1
+                side.write((json.dumps(r) + "\n").encode())
+                rows.append((path, f"{name}.warc.gz", *r, None))
+                if len(rows) == 4096:
+                    yield table(rows)
+                    rows = []
+        if n:
+            out.move(f"{name}.idx.tmp", f"{name}.idx")
+            out.move(f"{name}.warc.tmp", f"{name}.warc.gz")
+        else:
+            out.delete(f"{name}.idx.tmp")
+            out.delete(f"{name}.warc.tmp")
+        if error is not None:
+            rows.append((path, *[None] * 6, error))
+        if rows:
+            yield table(rows)
+
+    def run(batches):
+        out = Store(folder)
+        for b in batches:
+            for path in b.column("path").to_pylist():
+                yield from one(out, path)
+
+    paths = files.select(F.col(path_col).alias("path")).where("path is not null").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return stream_arrow(paths, run, "source string, archive string, offset long, length long, record_id string, record_type string, payload_digest string, error string")
+
+
 def archived(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", folder: str | None = None) -> DataFrame:
     """Write every page as a WARC record, then read all archives back.
 
@@ -244,7 +386,11 @@ def archived(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
     alike = known & leads & (F.col("times") > 1)
     cols = ["page_id", "url", "payload", "digest", "n", "kind", "refers_to"]
     one = j.where(alike).groupBy("page_id", "url", "digest").agg(F.first("payload").alias("payload"), F.first("n").alias("n"), F.first("times").alias("times"))
-    one = one.select("*", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("k")).withColumn("kind", F.when(F.col("k") == 1, "response").otherwise("revisit")).withColumn("refers_to", F.when(F.col("k") > 1, F.col("page_id")))
+    # in blocks, so that no task makes all rows of a page that comes often; only the response carries the payload
+    one = one.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("times") - 1) / REPEATS))).alias("b")).withColumn("payload", F.when(F.col("b") == 0, F.col("payload")))
+    one = one.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "page_id", "url", "digest", "b")
+    one = one.select("*", F.explode(F.sequence(F.col("b") * REPEATS + 1, F.least((F.col("b") + 1) * REPEATS, F.col("times")))).alias("k"))
+    one = one.withColumn("payload", F.when(F.col("k") == 1, F.col("payload"))).withColumn("kind", F.when(F.col("k") == 1, "response").otherwise("revisit")).withColumn("refers_to", F.when(F.col("k") > 1, F.col("page_id")))
     rows = j.where(~F.coalesce(alike, F.lit(False))).select(cols)
     rows = rows.unionByName(one.select(cols)) if not first.where("times > 1").isEmpty() else rows
     index = written(write_archives(rows, folder), "index")

@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import io
+import os
 import math
 import re
 
@@ -320,6 +321,7 @@ def test_many_repeated_payloads_and_equal_rows(spark, monkeypatch):
     d = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
     few = sorted(map(str, warc.archived(d).collect()))
     monkeypatch.setattr(warc, "FEW", 3)
+    monkeypatch.setattr(warc, "REPEATS", 2)
     assert sorted(map(str, warc.archived(d).collect())) == few and len(few) == len(rows)
     fives = [r for r in warc.archived(d).collect() if r.page_id == 5]
     assert [r.url for r in fives if r.record_type == "response"] == ["a5"] and sum(r.refers_to == 5 for r in fives) == 4
@@ -339,6 +341,41 @@ def test_normaliser_and_offsets(monkeypatch):
         list(warc.records([raws[3][:-9]]))
 
 
+FOREIGN = [
+    b"WARC/1.0\r\nwarc-type:warcinfo\r\nwarc-record-id: <urn:a>\r\ncontent-length:5\r\n\r\nhello\r\n\r\n",
+    b"WARC/1.0\nWARC-Type: response\nWARC-Record-ID:<urn:b>\nX-Long: one\n  two\nContent-Length:  12\n\nGET\r\n\r\nWARC/\n\n",
+    b"WARC/1.1\r\nWARC-Record-ID: <urn:c>\r\nWARC-Payload-Digest: sha1:ABC\r\nX: \xe9\r\nContent-Length: 0\r\n\r\n\r\n\r\n",
+]
+
+
+def test_foreign_archives(spark, tmp_path):
+    """Other writers' heads, members, padding, garbage and cuts: whole records come, and a reason for the rest."""
+    whole = b"\r\n".join(FOREIGN)
+    files = {"one": gzip.compress(whole), "members": b"".join(map(gzip.compress, FOREIGN)) + b"\0" * 600, "garbage": gzip.compress(whole) + b"garbage", "cut": gzip.compress(FOREIGN[0] + FOREIGN[1] + b"WARC/1.0\r\nContent-Length: 900\r\n\r\nab"), "short": gzip.compress(whole + os.urandom(4000))[:-2000], "nolength": gzip.compress(FOREIGN[2] + b"WARC/1.0\r\n\r\n"), "empty": b"", "plain": whole, "head": gzip.compress(b"WARC/1.0\r\n" + b"x" * (3 << 20))}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    paths = [(f"file:{tmp_path}/{n}",) for n in files] + [(f"file:{tmp_path}/absent",), (None,)]
+    out = tmp_path / "out"
+    got = warc.normalise_archives(spark.createDataFrame(paths, "path string").withColumn("archive", F.lit(1)), folder=str(out)).collect()
+    ids, errors = {}, {}
+    for r in got:
+        (errors if r.error else ids).setdefault(r.source.rpartition("/")[2], []).append(r.error or r.record_id)
+    every = ["<urn:a>", "<urn:b>", "<urn:c>"]
+    assert {k: sorted(v) for k, v in ids.items()} == {"one": every, "members": every, "garbage": every, "short": every, "cut": every[:2], "nolength": every[2:]}
+    assert {k: len(v) for k, v in errors.items()} == dict.fromkeys(["garbage", "cut", "short", "nolength", "plain", "head", "absent"], 1)
+    digests = {"<urn:a>": hashlib.sha256(b"hello").hexdigest(), "<urn:b>": hashlib.sha256(b"GET\r\n\r\nWARC/").hexdigest()}
+    for r in got:
+        if r.record_id:
+            with open(out / r.archive, "rb") as f:
+                head, body = warc.read_member(f, r.offset, r.length)
+            assert head["warc-RECORD-id"] == r.record_id and len(body) == int(head["Content-Length"])
+            assert r.payload_digest == (f"sha256:{digests[r.record_id]}" if r.record_id in digests else "sha1:ABC")
+            assert r.record_type == {"<urn:a>": "warcinfo", "<urn:b>": "response"}.get(r.record_id)
+            assert r.record_id != "<urn:b>" or head["x-long"] == "one two"
+    assert sorted(p.suffix for p in out.iterdir()) == sorted([".gz", ".idx"] * 6)
+    assert warc.normalise_archives(spark.createDataFrame([], "path string")).collect() == []
+
+
 def test_warc_query_matches_sql(spark, sf):
     import duckdb
 
