@@ -19,21 +19,26 @@ from lodestar.llm.common import dropped, written
 MALE_TITLES = "Mr|Herr|Hr|Señor|Sr|Don|Monsieur|Господин|господин|Κύριος|κύριος"
 FEMALE_TITLES = "Mrs|Ms|Miss|Frau|Fr|Señora|Sra|Señorita|Srta|Doña|Madame|Mme|Mademoiselle|Mlle|Госпожа|госпожа|Κυρία|κυρία"
 NEUTRAL_TITLES = "Mx|Dr|Prof|Professor|Доктор|доктор"
+#: A word of a name, with parts behind hyphens or apostrophes. Repeats are bounded, so that no text is too deep for it.
+NAME_WORD = r"\p{Lu}(?:\p{L}+|['’]\p{Lu}\p{L}+)(?:['’\-]\p{Lu}\p{L}+){0,3}"
+_HEX4 = "[0-9A-Fa-f]{1,4}"
 #: Kinds with the pattern of a whole value, in the order in which they are tried.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
     "aws_key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
     "ipv4": r"(?<![\w.])(?<!(?i:version|release|ver\.|v\.)\s{0,2})(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\w]|\.\d)",
+    "mac": r"(?<![\w:\-])(?:(?:[0-9A-Fa-f]{2}:){5}|(?=[A-Fa-f\-]*\d)(?:[0-9A-Fa-f]{2}-){5})[0-9A-Fa-f]{2}(?![:\-]?\w)",
+    "ipv6": rf"(?<![\w:.])(?:(?:{_HEX4}:){{7}}{_HEX4}|(?=[A-Fa-f:]*\d)(?:{_HEX4}:){{1,6}}(?::{_HEX4}){{1,6}})(?![:.]?\w)",
     "card": r"\b(?:4\d{3}|5[1-5]\d{2}|2[2-7]\d{2}|6011|65\d{2})([ \-]?)\d{4}\1\d{4}\1\d{4}\b|\b3[47]\d{2}[ \-]?\d{6}[ \-]?\d{5}\b|\b4\d{12}\b",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ssn": r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])",
     "phone": r"(?<![\w+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,4}(?!\w)|(?<!\w)\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}(?!\w)|(?<![\w\-])\d{3}-\d{3}-\d{4}(?![\w\-])",
-    "name": rf"(?<![\p{{L}}])(?:{MALE_TITLES}|{FEMALE_TITLES}|{NEUTRAL_TITLES})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?",
+    "name": rf"(?<![\p{{L}}])(?:{MALE_TITLES}|{FEMALE_TITLES}|{NEUTRAL_TITLES})\.? {NAME_WORD}(?: {NAME_WORD})?",
     "secret": r"(?<=(?:[pP]assword|passwd|pwd|[tT]oken|[sS]ecret|api_key|apikey|API_KEY)[\"']?\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9_\-+/.]{8,}",
 }
 _TITLE_STARTS = "".join(sorted({t[0] for t in f"{MALE_TITLES}|{FEMALE_TITLES}|{NEUTRAL_TITLES}".split("|")}))
 #: Cheap tests that come before a pattern in ANY: what stands before and at a value's first character.
-_GUARDS = {"secret": r"(?<=[=:\s\"'])(?<=[=:][\"']?|[=:]\s[\"']?|[=:]\s\s[\"']?)", "name": rf"(?=[{_TITLE_STARTS}])", "aws_key": "(?=A)", "iban": r"(?=[A-Z]{2}\d)", "ipv4": r"(?=\d{1,3}\.\d)", "card": r"(?=[2-6]\d{3})", "ssn": r"(?=\d{3}-)", "phone": r"(?=[+(\d])", "email": r"(?=[A-Za-z0-9._%+\-])"}
+_GUARDS = {"secret": r"(?<=[=:\s\"'])(?<=[=:][\"']?|[=:]\s[\"']?|[=:]\s\s[\"']?)", "name": rf"(?=[{_TITLE_STARTS}])", "aws_key": "(?=A)", "iban": r"(?=[A-Z]{2}\d)", "ipv4": r"(?=\d{1,3}\.\d)", "mac": r"(?=[0-9A-Fa-f]{2}[:\-][0-9A-Fa-f]{2}[:\-])", "ipv6": rf"(?={_HEX4}:[0-9A-Fa-f:])", "card": r"(?=[2-6]\d{3})", "ssn": r"(?=\d{3}-)", "phone": r"(?=[+(\d])", "email": r"(?=[A-Za-z0-9._%+\-])"}
 ANY = "|".join(f"(?:{_GUARDS[k]}{p})" for k, p in PATTERNS.items()).replace(r"([ \-]?)\d{4}\1\d{4}\1", r"(?:(?:\d{4}){2}|(?: \d{4}){2} |(?:-\d{4}){2}-)")
 #: What any value holds, to pass over other texts: a digit, a mark or a key's first letters, or a title before a
 #: capital letter.
@@ -63,6 +68,8 @@ GROWS = 8
 #: Calling codes after a plus sign (fixed values of the numbering plan): one digit, two digits, else three.
 CALLING_CODE = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 NAMES = ("surname", "given")
+#: Months that are names too (fixed values): without a title they stay.
+CALENDAR = ("april", "may", "june", "july", "august", "mai", "juni", "abril", "marzo", "mayo")
 
 
 def _lit_words(x: str) -> Column:
@@ -110,10 +117,26 @@ def _luhn(value: Column) -> Column:
     return F.concat(body, F.pmod(-total, F.lit(10)).cast("string"))
 
 
+def _check_digits(value: Column) -> Column:
+    """The IBAN with check digits that hold: 98 less the remainder of the rest, then the country and 00, by 97."""
+    moved = F.concat(F.substring(value, F.lit(5), F.length(value)), F.substring(value, 1, 2), F.lit("00"))
+    number = lambda c: F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55)
+    rest = F.aggregate(F.split(moved, ""), F.lit(0), lambda a, c: F.coalesce(F.pmod(a * F.when(c.rlike("[0-9]"), 10).otherwise(100) + number(c), F.lit(97)).cast("int"), a))
+    return F.concat(F.substring(value, 1, 2), F.lpad((F.lit(98) - rest).cast("string"), 2, "0"), F.substring(value, F.lit(5), F.length(value)))
+
+
+def _long_ipv6(value: Column) -> Column:
+    """An IPv6 address in lower case as eight groups without leading zeros."""
+    halves = F.split(F.lower(value), "::")
+    groups = lambda x: F.transform(F.split(x, ":"), lambda g: F.regexp_replace(g, "^0+(?=.)", ""))
+    left, right = groups(F.get(halves, 0)), groups(F.get(halves, 1))
+    return F.array_join(F.when(F.size(halves) == 1, left).otherwise(F.concat(left, F.array_repeat(F.lit("0"), F.lit(8) - F.size(left) - F.size(right)), right)), ":")
+
+
 def _normal(kind: Column, value: Column) -> Column:
     """What a value is known by, whatever its case and punctuation."""
     digits = F.regexp_replace(value, "[^0-9+]", "")
-    return F.when(kind.isin("email", *NAMES), F.lower(value)).when(kind.isin("phone", "card", "ssn"), digits).when(kind == "iban", F.replace(value, F.lit(" "), F.lit(""))).otherwise(value)
+    return F.when(kind.isin("email", *NAMES), F.lower(value)).when(kind.isin("phone", "card", "ssn"), digits).when(kind == "iban", F.replace(value, F.lit(" "), F.lit(""))).when(kind == "mac", F.lower(F.regexp_replace(value, "[:\\-]", ""))).when(kind == "ipv6", _long_ipv6(value)).otherwise(value)
 
 
 def _written(kind: Column, value: Column, new: Column) -> Column:
@@ -126,7 +149,7 @@ def _written(kind: Column, value: Column, new: Column) -> Column:
         lambda acc, c: F.when(c.rlike("[0-9A-Za-z]"), F.struct(F.concat(acc["out"], F.substring(new, acc["at"] + plus, F.lit(1))).alias("out"), (acc["at"] + 1).alias("at"))).otherwise(F.struct(F.concat(acc["out"], c).alias("out"), acc["at"].alias("at"))),
         lambda acc: F.concat(acc["out"], F.substring(new, acc["at"] + plus, F.length(new))),
     )
-    return F.when(kind.isin(*NAMES), F.when(upper, F.upper(new)).when(value == F.lower(value), F.lower(new)).otherwise(new)).when((kind == "email") & upper, F.upper(new)).when(kind.isin("phone", "card", "ssn", "iban"), filled).otherwise(new)
+    return F.when(kind.isin(*NAMES), F.when(upper, F.upper(new)).when(value == F.lower(value), F.lower(new)).otherwise(new)).when((kind == "mac") & upper, F.upper(filled)).when(kind.isin("email", "ipv6") & upper, F.upper(new)).when(kind.isin("phone", "card", "ssn", "iban", "mac"), filled).otherwise(new)
 
 
 def _surrogate(kind: Column, value: Column, gender: Column, key: str, attempt: int) -> Column:
@@ -150,11 +173,17 @@ def _surrogate(kind: Column, value: Column, gender: Column, key: str, attempt: i
     surname = by_script(lambda s: F.concat(F.initcap(more(s, 2 + attempt // 4, 3)), _pick(_lit_words(ENDINGS[s]), number(1))))
     extra = 0 if attempt < 2 else 1 + min(attempt // 4, 4)
     given = lambda g: by_script(lambda s: F.concat(_pick(_lit_words(GIVEN[g, s]), number(1)), more(s, extra, 3) if extra else F.lit("")))
+    # a name's form: parts behind a hyphen get a second name, a letter before an apostrophe stays
+    joint = F.regexp_extract(value, r"(?<=\p{L}{2})['’\-]", 0)
+    second = F.when(kind == "surname", by_script(lambda s: F.concat(F.initcap(more(s, 2, 19)), _pick(_lit_words(ENDINGS[s]), number(23))))).otherwise(F.when(gender == "m", by_script(lambda s: _pick(_lit_words(GIVEN["m", s]), number(19)))).when(gender == "f", by_script(lambda s: _pick(_lit_words(GIVEN["f", s]), number(19)))).otherwise(by_script(lambda s: _pick(_lit_words(GIVEN["n", s]), number(19)))))
+    formed = lambda x: F.concat(F.upper(F.regexp_extract(value, r"^\p{L}['’]", 0)), x, F.when(joint != "", F.concat(joint, second)).otherwise(""))
+    hexes = F.transform(F.sequence(F.lit(1), F.lit(11), F.lit(2)), lambda i: F.lower(F.hex((F.element_at(noise, i) * 256 + F.element_at(noise, i + 1)).cast("long"))))
     prefix = F.length(F.regexp_extract(value, CALLING_CODE, 0))
     out = F.concat(_alike(value, seed, F.when(kind == "aws_key", 4).when(kind == "iban", 2).when(kind == "phone", prefix).otherwise(0)), grown)
     out = F.when(kind == "card", _luhn(F.concat(_alike(value, seed, F.lit(1)), grown))).when(kind == "ssn", F.concat(F.lit("9"), F.substring(_alike(value, seed, F.lit(0)), 2, 20), grown)).otherwise(out)
+    out = F.when(kind == "iban", _check_digits(out)).when(kind == "mac", F.concat(F.lit("02"), F.substring(_alike(value, seed, F.lit(0)), 3, 10))).when(kind == "ipv6", F.concat(F.lit("2001:db8:"), F.array_join(hexes, ":"))).otherwise(out)
     out = F.when(kind == "email", email).when(kind == "ipv4", ip).otherwise(out)
-    return F.when(kind == "surname", surname).when(kind == "given", F.when(gender == "m", given("m")).when(gender == "f", given("f")).otherwise(given("n"))).otherwise(out)
+    return F.when(kind == "surname", formed(surname)).when(kind == "given", formed(F.when(gender == "m", given("m")).when(gender == "f", given("f")).otherwise(given("n")))).otherwise(out)
 
 
 def surrogate_table(values: DataFrame, key: str) -> DataFrame:
@@ -202,10 +231,14 @@ def _units(hit: Column) -> Column:
 
 
 def _bare(text: Column, names: Column, gap: Column) -> Column:
-    """text with each of the names' words replaced where it stands alone."""
+    """text with each of the names' words replaced where it stands alone, except months and words that the text also
+    has in lower case, which are common words there."""
     edge = "(?<![\\p{L}\\p{N}])"
     end = "(?![\\p{L}\\p{N}])"
-    return F.aggregate(names, text, lambda acc, x: F.regexp_replace(acc, F.concat(F.lit(edge), x["value"], F.lit(end)), F.concat(gap, x["new"], gap)))
+    alone = lambda w: F.concat(F.lit(edge), w, F.lit(end))
+    common = lambda w: w.isin(*CALENDAR) | (text.contains(w) & F.regexp_like(text, alone(w)))
+    kept = F.filter(names, lambda x: ~common(F.lower(x["value"])))
+    return F.aggregate(kept, text, lambda acc, x: F.regexp_replace(acc, alone(x["value"]), F.concat(gap, x["new"], gap)))
 
 
 def replace_pii(docs: DataFrame, text_col: str = "text", key: str = "lodestar", count_col: str | None = "n_entities") -> DataFrame:
@@ -213,12 +246,13 @@ def replace_pii(docs: DataFrame, text_col: str = "text", key: str = "lodestar",
     kept, and the number of values in count_col (None: not told).
 
     A null text stays null and counts 0; a text without values stays as it is. A name is found by its title; its
-    words change in the rest of the same text too. A given name's gender is that of most of its titles. A column
+    words change in the rest of the same text too, unless they are months or stand there in lower case as well. A given name's gender is that of most of its titles. A column
     of docs named count_col is replaced; other names of the input can't clash. The same key gives the same
     surrogates on the same table.
     """
     text = F.col(f"`{text_col}`")
-    lone = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row")
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in (text_col, count_col)]
+    lone = F.struct(*(others or [F.lit(0)])).alias("__row")  # without the text, which is shuffled once
     d = docs.select(lone, text.alias("__text"))
     hint = F.coalesce(F.col("__text").rlike(HINTS[0]) | F.col("__text").rlike(HINTS[1]), F.lit(False))
     found = d.where(hint).select("__text", F.regexp_extract_all("__text", F.lit(ANY), F.lit(0)).alias("hits")).where(F.size("hits") > 0)
