@@ -13,13 +13,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import dropped, map_arrow, mix, passes, release_shuffles, stream_arrow, wanted_filter, written
 from lodestar.llm.components import connected_components
-from lodestar.llm.shingles import batch_sets
+from lodestar.llm.shingles import CHUNK, batch_sets, shingle_sets
 
 #: Entries of the frequent-shingle table; more only means a less even order of shingles.
 FREQUENT = 1 << 18
@@ -31,6 +32,8 @@ MEMBERS, PART_BYTES = 512, 8 << 20
 LIST = 8192
 #: Rows of a batch that Python hands to Spark.
 ROWS = 200_000
+#: Pairs whose sets are held at once.
+PAIRS = 200
 
 
 def _class_hash(s: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -230,21 +233,49 @@ def trimmed_lists(lists: DataFrame, percent: int, parts: int) -> DataFrame:
     return stream_arrow(_dealt(kept, parts, "g", "i", "n", "h"), run, _ENTRY + ", pivot long")
 
 
+def unpacked(rows: pa.Array, sizes: np.ndarray, width: int) -> list[np.ndarray]:
+    """The sets of set_rows' column s. A row of 8 bytes an element is the set, any other its text."""
+    sets: list = [None] * len(rows)
+    coder, texts, held = zstandard.ZstdDecompressor(), [], 0
+
+    def read():
+        s, at, _ = shingle_sets(b"".join(t for _, t in texts), np.cumsum([0, *(len(t) for _, t in texts)]), width)
+        for j, (k, _) in enumerate(texts):
+            sets[k] = s[at[j] : at[j + 1]]
+
+    for k, x in enumerate(rows):
+        x = x.as_buffer()
+        if x.size == 8 * sizes[k]:
+            sets[k] = np.frombuffer(x, np.uint64)
+            continue
+        texts.append((k, coder.decompress(x)))
+        held += len(texts[-1][1])
+        if held > CHUNK:
+            read()
+            texts, held = [], 0
+    if texts:
+        read()
+    return sets
+
+
 def set_rows(docs: DataFrame, width: int, bits: Broadcast) -> DataFrame:
-    """(h, n, s): the sets of texts that pass the filter, as packed ascending hashes."""
+    """(h, n, s): the sets of texts that pass the filter: the compressed text, or the packed ascending hashes where
+    those are no longer. Hashes don't compress, so a text takes about a third of its set."""
 
     def run(batches):
-        seen = set()
+        seen, coder = set(), zstandard.ZstdCompressor()
         for batch in batches:
             h, n, s = [], [], []
-            for _, g, at, (h1, _) in _sets(batch, width):
+            texts = batch.column("text")
+            for lo, g, at, (h1, _) in _sets(batch, width):
                 for k in np.flatnonzero(passes(h1, bits.value) & (np.diff(at) > 0)):
                     x = int(h1[k])
                     if x not in seen:
                         seen.add(x)
                         h.append(x)
                         n.append(int(at[k + 1] - at[k]))
-                        s.append(g[at[k] : at[k + 1]].tobytes())
+                        text = coder.compress(texts[lo + int(k)].as_buffer())
+                        s.append(text if len(text) < 8 * n[-1] else g[at[k] : at[k + 1]].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(n, pa.int32()), pa.array(s, pa.binary())], ["h", "n", "s"])
 
     return stream_arrow(docs.select("text"), run, "h long, n int, s binary")
@@ -342,14 +373,14 @@ def group_links(pivot: np.ndarray, sets: list[np.ndarray], block: np.ndarray, pe
     return links
 
 
-def _members(groups: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b, loose=false) within each group of (pivot, ask, blk, h, s, asks), and (member, pivot, true) of
+def _members(groups: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b, loose=false) within each group of (pivot, ask, blk, h, n, s, asks), and (member, pivot, true) of
     each asking member that doesn't link with its pivot."""
 
     def one(table):
         h = table.column("h").to_numpy()
         piv = table.column("pivot")[0].as_py()
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("s")]
+        sets = unpacked(table.column("s"), table.column("n").to_numpy(), width)
         asks = table.column("asks").to_numpy()
         at = int(np.flatnonzero(h == piv)[0])
         rest = np.flatnonzero(h != piv)
@@ -366,7 +397,7 @@ def _members(groups: DataFrame, percent: int) -> DataFrame:
     return groups.groupBy("pivot", "ask", "blk").applyInArrow(one, "a long, b long, loose boolean")
 
 
-def within_groups(chosen: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def within_groups(chosen: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (a, b) among the members of each pivot.
 
     A group goes to its pivot in parts of MEMBERS texts or PART_BYTES, so its cost is linear; only members
@@ -380,8 +411,8 @@ def within_groups(chosen: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     shape = ["pivot", "ask", "blk", "h", "asks"]
     own = groups.select("pivot", F.lit(0).alias("ask"), every("parts").alias("blk"), F.col("pivot").alias("h"), F.lit(0).alias("asks"))
     placed = chosen.join(groups, "pivot").select("pivot", F.lit(0).alias("ask"), part("parts").alias("blk"), "h", F.lit(0).alias("asks"))
-    with_sets = lambda x: x.join(sets.select("h", "s"), "h").select(*shape, "s")
-    found = written(_members(with_sets(placed.unionByName(own.select(*shape))), percent), "within")
+    with_sets = lambda x: x.join(sets.select("h", "n", "s"), "h").select(*shape, "n", "s")
+    found = written(_members(with_sets(placed.unionByName(own.select(*shape))), width, percent), "within")
     links = found.where("not loose").select("a", "b")
     split = groups.where("parts > 1")
     loose = written(found.where("loose").select(F.col("a").alias("h"), F.col("b").alias("pivot")).join(split, "pivot"), "loose")
@@ -392,7 +423,7 @@ def within_groups(chosen: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     owns = asked.select("pivot", every("asks").alias("ask"), "parts").select("pivot", "ask", every("parts").alias("blk"), F.col("pivot").alias("h"), F.lit(0).alias("asks"))
     asking = loose.join(asked.select("pivot", "asks"), "pivot").select("pivot", part("asks").alias("ask"), every("parts").alias("blk"), "h", F.lit(1).alias("asks"))
     answer = chosen.join(asked, "pivot").select("pivot", every("asks").alias("ask"), part("parts").alias("blk"), "h", F.lit(0).alias("asks"))
-    more = _members(with_sets(answer.unionByName(asking).unionByName(owns)), percent).where("not loose and a <> b").select("a", "b")
+    more = _members(with_sets(answer.unionByName(asking).unionByName(owns)), width, percent).where("not loose and a <> b").select("a", "b")
     more = written(more, "more")
     dropped(groups, loose)
     return links.unionByName(more)
@@ -463,19 +494,18 @@ def _cross_pairs(known: DataFrame, percent: int, parts: int) -> DataFrame:
     return found.groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("n").alias("n")).where(F.col("c") >= 1 + F.floor(F.col("n") / 30)).select("a", "b")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
     """Of pairs (a, b), those whose sets link."""
-    x = pairs.join(sets.select(F.col("h").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("h").alias("b"), F.col("s").alias("sb")), "b")
+    x = pairs.join(sets.select(F.col("h").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa")), "a").join(sets.select(F.col("h").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb")), "b")
 
     def one(batch):
         keep = []
-        for x, y in zip(batch.column("sa"), batch.column("sb")):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+        for x, y in zip(*(unpacked(batch.column(s), batch.column(n).to_numpy(), width) for s, n in (("sa", "na"), ("sb", "nb")))):
             at = np.minimum(np.searchsorted(x, y), len(x) - 1)
             keep.append(bool(_enough(int((x[at] == y).sum()), len(x), len(y), percent)))
         return pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return map_arrow(x.select("a", "b", "sa", "sb"), one, "a long, b long")
+    return map_arrow(x.select("a", "b", "na", "sa", "nb", "sb"), one, "a long, b long", rows=PAIRS)
 
 
 def links(docs: DataFrame, keys: DataFrame, width: int, percent: int) -> DataFrame:
@@ -500,7 +530,7 @@ def links(docs: DataFrame, keys: DataFrame, width: int, percent: int) -> DataFra
     bits = spark.sparkContext.broadcast(wanted_filter(nodes, count))
     sets = written(set_rows(docs, width, bits).dropDuplicates(["h"]), "sets")
     release_shuffles(spark)
-    within = within_groups(chosen, sets, percent)
+    within = within_groups(chosen, sets, width, percent)
     comp = connected_components(within).select(F.col("node").alias("h"), F.col("root").alias("comp"))
     label = chosen.join(comp, "h", "full").select("h", F.coalesce("pivot", "h").alias("pivot"), F.coalesce("comp", "h").alias("comp"))
     label = written(label, "label")
@@ -510,7 +540,7 @@ def links(docs: DataFrame, keys: DataFrame, width: int, percent: int) -> DataFra
     release_shuffles(spark)
     across = written(_cross_pairs(known, percent, parts), "across")
     dropped(known)
-    return within.unionByName(_verified(across, sets, percent))
+    return within.unionByName(_verified(across, sets, width, percent))
 
 
 def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -157,3 +157,21 @@ def test_words_built_to_collide_in_polynomials_are_told_apart(spark):
     from lodestar.llm.jaccard import jaccard_components
 
     assert {r.doc_id: r.component_id for r in jaccard_components(docs).collect()} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}
+
+
+def test_sets_travel_as_texts_where_those_are_shorter(spark):
+    rng = random.Random(11)
+    prose = [" ".join(rng.choice(("the", "Law", "of", "çödé", "rates", "and")) + str(rng.randrange(90)) for _ in range(n)) for n in (5, 400, 3000)]
+    texts = [*prose, None, "", "one two", "y" * 50_000, "z " * 9000, "v w " * 400_000 + "end", " ".join(str(rng.random()) for _ in range(300))]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    every = spark.sparkContext.broadcast(np.full(1 << 17, 255, np.uint8))
+    rows = jaccard.set_rows(docs, 4, every).toArrow().combine_chunks()
+    n, s = rows.column("n").to_numpy(), rows.column("s").combine_chunks()
+    kept = [t for t in texts if t]  # no two have equal sets
+    want = [x for t in kept for x in [jaccard.shingle_sets(t.encode(), np.array([0, len(t.encode())]), 4)[0]]]
+    assert n.tolist() == [len(shingles(t, 4)) for t in kept] == [len(x) for x in want]
+    got = jaccard.unpacked(s, n, 4)
+    assert all(np.array_equal(a, b) for a, b in zip(got, want))
+    held = [len(x.as_py()) for x in s]
+    assert all(b <= 8 * k for b, k in zip(held, n)) and held[0] == 8 * n[0]
+    assert held[2] < 0.5 * 8 * n[2]
