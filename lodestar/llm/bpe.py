@@ -20,14 +20,17 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.common import map_arrow, resident
 
-#: White space as the vocabulary's normaliser sees it (fixed values).
-_SPACES = "[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
-#: Words of a generation kept with their encodings in each worker; the last two generations stay.
-CACHE = 60_000
-#: Texts encoded at once.
-ROWS = 250
-#: Pairs of tokens whose compatibility a worker remembers.
-PAIRS = 400_000
+#: White space as the vocabulary's normaliser sees it (fixed values), but the space itself.
+_SPACES = "[\\t-\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
+#: The same for ASCII texts, with the lower case of letters.
+_ASCII = {x: 32 for x in range(9, 14)} | {x: x + 32 for x in range(65, 91)}
+#: Words, and pieces of words, of a generation kept with their encodings in each worker; the last two generations stay.
+CACHE = 120_000
+#: Texts encoded at once, by number and by letters; pieces of so many bytes go word by word.
+ROWS, LETTERS, LONG = 250, 1 << 20, 64
+#: Pairs of tokens whose compatibility a worker remembers; a power of two of them in arrays.
+PAIRS, SLOTS = 400_000, 1 << 20
+_MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
 def byte_letters() -> list[str]:
@@ -91,6 +94,64 @@ class SuffixAutomaton:
         return new
 
 
+class Memory:
+    """Values by key; the last two generations of CACHE keys stay."""
+
+    def __init__(self):
+        self.new, self.old = {}, {}
+
+    def found(self, keys) -> tuple[dict, list]:
+        """(values of known keys, the other keys)."""
+        known, missing, new, old = {}, [], self.new, self.old
+        for k in keys:
+            v = new.get(k)
+            if v is None:
+                v = old.get(k)
+                if v is None:
+                    missing.append(k)
+                    continue
+                new[k] = v
+            known[k] = v
+        return known, missing
+
+    def keep(self, values: dict) -> None:
+        self.new.update((k, v) for k, v in values.items() if len(k) <= 64)
+        if len(self.new) >= CACHE:
+            self.new, self.old = {}, self.new
+
+
+class Table:
+    """int64 keys to int32 values in arrays, looked up many at once."""
+
+    def __init__(self, values: dict[int, int]):
+        bits = max(4, (4 * len(values)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys = np.full(1 << bits, -1, np.int64)
+        self.values = np.full(1 << bits, -1, np.int32)
+        keys = np.fromiter(values, np.int64, len(values))
+        for k, v, at in zip(keys.tolist(), values.values(), self._slot(keys).tolist()):
+            while self.keys[at] != -1:
+                at = (at + 1) & self.mask
+            self.keys[at], self.values[at] = k, v
+
+    def _slot(self, keys):
+        return (keys.view(np.uint64) * _MULT >> self.shift).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """Values, -1 where there is none."""
+        at = self._slot(keys)
+        held = self.keys[at]
+        out = np.where(held == keys, self.values[at], -1)
+        todo = np.flatnonzero((held != keys) & (held != -1))
+        while len(todo):
+            at[todo] = (at[todo] + 1) & self.mask
+            held = self.keys[at[todo]]
+            hit = held == keys[todo]
+            out[todo[hit]] = self.values[at[todo[hit]]]
+            todo = todo[~hit & (held != -1)]
+        return out
+
+
 class WordBpe:
     """A word-end BPE vocabulary of the tokenizers JSON format (byte letters, lower case, `</w>` at word ends).
 
@@ -148,9 +209,13 @@ class WordBpe:
             self.ending[v] = tuple(sorted(own[v], reverse=True)) + up if v in own else up
         self.matches = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
         self.space = regex.compile(_SPACES)
+        most = max(self.text) + 1
+        self.names, self.tokens = np.array([str(i) for i in range(most)], object), np.array([self.text.get(i) for i in range(most)], object)
+        self.inner = [self.alone.get(x, -1) for x in self.letters]
+        self.final = [self.alone.get(x + self.end, -1) for x in self.letters]
+        self._arrays()
         self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\p{L}\p{N}]+")
-        self.cache: dict[str, tuple[str, int, str]] = {}
-        self.older: dict[str, tuple[str, int, str]] = {}
+        self.memory = Memory()  # ids, as int32, of a piece or of all pieces between two spaces
 
     # pair compatibility
 
@@ -190,11 +255,94 @@ class WordBpe:
 
     # encoding
 
+    def _arrays(self) -> None:
+        """The automaton for many words at once: symbols are bytes, those that end a word 256 on."""
+        sam = self.sam
+        self.single = np.array(self.inner + self.final, np.int32)
+        symbol = {x: k for k, x in enumerate(self.single.tolist())}
+        self.steps = Table({v << 9 | symbol[c]: to for v, step in enumerate(sam.step) for c, to in step.items()})
+        self.links, self.sizes = np.array(sam.link, np.int32), np.array(sam.size, np.int32)
+        self.choice = np.concatenate(([0], np.cumsum([len(x) for x in self.ending])))  # a state's tokens, longest first
+        self.choice_size, self.choice_token = np.array([x for e in self.ending for x in e], np.int32).reshape(-1, 2).T.copy()
+        self.pair_key, self.pair_crosses = np.full(SLOTS, -1, np.int64), np.zeros(SLOTS, bool)
+
+    def _cross(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """_crosses of many pairs; a slot remembers its last pair."""
+        key = a.astype(np.int64) << 32 | b
+        at = (key.view(np.uint64) * _MULT >> np.uint64(20)).astype(np.int64) & (SLOTS - 1)
+        out = self.pair_crosses[at]
+        new = np.flatnonzero(self.pair_key[at] != key)
+        if len(new):
+            asked, back = np.unique(key[new], return_inverse=True)
+            out[new] = np.array([self._crosses(k >> 32, k & 0xFFFFFFFF) for k in asked.tolist()], bool)[back]
+            self.pair_key[at[new]], self.pair_crosses[at[new]] = key[new], out[new]
+        return out
+
+    def words(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece as int32: word() for many, all their prefixes of one length at a time."""
+        raw = [p.encode("utf-8") for p in pieces]
+        length = np.array([len(x) for x in raw], np.int64)
+        order = np.argsort(-length, kind="stable")
+        length = length[order]
+        start = np.cumsum(length) - length
+        symbol = np.frombuffer(b"".join([raw[k] for k in order]), np.uint8).astype(np.int64)
+        symbol[start + length - 1] += 256
+        single = self.single[symbol]
+        if (single < 0).any():
+            raise KeyError("bytes without a token")
+        base = start + np.arange(len(raw))  # a word has a place before its first symbol
+        last = np.full(len(symbol) + len(raw), -1, np.int32)
+        size = np.zeros(len(last), np.int32)
+        states, helds = np.zeros(len(raw), np.int64), np.zeros(len(raw), np.int64)
+        for i in range(1, int(length[0]) + 1 if len(raw) else 0):
+            m = int(np.searchsorted(-length, -i, side="right"))
+            state, held, c = states[:m], helds[:m], symbol[start[:m] + i - 1]
+            live = np.arange(m)
+            while len(live):
+                to = self.steps.get(state[live] << 9 | c[live])
+                ok = to >= 0
+                state[live[ok]] = to[ok]
+                held[live[ok]] += 1
+                live = live[~ok]
+                root = state[live] == 0
+                held[live[root]] = 0
+                live = live[~root]
+                state[live] = self.links[state[live]]
+                held[live] = self.sizes[state[live]]
+            token, took = single[start[:m] + i - 1], np.ones(m, np.int32)  # unless a longer token fits
+            k, end, left = self.choice[state], self.choice[state + 1], np.arange(m)
+            while len(left := left[k[left] < end[left]]):
+                t, n = self.choice_token[k[left]], self.choice_size[k[left]]
+                fits = n <= held[left]  # of the state, but not all of it may be here
+                ask = np.flatnonzero(fits & (n < i))
+                fits[ask] = ~self._cross(last[base[left[ask]] + i - n[ask]], t[ask])
+                token[left[fits]], took[left[fits]] = t[fits], n[fits]
+                left = left[~fits]
+                k[left] += 1
+            last[base[:m] + i], size[base[:m] + i] = token, took
+        at, who, tokens, owners = length.copy(), np.arange(len(raw)), [], []
+        while len(who):
+            place = base[who] + at[who]
+            tokens.append(last[place])
+            owners.append(who)
+            at[who] -= size[place]
+            who = who[at[who] > 0]
+        owner = np.concatenate([np.zeros(0, np.int64), *owners])
+        step = np.repeat(np.arange(len(owners)), [len(x) for x in owners])
+        ids = np.concatenate([np.zeros(0, np.int32), *tokens])[np.lexsort((-step, owner))].tobytes()
+        ends = (4 * np.cumsum(np.bincount(owner, minlength=len(raw)))).tolist()
+        out: list = [None] * len(raw)
+        for k, lo, hi in zip(order.tolist(), [0, *ends], ends):
+            out[k] = ids[lo:hi]
+        return out
+
     def word(self, piece: str) -> list[int]:
         """The ids of one piece."""
-        raw = [self.letters[b] for b in piece.encode("utf-8")]
-        raw[-1] += self.end
-        s = [self.alone[x] for x in raw]
+        raw = piece.encode("utf-8")
+        s = [self.inner[b] for b in raw]
+        s[-1] = self.final[raw[-1]]
+        if -1 in s:
+            raise KeyError(piece)
         n = len(s)
         step, ending, reach, pairs = self.sam.step, self.ending, self.sam.size, self._pairs
         last = [-1] * (n + 1)
@@ -233,16 +381,26 @@ class WordBpe:
         found = self._pairs[key] = self._crosses(key >> 32, key & 0xFFFFFFFF)
         return found
 
-    def _known(self, piece: str) -> tuple[str, int, str]:
-        """A piece's (ids joined, their number, tokens joined) that the newest generation doesn't have."""
-        found = self.older.get(piece)
-        if found is None:
-            ids = self.word(piece)
-            found = " ".join(map(str, ids)), len(ids), " ".join([self.text[i] for i in ids])
-        if len(self.cache) >= CACHE:
-            self.older, self.cache = self.cache, {}
-        if len(piece) <= 64:
-            self.cache[piece] = found
+    def _looked_up(self, words: set[str]) -> dict[str, bytes]:
+        """The ids of each word without spaces. A piece alone is a word of one piece."""
+        found, missing = self.memory.found(words)
+        alone, several = [], {}
+        for w in missing:
+            if w.isascii() and w.isalpha() or len(x := self.pieces.findall(w)) == 1:
+                alone.append(w)
+            else:
+                several[w] = x
+        parts, unknown = self.memory.found({p for x in several.values() for p in x} - words)
+        alone += unknown
+        short = [p for p in alone if len(p) * 4 <= LONG]
+        fresh = dict(zip(short, self.words(short)))
+        fresh |= {p: np.array(self.word(p), np.int32).tobytes() for p in alone if len(p) * 4 > LONG}
+        found |= fresh
+        parts |= found
+        made = {w: b"".join([parts[p] for p in x]) for w, x in several.items()}
+        found |= made
+        self.memory.keep(fresh)
+        self.memory.keep(made)
         return found
 
     def _sections(self, text: str):
@@ -255,31 +413,41 @@ class WordBpe:
         yield None, text[at:]
 
     def normal(self, text: str) -> str:
-        """NFC, white space runs to one space, lower case letter by letter."""
+        """NFC, white space to spaces, lower case letter by letter; runs of spaces stay, they only part pieces."""
         if text.isascii():
-            return text.lower()  # runs of white space only part pieces
+            return text.translate(_ASCII)
         return self.space.sub(" ", unicodedata.normalize("NFC", text)).replace("Σ", "σ").lower()
 
-    def encoded(self, text: str) -> tuple[str, int, str]:
-        """(ids joined by a space, their number, decoded text) of a whole text."""
-        ids, words, n = [], [], 0
-        known = self._known
-        for special, plain in self._sections(text) if "<|" in text else ((None, text),):
-            if special:
-                ids.append(str(self.special[special]))
-                words.append(special)
-                n += 1
-                continue
-            found = [self.cache.get(p) or known(p) for p in self.pieces.findall(self.normal(plain))]
-            if found:
-                a, counts, b = zip(*found)
-                ids += a
-                words += b
-                n += sum(counts)
-        return " ".join(ids), n, " ".join(words)
+    def encoded(self, texts: list[str]):
+        """Yields (ids as int32, decoded text) of each whole text."""
+        held, letters = [], 0
+        for text in texts:
+            # no piece reaches over a space, so words are looked up whole
+            parts = [(special, [w for w in self.normal(plain).split(" ") if w]) for special, plain in (self._sections(text) if "<|" in text else ((None, text),))]
+            held.append(parts)
+            letters += len(text)
+            if letters > LETTERS:
+                yield from self._joined(held)
+                held, letters = [], 0
+        yield from self._joined(held)
+
+    def _joined(self, texts: list[list]):
+        found = self._looked_up({w for parts in texts for _, words in parts for w in words})
+        for parts in texts:
+            out = []
+            for special, words in parts:
+                if special:
+                    out.append(np.array([self.special[special]], np.int32).tobytes())
+                out += map(found.__getitem__, words)
+            ids = np.frombuffer(b"".join(out), np.int32)
+            yield ids, " ".join(self.tokens[ids].tolist())
+
+    def digits(self, ids: np.ndarray) -> str:
+        """Decimal ids joined by a space."""
+        return " ".join(self.names[ids].tolist())
 
     def encode(self, text: str) -> list[int]:
-        return [int(x) for x in self.encoded(text)[0].split()]
+        return next(self.encoded([text]))[0].tolist()
 
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by a space, as a vocabulary without a decoder has it; unknown ids are passed over."""
@@ -315,14 +483,13 @@ def bpe_encode(docs: DataFrame, vocab: str = "word_bpe_49k.json", id_col: str =
     def one(batch):
         bpe = vocabulary(vocab if "/" in vocab else public_path(vocab))
         n, a, b = [], [], []
-        for x in batch.column("text"):
-            ids, count, words = bpe.encoded(x.as_py() or "")
-            n.append(count)
+        for ids, words in bpe.encoded([x or "" for x in batch.column("text").to_pylist()]):
+            n.append(len(ids))
             if digests:
-                a.append(hashlib.sha256(ids.encode()).hexdigest())
+                a.append(hashlib.sha256(bpe.digits(ids).encode()).hexdigest())
                 b.append(hashlib.sha256(words.encode()).hexdigest())
             else:
-                a.append(np.fromstring(ids, np.int32, sep=" "))
+                a.append(ids)
                 b.append(words)
         if digests:
             first = pa.array(a, pa.string())

@@ -44,6 +44,24 @@ def test_bpe_on_random_words(library):
     assert b.decode(b.encode("hello world")) == library.decode(library.encode("hello world", add_special_tokens=False).ids, skip_special_tokens=False)
 
 
+def test_words_at_once_match_words_alone(library, monkeypatch):
+    """Short words go through arrays; caches that turn over and pair slots that clash change nothing."""
+    monkeypatch.setattr(bpe, "CACHE", 40)
+    monkeypatch.setattr(bpe, "SLOTS", 16)
+    monkeypatch.setattr(bpe, "LETTERS", 500)
+    b, rng = bpe.WordBpe(bpe.public_path("word_bpe_49k.json")), random.Random(8)
+    short = ["".join(rng.choice(["e", "t", "ing", "tion", "é", "ß", "un", "x", "日", "9", "'s", "."]) for _ in range(rng.randint(1, 9))) for _ in range(800)]
+    assert [np.frombuffer(x, np.int32).tolist() for x in b.words(short)] == [b.word(x) for x in short] and b.words([]) == []
+    alone = bpe.WordBpe.word
+    monkeypatch.setattr(bpe.WordBpe, "word", lambda self, piece: alone(self, piece) if len(piece) > 16 else pytest.fail(piece))
+    texts = [x or "" for x in ODD] + ["", *(rng.choice([" ", "\n", "\u2003", "  ", "\x85"]).join(rng.choices(short, k=30)) for _ in range(40)), "é" * 17, "."]
+    for _ in range(2):
+        for text, (ids, decoded) in zip(texts, b.encoded(texts), strict=True):
+            want = library.encode(text, add_special_tokens=False).ids
+            assert ids.tolist() == want and decoded == library.decode(want, skip_special_tokens=False) and b.digits(ids) == " ".join(map(str, want))
+    assert len(b.memory.old) < 40 + len(short) and len(b.memory.new) < 40
+
+
 def test_vocabularies_do_not_mix(tmp_path):
     """Two vocabularies in one worker: the second's ids don't hang on the first's pairs."""
     import json
