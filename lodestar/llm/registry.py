@@ -71,7 +71,7 @@ def op6_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's copies in the mix of its source's target."""
-    return mix_documents(table(spark, sf_dir, "documents"))
+    return mix_documents(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
 
 
 def op8_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
