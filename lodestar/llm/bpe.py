@@ -25,11 +25,11 @@ _SPACES = "[\\t-\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\
 #: The same for ASCII texts, with the lower case of letters.
 _ASCII = {x: 32 for x in range(9, 14)} | {x: x + 32 for x in range(65, 91)}
 #: Words, and pieces of words, of a generation kept with their encodings in each worker; the last two generations stay.
-CACHE = 120_000
+CACHE = 50_000
 #: Texts encoded at once, by number and by letters; pieces of so many bytes go word by word.
-ROWS, LETTERS, LONG = 250, 1 << 20, 64
+ROWS, LETTERS, LONG = 250, 1 << 18, 64
 #: Pairs of tokens whose compatibility a worker remembers; a power of two of them in arrays.
-PAIRS, SLOTS = 400_000, 1 << 20
+PAIRS, SLOTS = 100_000, 1 << 18
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -123,16 +123,19 @@ class Memory:
 class Table:
     """int64 keys to int32 values in arrays, looked up many at once."""
 
-    def __init__(self, values: dict[int, int]):
-        bits = max(4, (4 * len(values)).bit_length())
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, (2 * len(keys)).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.keys = np.full(1 << bits, -1, np.int64)
         self.values = np.full(1 << bits, -1, np.int32)
-        keys = np.fromiter(values, np.int64, len(values))
-        for k, v, at in zip(keys.tolist(), values.values(), self._slot(keys).tolist()):
-            while self.keys[at] != -1:
-                at = (at + 1) & self.mask
-            self.keys[at], self.values[at] = k, v
+        at, todo = self._slot(keys), np.arange(len(keys))
+        while len(todo):
+            free = todo[self.keys[at[todo]] == -1]
+            self.keys[at[free]] = keys[free]
+            placed = self.keys[at[todo]] == keys[todo]
+            self.values[at[todo[placed]]] = values[todo[placed]]
+            todo = todo[~placed]
+            at[todo] = (at[todo] + 1) & self.mask
 
     def _slot(self, keys):
         return (keys.view(np.uint64) * _MULT >> self.shift).astype(np.int64)
@@ -260,10 +263,13 @@ class WordBpe:
         sam = self.sam
         self.single = np.array(self.inner + self.final, np.int32)
         symbol = {x: k for k, x in enumerate(self.single.tolist())}
-        self.steps = Table({v << 9 | symbol[c]: to for v, step in enumerate(sam.step) for c, to in step.items()})
+        # read into arrays one by one: a worker's memory doesn't shrink again
+        keys = np.fromiter((v << 9 | symbol[c] for v, step in enumerate(sam.step) for c in step), np.int64)
+        self.steps = Table(keys, np.fromiter((to for step in sam.step for to in step.values()), np.int32))
         self.links, self.sizes = np.array(sam.link, np.int32), np.array(sam.size, np.int32)
-        self.choice = np.concatenate(([0], np.cumsum([len(x) for x in self.ending])))  # a state's tokens, longest first
-        self.choice_size, self.choice_token = np.array([x for e in self.ending for x in e], np.int32).reshape(-1, 2).T.copy()
+        self.choice = np.concatenate(([0], np.cumsum(np.fromiter(map(len, self.ending), np.int64))))  # a state's tokens, longest first
+        self.choice_size = np.fromiter((n for e in self.ending for n, _ in e), np.int32)
+        self.choice_token = np.fromiter((x for e in self.ending for _, x in e), np.int32)
         self.pair_key, self.pair_crosses = np.full(SLOTS, -1, np.int64), np.zeros(SLOTS, bool)
 
     def _cross(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
