@@ -47,10 +47,10 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def replace_folders(df: DataFrame, path: str, key: str, touched: list[int]) -> None:
+def replace_folders(df: DataFrame, path: str, key: str, touched: list[int], codec: str = "snappy") -> None:
     """Write df's folders by key anew, and delete those of `touched` that no row is left for, once the write is done."""
     spark = df.sparkSession
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
-    left = {r[0] for r in df.select(key).distinct().collect()}
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", codec).partitionBy(key).parquet(path)
+    left = {r[0] for r in df.select(key).distinct().collect()} if touched else set()
     for b in set(touched) - left:
         delete(spark, f"{path}/{key}={b}")

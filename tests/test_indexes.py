@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestar.operators import indexed, ingest, search
-from lodestar.operators.textindex import TextIndex, write_text_index
+from lodestar.operators.textindex import TextIndex, blocks, write_text_index
 from lodestar.operators.vectorindex import VectorIndex, write_vector_index
 
 WORDS = ["red", "blue", "green", "licencia", "licencias", "iso", "9001", "x"]
@@ -61,6 +61,27 @@ def test_few_postings_are_read_for_few_rows(spark, tmp_path):
     assert index.hits("other7", 100).count() == 40 and index.read[1] == 40  # 2,000 texts, 40 postings
 
 
+def test_an_index_is_built_without_a_shuffle_of_its_words(spark, chunks, tmp_path):
+    """Words taken apart by shuffles were several times the texts on disk; stems beside words doubled the postings."""
+    made = blocks(ingest.with_buckets(chunks, 4))
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    held = made.select("term", "stem", F.explode("postings").alias("x")).select("term", "stem", "x.*")
+    words = chunks.select("id", F.explode(F.expr("split(content, ' ')")).alias("term")).where("term <> ''").groupBy("id", "term").count()
+    assert held.count() == words.count()
+    assert held.where("impact <> size(places)").count() == 0
+    sums = held.groupBy("id", "stem").agg(F.sum("impact").alias("n"), F.min("stem_impact").alias("a"), F.max("stem_impact").alias("b"))
+    assert sums.where("n <> a or n <> b").count() == 0
+    write_text_index(ingest.with_buckets(chunks, 4), str(tmp_path / "t"))
+    assert sorted(p.name for p in (tmp_path / "t").iterdir()) == ["blocks"]
+
+
+def test_blocks_hold_a_frequent_word_in_parts_of_falling_impact(spark):
+    rows = spark.createDataFrame([(k, 0, "word " * (1 + k % 5)) for k in range(1000)], "id long, bucket int, content string").coalesce(1)
+    made = blocks(rows).select("most", "postings.impact", "postings.id").collect()
+    assert sorted(len(r["id"]) for r in made) == [232, 256, 256, 256] and sorted(k for r in made for k in r["id"]) == list(range(1000))
+    assert all(r["impact"] == sorted(r["impact"], reverse=True) and r["most"] == r["impact"][0] for r in made)
+
+
 def test_only_allowed_texts_are_found(texts, chunks):
     some = chunks.where("tenant_id = 1")
     assert pairs(texts.hits("red", 7, allowed=some)) == pairs(search.text_hits(some, "red", 7).select("id", "text_rank"))
