@@ -166,9 +166,9 @@ class TextIndex:
         rank = F.element_at(F.transform(F.array(gaps), ranked), 1)
         return hits.where(whole).select("id", F.explode(F.array_compact(F.array(rank))).alias("text_rank"))
 
-    def _floors(self, query: TextQuery, stemmed: bool, n: int) -> list[float]:
-        """Ranks to search down to, one after the other: first where the rarest term of some alternative still has
-        SLACK * n postings by a histogram of impacts, then quarters of it, at last 0."""
+    def _floor(self, query: TextQuery, stemmed: bool, n: int) -> float:
+        """The rank to search down to first: where the rarest term of some alternative still has SLACK * n postings by a
+        histogram of impacts; 0 if that leaves out too few."""
         alternatives, _ = _terms(query)
         every = sorted({t for a in alternatives for t in a})
         counts: dict[str, list[tuple[int, int]]] = {}
@@ -191,23 +191,26 @@ class TextIndex:
             best = max(best, COVER * (min(levels) if len(levels) == 1 else min(levels) - 1))
         self._counts = {t: sum(m for _, m in c) for t, c in counts.items()}
         self._levels = counts
-        return [best, best / 4, best / 16, 0.0] if best > COVER else [0.0]
+        return best if best > COVER else 0.0
 
     def hits(self, text: str, n: int = 40, stemmed: bool = False, allowed: DataFrame | None = None) -> DataFrame:
         """(id, text_rank): the n texts of highest rank, as search.text_hits finds them; allowed(id): only among these.
 
-        Each try finds every text of a rank not below its floor. It is the last one if n are there.
+        A try finds every text of a rank not below its floor, and of others some, no rank too high. If the n-th found is below
+        the floor, its rank is the last try's floor; if fewer than n are found, 0 is.
         """
         query, n = text_query(text, stemmed), max(1, int(n))
         if not query.alternatives:
             return self.blocks.select(F.explode("postings.id").alias("id"), F.lit(0.0).alias("text_rank")).limit(0)
-        for floor in self._floors(query, stemmed, n):
-            found = top(self._found(query, stemmed, floor, allowed), n, F.desc("text_rank"), F.col("id"))
-            if floor == 0:
-                break
+        find = lambda floor: top(self._found(query, stemmed, floor, allowed), n, F.desc("text_rank"), F.col("id"))
+        floor = self._floor(query, stemmed, n)
+        found = find(floor)
+        if floor > 0:
             found = storage.kept(found, "hits")
-            if found.where(F.col("text_rank") >= floor).count() == n:
-                break
+            last = found.agg(F.count("*").alias("n"), F.min("text_rank").alias("rank")).head()
+            if last["n"] < n or last["rank"] < floor:
+                floor = last["rank"] if last["n"] == n else 0.0
+                found = find(floor)
         self._account(query, floor)
         return found
 
