@@ -7,6 +7,8 @@ block of queries is at most what the angles to the block's mean allow, so most r
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,8 +17,8 @@ from pyspark.sql import types as T
 
 from lodestar import storage
 
-#: Bytes of a block of rows and of queries.
-ROW_BYTES, QUERY_BYTES = 8 << 20, 1 << 20
+#: Bytes of a block of rows and of queries, and similarities that are computed together unless a query has more.
+ROW_BYTES, QUERY_BYTES, PRODUCT = 8 << 20, 1 << 20, 1 << 20
 #: Similarities are rounded to six decimals afterwards; what rounding could lift stays.
 SLOP = 1e-6
 
@@ -35,6 +37,32 @@ def _packed(df: DataFrame, id_col: str, vec_col: str, most: int, name: str) -> D
     return placed.groupBy("w", "block").agg(F.collect_list("id").alias("ids"), F.flatten(F.collect_list("x")).alias("x"))
 
 
+def best_pairs(x: np.ndarray, q: np.ndarray, n: int, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, row, similarity) of unit vectors: each query's n best rows above the threshold and those as near as the last,
+    some queries at a time, so that a product of small vectors takes no more memory than one of large ones."""
+    centre = q.sum(axis=0)
+    length = np.linalg.norm(centre)
+    if length > 0:  # rows that no query of the block can be near enough to
+        wide = np.arccos(np.clip((q @ (centre / length)).min(), -1, 1))
+        to = np.arccos(np.clip(x @ (centre / length), -1, 1))
+        near = np.flatnonzero(np.cos(np.maximum(0.0, to - wide)) >= threshold - SLOP)
+    else:
+        near = np.arange(len(x))
+    if not len(near):
+        return
+    rows = x if len(near) == len(x) else x[near]
+    step = max(1, PRODUCT // len(near))
+    for lo in range(0, len(q), step):
+        s = q[lo : lo + step] @ rows.T
+        if s.shape[1] > n:
+            least = np.partition(s, s.shape[1] - n, axis=1)[:, -n][:, None] - SLOP
+        else:
+            least = np.full((len(s), 1), -2.0)
+        a, b = np.nonzero((s >= least) & (s >= threshold - SLOP))
+        if len(a):
+            yield lo + a, near[b], s[a, b]
+
+
 def block_topk(rows: DataFrame, queries: DataFrame, n: int, threshold: float) -> DataFrame:
     """(query_id, id, similarity) with each query's n most similar rows above the threshold, and those as near as the last
     of them in a block. rows: (id, embedding), queries: (query_id, query). Ties are for the caller to break."""
@@ -43,7 +71,8 @@ def block_topk(rows: DataFrame, queries: DataFrame, n: int, threshold: float) ->
     q = storage.kept(_packed(queries, "query_id", "query", QUERY_BYTES, "queries"), "query_blocks")
     blocks = r.groupBy("w").agg(F.max("block").alias("last"))
     sent = q.select("w", F.col("ids").alias("q_ids"), F.col("x").alias("q")).join(F.broadcast(blocks), "w").select("w", "q_ids", "q", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("block"))
-    pairs = r.join(sent, ["w", "block"]).select("ids", "x", "q_ids", "q")
+    # a merge holds one key's rows of its right side: one block of rows, not all queries
+    pairs = sent.join(r.hint("merge"), ["w", "block"]).select("ids", "x", "q_ids", "q")
 
     def unit(flat: pa.ListScalar, count: int) -> np.ndarray:
         x = flat.values.to_numpy(zero_copy_only=False).reshape(count, -1)
@@ -54,22 +83,7 @@ def block_topk(rows: DataFrame, queries: DataFrame, n: int, threshold: float) ->
             for k in range(batch.num_rows):
                 ids, q_ids = batch.column("ids")[k].values, batch.column("q_ids")[k].values
                 x, q = unit(batch.column("x")[k], len(ids)), unit(batch.column("q")[k], len(q_ids))
-                centre = q.sum(axis=0)
-                length = np.linalg.norm(centre)
-                if length > 0:  # rows that no query of the block can be near enough to
-                    wide = np.arccos(np.clip((q @ (centre / length)).min(), -1, 1))
-                    to = np.arccos(np.clip(x @ (centre / length), -1, 1))
-                    near = np.flatnonzero(np.cos(np.maximum(0.0, to - wide)) >= threshold - SLOP)
-                else:
-                    near = np.arange(len(x))
-                if not len(near):
-                    continue
-                s = q @ x[near].T
-                if s.shape[1] > n:
-                    least = np.partition(s, s.shape[1] - n, axis=1)[:, -n][:, None] - SLOP
-                else:
-                    least = np.full((len(s), 1), -2.0)
-                a, b = np.nonzero((s >= least) & (s >= threshold - SLOP))
-                yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(a)), ids.take(pa.array(near[b])), pa.array(s[a, b])], ["query_id", "id", "similarity"])
+                for a, b, similar in best_pairs(x, q, n, threshold):
+                    yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(a)), ids.take(pa.array(b)), pa.array(similar)], ["query_id", "id", "similarity"])
 
     return pairs.mapInArrow(run, schema).withColumn("similarity", F.round("similarity", 6))

@@ -1,12 +1,13 @@
 """Interval joins, refined percentiles and upserts against plain Python."""
 
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.operators import ingest, intervals, operations
+from lodestar.operators import blocks, ingest, intervals, operations
 
 
 def test_points_meet_every_interval_around_them_once(spark):
@@ -55,3 +56,16 @@ def test_bad_rows_come_back_and_good_ones_load(spark):
     assert sorted((str(r.id), r.v, tuple(r.errors)) for r in bad.collect()) == [("3", "oops", ("NOT_LONG: v",)), ("4", "-1", ("NEGATIVE",)), ("None", "5", ("NULL_KEY: id",)), ("None", "bad", ("NULL_KEY: id", "NOT_LONG: v"))]
     twice = spark.createDataFrame([(2, 1, "a"), (2, 1, "a"), (3, 1, "b")], old.schema)
     assert sorted(r.id for r in ingest.merge_rows(old, twice, ["id"]).collect()) == [1, 2, 3]
+
+
+def test_a_product_of_full_blocks_is_made_in_parts():
+    """A block of queries times one of rows of 64 components was 268 MB, and as much again for the cut."""
+    rng = np.random.default_rng(5)
+    x, q = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (rng.normal(size=(16_384, 64)), rng.normal(size=(2_048, 64))))
+    tracemalloc.start()
+    got = [(int(a), int(b)) for part in blocks.best_pairs(x, q, 1, 0.3) for a, b in zip(part[0], part[1], strict=True)]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 64 << 20
+    best = [(k, int((x @ v).argmax())) for k, v in enumerate(q)]
+    assert got == [(k, b) for k, b in best if x[b] @ q[k] >= 0.3 - blocks.SLOP]
